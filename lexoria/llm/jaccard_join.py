@@ -29,8 +29,8 @@ from .components import components
 from .packing import join, pack, split, unpack
 from .runtime import buckets_for, cut, release, text_bytes
 
-#: Counters of the fixed-size frequency sketch that orders shingles (4 MB when broadcast).
-SKETCH = 1 << 20
+#: Counters of the fixed-size frequency sketch that orders shingles (256 KB when broadcast).
+SKETCH = 1 << 16
 #: Pivots of each inverted list in the first scan.
 PIVOTS = 3
 _BLOCK = "bucket int, kind int, payload binary"
