@@ -26,13 +26,15 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .packing import join, pack, split, unpack
-from .runtime import buckets_for, cut, release, text_bytes
+from .packing import from_seven, join, narrow, pack, seven, split, unpack
+from .runtime import Scratch, buckets_for, cut, release, text_bytes
 
 #: Counters of the fixed-size frequency sketch that orders shingles (256 KB when broadcast).
 SKETCH = 1 << 16
 #: Pivots of each inverted list in the first scan.
 PIVOTS = 3
+#: Shingles are compared by 56 bits: a chance of about 4e-12 for a false match of two sets of 500.
+_TOKEN = np.uint64((1 << 56) - 1)
 _BLOCK = "bucket int, kind int, payload binary"
 
 
@@ -42,7 +44,7 @@ def _blocks(k: int, buckets: int):
 
     def run(batches):
         for batch in batches:
-            keep = batch.filter(batch.column("doc_id").is_valid())
+            keep = batch.filter(batch.column("doc_id").is_valid()).sort_by("doc_id")
             text, ids = keep.column("text").cast(pa.large_string()), keep.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             out: list[tuple[int, int, bytes]] = []
             for part in W.chunks(text):
@@ -63,21 +65,22 @@ def _blocks(k: int, buckets: int):
                 fp[0, i], fp[1, i] = W.mix(s + np.uint64(1)).sum(dtype=np.uint64), (W.mix(s ^ np.uint64(0x5BD1E995)) * np.uint64(3)).sum(dtype=np.uint64)
             sets.append(s)
             owners.append(np.full(len(s), i, np.uint32))
-        tok, own = join(sets, np.uint64), join(owners, np.uint32)
+        tok, own = join(sets, np.uint64) & _TOKEN, join(owners, np.uint32)
         order = np.argsort(tok, kind="stable")
-        tok, own = tok[order], own[order]
+        ranked = tok[order]
         first = np.ones(len(tok), bool)
-        first[1:] = tok[1:] != tok[:-1]
+        first[1:] = ranked[1:] != ranked[:-1]
         last = np.ones(len(tok), bool)
         last[:-1] = first[1:]
-        single = first & last
+        single = np.empty(len(tok), bool)
+        single[order] = first & last
         spread = int(W.mix(ids[:1].astype(np.uint64))[0] % np.uint64(buckets)) if len(ids) else 0
-        bucket_of = lambda t: (t >> np.uint64(40)).astype(np.int64) % buckets
+        bucket_of = lambda t: (t >> np.uint64(24)).astype(np.int64) % buckets
         for b, (t, o) in split(bucket_of(tok[single]), tok[single], own[single]):
-            used, idx = np.unique(o, return_inverse=True)
-            out.append((b, 0, pack(np.diff(ids[used], prepend=0), t, idx.astype(np.uint16 if len(used) < 65536 else np.uint32))))
-        many = first & ~last
-        for b, (t,) in split(bucket_of(tok[many]), tok[many]):
+            used, count = np.unique(o, return_counts=True)
+            out.append((b, 0, pack(ids[used[:1]], narrow(np.diff(ids[used])), narrow(count), seven(t))))
+        many = ranked[first & ~last]
+        for b, (t,) in split(bucket_of(many), many):
             out.append((b, 1, pack(t)))
         if (~single).any():
             out.append((spread, 2, pack(ids[own[~single]], tok[~single])))
@@ -100,8 +103,8 @@ def _shared(targets: int):
         for kind, payload in zip(table.column("kind").to_pylist(), table.column("payload"), strict=True):
             x = unpack(payload.as_buffer().to_pybytes())
             if kind == 0:
-                docs.append(np.cumsum(x[0])[x[2]])
-                toks.append(x[1])
+                docs.append(np.repeat(np.concatenate([x[0], x[0] + np.cumsum(x[1].astype(np.int64))]), x[2]))
+                toks.append(from_seven(x[3]))
             elif kind == 1:
                 known.append(x[0])
             else:
@@ -188,7 +191,7 @@ def _cells(batches):
     for batch in batches:
         for part in range(0, len(batch), 2000):
             toks = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("toks")[part : part + 2000]]
-            cell, count = np.unique((join(toks, np.uint64) >> np.uint64(44)).astype(np.int64) % SKETCH, return_counts=True)
+            cell, count = np.unique((join(toks, np.uint64) >> np.uint64(36)).astype(np.int64) % SKETCH, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(count.astype(np.int64))], names=["cell", "count"])
 
 
@@ -211,7 +214,7 @@ def _keys(boundary: int, percent: int, sketch):
                         made += [(0, W.mix(W.mix(tok)[at].sum(axis=1, dtype=np.uint64) + np.uint64(c))) for c, at in plans[plan]]
                 if 100 * n >= percent * (boundary + 1):
                     unshared = n - len(tok)
-                    often = order_of[(tok >> np.uint64(44)).astype(np.int64) % SKETCH]
+                    often = order_of[(tok >> np.uint64(36)).astype(np.int64) % SKETCH]
                     take = max(0, _prefix(n, percent) - unshared)
                     made.append((1, tok[np.lexsort((tok, often))[:take]]))
                 for kind, x in made:
@@ -267,21 +270,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     targets = buckets_for(size, 12_000_000)
     blocks = docs.mapInArrow(_blocks(k, buckets), _BLOCK)
     dealt = blocks.groupBy("bucket").applyInArrow(_shared(targets), _BLOCK)
-    all_docs = cut(dealt.groupBy("bucket").applyInArrow(_gather(percent), "doc_id long, n long, f1 long, f2 long, toks binary"))
+    scratch = Scratch(spark)
+    gathered = scratch.keep(dealt.groupBy("bucket").applyInArrow(_gather(percent), "doc_id long, n long, f1 long, f2 long, toks binary"))
     release(spark)
 
+    all_docs = cut(gathered.select("doc_id", "n", "f1", "f2"))
     classes = all_docs.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("class"))
-    sets = cut(all_docs.filter("toks IS NOT NULL").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n", "toks")).alias("s")).select(F.col("s.doc_id").alias("id"), "s.n", "s.toks"))
+    sets = gathered.filter("toks IS NOT NULL").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n", "toks")).alias("s"))
+    sets = scratch.keep(sets.select(F.col("s.doc_id").alias("id"), "s.n", "s.toks"))
+    scratch.clear(gathered)
 
     histogram = {r["n"]: r["count"] for r in sets.filter("n <= 40").groupBy("n").count().collect()}
     cells = sets.select("toks").mapInArrow(_cells, "cell long, count long").groupBy("cell").agg(F.sum("count").alias("count")).toPandas()
     counts = np.zeros(SKETCH, np.int32)
     counts[cells["cell"].to_numpy(np.int64)] = np.minimum(cells["count"].to_numpy(np.int64), 2**31 - 1)
     each = counts.astype(float)
-    boundary = light_boundary(histogram, float((each**2).sum() / max(1.0, each.sum())), percent)
+    # Lists as long as a random posting sees them; what chance collisions in the cells add is taken off.
+    length = max(2.0, ((each**2).sum() - each.sum() ** 2 / SKETCH) / max(1.0, each.sum()))
+    boundary = light_boundary(histogram, length, percent)
     sketch = spark.sparkContext.broadcast(counts)
 
-    keys = cut(sets.mapInArrow(_keys(boundary, percent, sketch), "key long, id long, n long, kind int"))
+    keys = scratch.keep(sets.mapInArrow(_keys(boundary, percent, sketch), "key long, id long, n long, kind int"))
     close = f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)"
     # Light: in each group of an equal subset, all that can link by it link with its smallest set.
     # Lists: a few pivots of each list and size band, other members against them.
@@ -299,12 +308,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     # Lists that still hold several components: members outside the largest against all others.
     lists = keys.filter("kind = 1").select("key", "id", "n").join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("label"))
     per = lists.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1").select("key", F.col("main.label").alias("main"))
-    lists = cut(lists.join(per, "key"))
+    lists = scratch.keep(lists.join(per, "key"))
     minor = lists.filter("label <> main").select("key", F.col("id").alias("id1"), F.col("n").alias("n1"), F.col("label").alias("l1"))
     rest = lists.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("label").alias("l2"))
     pairs = minor.join(rest, "key").filter(f"l1 <> l2 AND {close}").select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
     late = _check(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, percent)
     links = cut(tested.unionByName(late).filter("linked").select("a", "b"))
+    scratch.clear()
     final = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
 

@@ -41,3 +41,22 @@ def split(keys: np.ndarray, *arrays: np.ndarray):
 
 def join(parts: list[np.ndarray], dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """The same non-negative integers in the smallest unsigned type that holds them."""
+    if len(x) and int(x.min()) < 0:
+        return x
+    top = int(x.max()) if len(x) else 0
+    return x.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max))
+
+
+def seven(x: np.ndarray) -> np.ndarray:
+    """Integers below 2**56 as seven bytes each."""
+    return np.ascontiguousarray(np.ascontiguousarray(x, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, :7]).reshape(-1)
+
+
+def from_seven(x: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x) // 7, 8), np.uint8)
+    out[:, :7] = x.reshape(-1, 7)
+    return out.reshape(-1).view("<u8")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +30,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Parquet tables in the shared folder for the inside of one operator; ``clear`` deletes them.
+
+    Unlike a checkpoint they are columnar and compressed. Results that leave the operator must not
+    read them.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_dir(self.spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def clear(self, *frames: DataFrame) -> None:
+        for key in [id(f) for f in frames] or list(self.paths):
+            _, path = self.paths.pop(key)
+            jvm = self.spark.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of frames that are no longer referenced."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:
