@@ -3,17 +3,68 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .collision_search import nearest_neighbours
 from .jaccard_join import near_duplicates
+from .kd_search import exact_top_k
+from .mixing import mix_sources
+from .oracles import ORACLES
 from .runtime import read
+from .secret_scans import RULES, findings_by_path, scan, span_text
+from .url_filters import UrlRule, judge_urls
+from .warc import archive_pages
+
+__all__ = ["ORACLES", "QUERIES", "URL_RULES"]
+
+URL_RULES = [
+    UrlRule.parse("block", "com/en/"),
+    UrlRule.parse("allow", "example.com/en/7"),
+    UrlRule.parse("allow", "net/de/"),
+    UrlRule.parse("block", "example.net/de/8"),
+    UrlRule.parse("block", "org/es/"),
+]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read(spark, sf_dir, "pages"), URL_RULES).drop("url")
+
+
+def op5_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(read(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"), k=5, percent=75)
+    return near_duplicates(read(spark, sf_dir, "documents"), k=5, percent=75).drop("n_links")
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(read(spark, sf_dir, "embeddings"), k=5, every=50, scale=256.0)
+
+
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    _, findings = scan(docs)
+    found = findings_by_path(docs, findings)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in RULES if r.base]))
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(read(spark, sf_dir, "pages")).drop("url")
 
 
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
+    "op5_approximate_nearest_neighbours": op5_approximate_nearest_neighbours,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_source_mixing": op7_source_mixing,
+    "op8_exact_top_k": op8_exact_top_k,
+    "op9_secret_scans": op9_secret_scans,
+    "op10_warc": op10_warc,
 }
-
-ORACLES: dict[str, str] = {}
