@@ -11,7 +11,8 @@
    smaller sets would cost more than scanning their lists.
 4. Candidates are verified on whole sets. In each list members are first held against a few pivots;
    then every member outside the list's largest component is held against all members of other
-   components. No list emits all its pairs, and no link that matters to a component is lost.
+   components, by counting overlaps along inverted lists in blocks. No list emits all its pairs,
+   and no link that matters to a component is lost.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .packing import from_seven, join, narrow, pack, seven, split, unpack
+from .packing import join, pack, pack_lists, split, unpack, unpack_lists
 from .runtime import Scratch, buckets_for, cut, release, text_bytes
 
 #: Counters of the fixed-size frequency sketch that orders shingles (256 KB when broadcast).
@@ -77,13 +78,12 @@ def _blocks(k: int, buckets: int):
         spread = int(W.mix(ids[:1].astype(np.uint64))[0] % np.uint64(buckets)) if len(ids) else 0
         bucket_of = lambda t: (t >> np.uint64(24)).astype(np.int64) % buckets
         for b, (t, o) in split(bucket_of(tok[single]), tok[single], own[single]):
-            used, count = np.unique(o, return_counts=True)
-            out.append((b, 0, pack(ids[used[:1]], narrow(np.diff(ids[used])), narrow(count), seven(t))))
+            out.append((b, 0, pack_lists(ids[o], t)))
         many = ranked[first & ~last]
         for b, (t,) in split(bucket_of(many), many):
             out.append((b, 1, pack(t)))
         if (~single).any():
-            out.append((spread, 2, pack(ids[own[~single]], tok[~single])))
+            out.append((spread, 2, pack_lists(ids[own[~single]], tok[~single])))
         out.append((spread, 3, pack(ids, sizes, fp[0], fp[1])))
         if sum(len(x[2]) for x in out) > 8_000_000:
             yield _rows(out)
@@ -101,15 +101,17 @@ def _shared(targets: int):
     def run(table: pa.Table) -> pa.Table:
         docs, toks, known, out = [], [], [], []
         for kind, payload in zip(table.column("kind").to_pylist(), table.column("payload"), strict=True):
-            x = unpack(payload.as_buffer().to_pybytes())
+            data = payload.as_buffer().to_pybytes()
             if kind == 0:
-                docs.append(np.repeat(np.concatenate([x[0], x[0] + np.cumsum(x[1].astype(np.int64))]), x[2]))
-                toks.append(from_seven(x[3]))
+                doc, tok = unpack_lists(data)
+                docs.append(doc)
+                toks.append(tok)
             elif kind == 1:
-                known.append(x[0])
+                known += unpack(data)
             else:
+                x = unpack_lists(data) if kind == 2 else unpack(data)
                 for b, part in split(W.mix(x[0].astype(np.uint64)).astype(np.int64) % targets, *x):
-                    out.append((b, kind, pack(*part)))
+                    out.append((b, kind, pack_lists(*part) if kind == 2 else pack(*part)))
         doc, tok, sure = join(docs, np.int64), join(toks, np.uint64), np.unique(join(known, np.uint64))
         order = np.argsort(tok, kind="stable")
         doc, tok = doc[order], tok[order]
@@ -120,7 +122,7 @@ def _shared(targets: int):
             same |= sure[np.minimum(np.searchsorted(sure, tok), len(sure) - 1)] == tok
         doc, tok = doc[same], tok[same]
         for b, part in split(W.mix(doc.astype(np.uint64)).astype(np.int64) % targets, doc, tok):
-            out.append((b, 2, pack(*part)))
+            out.append((b, 2, pack_lists(*part)))
         return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "kind": pa.array([x[1] for x in out], pa.int32()), "payload": pa.array([x[2] for x in out], pa.binary())})
 
     return run
@@ -132,12 +134,13 @@ def _gather(percent: int):
     def run(table: pa.Table) -> pa.Table:
         sizes, docs, toks = [], [], []
         for kind, payload in zip(table.column("kind").to_pylist(), table.column("payload"), strict=True):
-            x = unpack(payload.as_buffer().to_pybytes())
+            data = payload.as_buffer().to_pybytes()
             if kind == 3:
-                sizes.append(x)
+                sizes.append(unpack(data))
             else:
-                docs.append(x[0])
-                toks.append(x[1])
+                doc, tok = unpack_lists(data)
+                docs.append(doc)
+                toks.append(tok)
         ids, n, f1, f2 = (join([x[i] for x in sizes], t) for i, t in enumerate((np.int64, np.int64, np.uint64, np.uint64)))
         doc, tok = join(docs, np.int64), join(toks, np.uint64)
         order = np.lexsort((tok, doc))
@@ -249,6 +252,43 @@ def _check(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(pairs.join(one, "a").join(two, "b").mapInArrow(_verify(percent), "a long, b long, linked boolean"))
 
 
+def _scan_lists(percent: int):
+    """Blocks of families: the sets outside the largest component against all of a block, by
+    counting overlaps along the block's inverted lists."""
+
+    def run(table: pa.Table) -> pa.Table:
+        a_out, b_out = [], []
+        col = {c: table.column(c).to_numpy() for c in ("family", "rows", "cols", "role", "id", "n", "label")}
+        toks = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("toks")]
+        order = np.lexsort((col["role"], col["cols"], col["rows"], col["family"]))
+        key = np.stack([col[c][order] for c in ("family", "rows", "cols")])
+        cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        for block in np.split(order, cuts):
+            data, queries = block[col["role"][block] == 0], block[col["role"][block] == 1]
+            if not len(data) or not len(queries):
+                continue
+            length = [len(toks[i]) for i in data]
+            flat, owner = np.concatenate([toks[i] for i in data]), np.repeat(np.arange(len(data)), length)
+            by = np.argsort(flat, kind="stable")
+            flat, owner = flat[by], owner[by]
+            n, label, ids = col["n"][data], col["label"][data], col["id"][data]
+            for q in queries:
+                lo, hi = np.searchsorted(flat, toks[q]), np.searchsorted(flat, toks[q], side="right")
+                m = hi - lo
+                at = np.repeat(lo - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+                both = np.bincount(owner[at], minlength=len(data))
+                hit = (100 * both >= percent * (n + col["n"][q] - both)) & (label != col["label"][q])
+                a_out.append(np.full(int(hit.sum()), col["id"][q]))
+                b_out.append(ids[hit])
+        return pa.table({"a": pa.array(join(a_out, np.int64)), "b": pa.array(join(b_out, np.int64))})
+
+    return run
+
+
+#: Sets in a block of a family; bytes of sets that one task scans, about.
+FAMILY_ROWS, SCAN_BYTES = 1_024, 6_000_000
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every document.
 
@@ -290,11 +330,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     boundary = light_boundary(histogram, length, percent)
     sketch = spark.sparkContext.broadcast(counts)
 
-    keys = scratch.keep(sets.mapInArrow(_keys(boundary, percent, sketch), "key long, id long, n long, kind int"))
+    kept = scratch.keep(sets.mapInArrow(_keys(boundary, percent, sketch), "key long, id long, n long, kind int"))
     close = f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)"
     # Light: in each group of an equal subset, all that can link by it link with its smallest set.
     # Lists: a few pivots of each list and size band, other members against them.
-    keys = keys.withColumn("band", F.when(F.col("kind") == 0, F.lit(0)).otherwise(F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent))).cast("int"))
+    keys = kept.withColumn("band", F.when(F.col("kind") == 0, F.lit(0)).otherwise(F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent))).cast("int"))
     on = ["kind", "key", "band"]
     member = F.struct("id", "n")
     picks = [F.min(F.struct("n", "id")).alias("p0")] + [F.min_by(member, F.xxhash64(F.col("id"), F.lit(r))).alias(f"p{r}") for r in range(1, PIVOTS)]
@@ -303,17 +343,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     star = keys.join(heads, on).select("id", F.col("n").alias("n2"), F.explode(F.array_distinct("heads")).alias("h")).select(F.col("h.pid").alias("pid"), F.col("h.pn").alias("n1"), "id", "n2")
     star = star.filter(f"pid <> id AND {close}").select(F.least("pid", "id").alias("a"), F.greatest("pid", "id").alias("b")).distinct()
     tested = _check(star, sets, percent)
+    release(spark)
     label = cut(components(tested.filter("linked")))
 
-    # Lists that still hold several components: members outside the largest against all others.
-    lists = keys.filter("kind = 1").select("key", "id", "n").join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("label"))
-    per = lists.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1").select("key", F.col("main.label").alias("main"))
-    lists = scratch.keep(lists.join(per, "key"))
-    minor = lists.filter("label <> main").select("key", F.col("id").alias("id1"), F.col("n").alias("n1"), F.col("label").alias("l1"))
-    rest = lists.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("label").alias("l2"))
-    pairs = minor.join(rest, "key").filter(f"l1 <> l2 AND {close}").select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
-    late = _check(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, percent)
-    links = cut(tested.unionByName(late).filter("linked").select("a", "b"))
+    # Lists that still hold several components: the members outside the largest one, the list's
+    # family, are scanned against all members. Families meet in blocks, whatever their size.
+    lists = keys.filter("kind = 1").select("key", "id").join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+    per = lists.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1").select("key", F.col("main.label").alias("family"))
+    members = scratch.keep(lists.join(per, "key").select("family", "id", "label").distinct())
+    scratch.clear(kept)
+    release(spark)
+    wide = members.groupBy("family").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / FAMILY_ROWS)).cast("int").alias("cols"), F.greatest(F.lit(1), F.ceil(F.count_if(F.col("label") != F.col("family")) / FAMILY_ROWS)).cast("int").alias("rows"))
+    sized = members.join(wide, "family").join(sets.select("id", "n"), "id")
+    column, row = F.pmod(F.xxhash64("id"), F.col("cols")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("rows")).cast("int")
+    data = sized.select("family", "id", "n", "label", F.lit(0).alias("role"), column.alias("cols"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("rows"))
+    asked = sized.filter("label <> family").select("family", "id", "n", "label", F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("cols"), row.alias("rows"))
+    dealt_out = scratch.keep(data.unionByName(asked))
+    tasks = buckets_for(8 * int(dealt_out.agg(F.sum("n")).first()[0] or 0), SCAN_BYTES)
+    spread = F.pmod(F.xxhash64("family", "rows", "cols"), F.lit(tasks)).cast("int")
+    found = dealt_out.join(sets.select("id", "toks"), "id").withColumn("task", spread).groupBy("task").applyInArrow(_scan_lists(percent), "a long, b long")
+    links = cut(tested.filter("linked").select("a", "b").unionByName(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
     scratch.clear()
     final = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))

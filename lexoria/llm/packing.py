@@ -60,3 +60,15 @@ def from_seven(x: np.ndarray) -> np.ndarray:
     out = np.zeros((len(x) // 7, 8), np.uint8)
     out[:, :7] = x.reshape(-1, 7)
     return out.reshape(-1).view("<u8")
+
+
+def pack_lists(owner: np.ndarray, value: np.ndarray) -> bytes:
+    """(owner, 56-bit value) pairs: each owner once, with the number of its values."""
+    order = np.argsort(owner, kind="stable")
+    used, count = np.unique(owner[order], return_counts=True)
+    return pack(used[:1].astype(np.int64), narrow(np.diff(used)), narrow(count), seven(value[order]))
+
+
+def unpack_lists(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    first, steps, count, value = unpack(data)
+    return np.repeat(np.concatenate([first, first + np.cumsum(steps.astype(np.int64))]), count), from_seven(value)
