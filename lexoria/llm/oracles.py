@@ -18,6 +18,17 @@ SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdic
 FROM p LEFT JOIN m USING (page_id)
 """
 
+OP2 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS w, unnest([NULL]::VARCHAR[] || ws[1:len(ws)-1]) AS v FROM d WHERE len(ws) > 0),
+c1 AS (SELECT w, count(*) AS c FROM t GROUP BY w), n AS (SELECT count(*)::DOUBLE AS n FROM t),
+c2 AS (SELECT v, w, count(*) AS c FROM t WHERE v IS NOT NULL GROUP BY v, w),
+s AS (SELECT t.doc_id, CASE WHEN t.v IS NULL THEN ln(a.c / n.n) WHEN c2.c >= 2 THEN ln(c2.c / b.c::DOUBLE) ELSE ln(0.4 * a.c / n.n) END AS x
+  FROM t JOIN c1 a ON a.w = t.w CROSS JOIN n LEFT JOIN c2 ON c2.v = t.v AND c2.w = t.w LEFT JOIN c1 b ON b.w = t.v),
+g AS (SELECT doc_id, sum(x) AS x FROM s GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, round(coalesce(x, 0), 4) AS log_score, CASE WHEN len(ws) > 0 THEN round(x / len(ws), 6) END AS mean_log_score FROM d LEFT JOIN g USING (doc_id)
+"""
+
 OP6 = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
@@ -92,6 +103,7 @@ FROM p LEFT JOIN f USING (payload_digest)
 
 ORACLES = {
     "op1_url_filters": OP1,
+    "op2_lm_scoring": OP2,
     "op6_ngram_jaccard_join": OP6,
     "op7_source_mixing": OP7,
     "op8_exact_top_k": OP8,

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .backoff_scores import score_documents
 from .collision_search import nearest_neighbours
 from .jaccard_join import near_duplicates
 from .kd_search import exact_top_k
+from .merge_dropout import encode_documents
 from .mixing import mix_sources
 from .oracles import ORACLES
 from .runtime import read
 from .secret_scans import RULES, findings_by_path, scan, span_text
+from .toxicity import toxicity
 from .url_filters import UrlRule, judge_urls
 from .warc import archive_pages
 
@@ -30,6 +33,23 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages"), URL_RULES).drop("url")
 
 
+#: A SentencePiece model file with byte fallback.
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_documents(read(spark, sf_dir, "documents"), alpha=0.4, min_count=2)
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+def op3_sentencepiece_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(read(spark, sf_dir, "documents"), MODEL_FILE, dropout=0.1, seed=0)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op5_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(read(spark, sf_dir, "embeddings"), k=20, every=20)
 
@@ -61,6 +81,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_lm_scoring": op2_lm_scoring,
+    "op3_sentencepiece_merge_dropout": op3_sentencepiece_merge_dropout,
+    "op4_toxicity": op4_toxicity,
     "op5_approximate_nearest_neighbours": op5_approximate_nearest_neighbours,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_source_mixing": op7_source_mixing,
