@@ -3,9 +3,9 @@
 Every shard keeps, for each of m random lines, its vectors' projections in sorted order. A query's
 own projection is the centre of a window on each line; virtual rehashing widens all windows by a
 factor a round, so that only the newly covered ends are counted. Vectors that lie in enough
-windows are verified by the exact measure. A query ends once its k-th verified distance is within
-the round's radius: a vector within that radius then was counted often enough with a chance of
-about 97 %.
+windows are verified by the exact measure. The first radius comes
+from a spread sample. A query ends once its k-th verified distance is within the round's radius: a vector within that radius then was counted often enough with a chance of
+about 90 %, and nearer ones a higher one.
 
 Inner products are searched as distances: queries are scaled to length 1, and vectors by the
 largest length, with one more component that fills them up to 1.
@@ -24,8 +24,9 @@ from .vector_blocks import best, by_dimension, deal, result, top, valid_vectors
 
 #: Lines; windows of half-width WIDTH * radius; widening a round; standard deviations by which the
 #: threshold lies below the count expected at the radius.
-LINES, WIDTH, WIDEN, MARGIN = 96, 1.0, 1.2, 1.9
-SHARD_ROWS = 16_384
+LINES, WIDTH, WIDEN, MARGIN = 56, 1.0, 1.06, 1.3
+#: Candidates in a shard and queries in a block, at most about.
+SHARD_ROWS, QUERY_ROWS = 65_536, 512
 
 
 def _chance(x: float) -> float:
@@ -41,7 +42,8 @@ class CollisionIndex:
     """Sorted projections of one shard. longest: the largest vector length of the whole table."""
 
     def __init__(self, x: np.ndarray, longest: float, lines: int = LINES, seed: int = 0):
-        self.x = x
+        # Candidates are compared in single precision; whatever may be among the k best, in double.
+        self.x, self.single = x, np.ascontiguousarray(x, dtype=np.float32)
         d = x.shape[1]
         a = np.random.default_rng(seed).standard_normal((d + 1, lines))
         full = np.sqrt(np.maximum(0.0, 1.0 - (x**2).sum(1) / longest**2))
@@ -51,59 +53,41 @@ class CollisionIndex:
         self.sorted = np.take_along_axis(p, self.order, axis=1)
         self.threshold = collision_threshold(lines)
 
-    def windows(self, q: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
-        """Window ends on every line for all queries (their projections: queries x lines)."""
-        lo = np.stack([np.searchsorted(s, c - half) for s, c in zip(self.sorted, q.T, strict=True)], 1)
-        hi = np.stack([np.searchsorted(s, c + half, side="right") for s, c in zip(self.sorted, q.T, strict=True)], 1)
-        return lo, hi
-
     def search(self, ids: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
         """(query place, candidate places) of each query's k best verified candidates."""
         n = len(self.x)
         unit = queries / np.sqrt((queries**2).sum(1))[:, None]
         centre = unit @ self.a
-        radius = 0.4
-        open_ = np.arange(len(queries))
-        counts = [np.zeros(n, np.int16) for _ in open_]
-        done = [np.zeros(0, np.int64) for _ in open_]
-        seen = [np.zeros((0,)) for _ in open_]
-        lo = hi = np.repeat(np.stack([np.searchsorted(s, c) for s, c in zip(self.sorted, centre.T, strict=True)], 1), 1, 0)
-        while len(open_):
-            everything = radius > 2.0 or n <= k
-            lo2, hi2 = self.windows(centre[open_], WIDTH * radius)
-            still = []
-            for j, i in enumerate(open_):
-                if everything:
-                    new = np.setdiff1d(np.arange(n), done[i], assume_unique=True)
-                else:
-                    ends = [self.order[r, a:b] for r in range(self.lines) for a, b in ((lo2[j, r], lo[j, r]), (hi[j, r], hi2[j, r])) if a < b]
-                    before = counts[i]
-                    after = before + np.bincount(np.concatenate(ends), minlength=n).astype(np.int16) if ends else before
-                    new = np.flatnonzero((before < self.threshold) & (after >= self.threshold))
-                    counts[i] = after
-                if len(new):
-                    done[i] = np.concatenate([done[i], new])
-                    seen[i] = np.concatenate([seen[i], self.x[new] @ unit[i]])
-                own = ids[done[i]] != query_ids[i]
-                if own.sum() >= k:
-                    kth = np.partition(seen[i][own], own.sum() - k)[own.sum() - k]
-                    if math.sqrt(max(0.0, 2.0 - 2.0 * kth / self.longest)) <= radius:
-                        everything_found = True
-                    else:
-                        everything_found = False
-                else:
-                    everything_found = False
-                if not (everything or everything_found):
-                    still.append(j)
-                else:
-                    counts[i] = None
-            open_, lo, hi = open_[still], lo2[still], hi2[still]
-            radius *= WIDEN
+        distance = lambda inner: np.sqrt(np.maximum(0.0, 2.0 - 2.0 * inner / self.longest))
+        # The nearest of n / k spread rows is about as far as the k-th of all: windows start below.
+        near = unit @ self.x[:: max(1, k)].T
+        near[query_ids[:, None] == ids[None, :: max(1, k)]] = -self.longest
+        start = distance(near.max(axis=1))
         for i in range(len(queries)):
-            at = done[i][ids[done[i]] != query_ids[i]]
-            near = self.x[at] @ unit[i]
+            radius = 0.8 * float(start[i])
+            counts, lo, hi = np.zeros(n, np.int64), None, None
+            at, seen, direction = np.zeros(0, np.int64), np.zeros(0, np.float32), unit[i].astype(np.float32)
+            while True:
+                half = WIDTH * radius
+                lo2 = [int(s.searchsorted(c - half)) for s, c in zip(self.sorted, centre[i], strict=True)]
+                hi2 = [int(s.searchsorted(c + half, side="right")) for s, c in zip(self.sorted, centre[i], strict=True)]
+                if lo is None:
+                    ends = [o[a:b] for o, a, b in zip(self.order, lo2, hi2, strict=True)]
+                else:
+                    ends = [o[a:b] for o, a, b in zip(self.order, lo2, lo, strict=True)] + [o[a:b] for o, a, b in zip(self.order, hi, hi2, strict=True)]
+                lo, hi = lo2, hi2
+                after = counts + np.bincount(np.concatenate(ends), minlength=n)
+                new = np.flatnonzero((counts < self.threshold) & (after >= self.threshold))
+                counts = after
+                if radius > 2.0 or n <= k:
+                    new = np.setdiff1d(np.arange(n), at)
+                new = new[ids[new] != query_ids[i]]
+                at, seen = np.concatenate([at, new]), np.concatenate([seen, self.single[new] @ direction])
+                if radius > 2.0 or n <= k or (len(seen) >= k and distance(np.partition(seen, len(seen) - k)[len(seen) - k]) <= radius):
+                    break
+                radius = max(radius * WIDEN, 0.1)
             if len(at) > 4 * k:
-                at = at[near >= np.partition(near, len(at) - k)[len(at) - k] - 1e-9 * self.longest]
+                at = at[seen >= np.partition(seen, len(at) - k)[len(at) - k] - 1e-4 * self.longest]
             exact = (self.x[at] * queries[i]).sum(axis=1)
             pick = top(exact, ids[at], k)
             yield i, at[pick], exact[pick]
@@ -127,11 +111,10 @@ def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, seed: i
         q, c, s = [], [], []
         for ids, x, query_ids, xq, _ in by_dimension(table):
             index = CollisionIndex(x, longest, seed=seed)
-            for part in range(0, len(xq), 256):
-                for i, at, exact in index.search(ids, query_ids[part : part + 256], xq[part : part + 256], k):
-                    q.append(np.full(len(at), query_ids[part + i]))
-                    c.append(ids[at])
-                    s.append(exact)
+            for i, at, exact in index.search(ids, query_ids, xq, k):
+                q.append(np.full(len(at), query_ids[i]))
+                c.append(ids[at])
+                s.append(exact)
         return result(q, c, s, pa.float64())
 
-    return best(deal(v, queries, search, "double", SHARD_ROWS, n, n_queries), k)
+    return best(deal(v, queries, search, "double", SHARD_ROWS, n, n_queries, QUERY_ROWS), k)

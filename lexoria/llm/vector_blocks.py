@@ -49,12 +49,12 @@ def by_dimension(table: pa.Table):
             yield ids[at][c][order], x[c][order], ids[at][q], x[q], bound[at][q]
 
 
-def deal(candidates: DataFrame, queries: DataFrame, search: Callable[[pa.Table], pa.Table], score: str, shard_rows: int, n: int, n_queries: int) -> DataFrame:
+def deal(candidates: DataFrame, queries: DataFrame, search: Callable[[pa.Table], pa.Table], score: str, shard_rows: int, n: int, n_queries: int, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, vec_id, score) of ``search`` over every shard of candidates and block of queries.
 
     candidates: (vec_id, v); queries: (vec_id, v, bound).
     """
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_queries // QUERY_ROWS))
+    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_queries // query_rows))
     place = lambda k: F.pmod(F.xxhash64("vec_id"), F.lit(k)).cast("int")
     c = candidates.select("vec_id", "v", F.lit(0.0).alias("bound"), F.lit(0).alias("role"), place(shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     q = queries.select("vec_id", "v", "bound", F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), place(blocks).alias("block"))
