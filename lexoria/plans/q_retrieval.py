@@ -161,6 +161,11 @@ best AS (SELECT query_id, id, document_id, chunk_index, max(score) AS s FROM all
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id)::INTEGER AS position, id, document_id, chunk_index, round(s, 6) AS similarity FROM best QUALIFY position <= 16"""
 
 
+def hybrid_rows_sql(threshold: float) -> str:
+    """The CTEs of hybrid search, without the final select; ``ranked`` has the rows."""
+    return _hybrid_sql(threshold).rpartition("\nSELECT")[0]
+
+
 def _hybrid_sql(threshold: float) -> str:
     return f"""WITH {corpus_sql()}, {base_sql()}, {vector_sql(threshold * 0.7, 80)}, {lexical_sql(80)}, {fused_sql(0.6, 0.4)},
 seeds AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fusion_score DESC, coalesce(vs, -1) DESC, id) AS retrieval_rank FROM fused QUALIFY retrieval_rank <= 8), {expand_sql(8)}"""
