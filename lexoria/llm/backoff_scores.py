@@ -220,11 +220,11 @@ def _join_words(hot, buckets: int):
 
     def run(table: pa.Table) -> pa.Table:
         total = hot.value[2]
-        out, asked, counted = [], [], []
+        out, asked, counted, sums = [], [], [], []
         for kind, payload in zip(table.column("kind").to_pylist(), table.column("payload"), strict=True):
             data = payload.as_buffer().to_pybytes()
             if kind == _SUMS:
-                out.append((table.column("bucket")[0].as_py(), kind, data))
+                sums.append(_docs_of(unpack(data)))
             elif kind == _COUNTS:
                 counted.append(unpack(data))
             else:
@@ -236,19 +236,23 @@ def _join_words(hot, buckets: int):
             doc.append(_owned(*p[:3]))
             value.append(p[5] * (np.log(c / total)[p[4]] + p[6][0]))
         _sum_blocks(join(doc, np.int64), join(value, np.float64), buckets, out)
+        # All sums of a document meet here, in the bucket of its id: they go on as one.
+        d, x, n = (join([p[i] for p in sums], kind) for i, kind in enumerate((np.int64, np.float64, np.int64)))
+        order = np.lexsort((x, d))
+        _sum_blocks(d[order], x[order], buckets, out, n[order].astype(float))
         return pa.Table.from_batches([_batch(out)])
 
     return run
 
 
+def _docs_of(x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    first, steps, s, n = x
+    return np.concatenate([first, first + np.cumsum(steps.astype(np.int64))]), s, n.astype(np.int64)
+
+
 def _total(table: pa.Table) -> pa.Table:
-    docs, value, words = [], [], []
-    for payload in table.column("payload"):
-        first, steps, s, n = unpack(payload.as_buffer().to_pybytes())
-        docs.append(np.concatenate([first, first + np.cumsum(steps.astype(np.int64))]))
-        value.append(s)
-        words.append(n.astype(np.int64))
-    doc, value, words = join(docs, np.int64), join(value, np.float64), join(words, np.int64)
+    parts = [_docs_of(unpack(payload.as_buffer().to_pybytes())) for payload in table.column("payload")]
+    doc, value, words = (join([p[i] for p in parts], kind) for i, kind in enumerate((np.int64, np.float64, np.int64)))
     order = np.lexsort((value, doc))  # a fixed order of addition: reruns agree to the last bit
     u, inverse = np.unique(doc[order], return_inverse=True)
     return pa.table({"doc_id": u, "n_words": np.bincount(inverse, words[order], minlength=len(u)).astype(np.int64), "log_score": np.bincount(inverse, value[order], minlength=len(u))})
