@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_evaluation, q_lifecycle, q_postrank, q_retrieval
+from . import q_evaluation, q_lifecycle, q_postrank, q_retrieval, q_text
 
-_MODULES = [q_retrieval, q_postrank, q_evaluation, q_lifecycle]
+_MODULES = [q_retrieval, q_postrank, q_evaluation, q_lifecycle, q_text]
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
