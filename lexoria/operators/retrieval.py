@@ -29,6 +29,11 @@ def _asked(values: str, column: Column) -> Column:
     return (F.size(values) == 0) | F.array_contains(F.col(values), column)
 
 
+def _filters() -> Column:
+    doc_type, module = F.coalesce("doc_type", F.lit("")), F.coalesce("module", F.lit(""))
+    return _asked("doc_types", doc_type) & (_asked("modules", module) | (module == ""))
+
+
 def scope_of_sections(sections: DataFrame, questions: DataFrame) -> DataFrame:
     """(query_id, section_id): the asked sections and those next to them in the same document."""
     seeds = questions.select("query_id", F.explode("section_ids").alias("id")).join(sections.select("id", "document_id", "section_index"), "id")
@@ -36,17 +41,20 @@ def scope_of_sections(sections: DataFrame, questions: DataFrame) -> DataFrame:
     return near.join(sections.select("document_id", "section_index", F.col("id").alias("section_id")), ["document_id", "section_index"]).select("query_id", "section_id").distinct()
 
 
-def base_rows(corpus: DataFrame, questions: DataFrame, scope: DataFrame | None = None, blank_passes: bool = True) -> DataFrame:
+def base_rows(corpus: DataFrame, questions: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     """Corpus rows that pass each question's filters, with ``similarity``. A row without a module
     passes every module filter. A question without a vector has null similarities."""
-    doc_type, module = F.coalesce("doc_type", F.lit("")), F.coalesce("module", F.lit(""))
-    passes = _asked("doc_types", doc_type) & (_asked("modules", module) | ((module == "") & F.lit(blank_passes)))
+    passes = _filters()
     asked = F.broadcast(questions.select("query_id", "doc_types", "modules", "section_ids", "query_embedding"))
     rows = corpus.join(asked, passes)
+    return _scoped(rows, scope).withColumn("similarity", cosine_similarity(F.col("embedding"), F.col("query_embedding"))).drop("embedding", "query_embedding", "doc_types", "modules", "section_ids")
+
+
+def _scoped(rows: DataFrame, scope: DataFrame | None) -> DataFrame:
     if scope is not None:
         free = rows.filter(F.size("section_ids") == 0)
         rows = free.unionByName(rows.filter(F.size("section_ids") > 0).join(scope, ["query_id", "section_id"], "left_semi").select(*free.columns))
-    return rows.withColumn("similarity", cosine_similarity(F.col("embedding"), F.col("query_embedding"))).drop("embedding", "query_embedding", "doc_types", "modules", "section_ids")
+    return rows
 
 
 def top(rows: DataFrame, rank: str, order: list[Column], k: int) -> DataFrame:
@@ -54,11 +62,13 @@ def top(rows: DataFrame, rank: str, order: list[Column], k: int) -> DataFrame:
     return rows.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
-def fuse(vector: DataFrame, lexical: DataFrame, weights: tuple[float, float]) -> DataFrame:
-    """Reciprocal rank fusion: (query_id, id, fusion_score, vector_similarity, lexical_score, origin)."""
-    v = vector.select("query_id", "id", "vector_rank", F.col("similarity").alias("vector_similarity"))
-    t = lexical.select("query_id", "id", "lexical_rank", "lexical_score")
-    both = v.join(t, ["query_id", "id"], "full_outer")
+def fuse(vector: DataFrame, lexical: DataFrame, weights: tuple[float, float], carry: tuple[str, ...] = ("document_id", "chunk_index")) -> DataFrame:
+    """Reciprocal rank fusion: (query_id, id, *carry, fusion_score, vector_similarity, lexical_score,
+    origin). ``carry`` are columns that follow from the id."""
+    keys = ["query_id", "id", *carry]
+    v = vector.select(*keys, "vector_rank", F.col("similarity").alias("vector_similarity"))
+    t = lexical.select(*keys, "lexical_rank", "lexical_score")
+    both = v.join(t, keys, "full_outer")
     part = lambda w, r: F.coalesce(F.lit(w) / (F.lit(float(RRF_K)) + F.col(r)), F.lit(0.0))
     origin = F.when(F.col("vector_rank").isNotNull() & F.col("lexical_rank").isNotNull(), "hybrid").when(F.col("lexical_rank").isNotNull(), "lexical").otherwise("vector")
     return both.withColumn("fusion_score", part(weights[0], "vector_rank") + part(weights[1], "lexical_rank")).withColumn("origin", origin)
@@ -68,14 +78,19 @@ def _fused_order() -> list[Column]:
     return [F.col("fusion_score").desc(), F.coalesce("vector_similarity", F.lit(-1.0)).desc(), F.col("id")]
 
 
-def expand(seeds: DataFrame, base: DataFrame, match_count: int) -> DataFrame:
+def expand(seeds: DataFrame, chunks: DataFrame, questions: DataFrame, match_count: int, scope: DataFrame | None = None) -> DataFrame:
     """Seeds with the chunks next to them: one row a chunk (a seed stays a seed, else the best seed
     wins), at most 3 * match_count a question, seeds followed by their neighbours. seeds:
-    (query_id, id, retrieval_rank, ...)."""
-    place = base.select("query_id", F.col("id").alias("seed_chunk_id"), F.col("document_id").alias("_doc"), F.col("chunk_index").alias("_at"))
-    named = seeds.withColumnRenamed("id", "seed_chunk_id").join(place, ["query_id", "seed_chunk_id"])
-    around = named.withColumn("chunk_index", F.explode(F.array(*[F.col("_at") + i for i in (-1, 0, 1)]))).withColumnRenamed("_doc", "document_id")
-    rows = around.join(base, ["query_id", "document_id", "chunk_index"])
+    (query_id, id, document_id, chunk_index, retrieval_rank, ...).
+
+    At most 3 * match_count * BATCH wanted places are broadcast and probed by one more scan of the
+    chunks; similarities are computed for what is found only."""
+    around = seeds.withColumnRenamed("id", "seed_chunk_id").withColumn("_at", F.col("chunk_index")).withColumn("chunk_index", F.explode(F.array(*[F.col("chunk_index") + i for i in (-1, 0, 1)])))
+    found = chunks.join(F.broadcast(around), ["document_id", "chunk_index"])
+    named = questions.select(F.col("query_id").alias("_q"), "doc_types", "modules", "section_ids", "query_embedding")
+    passes = (F.col("query_id") == F.col("_q")) & _filters()
+    rows = _scoped(found.join(F.broadcast(named), passes), scope).withColumn("similarity", cosine_similarity(F.col("embedding"), F.col("query_embedding")))
+    rows = rows.drop("embedding", "query_embedding", "doc_types", "modules", "section_ids", "_q")
     rows = rows.withColumn("is_neighbor", F.col("id") != F.col("seed_chunk_id")).withColumn("neighbor_distance", F.abs(F.col("chunk_index") - F.col("_at")))
     choice = Window.partitionBy("query_id", "id").orderBy("is_neighbor", "retrieval_rank", "neighbor_distance", "seed_chunk_id")
     once = rows.withColumn("_choice", F.row_number().over(choice)).filter("_choice = 1")
@@ -85,10 +100,11 @@ def expand(seeds: DataFrame, base: DataFrame, match_count: int) -> DataFrame:
 
 def match_chunks(chunks: DataFrame, questions: DataFrame, match_count: int = 8, threshold: float = 0.55, fetch_limit: int = 80, scope: DataFrame | None = None) -> DataFrame:
     """Vector search with neighbours. ``similarity`` is every row's own."""
+    _collected(questions)  # holds the batch to its bound
     base = base_rows(chunks, questions, scope)
     near = base.filter(F.col("similarity") >= threshold)
-    seeds = top(near, "retrieval_rank", [F.col("similarity").desc(), F.col("id")], min(match_count, max(fetch_limit, match_count))).select("query_id", "id", "retrieval_rank")
-    out = expand(seeds, base, match_count)
+    seeds = top(near, "retrieval_rank", [F.col("similarity").desc(), F.col("id")], match_count).select("query_id", "id", "document_id", "chunk_index", "retrieval_rank")
+    out = expand(seeds, chunks, questions, match_count, scope)
     return out.withColumn("lexical_score", F.lit(None).cast("double")).withColumn("fusion_score", F.lit(None).cast("double")).withColumn("origin", F.when(F.col("is_neighbor"), "neighbor").otherwise("vector"))
 
 
@@ -98,8 +114,8 @@ def hybrid_match_chunks(chunks: DataFrame, questions: DataFrame, match_count: in
     base, fetch = base_rows(chunks, questions, scope), max(fetch_limit, match_count)
     vector = top(base.filter(F.col("similarity") >= threshold * floor), "vector_rank", [F.col("similarity").desc(), F.col("id")], fetch)
     lexical = top(lexical_matches(base, _collected(questions)), "lexical_rank", [F.col("lexical_score").desc(), F.col("id")], fetch)
-    seeds = top(fuse(vector, lexical, weights), "retrieval_rank", _fused_order(), match_count).select("query_id", "id", "retrieval_rank", "lexical_score", "fusion_score", "origin")
-    out = expand(seeds, base, match_count)
+    seeds = top(fuse(vector, lexical, weights), "retrieval_rank", _fused_order(), match_count).select("query_id", "id", "document_id", "chunk_index", "retrieval_rank", "lexical_score", "fusion_score", "origin")
+    out = expand(seeds, chunks, questions, match_count, scope)
     mine = lambda c: F.when(~F.col("is_neighbor"), F.col(c))
     return out.withColumn("lexical_score", mine("lexical_score")).withColumn("fusion_score", mine("fusion_score")).withColumn("origin", F.when(F.col("is_neighbor"), "neighbor").otherwise(F.col("origin")))
 
@@ -109,7 +125,7 @@ def hybrid_match_sections(sections: DataFrame, questions: DataFrame, match_count
     base, fetch = base_rows(sections, questions), max(fetch_limit, match_count)
     vector = top(base.filter(F.col("similarity") >= threshold * 0.65), "vector_rank", [F.col("similarity").desc(), F.col("id")], fetch)
     lexical = top(lexical_matches(base, _collected(questions)), "lexical_rank", [F.col("lexical_score").desc(), F.col("id")], fetch)
-    seeds = top(fuse(vector, lexical, weights), "retrieval_rank", _fused_order(), match_count)
+    seeds = top(fuse(vector, lexical, weights, ()), "retrieval_rank", _fused_order(), match_count)
     own = base.select("query_id", "id", "document_id", "section_index", "module", "doc_type", "filename", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
     return seeds.drop("vector_similarity").join(own, ["query_id", "id"])
 
@@ -139,8 +155,8 @@ def hybrid_match_chunks_v1(chunks: DataFrame, questions: DataFrame, match_count:
     vector = top(base, "vector_rank", [F.col("similarity").desc(), F.col("id")], fetch_limit)
     lexical = top(lexical_matches(base, _collected(questions)), "lexical_rank", [F.col("lexical_score").desc(), F.col("id")], fetch_limit)
     fused = fuse(vector, lexical, weights).filter((F.coalesce("vector_similarity", F.lit(0.0)) >= 0.5 * threshold) | (F.col("origin") == "hybrid"))
-    seeds = top(fused, "retrieval_rank", _fused_order(), match_count).select("query_id", "id", F.coalesce("vector_similarity", F.lit(0.0)).alias("score"))
-    return _inherit(seeds.join(base.select("query_id", "id", "document_id", "chunk_index"), ["query_id", "id"]), base, match_count)
+    seeds = top(fused, "retrieval_rank", _fused_order(), match_count).select("query_id", "id", "document_id", "chunk_index", F.coalesce("vector_similarity", F.lit(0.0)).alias("score"))
+    return _inherit(seeds, base, match_count)
 
 
 def search_feedback(feedback: DataFrame, questions: DataFrame, match_count: int = 6, threshold: float = 0.58, exact_scope: bool = False) -> DataFrame:
