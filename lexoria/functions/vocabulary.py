@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-# Abbreviations appended in full to a question.
+# Abbreviations appended in full to a question (names of products are left out).
 QUERY_ABBREVIATIONS = {
     "RCA": "representante comercial autonomo",
     "NF": "nota fiscal",
@@ -18,7 +18,6 @@ QUERY_ABBREVIATIONS = {
     "ATUALIZID": "controle de sincronizacao atualizid",
     "USAGRADE": "parametro usagrade de grade de produto",
     "PARAMFILIAL": "rotina paramfilial 132",
-    "MXS": "maxima sistemas maxpedido",
 }
 
 # Intents, most important first.
