@@ -1,14 +1,22 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-The vocabulary is the words whose presence depends on the label (log-likelihood ratio and support
-over a bounded sample of labelled rows); document frequencies are counted over all documents. The examples' vectors lie
-in a block-max inverted index: a block's largest weight of each word bounds what any of its
-examples can score, so a search opens blocks in the order of their bounds and stops below the k-th
-cosine. Cosine-weighted votes are calibrated by isotonic regression on leave-one-out votes.
+Every document is held against the whole TF-IDF vectors of a bounded sample of labelled rows, over
+all words of the sample, whatever their labels; document frequencies are counted over all
+documents. Frequent words are dense columns that are multiplied for many documents at once, the
+others are inverted lists, and no list is left out.
+
+A few words tell the label (log-likelihood ratio and support). Where a text has such words, its
+nearest examples over them alone vote too, by a block-max inverted index: a block's largest weight
+of each word bounds what any of its examples can score, so a search opens blocks in the order of
+their bounds and stops below the k-th cosine. The closer the nearest whole vector, the more the
+whole vectors' vote counts; a text without a telling word has that vote only. Votes are calibrated
+by isotonic regression on leave-one-out votes, with and without telling words apart.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,15 +25,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .packing import join
+from .packing import join, narrow, pack, unpack
 from .runtime import cut
 from .vector_blocks import top
 
-#: Labelled rows in the sample; words in the vocabulary at most; the least log-likelihood ratio of a
+#: Labelled rows in the sample; telling words at most; the least log-likelihood ratio of a
 #: word (a chance of 1e-7 for one word) and its least share of the examples of label 1.
 EXAMPLES, VOCABULARY, LEAST_RATIO, LEAST_SHARE = 16_384, 2_048, 28.0, 0.005
 #: Neighbours that vote, examples in an index block, and the weight of the prior in a vote.
 NEIGHBOURS, BLOCK, PRIOR = 15, 64, 0.25
+#: Most frequent words held as dense columns, documents multiplied at once, and the power of a whole
+#: vector's cosine with which it votes.
+HOT, AT_ONCE, SHARP = 256, 32, 4
+#: Parts in which document frequencies are summed.
+PARTS = 32
 
 
 def _tfidf(column: pa.Array, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,22 +111,106 @@ class BlockMaxIndex:
         return at, cos, opened
 
 
+@dataclass
+class WholeIndex:
+    """The examples' whole vectors: dense columns of the HOT most frequent words, lists of the rest.
+
+    Only words and frequencies of the examples travel; each process makes the lists at its first
+    search.
+    """
+
+    words: np.ndarray
+    idf: np.ndarray
+    ids: np.ndarray
+    labels: np.ndarray
+    size: np.ndarray
+    term: np.ndarray
+    tf: np.ndarray
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "lists"}
+
+    @functools.cached_property
+    def lists(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(dense column of each word or -1, dense columns, starts, places and weights of the lists)."""
+        weight = np.zeros(len(self.term))
+        ends = np.cumsum(self.size, dtype=np.int64)
+        for a in range(0, len(self.ids), 1024):
+            size = self.size[a : a + 1024]
+            s = slice(ends[a] - size[0], ends[a + len(size) - 1])
+            weight[s] = _weights(np.repeat(np.arange(len(size)), size), self.term[s], self.tf[s].astype(float), self.idf, len(size))
+        often = np.bincount(self.term, minlength=len(self.words))
+        hot = np.sort(np.argsort(-often, kind="stable")[:HOT])
+        slot = np.full(len(self.words), -1, np.int32)
+        slot[hot] = np.arange(len(hot))
+        dense = np.zeros((len(hot), len(self.ids)))
+        row = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.size)
+        warm = slot[self.term] >= 0
+        dense[slot[self.term[warm]], row[warm]] = weight[warm]
+        row, weight, term = row[~warm], weight[~warm], self.term[~warm]
+        by = np.argsort(term, kind="stable")
+        often[hot] = 0
+        return slot, dense, np.concatenate([[0], np.cumsum(often)]), row[by], weight[by]
+
+    def vectors(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, tf, unit-length weight) of each text."""
+        row, term, tf = _tfidf(column, self.words)
+        return row, term, tf, _weights(row, term, tf, self.idf, len(column)) if len(row) else np.zeros(0)
+
+    def search(self, term: list[np.ndarray], weight: list[np.ndarray], k: int, leave_out: np.ndarray | None = None):
+        """(places, cosines) of the k nearest examples with a positive cosine for each vector, ties
+        to the smaller id. leave_out: a place for each vector that takes no part."""
+        slot, dense, start, place, held = self.lists
+        for a in range(0, len(term), AT_ONCE):
+            some = range(a, min(a + AT_ONCE, len(term)))
+            asked = np.zeros((len(some), len(dense)))
+            for i in some:
+                warm = slot[term[i]] >= 0
+                asked[i - a, slot[term[i][warm]]] = weight[i][warm]
+            full = asked @ dense
+            for i in some:
+                cos = full[i - a]
+                s, m = start[term[i]], start[term[i] + 1] - start[term[i]]
+                at = np.repeat(s - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+                cos += np.bincount(place[at], held[at] * np.repeat(weight[i], m), minlength=len(cos))
+                if leave_out is not None:
+                    cos[leave_out[i]] = 0.0
+                least = np.partition(cos, len(cos) - k)[len(cos) - k] if k < len(cos) else 0.0
+                hit = np.flatnonzero((cos > 0) & (cos >= least - 1e-11))
+                near = np.round(cos[hit], 12)
+                pick = top(near, self.ids[hit], k)
+                yield hit[pick], near[pick]
+
+
 @dataclass
 class ToxicityModel:
     vocabulary: np.ndarray
     idf: np.ndarray
     index: BlockMaxIndex
+    whole: WholeIndex
     prior: float
     silent: float
     knots: np.ndarray
     values: np.ndarray
+    silent_knots: np.ndarray
+    silent_values: np.ndarray
 
-    def vote(self, labels: np.ndarray, cos: np.ndarray) -> float:
-        return float((cos @ labels + PRIOR * self.prior) / (cos.sum() + PRIOR))
+    def vote(self, labels: np.ndarray, cos: np.ndarray, prior: float | None = None) -> float:
+        return float((cos @ labels + PRIOR * (self.prior if prior is None else prior)) / (cos.sum() + PRIOR))
+
+    def whole_vote(self, at: np.ndarray, cos: np.ndarray, heard: float | None) -> float:
+        """The vote of the nearest whole vectors, with that of the telling words (None: it has none)."""
+        sharp = cos**SHARP
+        vote = self.vote(self.whole.labels[at], sharp, self.silent if heard is None else None)
+        return vote if heard is None else float(sharp[0] * vote + (1 - sharp[0]) * heard) if len(cos) else heard
 
     def score(self, vote: np.ndarray) -> np.ndarray:
         return np.interp(vote, self.knots, self.values)
 
+    def silent_score(self, vote: float) -> float:
+        """The score of a text without a telling word."""
+        return float(np.interp(vote, self.silent_knots, self.silent_values))
+
 
 def isotonic(x: np.ndarray, y: np.ndarray, least: int = 20) -> tuple[np.ndarray, np.ndarray]:
     """Knots and rising values of y's mean over x: pooled adjacent violators over groups of equal
@@ -158,16 +255,58 @@ def _presence(batches):
             yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(count.astype(np.int64)), pa.array(bad)], names=["word", "n", "bad"])
 
 
-def _frequency(vocabulary):
+def _frequency(shared):
+    """How many texts hold each word of a sorted list, in PARTS packed parts; part -1 counts the texts."""
+
     def run(batches):
-        total, rows = np.zeros(len(vocabulary), np.int64), 0
+        words = shared.value
+        total, rows = np.zeros(len(words), np.int64), 0
         for batch in batches:
             text = batch.column("text").cast(pa.large_string())
             rows += len(text)
             for part in W.chunks(text):
-                _, term, _ = _tfidf(text[part], vocabulary)
-                total += np.bincount(term, minlength=len(vocabulary)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(vocabulary))), pa.array(np.concatenate([[rows], total]))], names=["term", "df"])
+                _, term, _ = _tfidf(text[part], words)
+                total += np.bincount(term, minlength=len(words)).astype(np.int64)
+        parts = [np.array([rows], np.int64), *np.array_split(total, PARTS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(-1, PARTS), pa.int32()), pa.array([pack(narrow(x)) for x in parts], pa.binary())], names=["part", "df"])
+
+    return run
+
+
+def _add_up(table: pa.Table) -> pa.Table:
+    total = sum(unpack(x.as_buffer().to_pybytes())[0].astype(np.int64) for x in table.column("df"))
+    return pa.table({"part": table.column("part")[:1], "df": pa.array([pack(narrow(total))], pa.binary())})
+
+
+def _sparse(shared):
+    """The vectors of texts, packed."""
+
+    def run(batches):
+        for batch in batches:
+            text = batch.column("text").cast(pa.large_string())
+            out = []
+            for part in W.chunks(text):
+                row, term, tf = _tfidf(text[part], shared.value)
+                cuts = np.searchsorted(row, np.arange(part.stop - part.start + 1))
+                out += [pack(term[a:b].astype(np.int32), narrow(tf[a:b])) for a, b in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("toxic").cast(pa.int32()), pa.array(out, pa.binary())], names=["doc_id", "toxic", "vector"])
+
+    return run
+
+
+def _left_out(shared, k: int):
+    """The nearest whole vectors of each example but itself."""
+
+    def run(batches):
+        whole: WholeIndex = shared.value
+        for batch in batches:
+            ids, text = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("text").cast(pa.large_string())
+            for part in W.chunks(text):
+                row, term, _, weight = whole.vectors(text[part])
+                cuts = np.searchsorted(row, np.arange(1, part.stop - part.start))
+                place = np.searchsorted(whole.ids, ids[part])
+                found = list(whole.search(np.split(term, cuts), np.split(weight, cuts), k, place))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array([pack(at, cos) for at, cos in found], pa.binary())], names=["doc_id", "near"])
 
     return run
 
@@ -179,7 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary
     rows = F.broadcast(training_rows(labels, examples))  # at most ``examples`` rows
     sample = cut(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(rows, "doc_id").withColumn("same", F.sha2("text", 256)).groupBy("same").agg(F.min(F.struct("doc_id", "text", "toxic")).alias("r")).select("r.*"))
     n, bad = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    stats = sample.select("text", "toxic").mapInArrow(_presence, "word long, n long, bad long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    stats = cut(sample.select("text", "toxic").mapInArrow(_presence, "word long, n long, bad long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
     rate = (bad + 0.5) / (n + 1)
     xlogy = lambda x, y: F.when(x > 0, x * F.log(y)).otherwise(F.lit(0.0))
     share, fine = F.col("bad") / F.col("n"), F.col("n") - F.col("bad")
@@ -187,37 +326,53 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary
     telling = stats.filter((F.col("bad") >= max(5, LEAST_SHARE * bad)) & (share > rate)).withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO)
     chosen = telling.orderBy(F.col("ratio").desc(), "word").limit(vocabulary).select("word").collect()
     vocab = np.sort(np.array([r["word"] for r in chosen], np.int64).view(np.uint64))
-    counted = dict(docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_frequency(vocab), "term long, df long").groupBy("term").agg(F.sum("df")).collect())
-    total = counted.get(-1, 0)
-    idf = np.log((1.0 + total) / (1.0 + np.array([counted.get(t, 0) for t in range(len(vocab))], float))) + 1.0
-
-    def vectors(batches):
-        for batch in batches:
-            text = batch.column("text").cast(pa.large_string())
-            row, term, tf = _tfidf(text, vocab)
-            cuts = np.searchsorted(row, np.arange(len(text) + 1))
-            lists = lambda v, t: pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(v.astype(t)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("toxic").cast(pa.int32()), lists(term, np.int32), lists(tf, np.int32)], names=["doc_id", "toxic", "terms", "tf"])
-
-    made = sample.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, tf array<int>").orderBy("doc_id").collect()  # at most ``examples`` sparse rows
-    some = [r for r in made if r["terms"]]
-    silent = [r["toxic"] for r in made if not r["terms"]]
-    row = np.repeat(np.arange(len(some)), [len(r["terms"]) for r in some]) if some else np.zeros(0, np.int64)
-    term = np.array([t for r in some for t in r["terms"]], np.int64)
-    tf = np.array([t for r in some for t in r["tf"]], float)
+    words = np.sort(stats.select("word").toArrow().column("word").to_numpy().astype(np.int64).view(np.uint64))  # the words of at most ``examples`` texts
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(words)
+    counted = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_frequency(shared), "part int, df binary").groupBy("part").applyInArrow(_add_up, "part int, df binary")
+    df = {r["part"]: unpack(bytes(r["df"]))[0].astype(float) for r in counted.collect()}
+    total = float(df[-1][0]) if df else 0.0
+    held = np.concatenate([df[i] for i in range(PARTS)]) if df else np.zeros(len(words))
+    every = np.log((1.0 + total) / (1.0 + held)) + 1.0
+    tell = np.searchsorted(words, vocab)
+    idf = every[tell]
+
+    made = sample.mapInArrow(_sparse(shared), "doc_id long, toxic int, vector binary").orderBy("doc_id").collect()  # at most ``examples`` packed rows
+    parts = [unpack(bytes(r["vector"])) for r in made]
+    ids, y = np.array([r["doc_id"] for r in made], np.int64), np.array([r["toxic"] for r in made], float)
+    del made
+    size = np.array([len(x) for x, _ in parts], np.int32)
+    whole = WholeIndex(words, every, ids, y, size, join([x for x, _ in parts], np.int32), narrow(join([x for _, x in parts], np.uint8)))
+
+    # The same vectors over the telling words alone.
+    back = np.full(len(words), -1)
+    back[tell] = np.arange(len(vocab))
+    told = [back[x] >= 0 for x, _ in parts]
+    row = np.repeat(np.arange(len(ids)), [int(m.sum()) for m in told]) if len(ids) else np.zeros(0, np.int64)
+    term = join([back[x[m]] for (x, _), m in zip(parts, told, strict=True)], np.int64)
+    tf = join([x[m] for (_, x), m in zip(parts, told, strict=True)], np.uint8).astype(float)
+    del parts, told
+    some = np.unique(row)
+    row = np.searchsorted(some, row)
     weight = _weights(row, term, tf, idf, len(some)) if len(some) else np.zeros(0)
-    ids, y = np.array([r["doc_id"] for r in some], np.int64), np.array([r["toxic"] for r in some], float)
-    index = BlockMaxIndex.build(ids, y, row, term, weight, max(1, len(vocab)))
-    prior = (bad + 0.5) / (n + 1)
-    model = ToxicityModel(vocab, idf, index, prior, (sum(silent) + 0.5) / (len(silent) + 1), np.zeros(0), np.zeros(0))
+    index = BlockMaxIndex.build(ids[some], y[some], row, term, weight, max(1, len(vocab)))
+    mute = np.ones(len(ids), bool)
+    mute[some] = False
+    model = ToxicityModel(vocab, idf, index, whole, (bad + 0.5) / (n + 1), (y[mute].sum() + 0.5) / (mute.sum() + 1), *[np.zeros(0)] * 4)
+    near = {}
+    if len(ids):
+        near = {r["doc_id"]: unpack(bytes(r["near"])) for r in sample.select("doc_id", "text").mapInArrow(_left_out(spark.sparkContext.broadcast(whole), k), "doc_id long, near binary").collect()}
     place = {int(d): i for i, d in enumerate(index.ids)}
     starts = np.searchsorted(row, np.arange(len(some) + 1))
-    votes = np.full(len(some), prior)
-    for i in range(len(some)):
+    votes = np.full(len(ids), model.prior)
+    for i, j in enumerate(some):
         s = slice(starts[i], starts[i + 1])
-        at, cos, _ = index.search(term[s], weight[s], k, leave_out=place[int(ids[i])])
-        votes[i] = model.vote(index.labels[at], cos)
-    model.knots, model.values = isotonic(votes, y)
+        at, cos, _ = index.search(term[s], weight[s], k, leave_out=place[int(ids[j])])
+        votes[j] = model.whole_vote(*near[int(ids[j])], model.vote(index.labels[at], cos))
+    for j in np.flatnonzero(mute):
+        votes[j] = model.whole_vote(*near[int(ids[j])], None)
+    model.knots, model.values = isotonic(votes[~mute], y[~mute])
+    model.silent_knots, model.silent_values = isotonic(votes[mute], y[mute])
     return model
 
 
@@ -225,24 +380,37 @@ def _scorer(shared, k: int, keep: tuple[str, ...]):
     def run(batches):
         model: ToxicityModel = shared.value
         memo: dict[bytes, tuple] = {}
+        back = np.full(len(model.whole.words), -1)
+        back[np.searchsorted(model.whole.words, model.vocabulary)] = np.arange(len(model.vocabulary))
         for batch in batches:
             text = batch.column("text").cast(pa.large_string())
             for part in W.chunks(text):
                 piece = batch.slice(part.start, part.stop - part.start)
-                row, term, tf = _tfidf(text[part], model.vocabulary)
-                weight = _weights(row, term, tf, model.idf, len(piece)) if len(row) else np.zeros(0)
+                row, term, tf, weight = model.whole.vectors(text[part])
                 cuts = np.searchsorted(row, np.arange(len(piece) + 1))
                 score, evidence = np.full(len(piece), model.silent), [""] * len(piece)
+                ask: dict[bytes, slice] = {}
+                keys: dict[int, bytes] = {}
                 for i in np.flatnonzero(np.diff(cuts)):
                     s = slice(cuts[i], cuts[i + 1])
-                    key = term[s].tobytes() + weight[s].tobytes()
-                    if key not in memo:
-                        if len(memo) > 50_000:
-                            memo.clear()
-                        at, cos, _ = model.index.search(term[s], weight[s], k)
-                        vote = model.vote(model.index.labels[at], cos)
-                        memo[key] = (float(model.score(np.array([vote]))[0]), ",".join(f"{model.index.ids[a]}:{c:.4f}:{int(model.index.labels[a])}" for a, c in zip(at[:3], cos[:3], strict=True)))
+                    keys[i] = hashlib.sha256(term[s].tobytes() + tf[s].tobytes()).digest()
+                    if keys[i] not in memo:
+                        ask[keys[i]] = s
+                found = model.whole.search([term[s] for s in ask.values()], [weight[s] for s in ask.values()], k)
+                for (key, s), (at, cos) in zip(ask.items(), found, strict=True):
+                    told = back[term[s]] >= 0
+                    if told.any():
+                        own, few = back[term[s][told]], tf[s][told]
+                        there, close, _ = model.index.search(own, _weights(np.zeros(len(own), np.int64), own, few, model.idf, 1), k)
+                        vote = model.whole_vote(at, cos, model.vote(model.index.labels[there], close))
+                        value = float(model.score(np.array([vote]))[0])
+                    else:
+                        value = model.silent_score(model.whole_vote(at, cos, None))
+                    memo[key] = (value, ",".join(f"{model.whole.ids[a]}:{c:.4f}:{int(model.whole.labels[a])}" for a, c in zip(at[:3], cos[:3], strict=True)))
+                for i, key in keys.items():
                     score[i], evidence[i] = memo[key]
+                if len(memo) > 50_000:
+                    memo.clear()
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), pa.array(score), pa.array(evidence, pa.string())], names=[*keep, "score", "evidence"])
 
     return run
@@ -250,8 +418,9 @@ def _scorer(shared, k: int, keep: tuple[str, ...]):
 
 def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",), k: int = NEIGHBOURS) -> DataFrame:
     """``keep`` columns of every row, score (0 to 1) and evidence (up to three nearest examples as
-    id:cosine:label). A text without a word of the vocabulary, an empty and a null text get the rate
-    of label 1 among such examples. Scores depend on the text alone."""
+    id:cosine:label, by whole vectors). A text that shares no word with any example, an empty and a
+    null text get the rate of label 1 among examples without telling words. Scores depend on the
+    text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     chosen = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
     fields = ", ".join(f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in keep)

@@ -203,6 +203,41 @@ def test_toxicity_finds_held_out_examples_and_its_search_is_exact(spark):
     assert score(frame.limit(0), model).count() == 0
 
 
+def test_toxicity_searches_whole_vectors_of_texts_without_telling_words(spark):
+    rng = random.Random(8)
+    rows = toxic_corpus(500)
+    for i in range(30):  # pairs of near copies whose insults occur nowhere else
+        text = " ".join([f"w{rng.randrange(300)}" for _ in range(12)] + [f"idiot{i}###", f"scum{i}***"])
+        rows += [(1000 + 2 * i, text, 1), (1001 + 2 * i, text + " w1", 1)]
+    frame = docs(spark, [t for _, t, _ in rows])
+    model = fit(frame, spark.createDataFrame([(n, y) for n, (_, _, y) in enumerate(rows)], "doc_id long, toxic int"))
+    asked = docs(spark, [t for _, t, y in rows[500:520]] + ["idiot3### scum3***", "w5 w6 w7 w8", "unseen"], 5000)
+    got = {r.doc_id: r for r in score(asked, model).collect()}
+    for i in range(20):
+        near, cos, label = got[5000 + i].evidence.split(",")[0].split(":")
+        assert (near, cos, label) == (str(500 + i), "1.0000", "1") and got[5000 + i].score >= 0.3
+    assert got[5020].evidence.startswith(("506:", "507:")) and got[5021].evidence and got[5021].score < 0.3 and got[5022].evidence == ""
+
+    def counts(texts):
+        return [Counter(words(t)) for t in texts]
+
+    df = Counter(w for t in counts([t for _, t, _ in rows]) for w in t)
+
+    def vector(c):
+        v = {w: (1 + math.log(n)) * (math.log((1 + len(rows)) / (1 + df[w])) + 1) for w, n in c.items() if w in df}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    examples = [vector(c) for c in counts([t for _, t, _ in rows])]
+    texts = [t for _, t, _ in rows[:40]]
+    row, term, _, weight = model.whole.vectors(pa.array(texts))
+    ends = np.searchsorted(row, np.arange(1, len(texts)))
+    for t, (at, cos) in zip(counts(texts), model.whole.search(np.split(term, ends), np.split(weight, ends), 15), strict=True):
+        v = vector(t)
+        full = np.array([sum(x * e.get(w, 0) for w, x in v.items()) for e in examples])
+        assert np.allclose(cos, np.sort(full)[::-1][:15]) and np.allclose(full[model.whole.ids[at]], cos)
+
+
 def test_toxicity_without_labels(spark):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity(docs(spark, ["a b", None]), empty).collect()} == {0.5}
