@@ -31,7 +31,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near copies; documents without an id stay."""
-    groups = near_duplicates(docs)
+    groups = near_duplicates(docs, count_links=False)
     stay = docs.join(groups.filter("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
     others = [c for c in docs.columns if c != "doc_id"]
     once = stay.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("r")).select(*[F.col("doc_id") if c == "doc_id" else F.col(f"r.{c}").alias(c) for c in docs.columns])

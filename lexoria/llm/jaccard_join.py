@@ -13,6 +13,8 @@
    then every member outside the list's largest component is held against all members of other
    components, by counting overlaps along inverted lists in blocks. No list emits all its pairs,
    and no link that matters to a component is lost.
+5. All links lie inside components. Each set is held against all others of its component in the
+   same way, and only the number of its links leaves a block.
 """
 
 from __future__ import annotations
@@ -252,9 +254,10 @@ def _check(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(pairs.join(one, "a").join(two, "b").mapInArrow(_verify(percent), "a long, b long, linked boolean"))
 
 
-def _scan_lists(percent: int):
-    """Blocks of families: the sets outside the largest component against all of a block, by
-    counting overlaps along the block's inverted lists."""
+def _scan_lists(percent: int, count: bool = False):
+    """Blocks of families: the sets asked (role 1) against all of a block, by counting overlaps
+    along the block's inverted lists. Links between different labels; with ``count``, how many
+    links to other sets each set has, whatever their labels."""
 
     def run(table: pa.Table) -> pa.Table:
         a_out, b_out = [], []
@@ -277,7 +280,12 @@ def _scan_lists(percent: int):
                 m = hi - lo
                 at = np.repeat(lo - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
                 both = np.bincount(owner[at], minlength=len(data))
-                hit = (100 * both >= percent * (n + col["n"][q] - both)) & (label != col["label"][q])
+                hit = 100 * both >= percent * (n + col["n"][q] - both)
+                if count:
+                    a_out.append(col["id"][q : q + 1])
+                    b_out.append(np.array([(hit & (ids != col["id"][q])).sum()], np.int64))
+                    continue
+                hit &= label != col["label"][q]
                 a_out.append(np.full(int(hit.sum()), col["id"][q]))
                 b_out.append(ids[hit])
         return pa.table({"a": pa.array(join(a_out, np.int64)), "b": pa.array(join(b_out, np.int64))})
@@ -289,13 +297,26 @@ def _scan_lists(percent: int):
 FAMILY_ROWS, SCAN_BYTES = 1_024, 6_000_000
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _degrees(final: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(class, n_links): the links of each set to others, all of which are in its component."""
+    wide = final.groupBy("component").agg(F.ceil(F.count("*") / FAMILY_ROWS).cast("int").alias("parts"))
+    sized = final.join(wide, "component").select(F.col("component").alias("family"), F.col("node").alias("id"), F.lit(0).cast("long").alias("label"), "parts").join(sets.select("id", "n"), "id")
+    part, every = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    data = sized.select("family", "id", "n", "label", F.lit(0).alias("role"), part.alias("cols"), every.alias("rows"))
+    asked = sized.select("family", "id", "n", "label", F.lit(1).alias("role"), every.alias("cols"), part.alias("rows"))
+    dealt = scratch.keep(data.unionByName(asked))
+    tasks = buckets_for(8 * int(dealt.agg(F.sum("n")).first()[0] or 0), SCAN_BYTES)
+    spread = F.pmod(F.xxhash64("family", "rows", "cols"), F.lit(tasks)).cast("int")
+    counts = dealt.join(sets.select("id", "toks"), "id").withColumn("task", spread).groupBy("task").applyInArrow(_scan_lists(percent, count=True), "a long, b long")
+    return cut(counts.groupBy(F.col("a").alias("class")).agg(F.sum("b").alias("n_links")))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every document.
 
     Documents link when 100 * |A and B| >= percent * |A or B| over their sets of k-word shingles;
-    component_id is the smallest id reachable by links, its own included. n_links counts the
-    verified links of the document's class (equal sets) to other classes; links inside one
-    component that follow from others may be left unverified.
+    component_id is the smallest id reachable by links, its own included. n_links counts all links
+    of the document's class (equal sets) to other classes; without ``count_links`` it is null.
 
     Nulls: a null text is empty, and an empty set links with nothing, not even with another empty
     one. Rows with a null id are left out. Rows that share an id are one document, for which the
@@ -363,13 +384,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     spread = F.pmod(F.xxhash64("family", "rows", "cols"), F.lit(tasks)).cast("int")
     found = dealt_out.join(sets.select("id", "toks"), "id").withColumn("task", spread).groupBy("task").applyInArrow(_scan_lists(percent), "a long, b long")
     links = cut(tested.filter("linked").select("a", "b").unionByName(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
+    release(spark)
+    final = cut(components(links))
+    degree = _degrees(final, sets, percent, scratch) if count_links else None
     scratch.clear()
-    final = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
 
-    named = classes.join(final.withColumnRenamed("node", "class"), "class", "left").join(degree, "class", "left")
-    named = named.select("f1", "f2", F.coalesce("component", "class").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = classes.join(final.withColumnRenamed("node", "class"), "class", "left")
+    named = named.join(degree, "class", "left") if count_links else named.withColumn("n_links", F.lit(None).cast("long"))
+    number = F.coalesce("n_links", F.lit(0).cast("long")) if count_links else F.col("n_links")
+    named = named.select("f1", "f2", F.coalesce("component", "class").alias("component_id"), number.alias("n_links"))
     filled = all_docs.filter("n > 0").select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2"])
     out = filled.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
-    empty = all_docs.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    empty = all_docs.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0 if count_links else None).cast("long").alias("n_links"))
     return out.unionByName(empty)

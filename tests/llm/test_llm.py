@@ -366,6 +366,24 @@ def test_near_duplicates_match_all_pairs(spark, monkeypatch, boundary):
     assert got == brute_groups(texts)
 
 
+@pytest.mark.parametrize("rows", [1024, 8])
+def test_near_duplicates_count_every_link(spark, monkeypatch, rows):
+    import lexoria.llm.jaccard_join as J
+
+    monkeypatch.setattr(J, "FAMILY_ROWS", rows)
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(120)]
+    texts = near_corpus() + [" ".join(base[: 110 + i % 10] + [f"x{rng.randrange(40)}" for _ in range(i % 5)]) for i in range(60)]
+    sets = {}
+    for i, t in enumerate(texts):
+        w = words(t)
+        sets[i] = frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset()
+    kinds = {s for s in sets.values() if s}
+    gold = {s: sum(o != s and 100 * len(s & o) >= 75 * len(s | o) for o in kinds) for s in kinds}
+    assert max(gold.values()) > 20
+    assert {r.doc_id: r.n_links for r in near_duplicates(docs(spark, texts)).collect()} == {i: gold.get(s, 0) for i, s in sets.items()}
+
+
 def test_near_duplicates_defined_cases(spark):
     rows = [(None, "a b c d e f"), (5, "b b b b b b"), (5, "a a a a a a"), (2, "A a a a a a")]
     got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
