@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .packing import join, narrow, pack, split, unpack
-from .runtime import buckets_for, cut, text_bytes
+from .runtime import buckets_for, by_bucket, cut, lean, text_bytes
 
-#: A word or bigram with this share of all is counted beforehand: at most 2 / HOT_SHARE of each.
-HOT_SHARE = 1 / 8_192
+#: A word or bigram with this share of all is counted beforehand. With the number of buckets the
+#: share falls, so that a word that stays below it is a fraction of a bucket, down to LEAST_SHARE: at
+#: most 2 / LEAST_SHARE words and as many bigrams (8 MB each) are broadcast at any size.
+HOT_SHARE, LEAST_SHARE = 1 / 8_192, 1 / 262_144
 _BLOCK = "bucket int, kind int, payload binary"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _POSTINGS, _REQUESTS, _COUNTS, _SUMS = range(4)
@@ -59,8 +61,16 @@ def _texts(batch: pa.RecordBatch):
         yield ids[part], h, per
 
 
-def _frequent(batches):
+def _frequent(share: float):
     """Words (0) and bigrams (1) with at least half the hot share of a partition; its words (2)."""
+
+    def run(batches):
+        yield from _often(batches, share)
+
+    return lean(run)
+
+
+def _often(batches, share: float):
     found, total = {0: [], 1: []}, 0
     for batch in batches:
         for _, h, per in _texts(batch):
@@ -68,13 +78,13 @@ def _frequent(batches):
             v, w, _ = _bigrams(h, per)
             for kind, x in ((0, h), (1, _name(v, w))):
                 u, c = np.unique(x, return_counts=True)
-                keep = c * 4 >= HOT_SHARE * len(h)
+                keep = c * 4 >= share * len(h)
                 found[kind].append((u[keep], c[keep]))
     rows = [(2, 0, total)]
     for kind, parts in found.items():
         u, inverse = np.unique(join([p[0] for p in parts], np.uint64), return_inverse=True)
         c = np.bincount(inverse, join([p[1] for p in parts], np.int64), minlength=len(u)).astype(np.int64)
-        keep = c * 2 >= HOT_SHARE * total
+        keep = c * 2 >= share * total
         rows += [(kind, k, n) for k, n in zip(u[keep].view(np.int64).tolist(), c[keep].tolist(), strict=True)]
     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64()))], names=["kind", "key", "n"])
 
@@ -270,15 +280,16 @@ def score_documents(docs: DataFrame, alpha: float = 0.4, min_count: int = 2, id_
     size = text_bytes(docs)
     buckets = buckets_for(size, 16_000_000, 12)
     schema = "kind int, key long, n long"
-    some = cut(docs.mapInArrow(_frequent, schema).groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    share = max(min(HOT_SHARE, 1 / (4 * buckets)), LEAST_SHARE)
+    some = cut(docs.mapInArrow(_frequent(share), schema).groupBy("kind", "key").agg(F.sum("n").alias("n")))
     total = some.filter("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    often = some.filter((F.col("kind") < 2) & (F.col("n") * 2 >= HOT_SHARE * total) & (F.col("n") >= 2 * min_count)).collect()  # at most 4 / HOT_SHARE rows
+    often = some.filter((F.col("kind") < 2) & (F.col("n") * 2 >= share * total) & (F.col("n") >= 2 * min_count)).collect()  # at most 4 / share rows
     sets = [np.sort(np.array([r["key"] for r in often if r["kind"] == k], np.int64).view(np.uint64)) for k in (0, 1)]
-    exact = {(r["kind"], r["key"]): r["n"] for r in docs.mapInArrow(_count(*sets), schema).groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()}
+    exact = {(r["kind"], r["key"]): r["n"] for r in docs.mapInArrow(lean(_count(*sets)), schema).groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()}
     counts = [np.array([exact.get((k, key), 0) for key in s.view(np.int64).tolist()], np.int64) for k, s in enumerate(sets)]
     hot = sc.broadcast(((sets[0], counts[0]), (sets[1], counts[1]), total))
-    blocks = docs.mapInArrow(_explode(hot, buckets), _BLOCK)
-    blocks = blocks.groupBy("bucket").applyInArrow(_join_bigrams(hot, buckets, alpha, min_count), _BLOCK)
-    blocks = blocks.groupBy("bucket").applyInArrow(_join_words(hot, buckets), _BLOCK)
-    summed = blocks.groupBy("bucket").applyInArrow(_total, "doc_id long, n_words long, log_score double")
+    blocks = docs.mapInArrow(lean(_explode(hot, buckets)), _BLOCK)
+    blocks = by_bucket(blocks, buckets, _join_bigrams(hot, buckets, alpha, min_count), _BLOCK)
+    blocks = by_bucket(blocks, buckets, _join_words(hot, buckets), _BLOCK)
+    summed = by_bucket(blocks, buckets, _total, "doc_id long, n_words long, log_score double")
     return summed.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

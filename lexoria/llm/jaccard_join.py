@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .components import components
 from .packing import join, pack, pack_lists, split, unpack, unpack_lists
-from .runtime import Scratch, buckets_for, cut, release, text_bytes
+from .runtime import Scratch, buckets_for, by_bucket, cut, lean, lean_group, release, text_bytes
 
 #: Counters of the fixed-size frequency sketch that orders shingles (256 KB when broadcast).
 SKETCH = 1 << 16
@@ -251,7 +251,7 @@ def _check(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, linked) of candidate pairs, on whole sets."""
     one = sets.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("toks").alias("t1"))
     two = sets.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("toks").alias("t2"))
-    return cut(pairs.join(one, "a").join(two, "b").mapInArrow(_verify(percent), "a long, b long, linked boolean"))
+    return cut(pairs.join(one, "a").join(two, "b").mapInArrow(lean(_verify(percent)), "a long, b long, linked boolean"))
 
 
 def _scan_lists(percent: int, count: bool = False):
@@ -307,7 +307,7 @@ def _degrees(final: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
     dealt = scratch.keep(data.unionByName(asked))
     tasks = buckets_for(8 * int(dealt.agg(F.sum("n")).first()[0] or 0), SCAN_BYTES)
     spread = F.pmod(F.xxhash64("family", "rows", "cols"), F.lit(tasks)).cast("int")
-    counts = dealt.join(sets.select("id", "toks"), "id").withColumn("task", spread).groupBy("task").applyInArrow(_scan_lists(percent, count=True), "a long, b long")
+    counts = dealt.join(sets.select("id", "toks"), "id").withColumn("task", spread).groupBy("task").applyInArrow(lean_group(_scan_lists(percent, count=True)), "a long, b long")
     return cut(counts.groupBy(F.col("a").alias("class")).agg(F.sum("b").alias("n_links")))
 
 
@@ -329,10 +329,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     size = text_bytes(docs)
     buckets = buckets_for(size, 5_000_000)
     targets = buckets_for(size, 12_000_000)
-    blocks = docs.mapInArrow(_blocks(k, buckets), _BLOCK)
-    dealt = blocks.groupBy("bucket").applyInArrow(_shared(targets), _BLOCK)
+    blocks = docs.mapInArrow(lean(_blocks(k, buckets)), _BLOCK)
+    dealt = by_bucket(blocks, buckets, _shared(targets), _BLOCK)
     scratch = Scratch(spark)
-    gathered = scratch.keep(dealt.groupBy("bucket").applyInArrow(_gather(percent), "doc_id long, n long, f1 long, f2 long, toks binary"))
+    gathered = scratch.keep(by_bucket(dealt, targets, _gather(percent), "doc_id long, n long, f1 long, f2 long, toks binary"))
     release(spark)
 
     all_docs = cut(gathered.select("doc_id", "n", "f1", "f2"))
@@ -342,7 +342,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     scratch.clear(gathered)
 
     histogram = {r["n"]: r["count"] for r in sets.filter("n <= 40").groupBy("n").count().collect()}
-    cells = sets.select("toks").mapInArrow(_cells, "cell long, count long").groupBy("cell").agg(F.sum("count").alias("count")).toPandas()
+    cells = sets.select("toks").mapInArrow(lean(_cells), "cell long, count long").groupBy("cell").agg(F.sum("count").alias("count")).toPandas()
     counts = np.zeros(SKETCH, np.int32)
     counts[cells["cell"].to_numpy(np.int64)] = np.minimum(cells["count"].to_numpy(np.int64), 2**31 - 1)
     each = counts.astype(float)
@@ -351,7 +351,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     boundary = light_boundary(histogram, length, percent)
     sketch = spark.sparkContext.broadcast(counts)
 
-    kept = scratch.keep(sets.mapInArrow(_keys(boundary, percent, sketch), "key long, id long, n long, kind int"))
+    kept = scratch.keep(sets.mapInArrow(lean(_keys(boundary, percent, sketch)), "key long, id long, n long, kind int"))
     close = f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)"
     # Light: in each group of an equal subset, all that can link by it link with its smallest set.
     # Lists: a few pivots of each list and size band, other members against them.
@@ -382,7 +382,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str
     dealt_out = scratch.keep(data.unionByName(asked))
     tasks = buckets_for(8 * int(dealt_out.agg(F.sum("n")).first()[0] or 0), SCAN_BYTES)
     spread = F.pmod(F.xxhash64("family", "rows", "cols"), F.lit(tasks)).cast("int")
-    found = dealt_out.join(sets.select("id", "toks"), "id").withColumn("task", spread).groupBy("task").applyInArrow(_scan_lists(percent), "a long, b long")
+    found = dealt_out.join(sets.select("id", "toks"), "id").withColumn("task", spread).groupBy("task").applyInArrow(lean_group(_scan_lists(percent)), "a long, b long")
     links = cut(tested.filter("linked").select("a", "b").unionByName(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
     release(spark)
     final = cut(components(links))

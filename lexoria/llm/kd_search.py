@@ -11,16 +11,15 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import cut
-from .vector_blocks import best, by_dimension, deal, result, top, valid_vectors
+from .vector_blocks import best, bounded, deal, shard_of, top, valid_vectors
 
-LEAF_ROWS = 128
-TREE_ROWS = 4_096
-SHARD_ROWS = 16_384
+#: Rows in a leaf, in a tree, and in a shard, which is several trees.
+LEAF_ROWS, TREE_ROWS, SHARD_ROWS = 128, 4_096, 16_384
+#: Sums of integers below this are exact in doubles, in any order.
 _EXACT = float(2**53)
 
 
@@ -48,26 +47,22 @@ class KdTree:
                 self.order[a:b] = self.order[a:b][np.argpartition(rows[:, axis], mid)]
                 stack += [(a, a + mid, me, False), (a + mid, b, me, True)]
         self.lo, self.hi = np.array(lo), np.array(hi)
-        self.rows = x[self.order]
+        self.rows = x[self.order]  # integers, as doubles
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
         """The largest inner product possible in each node: queries x nodes."""
         return np.maximum(q, 0) @ self.hi.T + np.minimum(q, 0) @ self.lo.T
 
 
-def _dot(rows: np.ndarray, q: np.ndarray, exact: bool) -> np.ndarray:
-    # Sums of integers below 2**53 are exact in doubles, in any order.
-    return rows @ q if exact else (rows.astype(np.int64) @ q.astype(np.int64)).astype(np.float64)
-
-
-def tree_top(tree: KdTree, ids: np.ndarray, query_id: int, q: np.ndarray, bounds: np.ndarray, k: int, have: tuple[np.ndarray, np.ndarray], floor: float, exact: bool = True) -> tuple[np.ndarray, np.ndarray, int]:
+def tree_top(tree: KdTree, ids: np.ndarray, query_id: int, q: np.ndarray, bounds: np.ndarray, k: int, have: tuple[np.ndarray, np.ndarray], floor: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(scores, ids) of the k best of ``have`` and the tree, and the leaves visited. Nodes below
-    the k-th score, or below ``floor``, are not opened; equal ones are (ties go to smaller ids)."""
+    the k-th score, or below ``floor``, are not opened; equal ones are (ties go to smaller ids).
+    tree.rows and q are doubles where all sums are exact in them, else integers of 64 bits."""
     scores, found = have
     heap, visited = [(-bounds[0], 0)], 0
     while heap:
         bound, node = heapq.heappop(heap)
-        kth = max(floor, scores[k - 1]) if len(scores) >= k else floor
+        kth = max(floor, int(scores[k - 1])) if len(scores) >= k else floor
         if -bound < kth:
             break
         if tree.left[node] >= 0:
@@ -77,7 +72,7 @@ def tree_top(tree: KdTree, ids: np.ndarray, query_id: int, q: np.ndarray, bounds
             continue
         visited += 1
         a, b = tree.start[node], tree.end[node]
-        s = _dot(tree.rows[a:b], q, exact)
+        s = (tree.rows[a:b] @ q).astype(np.int64)
         at = np.flatnonzero(s >= kth)
         at = at[ids[tree.order[a + at]] != query_id]
         if len(at):
@@ -87,30 +82,37 @@ def tree_top(tree: KdTree, ids: np.ndarray, query_id: int, q: np.ndarray, bounds
     return scores, found, visited
 
 
-def _search(k: int, scale: float):
-    def run(table: pa.Table) -> pa.Table:
-        q_out, c_out, s_out = [], [], []
-        for ids, x, query_ids, xq, floors in by_dimension(table):
-            x, xq = np.floor(scale * x), np.floor(scale * xq)
-            exact = float(np.abs(x).max()) * float(np.abs(xq).max()) * x.shape[1] < _EXACT
-            have = [(np.zeros(0), np.zeros(0, np.int64)) for _ in query_ids]
-            for part in range(0, len(x), TREE_ROWS):
-                tree, own = KdTree(x[part : part + TREE_ROWS]), ids[part : part + TREE_ROWS]
-                for block in range(0, len(xq), 512):
-                    bounds = tree.bounds(xq[block : block + 512])
-                    if not exact:
-                        bounds = bounds + np.abs(bounds) * 1e-9 + 1
-                    for j in range(len(bounds)):
-                        i = block + j
-                        have[i] = tree_top(tree, own, query_ids[i], xq[i], bounds[j], k, have[i], floors[i], exact)[:2]
-            for i, (s, c) in enumerate(have):
-                q_out.append(np.full(len(c), query_ids[i]))
-                c_out.append(c)
-                s_out.append(s)
-        out = result(q_out, c_out, s_out, pa.float64())
-        return out.set_column(2, "score", out.column("score").cast(pa.int64(), safe=False))
-
-    return run
+class TreeIndex:
+    """The KD-trees of one shard, over floor(scale * x)."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, scale: float):
+        self.k, self.scale = k, scale
+        x = np.floor(scale * x)
+        self.largest = float(np.abs(x).max())
+        self.trees = [(KdTree(x[a : a + TREE_ROWS]), ids[a : a + TREE_ROWS]) for a in range(0, len(x), TREE_ROWS)]
+        self.visited = self.leaves = 0
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray):
+        """(query id, vec_id, score) of each query's k best that reach its bound."""
+        queries = np.floor(self.scale * queries)
+        exact = self.largest * float(np.abs(queries).max()) * queries.shape[1] < _EXACT
+        have = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in query_ids]
+        for tree, ids in self.trees:
+            if not exact and tree.rows.dtype != np.int64:
+                tree.rows = tree.rows.astype(np.int64)
+            for a in range(0, len(queries), 512):
+                block = queries[a : a + 512]
+                most = tree.bounds(block)
+                asked = block
+                if not exact or tree.rows.dtype == np.int64:
+                    most = most + np.abs(most) * 1e-9 + 1  # what rounding may have taken off
+                    asked = block.astype(np.int64)
+                for j, q in enumerate(asked):
+                    *have[a + j], visited = tree_top(tree, ids, query_ids[a + j], q, most[j], self.k, have[a + j], int(bounds[a + j]))
+                    self.visited += visited
+            self.leaves += sum(left < 0 for left in tree.left) * len(queries)
+        cat = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
+        return cat([np.full(len(c), query_ids[i]) for i, (_, c) in enumerate(have)]), cat([c for _, c in have]), cat([s for s, _ in have])
 
 
 def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0) -> DataFrame:
@@ -121,19 +123,23 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float =
     Vectors that are null, empty or hold null or non-finite components take no part; vectors of
     different dimensions are not compared. A repeated vec_id is a candidate each time (never of
     itself). With k candidates or fewer all are returned. Other columns are ignored. Scores are
-    exact while they fit a long.
+    exact while they and their terms fit 64 bits.
     """
     v = valid_vectors(vectors)
     n, n_queries = v.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
     queries = v.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+
+    def build(ids: np.ndarray, x: np.ndarray) -> TreeIndex:
+        return TreeIndex(ids, x, k, scale)
+
     # The seed shard: about TREE_ROWS rows by hash, for the first k-th scores.
     parts = max(1, -(-n // TREE_ROWS))
     seed = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)) == 0
-    none = queries.withColumn("bound", F.lit(float("-inf")))
-    first = cut(deal(v.filter(seed), none, _search(k, scale), "long", SHARD_ROWS, TREE_ROWS, n_queries))
+    none = queries.withColumn("bound", F.lit(None).cast("long"))
+    first = deal(v.filter(seed).withColumn("shard", F.lit(0)), none, build, "long", 1, n_queries)
     if parts == 1:
         return best(first, k)
-    kth = best(first, k).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("bound"))
-    bounded = queries.join(kth, "vec_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
-    rest = deal(v.filter(~seed), bounded, _search(k, scale), "long", SHARD_ROWS, n, n_queries)
+    first = cut(first)
+    shards = max(1, -(-n // SHARD_ROWS))
+    rest = deal(v.filter(~seed).withColumn("shard", shard_of(shards)), bounded(queries, first, k), build, "long", shards, n_queries)
     return best(first.unionByName(rest), k)

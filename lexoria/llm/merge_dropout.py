@@ -2,12 +2,15 @@
 
 Pieces merge by the agenda of the model: the best-scored adjacent pair first, the leftmost of
 equals. Each candidate that comes to its turn is skipped for good with probability ``dropout``,
-decided by a hash keyed with seed, variant, segment, position and piece; so reruns agree, and the
-variants of a text differ. Characters without a piece become byte pieces, and U+2581 itself too, so
-that every text comes back exactly.
-
-Many segments (a run of spaces with what follows it) are merged at once, as rows of a matrix;
-longer ones walk a heap with the same agenda.
+decided by a hash keyed with seed, document, copy, the segment's place in the text, and the
+candidate's place and piece; so reruns agree, and every occurrence of a word has its own
+segmentation. Characters without a piece become byte pieces, and U+2581 itself too, so that every
+text comes back exactly.
+
+Each distinct segment (a run of spaces with what follows it) is merged once without dropout, and
+the candidates of that walk are kept. An occurrence that skips none of them has that segmentation;
+only the others are merged anew, each under its own key. Many segments are merged at once, as rows
+of a matrix; longer ones walk a heap with the same agenda.
 """
 
 from __future__ import annotations
@@ -23,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .runtime import lean
 
 SPACE = "▁"
 #: Segments of up to this many characters are merged in matrices.
 WIDE = 32
-#: How many segmentations a segment can have: a document's variant is its id's hash modulo this.
-VARIANTS = 16
+#: Segments in one matrix, and bytes of text encoded at once, about.
+ROWS, TEXT_BYTES = 8_000, 500_000
 _NEVER = np.int32(2**31 - 1)
 _OTHER_SPACE = np.zeros(256, bool)
 _OTHER_SPACE[[9, 10, 11, 12, 13]] = True
@@ -81,9 +85,9 @@ class MergeEncoder:
                     right.append(b)
                     made.append(self.rank[i])
         key = (np.array(left, np.int64) << 20) | np.array(right, np.int64)
-        self.pairs = dict(zip(key.tolist(), map(int, made), strict=True))
         self._hash(key, np.array(made, np.int32))
-        self.raw = [bytes([model.byte_ids.index(i)]) if i in set(model.byte_ids) else p.replace(SPACE, " ").encode() for i, p in enumerate(model.pieces)]
+        byte_of = {i: b for b, i in enumerate(model.byte_ids)}
+        self.raw = [bytes([byte_of[i]]) if i in byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(model.pieces)]
         self.limit = np.uint64(min(int(dropout * 2.0**64), 2**64 - 1))
 
     def _hash(self, key: np.ndarray, value: np.ndarray) -> None:
@@ -119,6 +123,16 @@ class MergeEncoder:
             slot[todo] += 1
         return out
 
+    def find(self, left: int, right: int) -> int | None:
+        """The rank of the piece that one pair makes."""
+        key = (left << 20) | right
+        slot = ((key * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits)
+        while (seen := self.table[slot]) >= 0:
+            if seen == key:
+                return int(self.value[slot])
+            slot += 1
+        return None
+
     def skipped(self, key: np.ndarray, place: np.ndarray, rank: np.ndarray) -> np.ndarray:
         """Whether a candidate is dropped. key: the segment's keyed hash."""
         if not self.dropout:
@@ -126,31 +140,35 @@ class MergeEncoder:
         with np.errstate(over="ignore"):
             return W.mix(key ^ W.mix((place.astype(np.uint64) << np.uint64(32)) | rank.astype(np.uint64))) < self.limit
 
-    def keyed(self, segment_hash: np.ndarray, variant: np.ndarray) -> np.ndarray:
+    def keyed(self, text_key: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The key of a segment from its text's key and its place in the text."""
         with np.errstate(over="ignore"):
-            return W.mix(segment_hash + W.mix(variant.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(self.seed)))
+            return W.mix(text_key + W.mix(place.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + np.uint64(self.seed)))
 
-    def agenda(self, symbols: list[int], key: int) -> list[int]:
-        """One segment by a heap."""
+    def agenda(self, symbols: list[int], key: int | None, path: list[tuple[int, int]] | None = None) -> list[int]:
+        """One segment by a heap; without a key nothing is dropped. path: gets the candidates
+        (place, rank) that came to their turn."""
         n = len(symbols)
         sym, nxt, prv = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
         heap: list[tuple[int, int, int, int]] = []
 
         def offer(p: int) -> None:
             q = nxt[p]
-            if q < n and sym[p] >= 0 and sym[q] >= 0 and (r := self.pairs.get((sym[p] << 20) | sym[q])) is not None:
+            if q < n and sym[p] >= 0 and sym[q] >= 0 and (r := self.find(sym[p], sym[q])) is not None:
                 heapq.heappush(heap, (r, p, sym[p], sym[q]))
 
         for p in range(n - 1):
             offer(p)
-        k = np.array([key], np.uint64)
+        k = np.array([key or 0], np.uint64)
         alive = [True] * n
         while heap:
             r, p, a, b = heapq.heappop(heap)
             if not alive[p] or sym[p] != a or nxt[p] >= n or sym[nxt[p]] != b:
                 continue
-            if self.dropout and self.skipped(k, np.array([p]), np.array([r]))[0]:
+            if key is not None and self.skipped(k, np.array([p]), np.array([r]))[0]:
                 continue
+            if path is not None:
+                path.append((p, r))
             q = nxt[p]
             sym[p], nxt[p], alive[q] = int(self.of_rank[r]), nxt[q], False
             if nxt[p] < n:
@@ -160,12 +178,13 @@ class MergeEncoder:
                 offer(prv[p])
         return [sym[p] for p in range(n) if alive[p]]
 
-    def matrices(self, sym: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """Rows of symbols, padded with -2, merged; what was merged away is -2."""
+    def matrices(self, sym: np.ndarray, key: np.ndarray | None, path: list[tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
+        """Rows of symbols, padded with -2, merged; what was merged away is -2. Without keys nothing
+        is dropped. path: gets the candidates (row, place, rank) that came to their turn."""
         n, width = sym.shape
         sym = sym.copy()
-        nxt = np.broadcast_to(np.arange(1, width + 1), sym.shape).copy()
-        prv = np.broadcast_to(np.arange(-1, width - 1), sym.shape).copy()
+        nxt = np.broadcast_to(np.arange(1, width + 1, dtype=np.int16), sym.shape).copy()
+        prv = np.broadcast_to(np.arange(-1, width - 1, dtype=np.int16), sym.shape).copy()
         rank = np.full((n, width), _NEVER, np.int32)
         if width > 1:
             rank[:, :-1] = self.lookup(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(n, width - 1)
@@ -178,9 +197,13 @@ class MergeEncoder:
             rows, at, best = rows[go], at[go], best[go]
             if not len(rows):
                 break
-            drop = self.skipped(key[rows], at, best)
-            rank[rows[drop], at[drop]] = _NEVER
-            r, p, b = rows[~drop], at[~drop], best[~drop]
+            if path is not None:
+                path.append((rows, at, best))
+            r, p, b = rows, at, best
+            if key is not None:
+                drop = self.skipped(key[rows], at, best)
+                rank[rows[drop], at[drop]] = _NEVER
+                r, p, b = rows[~drop], at[~drop], best[~drop]
             q = nxt[r, p]
             sym[r, p] = self.of_rank[b]
             sym[r, q] = -2
@@ -207,25 +230,50 @@ class MergeEncoder:
         starts = np.flatnonzero(first)
         return data, starts, np.append(starts[1:], len(data)), np.diff(np.searchsorted(starts, off))
 
-    def encode(self, texts: pa.Array, variant: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, ids per text). Nulls must be filled."""
+    def encode(self, texts: pa.Array, text_key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ids per text). Nulls must be filled. text_key: a 64-bit key of each
+        text, without effect where there is no dropout."""
         data, starts, ends, per = self.segments(texts)
         if not len(starts):
             return np.zeros(0, np.int32), per
         length = ends - starts
         place = np.arange(len(data), dtype=np.int64) - np.repeat(starts, length)
         with np.errstate(over="ignore"):
-            h = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * W._powers(int(length.max()))[place], starts) + length.astype(np.uint64)
-        key = self.keyed(W.mix(h), np.repeat(variant.astype(np.uint64), per)) if self.dropout else W.mix(h)
-        _, some, inverse = np.unique(key, return_index=True, return_inverse=True)
-        ids, count = self._unique(data, starts[some], ends[some], key[some])
-        first = np.cumsum(count) - count
-        take = count[inverse]
-        at = np.repeat(first[inverse] - (np.cumsum(take) - take), take) + np.arange(int(take.sum()))
+            h = W.mix(np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * W._powers(int(length.max()))[place], starts) + length.astype(np.uint64))
+        del place
+        _, some, inverse = np.unique(h, return_index=True, return_inverse=True)
+        ids, count, path = self._merge(data, starts[some], ends[some], None)
+        first, take = (np.cumsum(count) - count)[inverse], count[inverse]
+        if self.dropout:
+            nth = np.arange(len(starts)) - np.repeat(np.cumsum(per) - per, per)
+            key = self.keyed(np.repeat(text_key.astype(np.uint64), per), nth)
+            touched = self._touched(key, inverse, path)
+            again, n, _ = self._merge(data, starts[touched], ends[touched], key[touched])
+            first[touched], take[touched] = len(ids) + np.cumsum(n) - n, n
+            ids = np.concatenate([ids, again])
+        at = np.repeat(first - (np.cumsum(take) - take), take) + np.arange(int(take.sum()))
         return ids[at], np.bincount(np.repeat(np.arange(len(per)), per), take, minlength=len(per)).astype(np.int64)
 
-    def _unique(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, ids per segment) of distinct segments."""
+    def _touched(self, key: np.ndarray, kind: np.ndarray, path: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """The segments that skip a candidate of their kind's walk without dropout."""
+        of, place, rank = path
+        order = np.argsort(of, kind="stable")
+        place, rank = place[order], rank[order]
+        m = np.bincount(of, minlength=int(kind.max()) + 1)
+        first = np.cumsum(m) - m
+        out = []
+        for a in range(0, len(key), 50_000):
+            k = kind[a : a + 50_000]
+            at = np.repeat(first[k] - (np.cumsum(m[k]) - m[k]), m[k]) + np.arange(int(m[k].sum()))
+            owner = np.repeat(np.arange(a, a + len(k)), m[k])
+            out.append(np.unique(owner[self.skipped(key[owner], place[at], rank[at])]))
+        return np.concatenate(out)
+
+    def _merge(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids, ids per segment, candidates met as segment, place and rank) of segments; without
+        keys nothing is dropped, and only then candidates are kept."""
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64), (np.zeros(0, np.int64),) * 3
         length = ends - starts
         at = np.repeat(starts - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
         flat = data[at]
@@ -238,26 +286,32 @@ class MergeEncoder:
         sym[code == 32] = self.char[ord(SPACE)]
         sym[code == ord(SPACE)] = -1
         # A character without a piece is -(code point) - 10 until the merges are done.
-        sym = np.where(sym < 0, -(code.astype(np.int64)) - 10, sym)
+        sym = np.where(sym < 0, -(code.astype(np.int32)) - 10, sym)
         first = np.cumsum(chars) - chars
         out_sym, out_row, out_at = [], [], []
+        met: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         narrow = np.flatnonzero(chars <= WIDE)
         by = narrow[np.argsort(chars[narrow], kind="stable")]
-        for part in np.array_split(by, max(1, len(by) // 20_000)):
+        for part in np.array_split(by, max(1, -(-len(by) // ROWS))):
             if not len(part):
                 continue
             width = int(chars[part].max())
             inside = np.arange(width) < chars[part][:, None]
-            m = np.full((len(part), width), -2, np.int64)
+            m = np.full((len(part), width), -2, np.int32)
             m[inside] = sym[np.repeat(first[part], chars[part]) + (np.arange(int(chars[part].sum())) - np.repeat(np.cumsum(chars[part]) - chars[part], chars[part]))]
-            done = self.matrices(m, key[part])
+            path = [] if key is None else None
+            done = self.matrices(m, None if key is None else key[part], path)
+            met += [(part[r], p, b) for r, p, b in path or ()]
             row, col = np.nonzero(done != -2)
             out_sym.append(done[row, col])
             out_row.append(part[row])
             out_at.append(col)
         for i in np.flatnonzero(chars > WIDE):
-            got = self.agenda(sym[first[i] : first[i] + chars[i]].tolist(), int(key[i]))
-            out_sym.append(np.array(got, np.int64))
+            walk: list[tuple[int, int]] | None = [] if key is None else None
+            got = self.agenda(sym[first[i] : first[i] + chars[i]].tolist(), None if key is None else int(key[i]), walk)
+            if walk:
+                met.append((np.full(len(walk), i), *np.array(walk).T))
+            out_sym.append(np.array(got, np.int32))
             out_row.append(np.full(len(got), i))
             out_at.append(np.arange(len(got)))
         s, r, a = np.concatenate(out_sym), np.concatenate(out_row), np.concatenate(out_at)
@@ -270,7 +324,8 @@ class MergeEncoder:
             grown = np.repeat(s, n)
             grown[np.repeat(s < 0, n)] = [b for p in parts for b in p]
             s, r = grown, np.repeat(r, n)
-        return s.astype(np.int32), np.bincount(r, minlength=len(starts)).astype(np.int64)
+        every = tuple(np.concatenate([x[i] for x in met]) if met else np.zeros(0, np.int64) for i in range(3))
+        return s.astype(np.int32), np.bincount(r, minlength=len(starts)).astype(np.int64), every
 
     def decode(self, ids: list[int]) -> str:
         raw = b"".join([self.raw[i] for i in ids])
@@ -281,41 +336,69 @@ def _bytes(code: int) -> bytes:
     return bytes([code - 0xDC00]) if 0xDC80 <= code <= 0xDCFF else chr(code).encode("utf-8", "surrogatepass")
 
 
-def _coder(shared, dropout: float, seed: int, keep: tuple[str, ...]):
+def _copies(ids: np.ndarray, before: int | None, count: int) -> np.ndarray:
+    """How many rows with the same id stand directly before each row; before: the id before the
+    first, which has been met ``count`` times in a row."""
+    new = np.ones(len(ids), bool)
+    new[1:] = ids[1:] != ids[:-1]
+    goes_on = len(ids) > 0 and before is not None and ids[0] == before
+    place = np.arange(len(ids))
+    run = place - np.maximum.accumulate(np.where(new, place, 0))
+    if goes_on:
+        run[: int(np.flatnonzero(new)[1]) if new.sum() > 1 else len(ids)] += count
+    return run
+
+
+def _coder(shared, dropout: float, seed: int, names: list[str]):
+    """All columns but the last two, the text and its key, with n_pieces, ids and lossless after them."""
     encoders: list[MergeEncoder] = []
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         if not encoders:
             encoders.append(MergeEncoder(shared.value, dropout, seed))
         enc = encoders[0]
+        last, met = None, 0
         for batch in batches:
-            text = batch.column("text").cast(pa.large_string()).fill_null("")
-            variant = batch.column("variant").to_numpy(zero_copy_only=False)
-            others = [c for c in batch.schema.names if c in keep]
-            for part in W.chunks(text, 2_000_000):
-                ids, n = enc.encode(text[part], variant[part])
+            text = batch.column(batch.num_columns - 2).cast(pa.large_string()).fill_null("")
+            key = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            copy = _copies(key, last, met)
+            if len(key):
+                last, met = key[-1], int(copy[-1]) + 1
+            with np.errstate(over="ignore"):
+                key = W.mix(key.astype(np.uint64) + W.mix(copy.astype(np.uint64)))
+            for part in W.chunks(text, TEXT_BYTES):
+                ids, n = enc.encode(text[part], key[part])
                 ends = np.concatenate([[0], np.cumsum(n)])
                 flat = ids.tolist()
                 same = [enc.decode(flat[a:b]) == t for a, b, t in zip(ends[:-1], ends[1:], text[part].to_pylist(), strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()))
                 piece = batch.slice(part.start, part.stop - part.start)
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in others), pa.array(n, pa.int64()), lists, pa.array(same, pa.bool_())], names=[*others, "n_pieces", "ids", "lossless"])
+                yield pa.RecordBatch.from_arrays([*piece.columns[:-2], pa.array(n, pa.int64()), lists, pa.array(same, pa.bool_())], names=names)
 
-    return run
+    return lean(run)
+
+
+RESULTS = ("n_pieces", "ids", "lossless")
 
 
-def encode_documents(docs: DataFrame, model_file: str, dropout: float = 0.1, seed: int = 0, variants: int = VARIANTS, keep: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id") -> DataFrame:
+def encode_documents(docs: DataFrame, model_file: str, dropout: float = 0.1, seed: int = 0, keep: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", results: tuple[str, str, str] = RESULTS) -> DataFrame:
     """``keep`` columns, n_pieces, ids and lossless (whether the ids decode to the text) of each row.
 
+    The segmentation depends on seed, id and text; rows of one id that stand directly one after the
+    other in a partition, as the copies of an exploded row do, are copies 0, 1, ... and vary.
     Nulls: a null or empty text has the one piece of the space put before it, and decodes to "";
-    a null id has variant 0. Repeated rows are encoded alike. Other columns are ignored. The model
-    file is read on the driver only.
+    null ids count as one id. Columns of any names may be kept; a kept column that has the name of
+    one of ``results`` is an error, so choose others then. The model file is read on the driver only.
     """
+    if set(results) & set(keep):
+        raise ValueError("a kept column has the name of a result")
     shared = docs.sparkSession.sparkContext.broadcast(PieceModel.load(model_file))
-    variant = F.coalesce(F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(variants)), F.lit(0)) if dropout else F.lit(0)
-    chosen = docs.select(*keep, *([] if "text" in keep else ["text"]), variant.cast("long").alias("variant"))
-    fields = "".join(f"`{c}` {chosen.schema[c].dataType.simpleString()}, " for c in keep)
-    return chosen.mapInArrow(_coder(shared, dropout, seed, keep), f"{fields}n_pieces long, ids array<int>, lossless boolean")
+    key = F.coalesce(F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed)), F.lit(0)).cast("long")
+    names = [*(f"c{i}" for i in range(len(keep))), *RESULTS]
+    chosen = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=False)), F.col("text").cast("string").alias("text"), key.alias("key"))
+    fields = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for c, n in zip(keep, names, strict=False))
+    out = chosen.mapInArrow(_coder(shared, dropout, seed, names), f"{fields}n_pieces long, ids array<int>, lossless boolean")
+    return out.toDF(*keep, *results)
 
 
 def decode_documents(encoded: DataFrame, model_file: str, ids_col: str = "ids") -> DataFrame:

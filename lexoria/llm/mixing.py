@@ -16,6 +16,8 @@ from .runtime import cut
 WEIGHTS = (5, 2, 1)
 #: Rows that one key range of a source holds, on average, when sizes are prefix-summed.
 RANGE_ROWS = 4_096
+#: Classes of quality in the estimate of how a source's keys are spread.
+CLASSES = 16
 _JUNK = "#$%&*|<>{}[]\\^~"
 
 
@@ -36,7 +38,8 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weig
     Targets are in proportion to the weights and sum to ``share`` of all sizes, but stop at
     ``most`` times a source's size; what is cut off is dealt again by weight until no target is
     above. That is the water level L with target = least(most * size, L * weight), found in one
-    pass over the sources in the order of most * size / weight. One row per source.
+    pass over the sources in the order of most * size / weight. One row per source, and all of them
+    in one task: ten million sources are some 0.5 GB there.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     place = (F.row_number().over(by_name) - 1) % len(weights)
@@ -55,30 +58,46 @@ def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weig
     return ranked.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, quality: Column | None = None, seed: int = 0, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, whole: bool = False) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) of every document.
+def _ranges(narrow: DataFrame) -> DataFrame:
+    """``narrow`` with range: the place of the row's key among its source's, in steps of about
+    RANGE_ROWS rows, rising with the key.
+
+    A key of quality q lies below k with the chance 1 - exp(-q k). The mean of that over the
+    source's rows, by classes of quality, is how many keys lie below k; so a source of any mixture
+    of qualities is cut into even ranges.
+    """
+    kind = F.ceil(F.least(F.col("quality"), F.lit(1.0)) * CLASSES)
+    classes = narrow.groupBy("source", kind.alias("kind")).agg(F.count("*").alias("n"), F.avg("quality").alias("q"))
+    sources = classes.groupBy(F.col("source").alias("source_")).agg(F.sum("n").alias("rows"), F.collect_list(F.struct("n", "q")).alias("classes"))  # at most CLASSES + 1 each
+    sources = cut(sources.withColumn("ranges", F.ceil(F.col("rows") / RANGE_ROWS)))  # sums are added in one order only
+    below = F.aggregate("classes", F.lit(0.0), lambda a, c: a + c["n"] * (1 - F.exp(-c["q"] * F.col("key"))))
+    place = F.least(F.col("ranges") - 1, F.floor(below / F.col("rows") * F.col("ranges"))).cast("int")
+    joined = narrow.join(sources, F.col("source").eqNullSafe(F.col("source_")))
+    return joined.withColumn("range", place).drop("source_", "rows", "classes", "ranges")
+
+
+def mix_sources(docs: DataFrame, quality: Column | None = None, seed: int = 0, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, whole: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) of every document, and the columns
+    ``carry`` of its row (of other names than these, size, quality, u, key and range).
 
     taken: the words that the mix takes of the document, repeats counted; copies: how often it
     takes the document, the last time maybe in part. The document at which a source's budget ends
     gives only the words still missing; with ``whole`` it is taken whole if that is nearer, else
     not. Reruns agree: the key depends on seed, doc_id and the text's quality only; ties go to the
     smaller doc_id, then the smaller size.
-    Nulls: a null text has size 0; a null source is a source of its own, last in order; null ids
-    count as one id. Repeated rows are each taken into account. Empty tables give empty results.
+    Nulls: a null text has size 0; a null source is a source of its own, last in order; a row
+    with a null id is ordered by its text. Repeated rows are each taken into account; rows equal in
+    id (or, without one, in text) have one key and are summed in one task. Empty tables give empty
+    results.
     """
     size = word_count(F.col("text"))
     q = F.coalesce(quality if quality is not None else text_quality(F.col("text")), F.lit(0.1))
-    uniform = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / float(16**13)
-    narrow = docs.select("doc_id", "source", size.alias("size"), q.alias("quality"), uniform.alias("u"))
+    uniform = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.xxhash64("text")), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / float(16**13)
+    narrow = docs.select("doc_id", "source", size.alias("size"), q.alias("quality"), uniform.alias("u"), *carry)
     narrow = cut(narrow.withColumn("key", -F.log("u") / F.col("quality")))
     totals = cut(source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")).select("source", "source_size"), share, most, weights))
-    count = narrow.count()
 
-    # Ranges of u**(1/quality), which is monotone in the key: as many as keep each at RANGE_ROWS.
-    ranges = max(1, -(-count // RANGE_ROWS))
-    spread = F.least(F.lit(ranges - 1), F.floor((1 - F.exp(-F.col("key"))) * ranges)).cast("int")
-    keyed = narrow.withColumn("range", spread)
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
+    keyed = _ranges(narrow)
     part = keyed.groupBy("source", "range").agg(F.sum("size").alias("words"))
     over = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     part = part.withColumn("before", F.coalesce(F.sum("words").over(over), F.lit(0))).withColumnRenamed("source", "source_")
@@ -95,4 +114,4 @@ def mix_sources(docs: DataFrame, quality: Column | None = None, seed: int = 0, s
         extra = F.greatest(F.lit(0), F.least(F.col("size"), F.round(rest).cast("long") - (F.col("up_to") - F.col("size"))))
     out = out.withColumn("extra", extra.cast("long"))
     copies = F.col("epochs") + (F.col("extra") > 0).cast("int")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("epochs") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("epochs") * F.col("size") + F.col("extra")).cast("long").alias("taken"), *carry)

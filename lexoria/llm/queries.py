@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +35,8 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages"), URL_RULES).drop("url")
 
 
-#: A SentencePiece model file with byte fallback.
-MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+#: A SentencePiece model file with byte fallback, read on the driver.
+MODEL_FILE = os.environ.get("LEXORIA_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

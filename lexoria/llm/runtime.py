@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="lexoria-")
         spark.conf.set("spark.checkpoint.dir", path)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -55,6 +61,49 @@ class Scratch:
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def give_back() -> None:
+    """Return a worker's freed memory to the system; an idle worker otherwise keeps it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """A function for mapInArrow that gives its memory back when a task ends."""
+
+    def batches(rows: Iterator) -> Iterator:
+        try:
+            yield from run(rows)
+        finally:
+            give_back()
+
+    return batches
+
+
+def lean_group(run: Callable) -> Callable:
+    """A function for applyInArrow that gives its memory back after each group."""
+
+    def group(table):
+        try:
+            return run(table)
+        finally:
+            give_back()
+
+    return group
+
+
+def by_bucket(df: DataFrame, buckets: int, run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``run`` over each bucket of a table with the column ``bucket`` (0 to buckets - 1), one task a
+    bucket: no two buckets meet in a task, and nothing is sorted."""
+
+    def whole(batches: Iterator) -> Iterator:
+        rows = list(batches)
+        if sum(len(b) for b in rows):
+            yield from run(pa.Table.from_batches(rows)).to_batches()
+
+    return df.repartitionById(buckets, F.col("bucket")).mapInArrow(lean(whole), schema)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of frames that are no longer referenced."""
     gc.collect()

@@ -18,8 +18,8 @@ from .runtime import cut
 @dataclass(frozen=True)
 class SecretRule:
     """kind; pattern (matches are leftmost and do not overlap); the group whose length must reach
-    ``least``; a version, to be raised with every change of the pattern; hint: a lower-case literal
-    without which the pattern cannot match in lower-cased text (empty: none is known)."""
+    ``least``; a version, to be raised with every change of the pattern; base: whether the rule is
+    one of the fixed ones."""
 
     kind: str
     pattern: str
@@ -105,9 +105,20 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+#: Spans from which a text is cut into characters once, instead of being walked for every span.
+MANY_SPANS = 16
+
+
 def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     """The text with every span (sorted by start; they may overlap) replaced by a mark."""
-    zero = F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out"))
-    step = lambda a, s: F.when(s["end"] > a["pos"], F.struct(s["end"].alias("pos"), F.concat(a["out"], F.when(s["start"] >= a["pos"], F.concat(F.substr(text, (a["pos"] + 1).cast("int"), (s["start"] - a["pos"]).cast("int")), F.lit(mark))).otherwise(F.lit(""))).alias("out"))).otherwise(a)
-    done = F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substr(text, (a["pos"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+
+    def done(part, rest) -> Column:
+        zero = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<string>").alias("out"))
+        before = lambda a, s: F.array(part(a["pos"], s["start"] - a["pos"]), F.lit(mark))
+        step = lambda a, s: F.when(s["end"] > a["pos"], F.struct(s["end"].alias("pos"), F.when(s["start"] >= a["pos"], F.concat(a["out"], before(a, s))).otherwise(a["out"]).alias("out"))).otherwise(a)
+        return F.aggregate(spans, zero, step, lambda a: F.concat(F.array_join(a["out"], ""), rest(a["pos"])))
+
+    chars = F.split(text, "")
+    few = done(lambda at, n: F.substr(text, (at + 1).cast("int"), n.cast("int")), lambda at: F.substr(text, (at + 1).cast("int"), F.length(text)))
+    many = done(lambda at, n: F.array_join(F.slice(chars, (at + 1).cast("int"), n.cast("int")), ""), lambda at: F.array_join(F.slice(chars, (at + 1).cast("int"), F.length(text)), ""))
+    return F.when(F.size(spans) >= MANY_SPANS, many).when(F.size(spans) > 0, few).otherwise(text)

@@ -1,122 +1,96 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Every document is held against the whole TF-IDF vectors of a bounded sample of labelled rows, over
-all words of the sample, whatever their labels; document frequencies are counted over all
-documents. Frequent words are dense columns that are multiplied for many documents at once, the
-others are inverted lists, and no list is left out.
-
-A few words tell the label (log-likelihood ratio and support). Where a text has such words, its
-nearest examples over them alone vote too, by a block-max inverted index: a block's largest weight
-of each word bounds what any of its examples can score, so a search opens blocks in the order of
-their bounds and stops below the k-th cosine. The closer the nearest whole vector, the more the
-whole vectors' vote counts; a text without a telling word has that vote only. Votes are calibrated
-by isotonic regression on leave-one-out votes, with and without telling words apart.
+Every text is held against the whole TF-IDF vectors of a bounded sample of labelled rows. Terms are
+all alphanumeric words of the sample, whatever their labels, each by its first STEM bytes: so the
+forms of a word are one term. Document frequencies are counted over all documents.
+
+The index is a block-max inverted index. Examples of alike frequent words share a block. Lists of
+rarer words are short and added up whole; for the frequent words each block keeps its largest
+weight of each. A block's bound is the best sum of rare words that one of its examples has, plus
+what its largest weights allow; blocks below the k-th cosine are skipped. Whatever may be among
+the k nearest is scored in full, so that the search is exact.
+
+The k nearest vote, with weights that fall with distance: cosine ** NEAR / rank ** FAR. k is the
+one of NEIGHBOURS whose leave-one-out votes tell the labels best, and votes are calibrated by
+isotonic regression on them.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
 from .packing import join, narrow, pack, unpack
-from .runtime import cut
+from .runtime import cut, lean, lean_group
 from .vector_blocks import top
 
-#: Labelled rows in the sample; telling words at most; the least log-likelihood ratio of a
-#: word (a chance of 1e-7 for one word) and its least share of the examples of label 1.
-EXAMPLES, VOCABULARY, LEAST_RATIO, LEAST_SHARE = 16_384, 2_048, 28.0, 0.005
-#: Neighbours that vote, examples in an index block, and the weight of the prior in a vote.
-NEIGHBOURS, BLOCK, PRIOR = 15, 64, 0.25
-#: Most frequent words held as dense columns, documents multiplied at once, and the power of a whole
-#: vector's cosine with which it votes.
-HOT, AT_ONCE, SHARP = 256, 32, 4
-#: Parts in which document frequencies are summed.
-PARTS = 32
-
-
-def _tfidf(column: pa.Array, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Labelled rows in the sample at most (half of them of label 1, if there are as many), and bytes of
+#: their texts at most.
+EXAMPLES, EXAMPLE_BYTES = 4_096, 64_000_000
+#: Numbers of neighbours to choose from, and the weight of the prior in a vote.
+NEIGHBOURS, PRIOR = (15, 30, 50, 100, 200), 0.25
+#: Powers of the cosine and of the rank in a neighbour's weight.
+NEAR, FAR = 0.25, 0.5
+#: Bytes of a word that count, and weights: (1 + ln tf) * idf ** POWER.
+STEM, POWER = 4, 1.5
+#: Examples in a block, frequent words with block maxima, texts searched at once, and blocks opened
+#: first, for each ``BLOCK`` neighbours asked.
+BLOCK, HOT, AT_ONCE, FIRST = 64, 256, 32, 2
+#: Parts in which document frequencies are summed; bytes of text handled at once.
+PARTS, TEXT_BYTES = 32, 1_000_000
+
+
+def _terms(column: pa.Array, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, term, tf) of the vocabulary's words in each text."""
-    h, per = W.word_hashes(column)
-    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1) if len(vocabulary) else np.zeros(len(h), np.int64)
-    hit = vocabulary[at] == h if len(vocabulary) else np.zeros(len(h), bool)
+    h, per = W.word_hashes(column, W.PUNCTUATION, STEM)
+    if not len(vocabulary) or not len(h):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+    hit = vocabulary[at] == h
     row = np.repeat(np.arange(len(per)), per)[hit]
-    cell, tf = np.unique(row.astype(np.int64) * max(1, len(vocabulary)) + at[hit], return_counts=True)
-    return cell // max(1, len(vocabulary)), cell % max(1, len(vocabulary)), tf
+    cell, tf = np.unique(row * len(vocabulary) + at[hit], return_counts=True)
+    return cell // len(vocabulary), cell % len(vocabulary), tf
 
 
 def _weights(row: np.ndarray, term: np.ndarray, tf: np.ndarray, idf: np.ndarray, rows: int) -> np.ndarray:
-    """Unit-length weights, (1 + ln tf) * idf."""
+    """Unit-length weights."""
     w = (1.0 + np.log(tf)) * idf[term]
-    norm = np.sqrt(np.bincount(row, w * w, minlength=rows))
-    return w / norm[row]
+    return w / np.sqrt(np.bincount(row, w * w, minlength=rows))[row]
+
+
+def _alike(x: np.ndarray, leaf: int) -> np.ndarray:
+    """An order of rows in which each ``leaf`` of them are alike: cut in halves along the direction
+    in which they differ most, again and again."""
+    out, stack = [], [np.arange(len(x))]
+    while stack:
+        rows = stack.pop()
+        if len(rows) <= leaf:
+            out.append(rows)
+            continue
+        y = x[rows] - x[rows].mean(0)
+        v = np.random.default_rng(0).standard_normal(x.shape[1])
+        for _ in range(8):
+            v = y.T @ (y @ v)
+            v /= np.linalg.norm(v) + 1e-300
+        order = rows[np.argsort(y @ v, kind="stable")]
+        middle = max(leaf, len(rows) // 2 // leaf * leaf)
+        stack += [order[middle:], order[:middle]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 @dataclass
 class BlockMaxIndex:
-    """Examples in blocks of BLOCK; postings of each block by term; block maxima of each term."""
-
-    ids: np.ndarray
-    labels: np.ndarray
-    maxima: np.ndarray
-    start: np.ndarray
-    place: np.ndarray
-    weight: np.ndarray
-
-    @staticmethod
-    def build(ids: np.ndarray, labels: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int) -> BlockMaxIndex:
-        n = len(ids)
-        # Examples with alike heaviest words share blocks, which keeps the bounds tight.
-        heavy = np.full(n, -1)
-        order = np.lexsort((weight, row))
-        heavy[row[order]] = term[order]
-        rank = np.empty(n, np.int64)
-        by = np.lexsort((ids, heavy))
-        rank[by] = np.arange(n)
-        row = rank[row]
-        blocks = max(1, -(-n // BLOCK))
-        cell = (row // BLOCK) * terms + term
-        order = np.argsort(cell, kind="stable")
-        cell, row, weight = cell[order], row[order], weight[order]
-        maxima = np.zeros(blocks * terms)
-        np.maximum.at(maxima, cell, weight)
-        start = np.searchsorted(cell, np.arange(blocks * terms + 1))
-        return BlockMaxIndex(ids[by], labels[by], np.ascontiguousarray(maxima.reshape(blocks, terms).T), start, row % BLOCK, weight)
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray, int]:
-        """(places, cosines) of the k nearest examples with a positive cosine, ties to the smaller
-        id, and the blocks opened. leave_out: a place that takes no part."""
-        every, blocks = self.maxima.shape
-        bound = weights @ self.maxima[terms]
-        at, cos, opened = np.zeros(0, np.int64), np.zeros(0), 0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(cos) == k and bound[b] < cos[-1] - 1e-12):
-                break
-            opened += 1
-            here = np.zeros(min(BLOCK, len(self.ids) - b * BLOCK))
-            for t, w in zip(terms, weights, strict=True):
-                s, e = self.start[b * every + t], self.start[b * every + t + 1]
-                here[self.place[s:e]] += w * self.weight[s:e]
-            hit = np.flatnonzero(here > 0)
-            hit = hit[hit + b * BLOCK != leave_out]
-            at, cos = np.concatenate([at, hit + b * BLOCK]), np.concatenate([cos, np.round(here[hit], 12)])
-            pick = top(cos, self.ids[at], k)
-            at, cos = at[pick], cos[pick]
-        return at, cos, opened
+    """Examples as (ids, labels) and their (size, term, tf), one after the other.
 
-
-@dataclass
-class WholeIndex:
-    """The examples' whole vectors: dense columns of the HOT most frequent words, lists of the rest.
-
-    Only words and frequencies of the examples travel; each process makes the lists at its first
-    search.
+    Only these travel; each process makes the lists at its first search.
     """
 
     words: np.ndarray
@@ -126,133 +100,166 @@ class WholeIndex:
     size: np.ndarray
     term: np.ndarray
     tf: np.ndarray
+    opened: int = field(default=0, compare=False)
+    bounded: int = field(default=0, compare=False)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "lists"}
 
     @functools.cached_property
-    def lists(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(dense column of each word or -1, dense columns, starts, places and weights of the lists)."""
-        weight = np.zeros(len(self.term))
-        ends = np.cumsum(self.size, dtype=np.int64)
-        for a in range(0, len(self.ids), 1024):
-            size = self.size[a : a + 1024]
-            s = slice(ends[a] - size[0], ends[a + len(size) - 1])
-            weight[s] = _weights(np.repeat(np.arange(len(size)), size), self.term[s], self.tf[s].astype(float), self.idf, len(size))
+    def lists(self) -> tuple:
+        """(example at each place, hot column of each word or -1, weights of hot words by block,
+        their maxima, starts, places and weights of the rare words' lists)."""
+        n = len(self.ids)
+        row = np.repeat(np.arange(n), self.size)
+        weight = _weights(row, self.term, self.tf.astype(float), self.idf, n) if len(row) else np.zeros(0)
         often = np.bincount(self.term, minlength=len(self.words))
         hot = np.sort(np.argsort(-often, kind="stable")[:HOT])
         slot = np.full(len(self.words), -1, np.int32)
         slot[hot] = np.arange(len(hot))
-        dense = np.zeros((len(hot), len(self.ids)))
-        row = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.size)
         warm = slot[self.term] >= 0
-        dense[slot[self.term[warm]], row[warm]] = weight[warm]
-        row, weight, term = row[~warm], weight[~warm], self.term[~warm]
-        by = np.argsort(term, kind="stable")
+        dense = np.zeros((n, max(1, len(hot))))
+        dense[row[warm], slot[self.term[warm]]] = weight[warm]
+        order = _alike(dense, BLOCK)
+        blocks = -(-n // BLOCK)
+        dense = np.concatenate([dense[order], np.zeros((blocks * BLOCK - n, dense.shape[1]))]).reshape(blocks, BLOCK, dense.shape[1])
+        place = np.empty(n, np.int32)
+        place[order] = np.arange(n, dtype=np.int32)
+        at, held, term = place[row[~warm]], weight[~warm], self.term[~warm]
+        by = np.lexsort((at, term))
         often[hot] = 0
-        return slot, dense, np.concatenate([[0], np.cumsum(often)]), row[by], weight[by]
+        return order, slot, dense, np.ascontiguousarray(dense.max(1).T) if n else np.zeros((1, 0)), np.concatenate([[0], np.cumsum(often)]), at[by], held[by]
 
     def vectors(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text, term, tf, unit-length weight) of each text."""
-        row, term, tf = _tfidf(column, self.words)
+        row, term, tf = _terms(column, self.words)
         return row, term, tf, _weights(row, term, tf, self.idf, len(column)) if len(row) else np.zeros(0)
 
-    def search(self, term: list[np.ndarray], weight: list[np.ndarray], k: int, leave_out: np.ndarray | None = None):
-        """(places, cosines) of the k nearest examples with a positive cosine for each vector, ties
-        to the smaller id. leave_out: a place for each vector that takes no part."""
-        slot, dense, start, place, held = self.lists
-        for a in range(0, len(term), AT_ONCE):
-            some = range(a, min(a + AT_ONCE, len(term)))
-            asked = np.zeros((len(some), len(dense)))
-            for i in some:
-                warm = slot[term[i]] >= 0
-                asked[i - a, slot[term[i][warm]]] = weight[i][warm]
-            full = asked @ dense
+    def search(self, terms: list[np.ndarray], weights: list[np.ndarray], k: int, leave_out: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(examples, cosines) of the k nearest examples with a positive cosine for each vector,
+        ties to the smaller id. leave_out: an example for each vector that takes no part."""
+        order, slot, dense, maxima, start, place, held = self.lists
+        blocks = len(dense)
+        first = min(blocks, FIRST * -(-k // BLOCK))
+        for a in range(0, len(terms), AT_ONCE):
+            some = range(a, min(a + AT_ONCE, len(terms)))
+            asked = np.zeros((len(some), dense.shape[2]))
+            cos = np.zeros((len(some), blocks * BLOCK))
             for i in some:
-                cos = full[i - a]
-                s, m = start[term[i]], start[term[i] + 1] - start[term[i]]
+                warm = slot[terms[i]] >= 0
+                asked[i - a, slot[terms[i][warm]]] = weights[i][warm]
+                t, w = terms[i][~warm], weights[i][~warm]
+                s, m = start[t], start[t + 1] - start[t]
                 at = np.repeat(s - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
-                cos += np.bincount(place[at], held[at] * np.repeat(weight[i], m), minlength=len(cos))
-                if leave_out is not None:
-                    cos[leave_out[i]] = 0.0
-                least = np.partition(cos, len(cos) - k)[len(cos) - k] if k < len(cos) else 0.0
-                hit = np.flatnonzero((cos > 0) & (cos >= least - 1e-11))
-                near = np.round(cos[hit], 12)
-                pick = top(near, self.ids[hit], k)
-                yield hit[pick], near[pick]
+                cos[i - a] = np.bincount(place[at], held[at] * np.repeat(w, m), minlength=blocks * BLOCK)
+            bound = cos.reshape(len(some), blocks, BLOCK).max(2) + asked @ maxima
+            done = np.zeros(bound.shape, bool)
+
+            def open_blocks(todo: np.ndarray, cos: np.ndarray, asked: np.ndarray) -> None:
+                for b in np.flatnonzero(todo.any(axis=0)):
+                    who = np.flatnonzero(todo[:, b])
+                    cos[who, b * BLOCK : (b + 1) * BLOCK] += asked[who] @ dense[b].T
+
+            if blocks:
+                np.put_along_axis(done, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, axis=1)
+                open_blocks(done, cos, asked)
+            seen = np.where(np.repeat(done, BLOCK, axis=1), cos, 0.0)
+            left = [-1 if leave_out is None else int(np.flatnonzero(order == leave_out[i])[0]) for i in some]
+            for j, p in enumerate(left):
+                if p >= 0:
+                    seen[j, p] = 0.0
+            n = seen.shape[1]
+            kth = np.partition(seen, n - k, axis=1)[:, n - k] if k < n else np.zeros(len(some))
+            more = (bound >= kth[:, None] - 1e-9) & (bound > 0) & ~done
+            open_blocks(more, cos, asked)
+            done |= more
+            self.opened, self.bounded = self.opened + int(done.sum()), self.bounded + done.size
+            for j, p in enumerate(left):
+                hit = np.flatnonzero((cos[j] >= max(kth[j] - 1e-9, 1e-12)) & np.repeat(done[j], BLOCK))
+                hit = hit[hit != p]
+                near = np.round(cos[j, hit], 12)
+                pick = top(near, self.ids[order[hit]], k)
+                yield order[hit[pick]], near[pick]
 
 
 @dataclass
 class ToxicityModel:
-    vocabulary: np.ndarray
-    idf: np.ndarray
     index: BlockMaxIndex
-    whole: WholeIndex
     prior: float
-    silent: float
+    k: int
     knots: np.ndarray
     values: np.ndarray
-    silent_knots: np.ndarray
-    silent_values: np.ndarray
-
-    def vote(self, labels: np.ndarray, cos: np.ndarray, prior: float | None = None) -> float:
-        return float((cos @ labels + PRIOR * (self.prior if prior is None else prior)) / (cos.sum() + PRIOR))
-
-    def whole_vote(self, at: np.ndarray, cos: np.ndarray, heard: float | None) -> float:
-        """The vote of the nearest whole vectors, with that of the telling words (None: it has none)."""
-        sharp = cos**SHARP
-        vote = self.vote(self.whole.labels[at], sharp, self.silent if heard is None else None)
-        return vote if heard is None else float(sharp[0] * vote + (1 - sharp[0]) * heard) if len(cos) else heard
 
-    def score(self, vote: np.ndarray) -> np.ndarray:
-        return np.interp(vote, self.knots, self.values)
+    def vote(self, at: np.ndarray, cos: np.ndarray, k: int | None = None) -> float:
+        """The weighted share of label 1 among the k nearest."""
+        k = self.k if k is None else k
+        weight = cos[:k] ** NEAR / (1.0 + np.arange(len(cos[:k]))) ** FAR
+        return float((weight @ self.index.labels[at[:k]] + PRIOR * self.prior) / (weight.sum() + PRIOR))
 
-    def silent_score(self, vote: float) -> float:
-        """The score of a text without a telling word."""
-        return float(np.interp(vote, self.silent_knots, self.silent_values))
+    def score(self, vote: float) -> float:
+        return float(np.interp(vote, self.knots, self.values))
 
 
-def isotonic(x: np.ndarray, y: np.ndarray, least: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """Knots and rising values of y's mean over x: pooled adjacent violators over groups of equal
-    x of at least ``least`` rows, smoothed by one half of a count."""
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, least: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """Knots and rising values of y's weighted mean over x: pooled adjacent violators over groups of
+    equal x of at least ``least`` rows, smoothed by one half of a row."""
+    weight = np.ones(len(x)) if weight is None else weight
     order = np.argsort(x, kind="stable")
-    groups: list[list[float]] = []
-    for a, b in zip(x[order], y[order], strict=True):
-        if groups and (groups[-1][1] < least or groups[-1][3] == a):
+    groups: list[list[float]] = []  # weight of label 1, weight, rows, sum of x by weight, last x
+    mean = lambda g: g[0] / g[1]
+    for a, b, w in zip(x[order], y[order], weight[order], strict=True):
+        if groups and (groups[-1][2] < least or groups[-1][4] == a):
             g = groups[-1]
-            groups[-1] = [g[0] + b, g[1] + 1, g[2] + a, a]
+            groups[-1] = [g[0] + b * w, g[1] + w, g[2] + 1, g[3] + a * w, a]
         else:
-            groups.append([b, 1, a, a])
-        while len(groups) > 1 and groups[-1][1] >= least and groups[-2][0] / groups[-2][1] >= groups[-1][0] / groups[-1][1]:
+            groups.append([b * w, w, 1, a * w, a])
+        while len(groups) > 1 and groups[-1][2] >= least and mean(groups[-2]) >= mean(groups[-1]):
             g = groups.pop()
-            groups[-1] = [groups[-1][0] + g[0], groups[-1][1] + g[1], groups[-1][2] + g[2], g[3]]
+            groups[-1] = [*(p + q for p, q in zip(groups[-1][:4], g[:4], strict=True)), g[4]]
     if not groups:
         return np.array([0.0, 1.0]), np.array([0.0, 1.0])
-    knots = np.array([g[2] / g[1] for g in groups])
-    values = np.array([(g[0] + 0.5) / (g[1] + 1) for g in groups])
+    knots = np.array([g[3] / g[1] for g in groups])
+    values = np.array([(g[0] + 0.5 * g[1] / g[2]) / (g[1] + g[1] / g[2]) for g in groups])
     return np.concatenate([[0.0], knots, [1.0]]), np.maximum.accumulate(np.concatenate([[values[0] / 2], values, [(1 + values[-1]) / 2]]))
 
 
-def training_rows(labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
-    """(doc_id, toxic): the ``examples`` labelled documents of smallest hash; a document with
-    several labels counts by the largest."""
-    named = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    return named.orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").limit(examples)
+def _loss(vote: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    p = np.clip(np.interp(vote, *isotonic(vote, y, weight)), 1e-4, 1 - 1e-4)
+    return float(-np.average(y * np.log(p) + (1 - y) * np.log(1 - p), weights=weight))
+
+
+def training_rows(labels: DataFrame, examples: int = EXAMPLES) -> tuple[DataFrame, list[int]]:
+    """(doc_id, toxic) of at most ``examples`` labelled documents, those of smallest hash, up to half
+    of them of label 1; and how many labelled documents each label has. A document with several
+    labels counts by the largest."""
+    named = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    named = cut(named)
+    every = [named.filter(F.col("toxic") == y).count() for y in (0, 1)]
+    take = {1: min(every[1], max(examples // 2, examples - every[0]))}
+    take[0] = min(every[0], examples - take[1])
+    first = lambda y: named.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").limit(take[y])
+    return first(0).unionByName(first(1)), every
 
 
-def _presence(batches):
+def sample_examples(docs: DataFrame, rows: DataFrame, most_bytes: int = EXAMPLE_BYTES) -> DataFrame:
+    """(doc_id, text, toxic) of the training rows: equal texts once, and no more than fit
+    ``most_bytes``, by the hash of the id. As many rows as there are examples are ranked in one task."""
+    rows = F.broadcast(rows)  # at most EXAMPLES rows
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(rows, "doc_id")
+    once = found.withColumn("same", F.sha2("text", 256)).groupBy("same").agg(F.min(F.struct("doc_id", "text", "toxic")).alias("r")).select("r.*")
+    sample = cut(once)
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    fits = F.broadcast(sample.select("doc_id", upto.alias("upto")).filter(F.col("upto") <= most_bytes).select("doc_id"))
+    return sample.join(fits, "doc_id", "left_semi")
+
+
+def _vocabulary(batches):
+    """The distinct words of texts."""
     for batch in batches:
-        text, y = batch.column("text").cast(pa.large_string()), batch.column("toxic").to_numpy(zero_copy_only=False)
-        for part in W.chunks(text):
-            h, per = W.word_hashes(text[part])
-            row = np.repeat(np.arange(len(per)), per)
-            order = np.lexsort((row, h))
-            h, row = h[order], row[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-            word, inverse, count = np.unique(h[new], return_inverse=True, return_counts=True)
-            bad = np.bincount(inverse, y[part][row[new]], minlength=len(word)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(count.astype(np.int64)), pa.array(bad)], names=["word", "n", "bad"])
+        text = batch.column("text").cast(pa.large_string())
+        for part in W.chunks(text, TEXT_BYTES):
+            word = np.unique(W.word_hashes(text[part], W.PUNCTUATION, STEM)[0])
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64))], names=["word"])
 
 
 def _frequency(shared):
@@ -264,17 +271,19 @@ def _frequency(shared):
         for batch in batches:
             text = batch.column("text").cast(pa.large_string())
             rows += len(text)
-            for part in W.chunks(text):
-                _, term, _ = _tfidf(text[part], words)
+            for part in W.chunks(text, TEXT_BYTES):
+                _, term, _ = _terms(text[part], words)
                 total += np.bincount(term, minlength=len(words)).astype(np.int64)
         parts = [np.array([rows], np.int64), *np.array_split(total, PARTS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(-1, PARTS), pa.int32()), pa.array([pack(narrow(x)) for x in parts], pa.binary())], names=["part", "df"])
 
-    return run
+    return lean(run)
 
 
 def _add_up(table: pa.Table) -> pa.Table:
-    total = sum(unpack(x.as_buffer().to_pybytes())[0].astype(np.int64) for x in table.column("df"))
+    total = 0
+    for x in table.column("df"):
+        total = total + unpack(x.as_buffer().to_pybytes())[0].astype(np.int64)
     return pa.table({"part": table.column("part")[:1], "df": pa.array([pack(narrow(total))], pa.binary())})
 
 
@@ -285,110 +294,80 @@ def _sparse(shared):
         for batch in batches:
             text = batch.column("text").cast(pa.large_string())
             out = []
-            for part in W.chunks(text):
-                row, term, tf = _tfidf(text[part], shared.value)
+            for part in W.chunks(text, TEXT_BYTES):
+                row, term, tf = _terms(text[part], shared.value)
                 cuts = np.searchsorted(row, np.arange(part.stop - part.start + 1))
                 out += [pack(term[a:b].astype(np.int32), narrow(tf[a:b])) for a, b in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("toxic").cast(pa.int32()), pa.array(out, pa.binary())], names=["doc_id", "toxic", "vector"])
 
-    return run
+    return lean(run)
 
 
 def _left_out(shared, k: int):
-    """The nearest whole vectors of each example but itself."""
+    """The nearest examples of each example but itself."""
 
     def run(batches):
-        whole: WholeIndex = shared.value
+        index: BlockMaxIndex = shared.value
         for batch in batches:
             ids, text = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("text").cast(pa.large_string())
-            for part in W.chunks(text):
-                row, term, _, weight = whole.vectors(text[part])
+            for part in W.chunks(text, TEXT_BYTES):
+                row, term, _, weight = index.vectors(text[part])
                 cuts = np.searchsorted(row, np.arange(1, part.stop - part.start))
-                place = np.searchsorted(whole.ids, ids[part])
-                found = list(whole.search(np.split(term, cuts), np.split(weight, cuts), k, place))
+                found = list(index.search(np.split(term, cuts), np.split(weight, cuts), k, np.searchsorted(index.ids, ids[part])))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array([pack(at, cos) for at, cos in found], pa.binary())], names=["doc_id", "near"])
 
-    return run
+    return lean(run)
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary: int = VOCABULARY, k: int = NEIGHBOURS) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: tuple[int, ...] = NEIGHBOURS) -> ToxicityModel:
     """The model of ``labels`` (doc_id, toxic) over the texts of ``docs``. Only ``examples`` rows of
     the labels are learnt from, equal texts once; document frequencies are counted over all rows of
-    ``docs``."""
-    rows = F.broadcast(training_rows(labels, examples))  # at most ``examples`` rows
-    sample = cut(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(rows, "doc_id").withColumn("same", F.sha2("text", 256)).groupBy("same").agg(F.min(F.struct("doc_id", "text", "toxic")).alias("r")).select("r.*"))
-    n, bad = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    stats = cut(sample.select("text", "toxic").mapInArrow(_presence, "word long, n long, bad long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
-    rate = (bad + 0.5) / (n + 1)
-    xlogy = lambda x, y: F.when(x > 0, x * F.log(y)).otherwise(F.lit(0.0))
-    share, fine = F.col("bad") / F.col("n"), F.col("n") - F.col("bad")
-    ratio = 2 * (xlogy(F.col("bad"), share / rate) + xlogy(fine, (1 - share) / (1 - rate)))
-    telling = stats.filter((F.col("bad") >= max(5, LEAST_SHARE * bad)) & (share > rate)).withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO)
-    chosen = telling.orderBy(F.col("ratio").desc(), "word").limit(vocabulary).select("word").collect()
-    vocab = np.sort(np.array([r["word"] for r in chosen], np.int64).view(np.uint64))
-    words = np.sort(stats.select("word").toArrow().column("word").to_numpy().astype(np.int64).view(np.uint64))  # the words of at most ``examples`` texts
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(words)
-    counted = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_frequency(shared), "part int, df binary").groupBy("part").applyInArrow(_add_up, "part int, df binary")
+    ``docs``. What reaches the driver is bounded by the sample, not by the tables."""
+    sc = docs.sparkSession.sparkContext
+    rows, every = training_rows(labels, examples)
+    sample = cut(sample_examples(docs, rows))
+    found = sample.select("text").mapInArrow(lean(_vocabulary), "word long").distinct().toArrow()
+    words = np.sort(found.column("word").to_numpy().astype(np.int64).view(np.uint64))
+    shared = sc.broadcast(words)
+    counted = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_frequency(shared), "part int, df binary").groupBy("part").applyInArrow(lean_group(_add_up), "part int, df binary")
     df = {r["part"]: unpack(bytes(r["df"]))[0].astype(float) for r in counted.collect()}
     total = float(df[-1][0]) if df else 0.0
     held = np.concatenate([df[i] for i in range(PARTS)]) if df else np.zeros(len(words))
-    every = np.log((1.0 + total) / (1.0 + held)) + 1.0
-    tell = np.searchsorted(words, vocab)
-    idf = every[tell]
+    idf = (np.log((1.0 + total) / (1.0 + held)) + 1.0) ** POWER
 
     made = sample.mapInArrow(_sparse(shared), "doc_id long, toxic int, vector binary").orderBy("doc_id").collect()  # at most ``examples`` packed rows
     parts = [unpack(bytes(r["vector"])) for r in made]
     ids, y = np.array([r["doc_id"] for r in made], np.int64), np.array([r["toxic"] for r in made], float)
-    del made
     size = np.array([len(x) for x, _ in parts], np.int32)
-    whole = WholeIndex(words, every, ids, y, size, join([x for x, _ in parts], np.int32), narrow(join([x for _, x in parts], np.uint8)))
-
-    # The same vectors over the telling words alone.
-    back = np.full(len(words), -1)
-    back[tell] = np.arange(len(vocab))
-    told = [back[x] >= 0 for x, _ in parts]
-    row = np.repeat(np.arange(len(ids)), [int(m.sum()) for m in told]) if len(ids) else np.zeros(0, np.int64)
-    term = join([back[x[m]] for (x, _), m in zip(parts, told, strict=True)], np.int64)
-    tf = join([x[m] for (_, x), m in zip(parts, told, strict=True)], np.uint8).astype(float)
-    del parts, told
-    some = np.unique(row)
-    row = np.searchsorted(some, row)
-    weight = _weights(row, term, tf, idf, len(some)) if len(some) else np.zeros(0)
-    index = BlockMaxIndex.build(ids[some], y[some], row, term, weight, max(1, len(vocab)))
-    mute = np.ones(len(ids), bool)
-    mute[some] = False
-    model = ToxicityModel(vocab, idf, index, whole, (bad + 0.5) / (n + 1), (y[mute].sum() + 0.5) / (mute.sum() + 1), *[np.zeros(0)] * 4)
-    near = {}
-    if len(ids):
-        near = {r["doc_id"]: unpack(bytes(r["near"])) for r in sample.select("doc_id", "text").mapInArrow(_left_out(spark.sparkContext.broadcast(whole), k), "doc_id long, near binary").collect()}
-    place = {int(d): i for i, d in enumerate(index.ids)}
-    starts = np.searchsorted(row, np.arange(len(some) + 1))
-    votes = np.full(len(ids), model.prior)
-    for i, j in enumerate(some):
-        s = slice(starts[i], starts[i + 1])
-        at, cos, _ = index.search(term[s], weight[s], k, leave_out=place[int(ids[j])])
-        votes[j] = model.whole_vote(*near[int(ids[j])], model.vote(index.labels[at], cos))
-    for j in np.flatnonzero(mute):
-        votes[j] = model.whole_vote(*near[int(ids[j])], None)
-    model.knots, model.values = isotonic(votes[~mute], y[~mute])
-    model.silent_knots, model.silent_values = isotonic(votes[mute], y[mute])
+    index = BlockMaxIndex(words, idf, ids, y, size, join([x for x, _ in parts], np.int32), narrow(join([x for _, x in parts], np.uint8)))
+    # What an example stands for: the labelled rows of its label over the examples of its label.
+    weight = np.array([every[int(v)] / max(1, int((y == v).sum())) for v in (0, 1)])[y.astype(int)]
+    prior = ((weight * y).sum() + 0.5) / (weight.sum() + 1)
+    model = ToxicityModel(index, prior, neighbours[0], np.zeros(0), np.zeros(0))
+    if not len(ids):
+        model.knots, model.values = isotonic(np.zeros(0), y)
+        return model
+    near = {r["doc_id"]: unpack(bytes(r["near"])) for r in sample.select("doc_id", "text").mapInArrow(_left_out(sc.broadcast(index), max(neighbours)), "doc_id long, near binary").collect()}
+    votes = {k: np.array([model.vote(*near[int(i)], k) for i in ids]) for k in neighbours}
+    model.k = min(neighbours, key=lambda k: (_loss(votes[k], y, weight), k))
+    model.knots, model.values = isotonic(votes[model.k], y, weight)
     return model
 
 
-def _scorer(shared, k: int, keep: tuple[str, ...]):
+def _scorer(shared, names: list[str], text_at: int):
+    """The first columns, as many as have names, with score and evidence after them."""
+
     def run(batches):
         model: ToxicityModel = shared.value
         memo: dict[bytes, tuple] = {}
-        back = np.full(len(model.whole.words), -1)
-        back[np.searchsorted(model.whole.words, model.vocabulary)] = np.arange(len(model.vocabulary))
         for batch in batches:
-            text = batch.column("text").cast(pa.large_string())
-            for part in W.chunks(text):
+            text = batch.column(text_at).cast(pa.large_string())
+            for part in W.chunks(text, TEXT_BYTES):
                 piece = batch.slice(part.start, part.stop - part.start)
-                row, term, tf, weight = model.whole.vectors(text[part])
+                row, term, tf, weight = model.index.vectors(text[part])
                 cuts = np.searchsorted(row, np.arange(len(piece) + 1))
-                score, evidence = np.full(len(piece), model.silent), [""] * len(piece)
+                none = model.score(model.prior)
+                score, evidence = np.full(len(piece), none), [""] * len(piece)
                 ask: dict[bytes, slice] = {}
                 keys: dict[int, bytes] = {}
                 for i in np.flatnonzero(np.diff(cuts)):
@@ -396,35 +375,35 @@ def _scorer(shared, k: int, keep: tuple[str, ...]):
                     keys[i] = hashlib.sha256(term[s].tobytes() + tf[s].tobytes()).digest()
                     if keys[i] not in memo:
                         ask[keys[i]] = s
-                found = model.whole.search([term[s] for s in ask.values()], [weight[s] for s in ask.values()], k)
-                for (key, s), (at, cos) in zip(ask.items(), found, strict=True):
-                    told = back[term[s]] >= 0
-                    if told.any():
-                        own, few = back[term[s][told]], tf[s][told]
-                        there, close, _ = model.index.search(own, _weights(np.zeros(len(own), np.int64), own, few, model.idf, 1), k)
-                        vote = model.whole_vote(at, cos, model.vote(model.index.labels[there], close))
-                        value = float(model.score(np.array([vote]))[0])
-                    else:
-                        value = model.silent_score(model.whole_vote(at, cos, None))
-                    memo[key] = (value, ",".join(f"{model.whole.ids[a]}:{c:.4f}:{int(model.whole.labels[a])}" for a, c in zip(at[:3], cos[:3], strict=True)))
+                found = model.index.search([term[s] for s in ask.values()], [weight[s] for s in ask.values()], model.k)
+                for key, (at, cos) in zip(ask, found, strict=True):
+                    near = ",".join(f"{model.index.ids[a]}:{c:.4f}:{int(model.index.labels[a])}" for a, c in zip(at[:3], cos[:3], strict=True))
+                    memo[key] = (model.score(model.vote(at, cos)), near)
                 for i, key in keys.items():
                     score[i], evidence[i] = memo[key]
-                if len(memo) > 50_000:
+                if len(memo) > 20_000:
                     memo.clear()
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), pa.array(score), pa.array(evidence, pa.string())], names=[*keep, "score", "evidence"])
+                yield pa.RecordBatch.from_arrays([*piece.columns[: len(names) - 2], pa.array(score), pa.array(evidence, pa.string())], names=names)
 
-    return run
+    return lean(run)
 
 
-def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",), k: int = NEIGHBOURS) -> DataFrame:
+def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",), score_col: str = "score", evidence_col: str = "evidence") -> DataFrame:
     """``keep`` columns of every row, score (0 to 1) and evidence (up to three nearest examples as
-    id:cosine:label, by whole vectors). A text that shares no word with any example, an empty and a
-    null text get the rate of label 1 among examples without telling words. Scores depend on the
-    text alone."""
+    id:cosine:label). A text that shares no word with any example, an empty and a null text get the
+    score of the rate of label 1 among the examples. Scores depend on the text alone. Columns of
+    any names may be kept; a kept column that has the name of ``score_col`` or ``evidence_col`` is
+    an error, so choose others then."""
+    if {score_col, evidence_col} & set(keep):
+        raise ValueError("a kept column has the name of a result")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
-    fields = ", ".join(f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in keep)
-    return chosen.mapInArrow(_scorer(shared, k, keep), f"{fields}, score double, evidence string")
+    names = [*(f"c{i}" for i in range(len(keep))), "score", "evidence"]
+    text = [] if "text" in keep else [F.col("text").cast("string").alias("text")]
+    chosen = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=False)), *text)
+    fields = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(keep, names, strict=False))
+    text_at = len(keep) if text else keep.index("text")
+    out = chosen.mapInArrow(_scorer(shared, names, text_at), f"{fields}, score double, evidence string")
+    return out.toDF(*keep, score_col, evidence_col)
 
 
 def held_out(doc_id: str = "doc_id"):

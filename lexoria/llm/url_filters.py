@@ -3,6 +3,10 @@
 A url is judged by the longest rule that fits. Urls joined by redirects or canonical links form
 classes (distributed connected components): a block rule that fits any member blocks the members
 without a rule of their own, unless an allow rule fits a member, which then allows them.
+
+Links are resolved against the page's url as browsers do. Urls are the same member if they are
+equal after A-Z in scheme and host are lower-cased, dot segments and the fragment are removed and
+an empty path becomes ``/``.
 """
 
 from __future__ import annotations
@@ -20,8 +24,13 @@ from .runtime import cut
 INLINE_RULES = 10_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-_REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+_SCHEME = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*):"
+_DOTS = r"(?s)(^|/)\.\.?(/|$)"
+#: Tags, and what marks those that count: rel with the word canonical, http-equiv refresh.
+_LINK, _META = r"(?is)<link\b[^>]*>", r"(?is)<meta\b[^>]*>"
+_CANONICAL = r"(?is)\brel\s*=\s*(\"[^\"]*\bcanonical\b[^\"]*\"|'[^']*\bcanonical\b[^']*'|canonical\b)"
+_REFRESH = r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"
+_TO = r"(?is)\burl\s*=\s*[\"']?\s*([^\s\"'>;]+)"
 
 
 @dataclass(frozen=True)
@@ -46,6 +55,49 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _lower(x: Column) -> Column:
+    return F.translate(x, _UPPER, _LOWER)
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with a slash, without its segments ``.`` and ``..``."""
+    parts = F.split(F.substring(path, 2, 2**31 - 1), "/", -1)
+    step = lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    last = F.element_at(parts, -1)
+    kept = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path.rlike(_DOTS), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+
+def url_node(url: Column) -> Column:
+    """The url as a member of a class; null without a scheme, ``://`` and a host."""
+    origin = F.regexp_extract(url, r"(?s)^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
+    path = F.regexp_extract(url, r"(?s)^[^:]*://[^/?#]+([^?#]*)", 1)
+    query = F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    return F.when(origin != "", F.concat(_lower(origin), _without_dots(F.when(path == "", "/").otherwise(path)), query))
+
+
+def resolve_link(base: Column, link: Column) -> Column:
+    """The absolute url of a link on a page; null for links that lead nowhere else (fragments,
+    ``mailto:`` and the like)."""
+    scheme = F.regexp_extract(base, _SCHEME, 1)
+    origin = F.regexp_extract(base, r"(?s)^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(base, r"(?s)^[^:]*://[^/?#]*([^?#]*)", 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_replace(path, r"(?s)[^/]*$", ""))
+    here = (
+        F.when(link.rlike(r"(?s)^\s*(#|$)"), None).when(link.rlike(_SCHEME), F.when(link.contains("://"), link))
+        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link)).when(link.startswith("/"), F.concat(origin, link))
+        .when(link.startswith("?"), F.concat(origin, F.when(path == "", "/").otherwise(path), link)).otherwise(F.concat(origin, folder, link))
+    )
+    return F.when(origin != "", url_node(here))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's value, quoted or not; empty without."""
+    quoted = rf"(?is)\b{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    return F.trim(F.concat(*[F.regexp_extract(tag, quoted, i) for i in (1, 2, 3)]))
+
+
 def _suffixes(host: Column) -> Column:
     labels = F.split(host, r"\.", -1)
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
@@ -53,15 +105,17 @@ def _suffixes(host: Column) -> Column:
 
 def apply_rules(urls: DataFrame, rules: list[UrlRule] | DataFrame, url_col: str = "url") -> DataFrame:
     """``urls`` with host, path, rule and rule_verdict (null where none fits; the longest wins,
-    then the one with the longer host, then allow)."""
+    then the one with the longer host, then allow). Rules without a host or with another verdict
+    than allow or block are left out; a rule without a path fits every path."""
     out = urls.withColumn("host", url_host(F.col(url_col))).withColumn("path", url_path(F.col(url_col)))
     if isinstance(rules, DataFrame):
-        listed = rules.select("verdict", "host", "path").limit(INLINE_RULES + 1).collect()
+        rules = rules.filter(F.col("host").isNotNull() & F.col("verdict").isin("allow", "block")).select("verdict", "host", F.coalesce("path", F.lit("")).alias("path"))
+        listed = rules.limit(INLINE_RULES + 1).collect()
         rules = rules if len(listed) > INLINE_RULES else [UrlRule(*r) for r in listed]
     rank = "struct<len:int,hosts:int,verdict:int,rule:string>"
     if not isinstance(rules, DataFrame):
         by_host: dict[str, list[dict]] = {}
-        for r in rules:
+        for r in (UrlRule(r.verdict, r.host, r.path or "") for r in rules if r.host is not None and r.verdict in ("allow", "block")):
             by_host.setdefault(r.host, []).append({"path": r.path, "rank": {"len": len(r.host + r.path), "hosts": len(r.host), "verdict": int(r.verdict == "allow"), "rule": r.host + r.path}})
         table = F.from_json(F.lit(json.dumps(by_host)), f"map<string,array<struct<path:string,rank:{rank}>>>")
         found = F.flatten(F.transform(F.filter(_suffixes(F.col("host")), lambda s: F.map_contains_key(table, s)), lambda s: F.element_at(table, s)))
@@ -77,21 +131,24 @@ def apply_rules(urls: DataFrame, rules: list[UrlRule] | DataFrame, url_col: str
 
 
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b): each page's url and the absolute target of its canonical link or meta refresh."""
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    href = F.regexp_extract(F.regexp_extract(html, _CANONICAL, 0), r"(?is)\bhref\s*=\s*[\"']?([^\s\"'>]+)", 1)
-    to = F.regexp_extract(F.regexp_extract(html, _REFRESH, 0), r"(?is)\burl\s*=\s*[\"']?([^\s\"'>]+)", 1)
-    url = F.col(url_col)
-    links = pages.filter(url.isNotNull()).select(url.alias("a"), F.explode(F.filter(F.array(href, to), lambda x: x != "")).alias("b"))
-    scheme, origin = F.regexp_extract("a", r"(?s)^(.*?:)//", 1), F.regexp_extract("a", r"(?s)^(.*?://[^/?#]*)", 1)
-    full = F.when(F.col("b").contains("://"), F.col("b")).when(F.col("b").startswith("//"), F.concat(scheme, "b")).when(F.col("b").startswith("/"), F.concat(origin, "b"))
-    return links.withColumn("b", F.replace(full, F.lit("&amp;"), F.lit("&"))).filter("b IS NOT NULL AND a <> b").distinct()
+    """(a, b): each page's url and the targets of all its canonical links and meta refreshes, as
+    members of classes."""
+    html, url = F.coalesce(F.col(html_col), F.lit("")), F.col(url_col)
+    low = F.lower(html)
+    tags = lambda mark, tag, wanted: F.when(low.contains(mark), F.filter(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: t.rlike(wanted)))
+    href = F.transform(tags("canonical", _LINK, _CANONICAL), lambda t: _attribute(t, "href"))
+    to = F.transform(tags("refresh", _META, _REFRESH), lambda t: F.regexp_extract(t, _TO, 1))
+    none = F.array().cast("array<string>")
+    links = pages.filter(url.isNotNull()).select(url.alias("base"), F.explode(F.concat(F.coalesce(href, none), F.coalesce(to, none))).alias("link"))
+    plain = F.replace(F.col("link"), F.lit("&amp;"), F.lit("&"))
+    edges = links.select(url_node(F.col("base")).alias("a"), resolve_link(F.col("base"), plain).alias("b"))
+    return edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
 
 
 def judge_urls(pages: DataFrame, rules: list[UrlRule] | DataFrame, redirects: DataFrame | None = None, html_col: str | None = "html") -> DataFrame:
     """(page_id, url, host, path, rule, verdict, decided_by) of every row of ``pages``.
 
-    redirects: more edges (a, b) between urls, such as HTTP redirects from a crawl log.
+    redirects: more edges (a, b) between absolute urls, such as HTTP redirects from a crawl log.
     decided_by: rule, alias (an equivalent url's rule) or default (allow).
     Nulls: a null url has an empty host and path and is allowed; a null html has no links; rows
     with a null page_id are judged too. Repeated rows are each returned. Other columns are ignored.
@@ -100,17 +157,21 @@ def judge_urls(pages: DataFrame, rules: list[UrlRule] | DataFrame, redirects: Da
     judged = apply_rules(pages.select(*cols), rules)
     edges = alias_edges(pages, "url", html_col) if html_col else None
     if redirects is not None:
-        more = redirects.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+        more = redirects.select(url_node(F.col("a")).alias("a"), url_node(F.col("b")).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
         edges = more if edges is None else edges.unionByName(more)
     default = F.lit("allow")
+    unknown = F.lit(None).cast("string")
     if edges is not None and not (edges := cut(edges)).isEmpty():
         classes = cut(components(edges))
         marked = apply_rules(classes, rules, "node").filter("rule_verdict IS NOT NULL")
         decided = marked.groupBy("component").agg(F.max("rule_verdict").alias("high"), F.min("rule_verdict").alias("low"))
         decided = decided.select("component", F.when(F.col("low") == "allow", "allow").otherwise("block").alias("alias_verdict"))
-        alias = classes.join(decided, "component").select(F.col("node").alias("url"), "alias_verdict")
-        judged = judged.join(alias, "url", "left")
+        alias = classes.join(decided, "component").select("node", "alias_verdict")
+        judged = judged.withColumn("node", url_node(F.col("url")))
+        # Rows that are no member stay out of the join: their nulls would meet in one task.
+        members = judged.filter("node IS NOT NULL").join(alias, "node", "left").drop("node")
+        judged = members.unionByName(judged.filter("node IS NULL").drop("node").withColumn("alias_verdict", unknown))
     else:
-        judged = judged.withColumn("alias_verdict", F.lit(None).cast("string"))
+        judged = judged.withColumn("alias_verdict", unknown)
     by = F.when(F.col("rule_verdict").isNotNull(), "rule").when(F.col("alias_verdict").isNotNull(), "alias").otherwise("default")
     return judged.select("page_id", "url", "host", "path", "rule", F.coalesce("rule_verdict", "alias_verdict", default).alias("verdict"), by.alias("decided_by"))

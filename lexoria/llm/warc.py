@@ -14,17 +14,15 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import shared_dir
+from .runtime import lean, shared_dir
 
 #: Payloads shorter than this are always stored in full.
 REVISIT_BYTES = 100
 #: An archive is closed once it has reached this size.
 ARCHIVE_BYTES = 32_000_000
-#: A manifest of up to this many archives is broadcast when it is read.
-BROADCAST_ARCHIVES = 50_000
 _PIECE = 1 << 16
 
 
@@ -143,11 +141,29 @@ def classify(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html
 _STATUS = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
+def _store(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a whole URI, and the path in it."""
+    scheme, _, rest = folder.partition(":")
+    return pafs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + (rest if rest.startswith("//") else f"//{rest}"))
+
+
+def whole_uri(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme that Spark finds it by; without one, that of its default file
+    system. Raises where tasks could not write there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    try:
+        _store(uri)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError) as e:
+        raise ValueError(f"archives cannot be written to {uri}: {e}") from None
+    return uri
+
+
 def _writer(folder: str, date: str):
     def run(batches):
         from pyspark import TaskContext
 
-        fs, root = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+        fs, root = _store(folder)
         task = TaskContext.get().partitionId() if TaskContext.get() else 0
         sink, name, n, size, part = None, "", 0, 0, 0
 
@@ -166,7 +182,7 @@ def _writer(folder: str, date: str):
                 if again:
                     extra |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:page:{row['first']}>"}
                 block = _STATUS + (b"" if again else row["html"].encode())
-                data = write_record("revisit" if again else "response", row["url"], f"<urn:page:{row['page_id']}>", date, block, extra)
+                data = write_record("revisit" if again else "response", row["url"], f"<urn:page:{row['page_id']}:{name}:{n}>", date, block, extra)
                 sink.write(data)
                 n, size = n + 1, size + len(data)
                 if size >= ARCHIVE_BYTES:
@@ -175,7 +191,7 @@ def _writer(folder: str, date: str):
         if sink is not None:
             yield close()
 
-    return run
+    return lean(run)
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, date: str = "2024-01-01T00:00:00Z") -> tuple[str, DataFrame]:
@@ -183,34 +199,49 @@ def write_archives(pages: DataFrame, folder: str | None = None, date: str = "202
 
     Archives are moved to their name when whole, and every attempt of a task writes names of its
     own: the manifest, which is cut here, lists each record's archive exactly once, also after a
-    task ran twice or an executor was lost. folder: any URI that pyarrow can write.
+    task ran twice or an executor was lost. Record ids are unique; that of page 7 begins with
+    ``urn:page:7``, by which revisits name it. folder: as Spark would find it, in a store that pyarrow
+    can write; by default a fresh one in the shared folder, deleted when the driver ends.
     """
     spark = pages.sparkSession
-    folder = folder or f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    fs, root = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+    fresh = folder is None
+    folder = whole_uri(spark, folder or f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}")
+    fs, root = _store(folder)
     fs.create_dir(root, recursive=True)
+    if fresh:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     rows = classify(pages).select("page_id", "url", "html", "payload_digest", "payload_bytes", "first")
     manifest = rows.mapInArrow(_writer(folder, date), "archive string, records long, bytes long")
     shared_dir(spark)
     return folder, manifest.checkpoint(eager=True)
 
 
-def _reader(batches):
-    for batch in batches:
-        for content in batch.column("content"):
-            rows: list[tuple] = []
-            data = memoryview(content.as_buffer())
-            for r in read_records(bytes(data[i : i + _PIECE]) for i in range(0, len(data), _PIECE)):
-                h = r.headers
-                again = h["warc-type"] == "revisit"
-                refers = int(h["warc-refers-to"].removeprefix("<urn:page:").removesuffix(">")) if again else None
-                length = int(h["x-payload-length"]) if again else len(r.payload)
-                digest = h["warc-payload-digest"].removeprefix("sha256:") if again else hashlib.sha256(r.payload).hexdigest()
-                rows.append((int(h["x-page-id"]) if h["x-page-id"] else None, h.get("warc-target-uri"), length, digest, h["warc-type"], refers))
-                if len(rows) == 5000:
-                    yield _batch(rows)
-                    rows = []
-            yield _batch(rows)
+def _pieces(stream) -> Iterator[bytes]:
+    with stream:
+        while piece := stream.read(_PIECE):
+            yield piece
+
+
+def _reader(folder: str):
+    def run(batches):
+        fs, root = _store(folder)
+        for batch in batches:
+            for name in batch.column("archive").to_pylist():
+                rows: list[tuple] = []
+                for r in read_records(_pieces(fs.open_input_stream(f"{root}/{name}", compression=None))):
+                    h = r.headers
+                    again = h["warc-type"] == "revisit"
+                    refers = int(h["warc-refers-to"].removeprefix("<urn:page:").removesuffix(">")) if again else None
+                    length = int(h["x-payload-length"]) if again else len(r.payload)
+                    digest = h["warc-payload-digest"].removeprefix("sha256:") if again else hashlib.sha256(r.payload).hexdigest()
+                    rows.append((int(h["x-page-id"]) if h["x-page-id"] else None, h.get("warc-target-uri"), length, digest, h["warc-type"], refers))
+                    if len(rows) == 5000:
+                        yield _batch(rows)
+                        rows = []
+                yield _batch(rows)
+
+    return lean(run)
 
 
 _READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -223,13 +254,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def read_archives(folder: str, manifest: DataFrame) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) of every record of the
-    manifest's archives. Spark reads the files, so the folder may be in any store."""
-    spark = manifest.sparkSession
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
-    names = manifest.select("archive")
-    names = F.broadcast(names) if manifest.count() <= BROADCAST_ARCHIVES else names
-    listed = files.withColumn("archive", F.element_at(F.split("path", "/"), -1)).join(names, "archive", "left_semi")
-    return listed.select("content").mapInArrow(_reader, _READ)
+    archives that the column ``archive`` of the manifest names. Each is read as a stream, piece by
+    piece; archives of one partition of the manifest are read by one task."""
+    return manifest.select("archive").mapInArrow(_reader(whole_uri(manifest.sparkSession, folder)), _READ)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:

@@ -18,8 +18,13 @@ _M2 = np.uint64(0x94D049BB133111EB)
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes between alphanumeric words: ASCII outside 0-9, A-Z and a-z. Other letters are words' bytes.
+PUNCTUATION = np.ones(256, dtype=bool)
+PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Bytes of text whose words are hashed at once, about; the arrays in between take some 50 times that.
+_AT_ONCE = 500_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -74,9 +79,9 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return text, off - off[0]
 
 
-def word_spans(text: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(text: np.ndarray, off: np.ndarray, separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and how many each text has."""
-    inside = ~_SEPARATOR[text]
+    inside = ~separator[text]
     before = np.empty_like(inside)
     if len(inside):
         before[0] = False
@@ -94,10 +99,19 @@ def word_spans(text: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, per
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word in order, words per text)."""
+def word_hashes(column: pa.Array, separator: np.ndarray = _SEPARATOR, beginning: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word in order, words per text). beginning: only so many bytes of each count."""
+    parts = [_word_hashes(column[part], separator, beginning) for part in chunks(column, _AT_ONCE)]
+    if len(parts) == 1:
+        return parts[0]
+    return np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in parts)]), np.concatenate([np.zeros(0, np.int64), *(per for _, per in parts)])
+
+
+def _word_hashes(column: pa.Array, separator: np.ndarray, beginning: int | None) -> tuple[np.ndarray, np.ndarray]:
     text, off = raw(column)
-    starts, ends, per = word_spans(text, off)
+    starts, ends, per = word_spans(text, off, separator)
+    if beginning is not None:
+        ends = np.minimum(ends, starts + beginning)
     if not len(starts):
         return np.zeros(0, np.uint64), per
     length = ends - starts
