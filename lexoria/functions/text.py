@@ -12,11 +12,12 @@ from pyspark.sql import types as T
 #: Letters that fold to one ASCII letter, for expressions that stay in the JVM.
 _FOLD_FROM = "áàâãäåçéèêëíìîïñóòôõöúùûüýÿ"
 _FOLD_TO = "aaaaaaceeeeiiiinooooouuuuyy"
+FOLD = str.maketrans(_FOLD_FROM, _FOLD_TO)
 
 
 def words(text: Column) -> Column:
-    """Lower-cased runs of a-z and 0-9: the tokens of lexical search."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    """Lower-cased runs of letters and digits, Latin accents folded: the tokens of lexical search."""
+    return F.regexp_extract_all(F.translate(F.lower(text), _FOLD_FROM, _FOLD_TO), F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def folded(text: Column) -> Column:
@@ -99,13 +100,14 @@ def is_url(value: Column) -> Column:
 
 
 def host_allowed(host: Column, allowed: list[str]) -> Column:
-    """Equal to an entry or below it; an empty list allows all."""
+    """Equal to an entry, or below the rest of an entry that begins with ``*.``; an empty list
+    allows all."""
     if not allowed:
         return F.lit(True)
     ok = F.lit(False)
     for entry in allowed:
-        bare = entry.lower().lstrip("*.")
-        ok = ok | (F.lower(host) == bare) | F.lower(host).endswith("." + bare)
+        low = entry.strip().lower().rstrip(".")
+        ok = ok | (F.lower(host).endswith(low[1:]) if low.startswith("*.") else F.lower(host) == low)
     return F.coalesce(ok, F.lit(False))
 
 

@@ -31,6 +31,22 @@ def first_matches(references: DataFrame, retrieved: DataFrame, condition: Column
     return references.select("case_id", "reference_id").distinct().join(hits, ["case_id", "reference_id"], "left")
 
 
+def first_evidence(references: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """(case_id, reference_id, rank): the first ranked text that holds all words of a reference's
+    term in their order; null if none does. references: (case_id, reference_id, term); retrieved:
+    (content, rank).
+
+    Texts meet the terms on their first word, so that only texts that hold it are compared; a term
+    without words matches nothing."""
+    row = lambda x: F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(x), F.lit(r"\S+"), F.lit(0)), " "), F.lit(" "))
+    asked = references.select("case_id", "reference_id", row(F.col("term")).alias("term")).withColumn("first", F.split("term", " ")[1]).filter("first <> ''")
+    firsts = asked.select("first").distinct()
+    texts = retrieved.select("rank", row(F.col("content")).alias("content"))
+    held = texts.select("rank", "content", F.explode(F.array_distinct(F.split(F.trim("content"), " "))).alias("first")).join(firsts, "first", "left_semi")
+    hits = held.join(asked, "first").filter(F.col("content").contains(F.col("term"))).groupBy("case_id", "reference_id").agg(F.min("rank").alias("rank"))
+    return references.select("case_id", "reference_id").distinct().join(hits, ["case_id", "reference_id"], "left")
+
+
 def coverage(matches: DataFrame, cuts: tuple[int, ...] = (10, 20, 40)) -> DataFrame:
     """Per case: share of references found by each cut, and the discounted share at 10."""
     found = [F.round(F.count_if(F.col("rank") <= k) / F.count("*"), 4).alias(f"recall_{k}") for k in cuts]

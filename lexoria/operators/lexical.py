@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexoria.functions.text import words
+from lexoria.functions.text import FOLD, words
 
 
 def parse_query(text: str | None) -> list[list[tuple[bool, str]]]:
@@ -22,15 +22,15 @@ def parse_query(text: str | None) -> list[list[tuple[bool, str]]]:
         if not minus and not phrase and word.lower() == "or":
             groups.append([])
             continue
-        tokens = re.findall("[a-z0-9]+", (phrase or word).lower())
+        tokens = re.findall("[a-z0-9]+", (phrase or word).lower().translate(FOLD))
         if tokens:
             groups[-1].append((not minus, " ".join(tokens)))
     return [g for g in groups if any(wanted for wanted, _ in g)]
 
 
-def token_text(content: Column) -> Column:
-    """The tokens between doubled spaces' single borders: each token is `` token ``."""
-    return F.concat(F.lit(" "), F.array_join(words(content), "  "), F.lit(" "))
+def _spaced(tokens: Column) -> Column:
+    """Tokens as one text in which each has spaces of its own around it."""
+    return F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" "))
 
 
 def _needle(term: str) -> str:
@@ -56,10 +56,17 @@ def score(tokens: Column, n_tokens: Column, parsed: list[list[tuple[bool, str]]]
     return total / (1 + F.log(n_tokens.cast("double")))
 
 
-def lexical_matches(rows: DataFrame, asked: list[tuple[int, str]], content: str = "content") -> DataFrame:
-    """``rows`` (with query_id) that match their query's text, with lexical_score. ``asked`` holds
-    the texts of a batch; each becomes one predicate, so that tokens are made once a row."""
-    named = rows.withColumn("_n", F.size(words(F.col(content)))).withColumn("_tokens", token_text(F.col(content)))
+def tokenised(corpus: DataFrame, content: str = "content") -> DataFrame:
+    """The corpus with the tokens of each row, made once a row: what a generator yields is not
+    computed again in each place that uses it."""
+    listed = corpus.withColumn("_words", F.explode(F.array(words(F.col(content)))))
+    return listed.withColumn("_tokens", F.explode(F.array(_spaced(F.col("_words"))))).withColumn("_n", F.size("_words")).drop("_words")
+
+
+def lexical_matches(rows: DataFrame, asked: list[tuple[int, str]]) -> DataFrame:
+    """``rows`` (with query_id, of a tokenised corpus) that match their query's text, with
+    lexical_score. ``asked`` holds the texts of a batch; each becomes one predicate."""
+    named = rows
     hit, value = F.lit(False), F.lit(None).cast("double")
     for query_id, text in asked:
         parsed = parse_query(text)

@@ -11,13 +11,25 @@ def row_hash(columns: list[str]) -> Column:
     return F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in columns]), 256)
 
 
-def fingerprint(rows: DataFrame, columns: list[str], partitions: int = 64) -> DataFrame:
-    """(rows, fingerprint): independent of row order. Row hashes are dealt by their first digits,
-    each part's are listed in order and hashed, and the parts' hashes are listed and hashed, so
-    that no task holds all rows."""
+#: Row hashes that one part of a fingerprint lists, about.
+PART_ROWS = 65_536
+
+
+def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(rows, fingerprint): independent of row order, a tree of hashes. Row hashes are dealt by their
+    first digits, two and then two more for every 256 times as many rows; each part's are listed in
+    order and hashed, and then the parts' of each shorter prefix, so that a task lists a bounded
+    number of them, but for equal rows."""
     hashed = rows.select(row_hash(columns).alias("h"))
-    part = F.left("h", F.lit(2))
-    parts = hashed.groupBy(part.alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("ph"), F.count("*").alias("n"))
+    count, digits = rows.count(), 2
+    while count > PART_ROWS * 16**digits:
+        digits += 2
+    joined = lambda x: F.sha2(F.array_join(x, "\n"), 256)
+    parts = hashed.groupBy(F.left("h", F.lit(digits)).alias("p")).agg(joined(F.array_sort(F.collect_list("h"))).alias("ph"), F.count("*").alias("n"))
+    while digits > 2:
+        digits -= 2
+        level = parts.groupBy(F.left("p", F.lit(digits)).alias("p"))
+        parts = level.agg(joined(F.transform(F.array_sort(F.collect_list(F.struct("p", "ph"))), lambda x: x["ph"])).alias("ph"), F.sum("n").alias("n"))
     return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "ph"))), lambda x: x["ph"]), "\n"), 256).alias("fingerprint"))
 
 
@@ -26,9 +38,12 @@ def plan_ingest(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     processing hash (the oldest), else embed. incoming: (filename, processing_hash); existing:
     (filename, processing_hash, created_at)."""
     own = existing.select("filename", F.col("processing_hash").alias("old_hash"))
-    donors = existing.groupBy("processing_hash").agg(F.array_sort(F.collect_set(F.struct("created_at", F.col("filename").alias("f")))).alias("d"))
-    j = incoming.join(own, "filename", "left").join(donors, "processing_hash", "left")
-    other = F.get(F.filter("d", lambda x: x["f"] != F.col("filename")), F.lit(0))["f"]
+    donor = F.struct("created_at", F.col("filename").alias("f"))
+    oldest = existing.groupBy("processing_hash").agg(F.min(donor).alias("d1"))
+    # The oldest of another name stands in where a document would be its own donor.
+    second = existing.join(oldest, "processing_hash").filter("filename <> d1.f").groupBy("processing_hash").agg(F.min(donor).alias("d2"))
+    j = incoming.join(own, "filename", "left").join(oldest, "processing_hash", "left").join(second, "processing_hash", "left")
+    other = F.when(F.col("d1.f") != F.col("filename"), F.col("d1.f")).otherwise(F.col("d2.f"))
     same = F.col("old_hash").eqNullSafe(F.col("processing_hash"))
     return j.select("filename", F.when(same, "skip").when(other.isNotNull(), "reuse").otherwise("embed").alias("action"), F.when(~same, other).alias("reuse_from"))
 

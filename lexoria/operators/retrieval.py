@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexoria.functions.vectors import cosine_similarity
+from lexoria.functions.vectors import cosine_similarity, dot, norm
 
-from .lexical import lexical_matches
+from .lexical import lexical_matches, tokenised
 
 RRF_K = 60
 #: Questions in one batch at most; larger batches are to be split.
@@ -45,9 +45,21 @@ def base_rows(corpus: DataFrame, questions: DataFrame, scope: DataFrame | None =
     """Corpus rows that pass each question's filters, with ``similarity``. A row without a module
     passes every module filter. A question without a vector has null similarities."""
     passes = _filters()
-    asked = F.broadcast(questions.select("query_id", "doc_types", "modules", "section_ids", "query_embedding"))
-    rows = corpus.join(asked, passes)
-    return _scoped(rows, scope).withColumn("similarity", cosine_similarity(F.col("embedding"), F.col("query_embedding"))).drop("embedding", "query_embedding", "doc_types", "modules", "section_ids")
+    asked = F.broadcast(questions.select("query_id", "doc_types", "modules", "section_ids", "query_embedding", norm(F.col("query_embedding")).alias("_asked_norm")))
+    once = corpus.withColumn("_norm", F.explode(F.array(norm(F.col("embedding")))))  # a norm a row, not a pair
+    rows = _scoped(once.join(asked, passes), scope)
+    similarity = dot(F.col("embedding"), F.col("query_embedding")) / F.nullif(F.col("_norm") * F.col("_asked_norm"), F.lit(0.0))
+    return rows.withColumn("similarity", similarity).drop("embedding", "query_embedding", "doc_types", "modules", "section_ids", "_norm", "_asked_norm")
+
+
+def lexical_rows(corpus: DataFrame, questions: DataFrame, scope: DataFrame | None = None, carry: tuple[str, ...] = ("document_id", "chunk_index")) -> DataFrame:
+    """(query_id, id, *carry, lexical_score) of the corpus rows that pass each question's filters and
+    match its text. Tokens are made once a corpus row, before the questions are joined."""
+    asked = F.broadcast(questions.select("query_id", "doc_types", "modules", "section_ids"))
+    extra = ["section_id"] if scope is not None else []
+    narrow = tokenised(corpus).select("id", *carry, *(c for c in extra if c not in carry), "doc_type", "module", "_tokens", "_n")
+    rows = _scoped(narrow.join(asked, _filters()), scope)
+    return lexical_matches(rows, _collected(questions)).select("query_id", "id", *carry, "lexical_score")
 
 
 def _scoped(rows: DataFrame, scope: DataFrame | None) -> DataFrame:
@@ -113,7 +125,7 @@ def hybrid_match_chunks(chunks: DataFrame, questions: DataFrame, match_count: in
     on neighbours; fused rows have no similarity floor."""
     base, fetch = base_rows(chunks, questions, scope), max(fetch_limit, match_count)
     vector = top(base.filter(F.col("similarity") >= threshold * floor), "vector_rank", [F.col("similarity").desc(), F.col("id")], fetch)
-    lexical = top(lexical_matches(base, _collected(questions)), "lexical_rank", [F.col("lexical_score").desc(), F.col("id")], fetch)
+    lexical = top(lexical_rows(chunks, questions, scope), "lexical_rank", [F.col("lexical_score").desc(), F.col("id")], fetch)
     seeds = top(fuse(vector, lexical, weights), "retrieval_rank", _fused_order(), match_count).select("query_id", "id", "document_id", "chunk_index", "retrieval_rank", "lexical_score", "fusion_score", "origin")
     out = expand(seeds, chunks, questions, match_count, scope)
     mine = lambda c: F.when(~F.col("is_neighbor"), F.col(c))
@@ -124,10 +136,13 @@ def hybrid_match_sections(sections: DataFrame, questions: DataFrame, match_count
     """Fused search over sections, without neighbours. A section without a vector has similarity 0."""
     base, fetch = base_rows(sections, questions), max(fetch_limit, match_count)
     vector = top(base.filter(F.col("similarity") >= threshold * 0.65), "vector_rank", [F.col("similarity").desc(), F.col("id")], fetch)
-    lexical = top(lexical_matches(base, _collected(questions)), "lexical_rank", [F.col("lexical_score").desc(), F.col("id")], fetch)
+    lexical = top(lexical_rows(sections, questions, None, ()), "lexical_rank", [F.col("lexical_score").desc(), F.col("id")], fetch)
     seeds = top(fuse(vector, lexical, weights, ()), "retrieval_rank", _fused_order(), match_count)
-    own = base.select("query_id", "id", "document_id", "section_index", "module", "doc_type", "filename", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
-    return seeds.drop("vector_similarity").join(own, ["query_id", "id"])
+    # At most match_count * BATCH seeds look up their sections; similarities are made for these only.
+    asked = questions.select("query_id", "query_embedding")
+    found = sections.join(F.broadcast(seeds.join(asked, "query_id")), "id")
+    own = F.coalesce(cosine_similarity(F.col("embedding"), F.col("query_embedding")), F.lit(0.0)).alias("similarity")
+    return found.select(*[c for c in seeds.columns if c != "vector_similarity"], "document_id", "section_index", "module", "doc_type", "filename", own)
 
 
 def match_chunks_v1(chunks: DataFrame, questions: DataFrame, match_count: int = 8, threshold: float = 0.55, fetch_limit: int = 80) -> DataFrame:
@@ -153,7 +168,7 @@ def hybrid_match_chunks_v1(chunks: DataFrame, questions: DataFrame, match_count:
     neighbours inherit as in match_chunks_v1."""
     base = base_rows(chunks, questions)
     vector = top(base, "vector_rank", [F.col("similarity").desc(), F.col("id")], fetch_limit)
-    lexical = top(lexical_matches(base, _collected(questions)), "lexical_rank", [F.col("lexical_score").desc(), F.col("id")], fetch_limit)
+    lexical = top(lexical_rows(chunks, questions), "lexical_rank", [F.col("lexical_score").desc(), F.col("id")], fetch_limit)
     fused = fuse(vector, lexical, weights).filter((F.coalesce("vector_similarity", F.lit(0.0)) >= 0.5 * threshold) | (F.col("origin") == "hybrid"))
     seeds = top(fused, "retrieval_rank", _fused_order(), match_count).select("query_id", "id", "document_id", "chunk_index", F.coalesce("vector_similarity", F.lit(0.0)).alias("score"))
     return _inherit(seeds, base, match_count)

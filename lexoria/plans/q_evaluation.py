@@ -36,10 +36,10 @@ def recall(spark, sf_dir):
 
 
 def evidence_terms(spark, sf_dir):
-    """Reference evidence by terms: the first words of a benchmark item contained in a document."""
-    item = corpus.table(spark, sf_dir, "benchmark").select((F.col("item_id") % 5).alias("case_id"), F.col("item_id").alias("reference_id"), F.left(F.col("text"), F.lit(40)).alias("term"))
-    docs = corpus.table(spark, sf_dir, "documents").filter("doc_id % 3 = 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("case_id"), F.col("text").alias("content"), (F.expr("doc_id div 3") + 1).alias("rank"))
-    return ev.first_matches(item, docs, F.col("content").contains(F.col("term"))).groupBy("case_id").agg(F.count("*").alias("n"), F.count("rank").alias("found"), F.min("rank").alias("best"))
+    """Reference evidence by terms: all words of a benchmark item, in their order, in a document."""
+    item = corpus.table(spark, sf_dir, "benchmark").select((F.col("item_id") % 5).alias("case_id"), F.col("item_id").alias("reference_id"), F.col("text").alias("term"))
+    docs = corpus.table(spark, sf_dir, "documents").select(F.col("text").alias("content"), (F.col("doc_id") + 1).alias("rank"))
+    return ev.first_evidence(item, docs).groupBy("case_id").agg(F.count("*").alias("n"), F.count("rank").alias("found"), F.min("rank").alias("best"))
 
 
 def cases(spark, sf_dir):
@@ -89,7 +89,7 @@ def percentiles(spark, sf_dir):
 
 def _runs(spark, sf_dir):
     runs = corpus.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), "o_orderstatus")
-    r = corpus.table(spark, sf_dir, "lineitem").filter("l_orderkey % 7 <> 0").select(F.col("l_orderkey").alias("run_id"), F.when(F.col("l_linenumber") != 3, F.col("l_returnflag") == "R").alias("correct"), F.when(F.col("l_quantity") > 10, F.col("l_linestatus") == "O").alias("grounded"))
+    r = corpus.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.when(F.col("l_linenumber") != 3, F.col("l_returnflag") == "R").alias("correct"), F.when(F.col("l_quantity") > 10, F.col("l_linestatus") == "O").alias("grounded"))
     return runs, r
 
 
@@ -158,7 +158,7 @@ SELECT d.case_id, CASE WHEN u = 0 AND idcg > 0 THEN round(dcg / idcg, 4) END AS
     "retrieval_recall": f"""WITH {_cand(40)}, m AS (SELECT q.query_id AS case_id, r.reference_id, (SELECT min(position) FROM cand c WHERE c.query_id = q.query_id AND c.document_id = r.reference_id) AS rank FROM questions q, (SELECT unnest(range(0, 37, 4)) AS reference_id) r)
 SELECT case_id, count(*) AS n_references, round(count(*) FILTER (rank <= 10) / count(*), 4) AS recall_10, round(count(*) FILTER (rank <= 20) / count(*), 4) AS recall_20, round(count(*) FILTER (rank <= 40) / count(*), 4) AS recall_40,
 round(sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) / count(*), 4) AS discounted_10 FROM m GROUP BY case_id""",
-    "evidence_term_match": """WITH i AS (SELECT item_id % 5 AS case_id, item_id AS reference_id, substr(text, 1, 40) AS term FROM benchmark), d AS (SELECT text, doc_id // 3 + 1 AS rank FROM documents WHERE doc_id % 3 = 0),
+    "evidence_term_match": """WITH i AS (SELECT item_id % 5 AS case_id, item_id AS reference_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[^\s]+'), ' ') || ' ' AS term FROM benchmark), d AS (SELECT ' ' || array_to_string(regexp_extract_all(lower(text), '[^\s]+'), ' ') || ' ' AS text, doc_id + 1 AS rank FROM documents),
 m AS (SELECT case_id, reference_id, (SELECT min(rank) FROM d WHERE contains(text, term)) AS rank FROM i) SELECT case_id, count(*) AS n, count(rank) AS found, min(rank) AS best FROM m GROUP BY case_id""",
     "case_score": f"""WITH {_CASES} SELECT doc_id, behavior_match, CASE WHEN expected_behavior = 'exact_answer' THEN abstained END AS false_abstention,
 CASE WHEN NOT (factual_correctness IS NULL AND NOT abstained AND expected_behavior IN ('exact_answer', 'partial_abstain')) THEN round((0.25::DOUBLE * behavior_match::INTEGER + 0.1::DOUBLE * intent_match::INTEGER + 0.35::DOUBLE * coalesce(factual_correctness::INTEGER, 0) + 0.15::DOUBLE * coalesce(retrieval_relevance::INTEGER, 0) + 0.15::DOUBLE * coalesce(citation_validity::INTEGER, 0))
@@ -168,7 +168,7 @@ CASE WHEN NOT (factual_correctness IS NULL AND NOT abstained AND expected_behavi
     "metric_summary": f"WITH {_CASES}, {_LONG}, a AS (SELECT split, metric, count(*) FILTER (x) AS passed, count(*) FILTER (NOT x) AS failed, count(x) AS evaluated, count(x)::DOUBLE AS n, count(*) FILTER (x) / count(x)::DOUBLE AS p FROM long GROUP BY ALL) SELECT split, metric, passed, failed, evaluated, round(p, 4) AS rate, {_W} FROM a",
     "wilson_interval": f"WITH a AS (SELECT doc_id % 20 AS bucket, sum(toxic)::BIGINT AS successes, count(*) AS total, count(*)::DOUBLE AS n, sum(toxic) / count(*)::DOUBLE AS p FROM labels GROUP BY 1) SELECT bucket, successes, total, round(p, 4) AS rate, {_W} FROM a",
     "nearest_rank_percentile": "SELECT event_type, quantile_disc(value, 0.33) AS p33, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type",
-    "evaluation_run_summary": """WITH r AS (SELECT l_orderkey AS run_id, CASE WHEN l_linenumber <> 3 THEN l_returnflag = 'R' END AS correct, CASE WHEN l_quantity > 10 THEN l_linestatus = 'O' END AS grounded FROM lineitem WHERE l_orderkey % 7 <> 0)
+    "evaluation_run_summary": """WITH r AS (SELECT l_orderkey AS run_id, CASE WHEN l_linenumber <> 3 THEN l_returnflag = 'R' END AS correct, CASE WHEN l_quantity > 10 THEN l_linestatus = 'O' END AS grounded FROM lineitem)
 SELECT o.o_orderkey AS run_id, o.o_orderstatus, count(r.run_id) AS cases, round(avg(correct::INTEGER), 6) AS correct_rate, round(avg(CASE WHEN grounded THEN 1.0 ELSE 0.0 END), 6) AS grounded_rate, count(correct) AS correct_evaluated FROM orders o LEFT JOIN r ON r.run_id = o.o_orderkey GROUP BY ALL""",
     "non_regression": f"{_RULES} SELECT * FROM j",
     "gate_status": f"{_RULES} SELECT CASE WHEN count(*) FILTER (status = 'failed') > 0 THEN 'failed' WHEN count(*) FILTER (status = 'incomplete') > 0 THEN 'incomplete' ELSE 'passed' END AS status FROM j",

@@ -53,7 +53,7 @@ def revision_guard(spark, sf_dir):
 
 
 def structural_diff(spark, sf_dir):
-    l = t(spark, sf_dir, "lineitem").filter("l_orderkey < 800")  # noqa: E741
+    l = t(spark, sf_dir, "lineitem")  # noqa: E741
     items = l.select(F.col("l_orderkey").alias("unit_id"), F.when(F.col("l_linenumber") % 2 == 0, "table").otherwise("code").alias("category"), (F.col("l_partkey") % 7).cast("string").alias("item"), "l_linenumber", "l_returnflag")
     return lc.losses(items, items.filter("l_returnflag <> 'R'"), ["table", "code"])
 
@@ -116,7 +116,7 @@ def inventory(spark, sf_dir):
 
 
 def inverted_index(spark, sf_dir):
-    d = t(spark, sf_dir, "documents").filter("doc_id < 200")
+    d = t(spark, sf_dir, "documents")
     tokens = d.select("doc_id", "lang", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), F.lit(0)))).alias("token"))
     return tokens.groupBy("token").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"), F.min("doc_id").alias("first_doc")).filter("n >= 3")
 
@@ -153,7 +153,7 @@ SELECT filename, CASE WHEN same THEN 'skip' WHEN donor IS NOT NULL THEN 'reuse'
     "duplicate_content": f"SELECT {_HASH} AS content_hash, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
     "revision_guard": """WITH e AS (SELECT p_partkey AS c, p_size % 5 AS r, p_brand AS h FROM part WHERE p_partkey % 3 > 0), i AS (SELECT p_partkey AS c, p_partkey % 5 AS r, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_type END AS h FROM part)
 SELECT i.c AS canonical_id, CASE WHEN e.r IS NULL THEN 'new' WHEN i.r < e.r THEN 'older_revision' WHEN i.r = e.r AND i.h <> e.h THEN 'changed_without_revision' WHEN i.r = e.r THEN 'unchanged' ELSE 'newer' END AS verdict FROM i LEFT JOIN e ON e.c = i.c""",
-    "structural_diff": """WITH s AS (SELECT l_orderkey AS unit_id, CASE WHEN l_linenumber % 2 = 0 THEN 'table' ELSE 'code' END AS category, (l_partkey % 7)::VARCHAR AS item, l_returnflag FROM lineitem WHERE l_orderkey < 800),
+    "structural_diff": """WITH s AS (SELECT l_orderkey AS unit_id, CASE WHEN l_linenumber % 2 = 0 THEN 'table' ELSE 'code' END AS category, (l_partkey % 7)::VARCHAR AS item, l_returnflag FROM lineitem),
 x AS (SELECT unit_id, category, item FROM s EXCEPT ALL SELECT unit_id, category, item FROM s WHERE l_returnflag <> 'R') SELECT unit_id, category, count(*) AS lost FROM x GROUP BY ALL""",
     "manifest_diff": "SELECT doc_id, 'missing' AS problem FROM documents WHERE doc_id % 3 = 0 AND doc_id % 2 <> 0 UNION ALL SELECT doc_id, 'extra' FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0",
     "manifest_gate": "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
@@ -173,7 +173,7 @@ SELECT doc_id, CASE WHEN c > 400 THEN 3 WHEN ten THEN 10 WHEN eight THEN 8 ELSE
 SELECT stage, count(*) AS calls, sum(tokens)::BIGINT AS tokens, count(tokens) = count(*) AS complete, CASE WHEN count(cost) = count(*) THEN round(sum(cost), 6) END AS cost FROM c GROUP BY stage""",
     "failure_report": "WITH r AS (SELECT user_id % 50 AS filename, arg_max(event_id % 4, event_id) AS failed_chunks FROM events GROUP BY 1) SELECT * FROM r WHERE failed_chunks > 0",
     "corpus_inventory": "SELECT lang, count(*) AS n, count(*) FILTER (n_chars > 2000) AS long, count(*) FILTER (contains(text, '|')) AS with_tables, count(DISTINCT source) AS sources FROM documents GROUP BY lang",
-    "inverted_index": """WITH t AS (SELECT DISTINCT doc_id, lang, unnest(regexp_extract_all(lower(text), '[a-z]{9,}')) AS token FROM documents WHERE doc_id < 200)
+    "inverted_index": """WITH t AS (SELECT DISTINCT doc_id, lang, unnest(regexp_extract_all(lower(text), '[a-z]{9,}')) AS token FROM documents)
 SELECT token, count(*) AS n, array_to_string(list_sort(list(DISTINCT lang)), ',') AS langs, min(doc_id) AS first_doc FROM t GROUP BY token HAVING count(*) >= 3""",
     "keyword_top_k": """WITH t AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM documents), c AS (SELECT lang, token, count(*) AS n FROM t GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, token)::INTEGER AS place FROM c QUALIFY place <= 12""",

@@ -15,18 +15,22 @@ t = corpus.table
 
 
 def full_retrieval(spark, sf_dir):
-    out = orchestration.retrieve(corpus.chunks(spark, sf_dir), corpus.sections(spark, sf_dir), corpus.questions(spark, sf_dir), threshold=THRESHOLD)
+    from .q_retrieval import _feedback, _scopes
+
+    texts = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    found = retrieval.search_feedback(_feedback(spark, sf_dir), _scopes(spark, sf_dir), 6, -1.0).select("query_id", "id", "similarity", "position").join(texts, "id")
+    out = orchestration.retrieve(corpus.chunks(spark, sf_dir), corpus.sections(spark, sf_dir), corpus.questions(spark, sf_dir), feedback=found, threshold=THRESHOLD)
     return out.select("query_id", "slot", "id", "origin", "routing_scope", F.round("similarity", 6).alias("similarity"))
 
 
 def fallback(spark, sf_dir):
     """At a high threshold some questions have lexical hits only, some none at all."""
-    return orchestration.search_chunks(corpus.chunks(spark, sf_dir), corpus.questions(spark, sf_dir).filter("query_id IN (3, 6)"), threshold=0.3).select("query_id", "id", "origin", "position")
+    return orchestration.search_chunks(corpus.chunks(spark, sf_dir), corpus.questions(spark, sf_dir), threshold=0.3).select("query_id", "id", "origin", "position")
 
 
 def batching(spark, sf_dir):
     c = candidates(spark, sf_dir).select("query_id", "id", "position", tx.estimated_tokens(F.col("content")).alias("tokens"))
-    return orchestration.batches(c.filter("tokens <= 3000"), "query_id", "position", "tokens", 3_000)
+    return orchestration.batches(c, "query_id", "position", "tokens", 3_000)
 
 
 _PRICES = [("a", "large", 0, 2.0, 0.5, 8.0, 0.0, 0.0, 0.0), ("a", "large-mini", 0, 0.4, 0.1, 1.6, 0.0, 0.0, 0.0), ("b", "pro", 200, 1.25, 0.3, 10.0, 2.5, 0.6, 15.0)]
@@ -53,7 +57,7 @@ def replacement(spark, sf_dir):
 
 def clones(spark, sf_dir):
     c = corpus.chunks(spark, sf_dir).select("document_id", "chunk_index", tx.content_hash(F.col("content")).alias("h"))
-    m = spark.range(0, 40).select(F.col("id").alias("source_document_id"), (F.col("id") + 100_000).alias("document_id"))
+    m = c.select(F.col("document_id").alias("source_document_id")).distinct().withColumn("document_id", F.col("source_document_id") + 10_000_000)
     return publishing.clone_rows(c, m).select("id", "document_id", "source_document_id", "chunk_index", "h")
 
 
@@ -63,7 +67,7 @@ def promotion(spark, sf_dir):
 
 
 def evidence(spark, sf_dir):
-    d = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("answer_id"), F.left("text", F.lit(200)).alias("context"))
+    d = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("answer_id"), F.col("text").alias("context"))
     e = d.select("answer_id", F.col("answer_id").alias("evidence_id"), (F.col("answer_id") % 50 - 1).cast("int").alias("start"), (F.col("answer_id") % 50 + 40).cast("int").alias("end"), "context")
     e = e.withColumn("sha256", F.when(F.col("answer_id") % 4 == 0, "no").otherwise(F.sha2(F.expr("substring(context, start + 1, end - start)"), 256))).drop("context")
     return claims.evidence_index(e, d.filter("answer_id % 9 > 0")).select("answer_id", "evidence_id", "valid", "problem")
@@ -104,9 +108,9 @@ QUERIES = {
 
 _HASH = "sha256(regexp_replace({0}, '\\r\\n?', chr(10), 'g'))"
 ORACLES = {
-    "greedy_batches": f"""WITH RECURSIVE {_cand()}, r AS (SELECT query_id, id, position, ceil(strlen(content) / 2.0)::BIGINT AS tokens, row_number() OVER (PARTITION BY query_id ORDER BY position) AS i FROM cand WHERE ceil(strlen(content) / 2.0) <= 3000),
+    "greedy_batches": f"""WITH RECURSIVE {_cand()}, r AS (SELECT query_id, id, position, ceil(strlen(content) / 2.0)::BIGINT AS tokens, row_number() OVER (PARTITION BY query_id ORDER BY position) AS i, max(ceil(strlen(content) / 2.0)) OVER (PARTITION BY query_id) > 3000 AS over FROM cand),
 w AS (SELECT query_id, i, tokens AS used, 1 AS batch FROM r WHERE i = 1 UNION ALL SELECT r.query_id, r.i, CASE WHEN w.used + r.tokens > 3000 THEN r.tokens ELSE w.used + r.tokens END, CASE WHEN w.used + r.tokens > 3000 THEN w.batch + 1 ELSE w.batch END FROM w JOIN r ON r.query_id = w.query_id AND r.i = w.i + 1)
-SELECT r.query_id, r.id, r.position, r.tokens, w.batch FROM r JOIN w ON w.query_id = r.query_id AND w.i = r.i""",
+SELECT r.query_id, r.id, r.position, r.tokens, CASE WHEN NOT over THEN w.batch END AS batch FROM r JOIN w ON w.query_id = r.query_id AND w.i = r.i""",
     "model_cost": """WITH c AS (SELECT event_id AS call_id, event_id % 4 AS m, CASE WHEN event_id % 11 <> 0 THEN user_id * 3 END AS i, user_id AS o, CASE WHEN event_id % 3 = 0 THEN user_id % 7 END AS k, CASE WHEN event_id % 2 = 0 THEN 2 END AS r FROM events),
 x AS (SELECT *, i IS NOT NULL AND m < 3 AS ok, m = 2 AND i + coalesce(k, 0) > 200 AS long FROM c)
 SELECT call_id, CASE WHEN ok THEN round((i * CASE m WHEN 0 THEN 0.4::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE CASE WHEN long THEN 2.5::DOUBLE ELSE 1.25::DOUBLE END END + coalesce(k, 0) * CASE m WHEN 0 THEN 0.1::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE CASE WHEN long THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END END
@@ -114,9 +118,9 @@ SELECT call_id, CASE WHEN ok THEN round((i * CASE m WHEN 0 THEN 0.4::DOUBLE WHEN
 CASE WHEN m = 3 THEN 'unknown_model' WHEN i IS NULL THEN 'usage_incomplete' WHEN k IS NOT NULL AND r IS NOT NULL THEN 'estimated' ELSE 'estimated_partial_breakdown' END AS cost_status FROM x""",
     "prompt_token_parts": "SELECT conv_id, sum(ceil(strlen(text) / 2.0) + 4)::BIGINT AS history_tokens, sum(CASE WHEN role = 'user' THEN ceil(strlen(text) / 2.0) ELSE 0 END)::BIGINT AS user_tokens, count(*) AS turns FROM conversations GROUP BY conv_id",
     "atomic_replace": f"WITH {corpus_sql()} SELECT document_id, id, chunk_index, CASE WHEN document_id % 5 = 0 THEN 'new' ELSE {_HASH.format('content')} END AS h FROM chunks WHERE document_id % 5 <> 0 OR chunk_index < 3 OR document_id NOT IN (SELECT document_id FROM chunks WHERE document_id % 5 = 0 AND chunk_index < 3)",
-    "clone_prepared_rows": f"WITH {corpus_sql()} SELECT (document_id + 100000) || '-' || chunk_index AS id, document_id + 100000 AS document_id, document_id AS source_document_id, chunk_index, {_HASH.format('content')} AS h FROM chunks WHERE document_id < 40",
+    "clone_prepared_rows": f"WITH {corpus_sql()} SELECT (document_id + 10000000) || '-' || chunk_index AS id, document_id + 10000000 AS document_id, document_id AS source_document_id, chunk_index, {_HASH.format('content')} AS h FROM chunks",
     "promotion_plan": f"""WITH d AS (SELECT doc_id, {_HASH.format('text')} AS h FROM documents) SELECT doc_id AS canonical_id, CASE WHEN doc_id % 5 = 0 THEN 'retire' WHEN doc_id % 7 = 0 THEN 'introduce' WHEN doc_id % 3 = 0 THEN 'replace' ELSE 'keep' END AS action FROM d WHERE doc_id % 7 > 0 OR doc_id % 5 > 0""",
-    "evidence_index": """WITH e AS (SELECT doc_id AS answer_id, (doc_id % 50 - 1)::INTEGER AS s, (doc_id % 50 + 40)::INTEGER AS e, length(left(text, 200)) AS n FROM documents),
+    "evidence_index": """WITH e AS (SELECT doc_id AS answer_id, (doc_id % 50 - 1)::INTEGER AS s, (doc_id % 50 + 40)::INTEGER AS e, length(text) AS n FROM documents),
 p AS (SELECT answer_id, CASE WHEN answer_id % 9 = 0 THEN 'not_rendered' WHEN s < 0 OR e > n THEN 'span_out_of_range' WHEN answer_id % 4 = 0 THEN 'hash_mismatch' END AS problem FROM e) SELECT answer_id, answer_id AS evidence_id, problem IS NULL AS valid, problem FROM p""",
     "decision_policy": """WITH x AS (SELECT l_discount * 10 AS x, l_linenumber FROM lineitem), c AS (SELECT x, CASE WHEN l_linenumber % 5 = 0 THEN 'no' WHEN x >= 0.5 THEN 'yes' ELSE 'no' END AS choice FROM x)
 SELECT CASE WHEN x < 0 OR x > 1 OR 1 - x < 0 THEN 'out_of_range' WHEN CASE WHEN x >= 1 - x THEN 'yes' ELSE 'no' END <> choice THEN 'choice_is_not_largest' END AS problem, CASE WHEN greatest(x, 1 - x) >= 0.6 AND abs(x - (1 - x)) >= 0.15 THEN choice ELSE 'inconclusive' END AS applied, count(*) AS n FROM c GROUP BY ALL""",

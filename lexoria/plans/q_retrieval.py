@@ -18,16 +18,16 @@ def _list(values: list[str]) -> str:
 def corpus_sql(rows: list | None = None) -> str:
     """CTEs chunks, sections, questions and base (rows that pass a question's filters)."""
     asked = ", ".join(f"({q}, {v}, '{t}', {_list(d)}, {_list(m)})" for q, v, t, d, m in rows or corpus.QUESTIONS)
-    return f"""chunks AS (SELECT e.vec_id AS id, e.vec_id // 5 AS document_id, (e.vec_id % 5)::INTEGER AS chunk_index, d.text AS content, d.lang AS doc_type, d.source AS filename,
+    return f"""chunks AS MATERIALIZED (SELECT e.vec_id AS id, e.vec_id // 5 AS document_id, (e.vec_id % 5)::INTEGER AS chunk_index, d.text AS content, d.lang AS doc_type, d.source AS filename,
   CASE WHEN e.label = 9 THEN '' ELSE e.label::VARCHAR END AS module, (e.vec_id // 5) * 10 + (e.vec_id % 5) // 2 AS section_id, ((e.vec_id % 5) // 2)::INTEGER AS section_index, e.embedding
   FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id),
-sections AS (SELECT section_id AS id, document_id, section_index, arg_min(content, chunk_index) AS content, arg_min(doc_type, chunk_index) AS doc_type, arg_min(filename, chunk_index) AS filename,
+sections AS MATERIALIZED (SELECT section_id AS id, document_id, section_index, arg_min(content, chunk_index) AS content, arg_min(doc_type, chunk_index) AS doc_type, arg_min(filename, chunk_index) AS filename,
   arg_min(module, chunk_index) AS module, arg_min(embedding, chunk_index) AS embedding, count(*) AS n_chunks FROM chunks GROUP BY ALL),
 questions AS (SELECT q.*, e.embedding AS query_embedding FROM (VALUES {asked}) q(query_id, vec_id, query_text, doc_types, modules) JOIN embeddings e USING (vec_id))"""
 
 
 def base_sql(relation: str = "chunks", name: str = "base") -> str:
-    return f"""{name} AS (SELECT q.query_id, c.* EXCLUDE (embedding), list_cosine_similarity(c.embedding::DOUBLE[], q.query_embedding::DOUBLE[]) AS similarity FROM {relation} c JOIN questions q
+    return f"""{name} AS MATERIALIZED (SELECT q.query_id, c.* EXCLUDE (embedding), list_cosine_similarity(c.embedding::DOUBLE[], q.query_embedding::DOUBLE[]) AS similarity FROM {relation} c JOIN questions q
   ON (len(q.doc_types) = 0 OR list_contains(q.doc_types, coalesce(c.doc_type, ''))) AND (len(q.modules) = 0 OR list_contains(q.modules, coalesce(c.module, '')) OR coalesce(c.module, '') = ''))"""
 
 
@@ -47,7 +47,7 @@ def lexical_sql(fetch: int, base: str = "base", rows: list | None = None) -> str
         terms = sorted({t for g in parsed for w, t in g if w})
         count = lambda t: f"(length(tk) - length(replace(tk, ' {'  '.join(t.split())} ', ''))) / {len(t.split()) - 1 + len(t) + 2}.0"
         score.append(f"WHEN query_id = {q} THEN (" + " + ".join(map(count, terms)) + ")::DOUBLE / (1 + ln(n::DOUBLE))")
-    return f"""tok AS (SELECT query_id, id, len(w) AS n, ' ' || array_to_string(w, '  ') || ' ' AS tk FROM (SELECT query_id, id, regexp_extract_all(lower(content), '[a-z0-9]+') AS w FROM {base})),
+    return f"""tok AS MATERIALIZED (SELECT query_id, id, len(w) AS n, ' ' || array_to_string(w, '  ') || ' ' AS tk FROM (SELECT query_id, id, regexp_extract_all(translate(lower(content), 'áàâãäåçéèêëíìîïñóòôõöúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[a-z0-9]+') AS w FROM {base})),
 lex AS (SELECT query_id, id, CASE {' '.join(score)} END AS lexical_score, row_number() OVER (PARTITION BY query_id ORDER BY lexical_score DESC, id) AS r FROM tok WHERE CASE {' '.join(hit)} ELSE FALSE END QUALIFY r <= {fetch})"""
 
 

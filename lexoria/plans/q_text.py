@@ -34,15 +34,15 @@ def url_list(spark, sf_dir):
 
 def text_functions(spark, sf_dir):
     x = F.col("text")
-    return t(spark, sf_dir, "documents").select("doc_id", tx.content_hash(x).alias("content_hash"), tx.word_count(x).alias("words"), tx.estimated_tokens(x).alias("tokens"), tx.slug(F.left(x, F.lit(30))).alias("slug"), tx.candidate_id(F.col("doc_id").cast("string"), F.col("source")).alias("candidate"), tx.opaque_id(F.col("source"), "source").alias("opaque"))
+    return t(spark, sf_dir, "documents").select("doc_id", tx.content_hash(x).alias("content_hash"), tx.word_count(x).alias("words"), tx.estimated_tokens(x).alias("tokens"), tx.slug(x).alias("slug"), tx.candidate_id(F.col("doc_id").cast("string"), F.col("source")).alias("candidate"), tx.opaque_id(F.col("source"), "source").alias("opaque"))
 
 
 def folded(spark, sf_dir):
-    return t(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.folded(F.left("text", F.lit(300))), 256).alias("folded"))
+    return t(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.folded(F.col("text")), 256).alias("folded"))
 
 
 def normalized(spark, sf_dir):
-    return t(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.normalize_text(F.left("text", F.lit(300))), 256).alias("normalized"))
+    return t(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.normalize_text(F.col("text")), 256).alias("normalized"))
 
 
 def embedding_checks(spark, sf_dir):
@@ -74,7 +74,7 @@ def abbreviations(spark, sf_dir):
 
 def _marked(spark, sf_dir):
     d = t(spark, sf_dir, "documents")
-    return d.select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n\n"), F.regexp_replace(F.left("text", F.lit(4000)), r"\n", "\n## Part {#p}\n\n")).alias("text"))
+    return d.select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n\n"), F.regexp_replace("text", r"\n", "\n## Part {#p}\n\n")).alias("text"))
 
 
 def markdown_sections(spark, sf_dir):
@@ -106,7 +106,7 @@ def entities(spark, sf_dir):
 def _answers(spark, sf_dir):
     d = t(spark, sf_dir, "documents")
     end = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\nFontes:\n- `"), "source", F.lit("` (p. 1)\n* src1\n"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" [fonte: SRC2; "), "lang", F.lit("]"))).otherwise(F.lit(""))
-    return d.select("doc_id", F.concat(F.left(F.regexp_replace("text", r"[\n\[\]]", " "), F.lit(80)), end).alias("answer"), (F.col("doc_id") % 5 == 0).alias("operational"))
+    return d.select("doc_id", F.concat(F.regexp_replace("text", r"[\n\[\]]", " "), end).alias("answer"), (F.col("doc_id") % 5 == 0).alias("operational"))
 
 
 def citations(spark, sf_dir):
@@ -175,12 +175,12 @@ _CLAIMS = """c AS (SELECT l_orderkey AS answer_id, l_quantity / 50 AS s, l_disco
 
 ORACLES = {
     "url_functions": f"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS path FROM pages), q AS (SELECT *, regexp_extract(path, '([^/]+)$', 1) AS last FROM p)
-SELECT page_id, regexp_matches(url, '^https?://') AS is_url, host, host = 'example.com' OR ends_with(host, '.example.com') OR host = 'example.net' OR ends_with(host, '.example.net') AS allowed,
+SELECT page_id, regexp_matches(url, '^https?://') AS is_url, host, host = 'example.com' OR ends_with(host, '.example.net') AS allowed,
 CASE WHEN trim(regexp_replace(last, '[-_]+', ' ', 'g')) <> '' THEN trim(regexp_replace(last, '[-_]+', ' ', 'g')) ELSE host END AS title, 'url__' || {_SLUG.format('host', 'source')} || '__' || {_SLUG.format('last', 'index')} || '__' || left(sha1(url), 10) AS filename FROM q""",
     "url_list": "WITH u AS (SELECT unnest(regexp_extract_all(url, 'https?://[^\\s/?#]+')) AS url, page_id FROM pages) SELECT url, min(page_id) AS first_page FROM u GROUP BY url",
-    "text_functions": f"""SELECT doc_id, sha256(regexp_replace(text, '\\r\\n?', chr(10), 'g')) AS content_hash, len(regexp_extract_all(text, '[^\\s]+'))::INTEGER AS words, ceil(strlen(text) / 2.0)::BIGINT AS tokens, {_SLUG.format('left(text, 30)', 'source')} AS slug,
+    "text_functions": f"""SELECT doc_id, sha256(regexp_replace(text, '\\r\\n?', chr(10), 'g')) AS content_hash, len(regexp_extract_all(text, '[^\\s]+'))::INTEGER AS words, ceil(strlen(text) / 2.0)::BIGINT AS tokens, {_SLUG.format('text', 'source')} AS slug,
 'candidate-' || left(sha256(doc_id || chr(31) || source), 24) AS candidate, 'source-' || left(sha256(source), 24) AS opaque FROM documents""",
-    "folded_text": "SELECT doc_id, sha256(" + _FOLD.format("left(text, 300)") + ") AS folded FROM documents",
+    "folded_text": "SELECT doc_id, sha256(" + _FOLD.format("text") + ") AS folded FROM documents",
     "normalize_embedding": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x, i: CASE WHEN i = 4 AND vec_id % 5 = 0 THEN 0 ELSE x::DOUBLE * x::DOUBLE END))), 6) AS norm FROM embeddings",
     "safe_numeric": "SELECT event_id, CASE WHEN event_id % 7 = 0 OR event_id % 5 = 0 THEN 0.0 ELSE event_id::DOUBLE END AS x FROM events",
     "classify_intent": f"""WITH {_FOLD_DOC}, k(label, keyword, ord) AS (VALUES {', '.join(f"('{a}', '{b}', {['sql_lookup', 'troubleshooting', 'integration', 'configuration', 'process'].index(a)})" for a, b in KEYWORDS)}),
