@@ -133,3 +133,49 @@ def split_message(text: str, limit: int) -> list[str]:
         out.append(text[:cut].rstrip())
         text = text[cut:].lstrip()
     return [*out, text] if text else out
+
+
+def title_filename(title: Column, most: int = 120) -> Column:
+    """Upper case without accents, the word COM left out, other runs as ``_``, cut to ``most``."""
+    plain = F.upper(F.translate(F.lower(F.coalesce(title, F.lit(""))), _FOLD_FROM, _FOLD_TO))
+    joined = F.regexp_replace(F.regexp_replace(plain, r"\bCOM\b", " "), r"[^A-Z0-9]+", "_")
+    return F.left(F.regexp_replace(joined, r"^_+|_+$", ""), F.lit(most))
+
+
+def table_tokens(value: Column, prefixes: list[str], allowed: list[str]) -> Column:
+    """Distinct upper-case names of at least three characters that begin with a prefix, hold ``_`` or
+    ``.``, or are allowed, by first occurrence."""
+    upper = F.upper(F.translate(F.lower(F.coalesce(value, F.lit(""))), _FOLD_FROM, _FOLD_TO))
+    names = F.regexp_extract_all(upper, F.lit(r"[A-Z][A-Z0-9_.]*[A-Z0-9]"), F.lit(0))
+
+    def kept(x: Column) -> Column:
+        ok = x.contains("_") | x.contains(".") | x.isin(*allowed)
+        for p in prefixes:
+            ok = ok | x.startswith(p)
+        return ok & (F.length(x) >= 3)
+
+    return F.array_distinct(F.filter(names, kept))
+
+
+def iso_instant(value: Column) -> Column:
+    """An ISO date and time with a zone; null for anything else."""
+    zoned = F.coalesce(value.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"), F.lit(False))
+    return F.when(zoned, value.try_cast("timestamp"))
+
+
+def normal_scope(scope: Column, keys: list[str]) -> Column:
+    """The entries of a map with a known key and a value that is not blank, trimmed."""
+    trimmed = F.transform_values(F.map_filter(scope, lambda k, v: k.isin(*keys)), lambda k, v: F.trim(v))
+    return F.coalesce(F.map_filter(trimmed, lambda k, v: F.coalesce(v != "", F.lit(False))), F.create_map().cast("map<string,string>"))
+
+
+def first_filled(value: Column, metadata: Column, key: str) -> Column:
+    """A column's text, or where it is null or empty the metadata's entry."""
+    return F.coalesce(F.nullif(value, F.lit("")), F.element_at(metadata, key))
+
+
+def json_fragment(text: Column) -> Column:
+    """The outermost array or object of a model's reply, whichever begins first, without a code
+    fence; null without one."""
+    bare = F.regexp_replace(F.trim(text), r"^```[A-Za-z]*\s*|\s*```$", "")
+    return F.nullif(F.regexp_extract(bare, r"(?s)(\[.*\]|\{.*\})", 1), F.lit(""))

@@ -31,3 +31,8 @@ def safe_number(value: Column) -> Column:
     """A finite double, or 0 where the value is missing, not a number or not finite."""
     x = value.try_cast("double")
     return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0.0)).otherwise(x)
+
+
+def vector_literal(a: Column) -> Column:
+    """A vector as text, ``[a,b,...]``."""
+    return F.concat(F.lit("["), F.array_join(a.cast("array<string>"), ","), F.lit("]"))

@@ -188,3 +188,24 @@ def search_feedback(feedback: DataFrame, questions: DataFrame, match_count: int
         fits = F.forall(F.map_entries("asked"), lambda e: F.coalesce(F.element_at("scope", e["key"]), F.when(e["key"] == "level", "global").otherwise("")) == e["value"])
     rows = live.join(asked, fits).withColumn("similarity", cosine_similarity(F.col("embedding"), F.col("query_embedding"))).filter(F.col("similarity") >= threshold)
     return top(rows, "position", [F.col("similarity").desc(), F.col("id")], max(1, min(match_count, 50))).drop("embedding", "query_embedding", "asked")
+
+
+def postprocess(rows: DataFrame, max_results: int, threshold: float, floor: float = 0.7, max_candidates: int | None = None, ranked: bool = False) -> DataFrame:
+    """Search results cut to ``max_candidates`` (twice ``max_results`` by default). With ``ranked`` a
+    question that has a retrieval rank keeps its rows in their position; else rows stay from
+    threshold * floor on, by falling similarity. rows: (query_id, position, similarity,
+    retrieval_rank, ...)."""
+    most = max(1, max_candidates or 2 * max_results)
+    known = F.max(F.col("retrieval_rank").isNotNull()).over(Window.partitionBy("query_id")) if ranked else F.lit(False)
+    value = F.when(F.isnan("similarity"), None).otherwise(F.col("similarity"))
+    near = rows.withColumn("_ranked", known).withColumn("_value", F.coalesce(value, F.lit(0.0))).filter(F.col("_ranked") | (F.col("_value") >= threshold * floor))
+    order = [F.when(F.col("_ranked"), F.lit(0.0)).otherwise(-F.col("_value")), F.col("position")]
+    return top(near, "place", order, most).drop("_ranked", "_value")
+
+
+def search_filters(plan: DataFrame, use_doc_types: bool = True, use_modules: bool = True) -> DataFrame:
+    """A question plan (query_id, doc_types, modules) with lower-cased, trimmed, distinct filters;
+    an empty one asks for all."""
+    clean = lambda c: F.array_distinct(F.filter(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.lower(F.trim(x))), lambda x: x != ""))
+    none = F.array().cast("array<string>")
+    return plan.select("query_id", (clean("doc_types") if use_doc_types else none).alias("doc_types"), (clean("modules") if use_modules else none).alias("modules"))
