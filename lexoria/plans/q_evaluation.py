@@ -158,7 +158,7 @@ SELECT d.case_id, CASE WHEN u = 0 AND idcg > 0 THEN round(dcg / idcg, 4) END AS
     "retrieval_recall": f"""WITH {_cand(40)}, m AS (SELECT q.query_id AS case_id, r.reference_id, (SELECT min(position) FROM cand c WHERE c.query_id = q.query_id AND c.document_id = r.reference_id) AS rank FROM questions q, (SELECT unnest(range(0, 37, 4)) AS reference_id) r)
 SELECT case_id, count(*) AS n_references, round(count(*) FILTER (rank <= 10) / count(*), 4) AS recall_10, round(count(*) FILTER (rank <= 20) / count(*), 4) AS recall_20, round(count(*) FILTER (rank <= 40) / count(*), 4) AS recall_40,
 round(sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) / count(*), 4) AS discounted_10 FROM m GROUP BY case_id""",
-    "evidence_term_match": """WITH i AS (SELECT item_id % 5 AS case_id, item_id AS reference_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[^\s]+'), ' ') || ' ' AS term FROM benchmark), d AS (SELECT ' ' || array_to_string(regexp_extract_all(lower(text), '[^\s]+'), ' ') || ' ' AS text, doc_id + 1 AS rank FROM documents),
+    "evidence_term_match": """WITH i AS (SELECT item_id % 5 AS case_id, item_id AS reference_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[^\\s]+'), ' ') || ' ' AS term FROM benchmark), d AS (SELECT ' ' || array_to_string(regexp_extract_all(lower(text), '[^\\s]+'), ' ') || ' ' AS text, doc_id + 1 AS rank FROM documents),
 m AS (SELECT case_id, reference_id, (SELECT min(rank) FROM d WHERE contains(text, term)) AS rank FROM i) SELECT case_id, count(*) AS n, count(rank) AS found, min(rank) AS best FROM m GROUP BY case_id""",
     "case_score": f"""WITH {_CASES} SELECT doc_id, behavior_match, CASE WHEN expected_behavior = 'exact_answer' THEN abstained END AS false_abstention,
 CASE WHEN NOT (factual_correctness IS NULL AND NOT abstained AND expected_behavior IN ('exact_answer', 'partial_abstain')) THEN round((0.25::DOUBLE * behavior_match::INTEGER + 0.1::DOUBLE * intent_match::INTEGER + 0.35::DOUBLE * coalesce(factual_correctness::INTEGER, 0) + 0.15::DOUBLE * coalesce(retrieval_relevance::INTEGER, 0) + 0.15::DOUBLE * coalesce(citation_validity::INTEGER, 0))
