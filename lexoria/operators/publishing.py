@@ -41,24 +41,34 @@ class Publication:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _pointer(self):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/published.json")
+    def _files(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/pointers")
         return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _newest(self) -> tuple[int, str | None]:
+        path, fs = self._files()
+        names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+        whole = sorted(n for n in names if n.endswith(".json") and not n.startswith("."))
+        return (int(whole[-1].split(".")[0]), whole[-1]) if whole else (0, None)
+
     def state(self) -> dict:
-        path, fs = self._pointer()
-        if not fs.exists(path):
+        _, name = self._newest()
+        if name is None:
             return {"version": None, "history": []}
-        return json.loads("".join(r.value for r in self.spark.read.text(str(path.toString())).collect()))
+        path, _ = self._files()
+        return json.loads("".join(r.value for r in self.spark.read.text(f"{path.toString()}/{name}").collect()))
 
     def _publish(self, state: dict) -> None:
-        path, fs = self._pointer()
-        temp = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/.published-{uuid.uuid4().hex}")
+        """A pointer of the next number, renamed to its name when whole: a crash leaves the last one."""
+        number, _ = self._newest()
+        path, fs = self._files()
+        at = lambda name: self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, name)
+        temp = at(f".{uuid.uuid4().hex}")
         out = fs.create(temp)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        fs.delete(path, False)
-        fs.rename(temp, path)
+        if not fs.rename(temp, at(f"{number + 1:09d}.json")):
+            raise ValueError("another writer has published meanwhile")
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{self.state()['version']}")

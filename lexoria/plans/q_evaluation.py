@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexoria.operators import evaluation as ev
+from lexoria.operators import inventory as iv
 from lexoria.sources import corpus
 
 from .q_postrank import _cand, candidates
@@ -109,6 +110,24 @@ def gate(spark, sf_dir):
     return ev.gate(non_regression(spark, sf_dir))
 
 
+def gate_reasons(spark, sf_dir):
+    return iv.gate_reasons(non_regression(spark, sf_dir))
+
+
+def run_reports(spark, sf_dir):
+    d = corpus.table(spark, sf_dir, "documents")
+    error = F.when(F.col("doc_id") % 19 == 0, "boom")
+    kind = F.when(F.col("doc_id") % 38 == 0, "timeout")
+    return iv.run_report(d.select(error.alias("error"), kind.alias("error_type"), (F.col("doc_id") % 7 == 0).alias("skipped"), (F.col("n_chars") % 9).alias("chunks_count"), F.when(F.col("doc_id") % 23 == 0, F.lit(2).cast("long")).alias("failed_chunks")), 1000)
+
+
+def units(spark, sf_dir):
+    lab = corpus.table(spark, sf_dir, "labels")
+    unit, batch = (F.col("doc_id") % 300).alias("unit_id"), (F.col("doc_id") % 2).alias("batch_id")
+    cases = lab.select(unit, batch, F.when(F.col("toxic") == 1, "no_evidence").when(F.col("quality") == 1, "answerable").otherwise("ambiguous").alias("answerability"))
+    return iv.unit_coverage(corpus.table(spark, sf_dir, "documents").select(unit, batch).distinct(), cases)
+
+
 def paired(spark, sf_dir):
     a = _judged(spark, sf_dir).withColumnRenamed("doc_id", "case_id")
     return ev.paired(a.filter("case_id % 10 <> 1").select("case_id", F.coalesce("factual_correctness", F.lit(False)).alias("x")).withColumnRenamed("x", "m"), a.filter("case_id % 10 <> 2").select("case_id", F.col("behavior_match").alias("m")), "m")
@@ -124,20 +143,15 @@ def identity_diff(spark, sf_dir):
 def answer_terms(spark, sf_dir):
     """Facts (all of them need an accepted phrase) and forbidden phrases in answers."""
     d = corpus.table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("answer"))
-    facts = [["the", "der", "le", "el"], ["and", "und", "et", "y"], ["that", "das", "que"]]
-    ok = F.lit(True)
-    for phrases in facts:
-        any_of = F.lit(False)
-        for p in phrases:
-            any_of = any_of | F.col("answer").contains(f" {p} ")
-        ok = ok & any_of
-    forbidden = F.filter(F.array(F.lit("token"), F.lit("password"), F.lit("licensed under")), lambda p: F.col("answer").contains(p))
+    facts = [[f" {p} " for p in phrases] for phrases in (["the", "der", "le", "el"], ["and", "und", "et", "y"], ["that", "das", "que"])]
+    ok = iv.has_facts(F.col("answer"), facts)
+    forbidden = iv.forbidden_found(F.col("answer"), ["token", "password", "licensed under"])
     return d.select("doc_id", ok.alias("factual_correctness"), F.array_join(forbidden, ",").alias("forbidden"))
 
 
 QUERIES = {
     "ndcg_at_10": ndcg, "ndcg_at_10_unjudged": ndcg_unjudged, "retrieval_recall": recall, "evidence_term_match": evidence_terms, "case_score": case_scores, "case_outcomes": outcomes, "metric_summary": metric_summary,
-    "wilson_interval": wilson, "nearest_rank_percentile": percentiles, "evaluation_run_summary": run_summary, "non_regression": non_regression, "gate_status": gate, "paired_view": paired, "identity_diff": identity_diff, "factual_and_forbidden": answer_terms,
+    "wilson_interval": wilson, "nearest_rank_percentile": percentiles, "evaluation_run_summary": run_summary, "non_regression": non_regression, "gate_status": gate, "paired_view": paired, "identity_diff": identity_diff, "factual_and_forbidden": answer_terms, "gate_reasons": gate_reasons, "run_report": run_reports, "unit_coverage": units,
 }
 
 _W = """round(greatest(0, (p + 3.8416 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)), 4) AS low, round(least(1, (p + 3.8416 / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)), 4) AS high"""
@@ -148,6 +162,11 @@ rules(rule, path, op, threshold, critical) AS (VALUES ('facts', 'factual_correct
 j AS (SELECT rule, critical, value, CASE WHEN value IS NULL THEN 'incomplete' WHEN CASE WHEN op = '<=' THEN value <= threshold ELSE value >= threshold END THEN 'passed' ELSE 'failed' END AS status FROM rules LEFT JOIN s USING (path))"""
 
 ORACLES = {
+    "gate_reasons": _RULES + " SELECT status, CASE WHEN status = 'passed' THEN 'passed' WHEN status = 'incomplete' THEN 'value_missing' WHEN critical THEN 'critical_rule_failed' ELSE 'rule_failed' END AS reason, count(*) AS n FROM j GROUP BY ALL",
+    "run_report": """WITH r AS (SELECT doc_id % 19 = 0 AS f, doc_id % 7 = 0 AS s, n_chars % 9 AS c, CASE WHEN doc_id % 23 = 0 THEN 2 END AS fc, CASE WHEN doc_id % 38 = 0 THEN 'timeout' ELSE 'ingestion_error' END AS k FROM documents), t AS (SELECT count(*) AS returned, count(*) FILTER (NOT f AND NOT s) AS succeeded, count(*) FILTER (s) AS skipped, count(*) FILTER (f) AS failed, sum(c)::BIGINT AS chunks, coalesce(sum(fc), 0)::BIGINT AS failed_chunks, 1000::BIGINT AS expected FROM r)
+SELECT *, succeeded = expected AND returned = expected AND skipped + failed + failed_chunks = 0 AS complete, (SELECT string_agg(k || '=' || n, ',' ORDER BY k) FROM (SELECT k, count(*) AS n FROM r WHERE f GROUP BY k)) AS error_types FROM t""",
+    "unit_coverage": """WITH u AS (SELECT DISTINCT doc_id % 300 AS unit_id, doc_id % 2 AS batch_id FROM documents), c AS (SELECT doc_id % 300 AS unit_id, doc_id % 2 AS batch_id, CASE WHEN toxic = 1 THEN 'no_evidence' WHEN quality = 1 THEN 'answerable' ELSE 'ambiguous' END AS a FROM labels),
+p AS (SELECT unit_id, batch_id, count(*) AS cases, array_to_string(list_sort(list(DISTINCT a)), ',') AS answerabilities, count(*) FILTER (a = 'answerable') AS y FROM c GROUP BY ALL) SELECT u.unit_id, u.batch_id, coalesce(cases, 0) AS cases, coalesce(answerabilities, '') AS answerabilities, coalesce(y, 0) > 0 AND coalesce(cases, 0) > coalesce(y, 0) AS covered FROM u LEFT JOIN p USING (unit_id, batch_id)""",
     "ndcg_at_10": f"""WITH {_QREL}, d AS (SELECT case_id, sum(CASE WHEN rank <= 10 THEN (2 ** relevance - 1) / log2(rank + 1) ELSE 0 END) AS dcg FROM q GROUP BY 1),
 i AS (SELECT case_id, sum((2 ** relevance - 1) / log2(r + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY relevance DESC, candidate_id) AS r FROM q) WHERE r <= 10 GROUP BY 1)
 SELECT d.case_id, CASE WHEN idcg > 0 THEN round(dcg / idcg, 4) END AS ndcg FROM d LEFT JOIN i USING (case_id)""",

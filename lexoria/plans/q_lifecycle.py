@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexoria.functions import text as tx
+from lexoria.operators import inventory as iv
 from lexoria.operators import lifecycle as lc
 from lexoria.sources import corpus, tables
 
@@ -28,8 +29,7 @@ def table_insert(spark, sf_dir):
 
 
 def stats(spark, sf_dir):
-    a = t(spark, sf_dir, "documents").agg(F.count("*").alias("documents"))
-    return a.crossJoin(t(spark, sf_dir, "embeddings").agg(F.count("*").alias("chunks")))  # two single rows
+    return iv.counts({"documents": t(spark, sf_dir, "documents"), "chunks": t(spark, sf_dir, "embeddings")})
 
 
 def identity(spark, sf_dir):
@@ -65,7 +65,7 @@ def manifest_diff(spark, sf_dir):
 
 def manifest_gate(spark, sf_dir):
     d, lab = t(spark, sf_dir, "documents"), t(spark, sf_dir, "labels")
-    return d.join(lab.filter("quality = 1"), "doc_id", "left_semi").select("doc_id", "source")
+    return iv.published_only(d, lab.filter("quality = 1")).select("doc_id", "source")
 
 
 def review_states(spark, sf_dir):
@@ -112,21 +112,15 @@ def failure_report(spark, sf_dir):
 
 
 def inventory(spark, sf_dir):
-    return t(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") > 2000).alias("long"), F.count_if(F.col("text").contains("|")).alias("with_tables"), F.countDistinct("source").alias("sources"))
+    return iv.corpus_inventory(t(spark, sf_dir, "documents"))
 
 
 def inverted_index(spark, sf_dir):
-    d = t(spark, sf_dir, "documents")
-    tokens = d.select("doc_id", "lang", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), F.lit(0)))).alias("token"))
-    return tokens.groupBy("token").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"), F.min("doc_id").alias("first_doc")).filter("n >= 3")
+    return iv.token_index(t(spark, sf_dir, "documents"), "[a-z]{9,}", 3)
 
 
 def keyword_top(spark, sf_dir):
-    from pyspark.sql import Window
-
-    c = t(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))).alias("token")).groupBy("lang", "token").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("lang").orderBy(F.col("n").desc(), "token")
-    return c.withColumn("place", F.row_number().over(w)).filter("place <= 12")
+    return iv.keyword_top(t(spark, sf_dir, "documents"))
 
 
 QUERIES = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexoria.functions import text as tx
-from lexoria.operators import claims, evaluation, orchestration, publishing, retrieval
+from lexoria.operators import claims, evaluation, inventory, orchestration, publishing, retrieval
 from lexoria.sources import corpus
 
 from .q_postrank import _cand, candidates
@@ -45,8 +45,7 @@ def costs(spark, sf_dir):
 
 
 def prompt_parts(spark, sf_dir):
-    c = t(spark, sf_dir, "conversations")
-    return c.groupBy("conv_id").agg(F.sum(tx.estimated_tokens(F.col("text")) + 4).alias("history_tokens"), F.sum(F.when(F.col("role") == "user", tx.estimated_tokens(F.col("text"))).otherwise(F.lit(0))).alias("user_tokens"), F.count("*").alias("turns"))
+    return inventory.prompt_token_parts(t(spark, sf_dir, "conversations"))
 
 
 def replacement(spark, sf_dir):

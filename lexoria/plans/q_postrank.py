@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexoria.operators import context, postrank, retrieval
+from lexoria.operators import context, inventory, postrank, retrieval
 from lexoria.sources import corpus
 
 from .q_retrieval import THRESHOLD, base_sql, corpus_sql, hybrid_rows_sql
@@ -33,6 +33,10 @@ def diversity(spark, sf_dir):
     return postrank.limit_diversity(candidates(spark, sf_dir, 80), per_section=1, per_document=2, limit=15).select("query_id", "id", "position", "section_id", "document_id")
 
 
+def diversity_defaults(spark, sf_dir):
+    return postrank.limit_diversity(candidates(spark, sf_dir, 80)).select("query_id", "id", "position")
+
+
 def section_ids(spark, sf_dir):
     return postrank.ordered_distinct(candidates(spark, sf_dir), "section_id", "position", 5)
 
@@ -90,7 +94,7 @@ def entities(spark, sf_dir):
 
 def scope_counts(spark, sf_dir):
     c = candidates(spark, sf_dir, 20).withColumn("routing_scope", F.when(F.col("module") == "", None).when(F.col("module") < "5", "preferred").otherwise("global"))
-    return c.filter("routing_scope IS NOT NULL").groupBy("query_id", "routing_scope").agg(F.count("*").alias("n"))
+    return inventory.scope_counts(c)
 
 
 _GREEDY = """RECURSIVE {head}, r AS (SELECT *, row_number() OVER (PARTITION BY {g} ORDER BY {order}) AS i FROM items),
@@ -100,6 +104,7 @@ walk AS (SELECT {g}, i, tokens <= {budget} AS kept, CASE WHEN tokens <= {budget}
 QUERIES = {
     "dedupe_chunks": dedupe,
     "limit_chunk_diversity": diversity,
+    "limit_chunk_diversity_defaults": diversity_defaults,
     "section_ids_from_hits": section_ids,
     "interleave_routing_scopes": interleaved,
     "should_rerank": rerank_trigger,
@@ -118,6 +123,7 @@ ORACLES = {
     "chunk_trace_summary": hybrid_rows_sql(THRESHOLD) + """ SELECT query_id, count(*) AS n, round(max(similarity), 6) AS max_similarity, round(max(lexical_score), 6) AS max_lexical, round(max(fusion_score), 6) AS max_fusion, array_to_string(list_sort(list(DISTINCT origin)), ',') AS origins,
 count(DISTINCT document_id) AS documents, count(DISTINCT document_id * 10 + chunk_index // 2) AS sections, count(*) FILTER (is_neighbor) AS neighbors FROM ranked GROUP BY query_id""",
     "dedupe_chunks": f"WITH {_cand()}, k AS (SELECT *, sha256(regexp_replace(content, '\\r\\n?', chr(10), 'g')) || '|' || chunk_index || '|' || content AS key FROM cand) SELECT query_id, id, position FROM k QUALIFY row_number() OVER (PARTITION BY query_id, key ORDER BY position, id) = 1",
+    "limit_chunk_diversity_defaults": f"""WITH {_cand(80)}, s AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY query_id, section_id ORDER BY position) <= 3) SELECT query_id, id, position FROM s QUALIFY row_number() OVER (PARTITION BY query_id, document_id ORDER BY position) <= 6""",
     "limit_chunk_diversity": f"""WITH {_cand(80)}, s AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY query_id, section_id ORDER BY position) <= 1), d AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, document_id ORDER BY position) <= 2)
 SELECT query_id, id, position, section_id, document_id FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY position) <= 15""",
     "section_ids_from_hits": f"WITH {_cand()}, f AS (SELECT query_id, section_id, min(position) AS p FROM cand GROUP BY ALL) SELECT query_id, section_id, row_number() OVER (PARTITION BY query_id ORDER BY p, section_id)::INTEGER AS place FROM f QUALIFY place <= 5",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -138,9 +139,12 @@ def _stream(spark, sf_dir, name):
 
 
 def _drained(spark, df, mode, name):
-    if not spark.conf.get("spark.sql.streaming.checkpointLocation", None) and not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.sql.streaming.checkpointLocation", tempfile.mkdtemp(prefix="lexoria-stream-"))
-    return st.drain(df, mode, name)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="lexoria-stream-")
+    return st.drain(df, mode, f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}")
 
 
 def stream_windows(spark, sf_dir):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -56,8 +57,21 @@ def last_turns(turns: DataFrame, keep: int = 4) -> DataFrame:
     return turns.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, turns string", "turns array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
-def drain(df: DataFrame, mode: str, name: str) -> DataFrame:
-    """Run a bounded stream to its end into a table in memory: for tests and small inputs."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def drain(df: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Run a bounded stream to its end into a folder that all executors share, and read it back: all
+    rows of its batches, in complete mode those of the last. A batch that runs twice replaces its own
+    rows."""
+    spark, kept = df.sparkSession, f"{folder.rstrip('/')}/rows"
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{kept}/batch={batch}")
+
+    q = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder.rstrip('/')}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    try:
+        rows = spark.read.parquet(kept)
+    except AnalysisException:  # no batch had rows
+        return spark.createDataFrame([], df.schema)
+    if mode == "complete":
+        rows = rows.filter(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    return rows.drop("batch")

@@ -129,5 +129,5 @@ def test_streams(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.checkpointLocation", str(tmp_path / "c"))
     spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (2, 0, "x")], "conv_id long, turn long, text string").write.parquet(str(tmp_path / "t"))
     stream = spark.readStream.schema("conv_id long, turn long, text string").parquet(str(tmp_path / "t"))
-    got = {r.conv_id: r.turns for r in st.drain(st.last_turns(stream, 2), "update", "turns_test").collect()}
+    got = {r.conv_id: r.turns for r in st.drain(st.last_turns(stream, 2), "update", str(tmp_path / "turns_test")).collect()}
     assert got == {1: "1,2", 2: "0"}
