@@ -110,3 +110,5 @@ ORACLES = {
     "op9_secret_scans": OP9,
     "op10_warc": OP10,
 }
+
+ORACLES["secret_scans_incremental"] = ORACLES["op9_secret_scans"]
