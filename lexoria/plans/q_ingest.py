@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexoria.functions import text as tx
 from lexoria.functions import vectors as vx
-from lexoria.operators import dataset, ingest, preservation, retrieval
+from lexoria.operators import dataset, ingest, preservation, retrieval, review
 from lexoria.sources import corpus
 
 from .q_retrieval import base_sql, corpus_sql
@@ -172,8 +172,14 @@ def filters(spark, sf_dir):
     return out.select("query_id", F.array_join("doc_types", ",").alias("doc_types"), F.array_join("modules", ",").alias("modules"))
 
 
+def reviewed(spark, sf_dir):
+    """Tokens of whole texts as answers; their places have no SQL, tests compare them with plain Python."""
+    x = t(spark, sf_dir, "documents").select("doc_id", review.review_tokens(F.col("text")).alias("x"))
+    return x.select("doc_id", F.size("x").alias("tokens"), F.size(F.filter("x", lambda k: k["technical"])).alias("technical"), F.sha2(F.to_json("x"), 256).alias("digest"))
+
+
 QUERIES = {
-    "module_inference": modules, "section_retrieval_text": retrieval_texts, "processing_hash": hashes, "ingest_run": ingest_run, "body_lines": body, "missing_in_order": ordered_diff, "section_counts": listings, "numeric_sort_key": sort_keys, "priority_report": priority_listing,
+    "review_tokens": reviewed, "module_inference": modules, "section_retrieval_text": retrieval_texts, "processing_hash": hashes, "ingest_run": ingest_run, "body_lines": body, "missing_in_order": ordered_diff, "section_counts": listings, "numeric_sort_key": sort_keys, "priority_report": priority_listing,
     "backfill": filled, "ordered_json": identity_arrays, "normal_cases": normal, "distinct_cases": unique_cases, "cases_from_gaps": gap_cases, "judgment_problems": judgments, "flat_identity": identity_paths, "answer_states": answer_states,
     "title_filename": names, "small_parsers": small_parsers, "vector_literal": literals, "postprocess_results": postprocessed, "search_filters": filters,
 }
