@@ -6,7 +6,7 @@ of one text are folded up inside its row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What ends a clause, what a token is, and what makes a clause technical.
@@ -48,19 +48,21 @@ def clause_ranges(body: Column) -> Column:
     return F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
 
 
-def review_tokens(answer: Column) -> Column:
-    """(start, end, technical) of every token of the body outside inline citations; technical if its
-    clause names a condition, a negation, a number or a technical term."""
-    body = answer_body(answer)
-    cited = spans(body, CITATION)
-
-    def of_clause(c: Column) -> Column:
-        text = F.substr(body, c["start"] + 1, c["end"] - c["start"])
-        technical = text.rlike(TECHNICAL)
-        moved = F.transform(spans(text, TOKEN), lambda t: F.struct((t["start"] + c["start"]).alias("start"), (t["end"] + c["start"]).alias("end"), technical.alias("technical")))
-        return F.filter(moved, lambda t: ~F.exists(cited, lambda s: (s["start"] <= t["start"]) & (t["start"] < s["end"])))
-
-    return F.flatten(F.transform(clause_ranges(body), of_clause))
+def review_tokens(rows: DataFrame, answer: str, name: str = "tokens") -> DataFrame:
+    """``rows`` with (start, end, technical) of every token of the answer's body outside inline
+    citations; technical if its clause names a condition, a negation, a number or a technical term.
+    Each step is made once a row: what a generator yields is not computed again where it is used."""
+    once = lambda df, column, value: df.withColumn(column, F.explode(F.array(value)))
+    out = once(rows, "_body", answer_body(F.col(answer)))
+    out = once(out, "_cited", spans(F.col("_body"), CITATION))
+    out = once(out, "_clauses", clause_ranges(F.col("_body")))
+    text = lambda c: F.substr(F.col("_body"), c["start"] + 1, c["end"] - c["start"])
+    out = once(out, "_texts", F.transform("_clauses", text))
+    mark = lambda c, t: F.struct(c["start"].alias("base"), t.rlike(TECHNICAL).alias("technical"), spans(t, TOKEN).alias("found"))
+    out = once(out, "_marked", F.zip_with("_clauses", "_texts", mark))
+    moved = lambda m: F.transform(m["found"], lambda x: F.struct((x["start"] + m["base"]).alias("start"), (x["end"] + m["base"]).alias("end"), m["technical"].alias("technical")))
+    free = lambda x: ~F.exists("_cited", lambda c: (c["start"] <= x["start"]) & (x["start"] < c["end"]))
+    return once(out, name, F.filter(F.flatten(F.transform("_marked", moved)), free)).drop("_body", "_cited", "_clauses", "_texts", "_marked")
 
 
 def uncovered(tokens: Column, claims: Column) -> Column:

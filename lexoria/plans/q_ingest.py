@@ -173,9 +173,9 @@ def filters(spark, sf_dir):
 
 
 def reviewed(spark, sf_dir):
-    """Tokens of whole texts as answers; their places have no SQL, tests compare them with plain Python."""
-    x = t(spark, sf_dir, "documents").select("doc_id", review.review_tokens(F.col("text")).alias("x"))
-    return x.select("doc_id", F.size("x").alias("tokens"), F.size(F.filter("x", lambda k: k["technical"])).alias("technical"), F.sha2(F.to_json("x"), 256).alias("digest"))
+    """Tokens of whole messages as answers; their places have no SQL, tests compare them with plain Python."""
+    x = review.review_tokens(t(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text", "x")
+    return x.select("conv_id", "turn", F.size("x").alias("tokens"), F.size(F.filter("x", lambda k: k["technical"])).alias("technical"), F.sha2(F.to_json("x"), 256).alias("digest"))
 
 
 QUERIES = {

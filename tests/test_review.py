@@ -31,16 +31,16 @@ def test_tokens_and_clauses_match_plain_python(spark):
     docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect() if r.text]
     answers = ANSWERS + [t[:1500] for t in docs]
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(answers)], "i int, t string")
-    got = {r.i: [tuple(x) for x in r.x] for r in frame.select("i", review.review_tokens(F.col("t")).alias("x")).collect()}
+    got = {r.i: [tuple(x) for x in r.x] for r in review.review_tokens(frame, "t", "x").collect()}
     for i, t in enumerate(answers):
         assert got[i] == plain_tokens(t), t
-    assert frame.select(review.review_tokens(F.lit(None).cast("string")).alias("x")).first().x == []
+    assert review.review_tokens(frame.limit(1).select(F.lit(None).cast("string").alias("t")), "t").first().tokens == []
 
 
 def test_uncovered_tokens_policies_and_decisions(spark):
     row = spark.createDataFrame([(ANSWERS[0],)], "t string")
     claims = F.array(F.struct(F.lit(0).alias("start"), F.lit(29).alias("end")))
-    left = row.select(review.uncovered(review.review_tokens(F.col("t")), claims).alias("x")).first().x
+    left = review.review_tokens(row, "t").select(review.uncovered(F.col("tokens"), claims).alias("x")).first().x
     assert left and all(x.technical and x.start >= 28 for x in left)
     p = spark.createDataFrame([(0.2, 0.8), (0.8, 0.2), (-0.1, 0.5), (None, 0.5), (0.5, float("nan"))], "a double, b double")
     assert [r[0] for r in p.select(review.threshold_problem(F.col("a"), F.col("b"))).collect()] == [None, "not_rising", "out_of_range", "missing", "missing"]
