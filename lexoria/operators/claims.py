@@ -59,3 +59,37 @@ def evidence_matches(reference: DataFrame, retrieved: DataFrame) -> DataFrame:
     terms = F.forall("terms", lambda t: F.contains("content", t))
     hits = reference.join(r, "case_id").filter(F.coalesce(same, F.lit(False)) & F.coalesce(named, F.lit(False)) & terms).groupBy("case_id", "reference_id").agg(F.min("rank").alias("rank"))
     return reference.select("case_id", "reference_id").join(hits, ["case_id", "reference_id"], "left")
+
+
+def claim_round(claims: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(answer_id, status, reason, judged): one round of judging an answer's claims in batches.
+
+    claims: (answer_id, claim_id, batch, status), batch null for claims too long for any; decisions:
+    (answer_id, batch, outcome, model_matches). The first batch without a sound decision closes the
+    round as inconclusive, with its outcome, missing_decision or model_mismatch as the reason; only
+    the claims before it count as judged. Claims too long for any batch close it before the first
+    one. Else: rejected with any negative claim, supported if all are, inconclusive otherwise.
+    """
+    asked = claims.groupBy("answer_id", "batch").agg(F.count("*").alias("n"), F.bool_or(F.col("status").isin("contradicted", "unsupported", "conflicting")).alias("bad"), F.every(F.coalesce(F.col("status") == "supported", F.lit(False))).alias("good"))
+    sound = (F.col("outcome") == "ok") & F.col("model_matches")
+    reason = F.when(F.col("batch").isNull(), "state_limit").when(F.col("outcome").isNull(), "missing_decision").when(F.col("outcome") != "ok", F.col("outcome")).when(~sound, "model_mismatch")
+    at = asked.join(decisions, ["answer_id", "batch"], "left").withColumn("reason", reason).withColumn("batch", F.coalesce("batch", F.lit(0)))
+    first = at.groupBy("answer_id").agg(F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("batch"))).alias("reason"), F.min(F.when(F.col("reason").isNotNull(), F.col("batch"))).alias("stop"), F.bool_or("bad").alias("bad"), F.every("good").alias("good"))
+    judged = at.select("answer_id", "batch", "n").join(first.select("answer_id", "stop"), "answer_id").filter("stop IS NULL OR batch < stop").groupBy("answer_id").agg(F.sum("n").alias("judged"))
+    status = F.when(F.col("reason").isNotNull(), "inconclusive").when(F.col("bad"), "rejected").when(F.col("good"), "supported").otherwise("inconclusive")
+    return first.join(judged, "answer_id", "left").select("answer_id", status.alias("status"), "reason", F.coalesce("judged", F.lit(0)).alias("judged"))
+
+
+def documentation_tasks(questions: DataFrame, feedback: DataFrame, base: DataFrame, reason: str = "scoped feedback differs from the corpus", most: int = 1_500) -> DataFrame:
+    """(query_id, query, feedback_item_ids, base_sources, reason, status): an open task for every
+    question answered both by scoped feedback and by the corpus. The query is cut to ``most``
+    characters; ids and sources are distinct and in order, blank ones left out.
+
+    questions: (query_id, query); feedback: (query_id, feedback_item_id); base: (query_id, filename),
+    both of the few rows retrieved for a question.
+    """
+    named = lambda c: F.sort_array(F.collect_set(F.when(F.col(c) != "", F.col(c))))
+    items = feedback.groupBy("query_id").agg(named("feedback_item_id").alias("feedback_item_ids"))
+    sources = base.groupBy("query_id").agg(named("filename").alias("base_sources"))
+    both = questions.join(items, "query_id").join(sources, "query_id")
+    return both.select("query_id", F.left(F.coalesce("query", F.lit("")), F.lit(most)).alias("query"), "feedback_item_ids", "base_sources", F.lit(reason).alias("reason"), F.lit("OPEN").alias("status"))

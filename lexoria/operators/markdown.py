@@ -57,6 +57,18 @@ def split_sections(text: str) -> list[Section]:
     return out
 
 
+def fence_left_open(text: str) -> int | None:
+    """The line of the fence that nothing closes."""
+    fence, at = "", None
+    for number, line in enumerate(text.splitlines(), 1):
+        m = _FENCE.match(line)
+        if m and not fence:
+            fence, at = m[1], number
+        elif m and m[1][0] == fence[0] and len(m[1]) >= len(fence) and not m[2].strip():
+            fence, at = "", None
+    return at
+
+
 def sections(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, section_index, level, title, section_key, heading_path, line, content)."""
 
