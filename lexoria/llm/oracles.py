@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express.
 
-op4 and op5 (learned or approximate) and op3 (sequential merges) have none; they are tested
+op4, op5 and op13 (learned or approximate) and op3 (sequential merges) have none; they are tested
 against brute force, held-out labels or an exact round trip.
 """
 
@@ -101,6 +101,48 @@ SELECT p.page_id, p.payload_bytes, p.payload_digest, CASE WHEN f.first <> p.page
 FROM p LEFT JOIN f USING (payload_digest)
 """
 
+
+def _op11(rounds: int = 6) -> str:
+    """Lloyd's rounds one after another over single components, each a pair of common tables."""
+    nearest = """a{r} AS MATERIALIZED (SELECT vec_id, p, arg_min(e, d * 16 + e) AS e, min(d) AS d FROM
+  (SELECT x.vec_id, x.p, b.e, sum((x.x - b.x) * (x.x - b.x)) AS d FROM x JOIN b{r} b USING (p, j) GROUP BY x.vec_id, x.p, b.e) GROUP BY vec_id, p)"""
+    moved = """b{n} AS MATERIALIZED (SELECT b.p, b.j, b.e, coalesce(m.x, b.x) AS x FROM b{r} b LEFT JOIN
+  (SELECT a.p, x.j, a.e, (sum(x.x) - ((sum(x.x) % count(*)) + count(*)) % count(*))::BIGINT // count(*) AS x FROM a{r} a JOIN x USING (vec_id, p) GROUP BY a.p, x.j, a.e) m USING (p, j, e))"""
+    steps = [nearest.format(r=r) + (",\n" + moved.format(r=r, n=r + 1) if r < rounds else "") for r in range(rounds + 1)]
+    return f"""
+WITH k AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+x AS MATERIALIZED (SELECT vec_id, (i - 1) // (n // 8) AS p, (i - 1) % (n // 8) AS j, floor(4096 * c)::BIGINT AS x FROM (SELECT vec_id, len(v) AS n, unnest(v) AS c, unnest(range(1, len(v) + 1)) AS i FROM k)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k QUALIFY e < 16),
+b0 AS MATERIALIZED (SELECT p, j, e, x FROM x JOIN first USING (vec_id)),
+{(","+chr(10)).join(steps)},
+c AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, j)) AS s FROM b{rounds})
+SELECT c.vec_id, c.code, c.error, sum(c.error) OVER (PARTITION BY k.label)::BIGINT AS label_error, h.s AS codebooks_sha256 FROM c JOIN k USING (vec_id) CROSS JOIN h
+"""
+
+
+OP11 = _op11()
+
+OP12 = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+m AS (SELECT doc_id, part, (len(ws) < 200)::INTEGER + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INTEGER
+  + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text))::INTEGER
+  + 8 * regexp_matches(text, '[#$%&*|]')::INTEGER + 16 * coalesce(doc_id > first, false)::INTEGER AS mask FROM w),
+l AS (SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id),
+c AS MATERIALIZED (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+f(x, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM f a, f b, f c, f d, f e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+s AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INTEGER AS before FROM o, range(1, 6) r(step)),
+g AS (SELECT c.part, s.filter_order, s.step, s.bit, sum(CASE WHEN c.mask & (s.before | s.bit) = 0 THEN n ELSE 0 END) AS kept,
+  sum(CASE WHEN c.mask & s.bit > 0 AND c.mask & s.before = 0 THEN n ELSE 0 END) AS removed, sum(CASE WHEN c.mask & s.bit > 0 AND c.mask & s.before > 0 THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN c.mask = s.bit THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN c.mask & s.bit > 0 AND c.mask & s.before = 0 THEN good ELSE 0 END) AS good_lost,
+  sum(CASE WHEN c.mask & s.bit > 0 AND c.mask & s.before = 0 THEN toxic ELSE 0 END) AS toxic_lost FROM c CROSS JOIN s GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM g
+"""
+
 ORACLES = {
     "op1_url_filters": OP1,
     "op2_lm_scoring": OP2,
@@ -109,6 +151,8 @@ ORACLES = {
     "op8_exact_top_k": OP8,
     "op9_secret_scans": OP9,
     "op10_warc": OP10,
+    "op11_vector_codes": OP11,
+    "op12_filter_audit": OP12,
 }
 
 ORACLES["secret_scans_incremental"] = ORACLES["op9_secret_scans"]

@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 from .backoff_scores import score_documents
 from .collision_search import nearest_neighbours
+from .filter_audit import audit_filters
 from .jaccard_join import near_duplicates
 from .kd_search import exact_top_k
 from .merge_dropout import encode_documents
 from .mixing import mix_sources
 from .oracles import ORACLES
+from .quality_model import quality
 from .runtime import read
 from .secret_scans import RULES, findings_by_path, scan, span_text
 from .toxicity import toxicity
 from .url_filters import UrlRule, judge_urls
+from .vector_codes import vector_codes
 from .warc import archive_pages
 
 __all__ = ["ORACLES", "QUERIES", "URL_RULES"]
@@ -92,6 +95,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(read(spark, sf_dir, "pages")).drop("url")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(read(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096.0)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.3)
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_lm_scoring": op2_lm_scoring,
@@ -103,5 +118,8 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_secret_scans": op9_secret_scans,
     "op10_warc": op10_warc,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_quality_classifier": op13_quality_classifier,
     "secret_scans_incremental": secret_scans_incremental,
 }

@@ -99,15 +99,16 @@ def word_spans(text: np.ndarray, off: np.ndarray, separator: np.ndarray = _SEPAR
     return starts, ends, per
 
 
-def word_hashes(column: pa.Array, separator: np.ndarray = _SEPARATOR, beginning: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word in order, words per text). beginning: only so many bytes of each count."""
-    parts = [_word_hashes(column[part], separator, beginning) for part in chunks(column, _AT_ONCE)]
+def word_hashes(column: pa.Array, separator: np.ndarray = _SEPARATOR, beginning: int | None = None, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word in order, words per text). beginning: only so many bytes of each count;
+    lower: whether A-Z count as a-z."""
+    parts = [_word_hashes(column[part], separator, beginning, lower) for part in chunks(column, _AT_ONCE)]
     if len(parts) == 1:
         return parts[0]
     return np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in parts)]), np.concatenate([np.zeros(0, np.int64), *(per for _, per in parts)])
 
 
-def _word_hashes(column: pa.Array, separator: np.ndarray, beginning: int | None) -> tuple[np.ndarray, np.ndarray]:
+def _word_hashes(column: pa.Array, separator: np.ndarray, beginning: int | None, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     text, off = raw(column)
     starts, ends, per = word_spans(text, off, separator)
     if beginning is not None:
@@ -119,7 +120,8 @@ def _word_hashes(column: pa.Array, separator: np.ndarray, beginning: int | None)
     first = np.cumsum(length) - length
     at = np.arange(total, dtype=np.int64)
     place = at - np.repeat(first, length)
-    low = _LOWER[text[place + np.repeat(starts, length)]].astype(np.uint64)
+    low = text[place + np.repeat(starts, length)]
+    low = (_LOWER[low] if lower else low).astype(np.uint64)
     with np.errstate(over="ignore"):
         low += np.uint64(1)
         low *= _powers(int(length.max()))[place]
