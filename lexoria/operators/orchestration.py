@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexoria.sources.shared import checkpoints
+
 from . import postrank, retrieval
 
 SECTION_COUNT, CHUNK_COUNT, FETCH, CHALLENGERS, CHALLENGER_FETCH = 12, 8, 80, 4, 16
@@ -16,10 +16,7 @@ SIMILARITY, FLOOR = 0.55, 0.7
 def _cut(df: DataFrame) -> DataFrame:
     """A stage's few rows (at most 3 * CHUNK_COUNT a question), materialised in the shared folder,
     so that the stages do not nest into one plan."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexoria-"))
+    checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

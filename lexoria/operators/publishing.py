@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexoria.sources.shared import CommitLog
+
 from .lifecycle import fingerprint
 
 
@@ -35,47 +36,27 @@ class Publication:
     """Versions of a corpus under a folder, and a pointer to the published one.
 
     ``apply`` writes a version and moves the pointer last; applying the same plan again does nothing.
-    ``rollback`` moves the pointer back and verifies the fingerprint. One writer at a time.
+    ``rollback`` moves the pointer back and verifies the fingerprint. Of two writers at once the second
+    to create the next pointer gets Taken, and nothing of what it wrote is published.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _files(self):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/pointers")
-        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _newest(self) -> tuple[int, str | None]:
-        path, fs = self._files()
-        names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
-        whole = sorted(n for n in names if n.endswith(".json") and not n.startswith("."))
-        return (int(whole[-1].split(".")[0]), whole[-1]) if whole else (0, None)
+        self.pointers = CommitLog(spark, f"{self.folder}/pointers")
 
     def state(self) -> dict:
-        _, name = self._newest()
-        if name is None:
-            return {"version": None, "history": []}
-        path, _ = self._files()
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{path.toString()}/{name}").collect()))
-
-    def _publish(self, state: dict) -> None:
-        """A pointer of the next number, renamed to its name when whole: a crash leaves the last one."""
-        number, _ = self._newest()
-        path, fs = self._files()
-        at = lambda name: self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, name)
-        temp = at(f".{uuid.uuid4().hex}")
-        out = fs.create(temp)
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
-        if not fs.rename(temp, at(f"{number + 1:09d}.json")):
-            raise ValueError("another writer has published meanwhile")
+        return self._newest()[1]
+
+    def _newest(self) -> tuple[int, dict]:
+        number, entry = self.pointers.newest()
+        return number, entry or {"version": None, "history": []}
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{self.state()['version']}")
 
     def apply(self, rows: DataFrame, plan_id: str, expected: str | None = None) -> dict:
         """expected: the fingerprint that the published version must still have."""
-        state = self.state()
+        number, state = self._newest()
         if plan_id in [h["plan"] for h in state["history"]]:
             return state
         last = state["history"][-1]["fingerprint"] if state["history"] else None
@@ -87,11 +68,11 @@ class Publication:
         mark = fingerprint(made, made.columns).first()["fingerprint"]
         state["history"].append({"plan": plan_id, "version": version, "fingerprint": mark})
         state["version"] = version
-        self._publish(state)
+        self.pointers.commit(number, state)
         return state
 
     def rollback(self) -> dict:
-        state = self.state()
+        number, state = self._newest()
         if len(state["history"]) < 2:
             raise ValueError("nothing to go back to")
         state["history"].pop()
@@ -100,5 +81,5 @@ class Publication:
         if fingerprint(old, old.columns).first()["fingerprint"] != target["fingerprint"]:
             raise ValueError("the version to go back to has changed")
         state["version"] = target["version"]
-        self._publish(state)
+        self.pointers.commit(number, state)
         return state

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from lexoria.functions.vectors import cosine_similarity, dot, norm
 
 from .lexical import lexical_matches, tokenised
+from .postings import PostingsIndex
+from .vector_index import VectorIndex
 
 RRF_K = 60
 #: Questions in one batch at most; larger batches are to be split.
@@ -126,12 +128,27 @@ def hybrid_match_chunks(chunks: DataFrame, questions: DataFrame, match_count: in
     base, fetch = base_rows(chunks, questions, scope), max(fetch_limit, match_count)
     vector = top(base.filter(F.col("similarity") >= threshold * floor), "vector_rank", [F.col("similarity").desc(), F.col("id")], fetch)
     lexical = top(lexical_rows(chunks, questions, scope), "lexical_rank", [F.col("lexical_score").desc(), F.col("id")], fetch)
+    return _fused_search(vector, lexical, chunks, questions, match_count, weights, scope)
+
+
+def _fused_search(vector: DataFrame, lexical: DataFrame, chunks: DataFrame, questions: DataFrame, match_count: int, weights: tuple[float, float], scope: DataFrame | None) -> DataFrame:
     seeds = top(fuse(vector, lexical, weights), "retrieval_rank", _fused_order(), match_count).select("query_id", "id", "document_id", "chunk_index", "retrieval_rank", "lexical_score", "fusion_score", "origin")
     out = expand(seeds, chunks, questions, match_count, scope)
     mine = lambda c: F.when(~F.col("is_neighbor"), F.col(c))
     return out.withColumn("lexical_score", mine("lexical_score")).withColumn("fusion_score", mine("fusion_score")).withColumn("origin", F.when(F.col("is_neighbor"), "neighbor").otherwise(F.col("origin")))
 
 
+def hybrid_match_indexed(vectors: VectorIndex, texts: PostingsIndex, chunks: DataFrame, questions: DataFrame, match_count: int = 8, threshold: float = 0.55, weights: tuple[float, float] = (0.6, 0.4), fetch_limit: int = 80, floor: float = 0.7, exact: bool = True, probes: int = 8) -> DataFrame:
+    """hybrid_match_chunks over stored indexes of the chunks: only the probed lists of vectors and the
+    asked lexemes' postings are read, and lexical scores are cover densities. The vector index has the
+    columns of the chunks but content; the postings carry document_id, chunk_index, doc_type, module.
+    Neighbours are looked up in ``chunks`` by the broadcast seeds."""
+    fetch = max(fetch_limit, match_count)
+    vector = vectors.search(questions, fetch, probes, exact, threshold * floor).withColumnRenamed("rank", "vector_rank")
+    lexical = texts.search(questions, _filters(), fetch)
+    return _fused_search(vector, lexical, chunks, questions, match_count, weights, None)
+
+
 def hybrid_match_sections(sections: DataFrame, questions: DataFrame, match_count: int = 12, threshold: float = 0.55, weights: tuple[float, float] = (0.65, 0.35), fetch_limit: int = 48) -> DataFrame:
     """Fused search over sections, without neighbours. A section without a vector has similarity 0."""
     base, fetch = base_rows(sections, questions), max(fetch_limit, match_count)

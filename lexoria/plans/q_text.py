@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from lexoria.functions import text as tx
@@ -14,6 +11,7 @@ from lexoria.operators import grounding as gr
 from lexoria.operators import markdown as md
 from lexoria.operators import routing
 from lexoria.sources import corpus
+from lexoria.sources.shared import fresh_folder
 from lexoria.streaming import extensions as st
 
 t = corpus.table
@@ -139,12 +137,7 @@ def _stream(spark, sf_dir, name):
 
 
 def _drained(spark, df, mode, name):
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="lexoria-stream-")
-    return st.drain(df, mode, f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return st.drain(df, mode, fresh_folder(spark, name))
 
 
 def stream_windows(spark, sf_dir):
