@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_canonical, q_evaluation, q_index, q_ingest, q_lifecycle, q_more, q_postrank, q_retrieval, q_text
+from . import q_canonical, q_evaluation, q_index, q_ingest, q_lifecycle, q_more, q_postrank, q_retrieval, q_text, q_web
 
-_MODULES = [q_retrieval, q_index, q_postrank, q_evaluation, q_lifecycle, q_text, q_more, q_ingest, q_canonical]
+_MODULES = [q_retrieval, q_index, q_postrank, q_evaluation, q_lifecycle, q_text, q_more, q_ingest, q_canonical, q_web]
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
