@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .packing import pack, unpack
+from .packing import narrow, pack, unpack
 from .runtime import cut, lean
 
 #: Labelled documents learnt from at most (those of smallest hash of the id), and in a shard about.
@@ -62,8 +62,8 @@ def word_forms(text: pa.Array, h: np.ndarray) -> np.ndarray:
     return W.mix(form.astype(np.uint64) + _PAIR[0])
 
 
-def text_features(text: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, feature, value) of a column of texts, by row and feature. A null text is empty and has
+def text_counts(text: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, count) of a column of texts, by row and feature. A null text is empty and has
     none."""
     h, per = W.word_hashes(text, lower=False)
     row, places = np.repeat(np.arange(len(per)), per), np.uint64((1 << bits) - 1)
@@ -75,8 +75,13 @@ def text_features(text: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np
         found += [one & places, pair[inside] & places]
         of += [row, row[:-1][inside]]
     key, count = np.unique(np.concatenate(of) << bits | np.concatenate(found).astype(np.int64), return_counts=True)
-    at, feature = key >> bits, key & int(places)
-    return at, feature, np.sqrt(count / np.bincount(at, count, minlength=len(per))[at])
+    return key >> bits, key & int(places), count
+
+
+def text_features(text: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, value) of a column of texts, by row and feature."""
+    row, feature, count = text_counts(text, bits)
+    return row, feature, np.sqrt(count / np.bincount(row, count, minlength=len(text))[row])
 
 
 def weights(z: np.ndarray, n: np.ndarray, s: Ftrl, bias: int) -> np.ndarray:
@@ -112,9 +117,9 @@ def _made(s: Ftrl):
         for batch in batches:
             for part in W.chunks(batch.column("text").cast(pa.large_string()), TEXT_BYTES):
                 piece = batch.slice(part.start, part.stop - part.start)
-                row, feature, value = text_features(piece.column("text"), s.bits)
+                row, feature, count = text_counts(piece.column("text"), s.bits)
                 cuts = np.searchsorted(row, np.arange(len(piece) + 1))
-                packed = [pack(feature[a:b].astype(np.int32), value[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+                packed = [pack(narrow(np.diff(feature[a:b], prepend=0)), narrow(count[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("shard", "place", "doc_id", "y")), pa.array(packed, pa.binary())], names=["shard", "place", "doc_id", "y", "features"])
 
     return lean(run)
@@ -139,7 +144,8 @@ def _pass(shared, s: Ftrl):
                     yield changes()
                     z, n = z0.copy(), n0.copy()
                 shard = int(shards[i])
-                follow(z, n, [(*unpack(data.as_py()), float(ys[i]))], s)
+                steps, count = unpack(data.as_py())
+                follow(z, n, [(np.cumsum(steps, dtype=np.int64), np.sqrt(count / max(1, count.sum(dtype=np.int64))), float(ys[i]))], s)
         if shard is not None:
             yield changes()
 
@@ -169,8 +175,9 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Ftrl | None = None, exampl
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rows), "doc_id")
     once = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     dealt = once.withColumn("place", F.xxhash64("doc_id")).withColumn("shard", F.pmod("place", F.lit(shards)).cast("int"))
-    made = cut(dealt.select("shard", "place", "doc_id", "y", "text").mapInArrow(_made(s), f"shard int, place long, doc_id {id_type}, y double, features binary"))
-    sorted_rows = made.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "place", "doc_id")
+    made = dealt.select("shard", "place", "doc_id", "y", "text").mapInArrow(_made(s), f"shard int, place long, doc_id {id_type}, y double, features binary")
+    # Dealt and sorted once: a checkpoint keeps its partitions, so that no pass shuffles examples.
+    sorted_rows = cut(made.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "place", "doc_id"))
     for _ in range(s.passes):
         shared = spark.sparkContext.broadcast((z, n))
         found = sorted_rows.mapInArrow(_pass(shared, s), "shard int, feature int, dz double, dn double")
