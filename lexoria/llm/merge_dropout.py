@@ -336,36 +336,19 @@ def _bytes(code: int) -> bytes:
     return bytes([code - 0xDC00]) if 0xDC80 <= code <= 0xDCFF else chr(code).encode("utf-8", "surrogatepass")
 
 
-def _copies(ids: np.ndarray, before: int | None, count: int) -> np.ndarray:
-    """How many rows with the same id stand directly before each row; before: the id before the
-    first, which has been met ``count`` times in a row."""
-    new = np.ones(len(ids), bool)
-    new[1:] = ids[1:] != ids[:-1]
-    goes_on = len(ids) > 0 and before is not None and ids[0] == before
-    place = np.arange(len(ids))
-    run = place - np.maximum.accumulate(np.where(new, place, 0))
-    if goes_on:
-        run[: int(np.flatnonzero(new)[1]) if new.sum() > 1 else len(ids)] += count
-    return run
-
-
 def _coder(shared, dropout: float, seed: int, names: list[str]):
-    """All columns but the last two, the text and its key, with n_pieces, ids and lossless after them."""
+    """All columns but the last three, the copy, the text and its key, with n_pieces, ids and lossless after them."""
     encoders: list[MergeEncoder] = []
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         if not encoders:
             encoders.append(MergeEncoder(shared.value, dropout, seed))
         enc = encoders[0]
-        last, met = None, 0
         for batch in batches:
             text = batch.column(batch.num_columns - 2).cast(pa.large_string()).fill_null("")
-            key = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            copy = _copies(key, last, met)
-            if len(key):
-                last, met = key[-1], int(copy[-1]) + 1
+            key, copy = (batch.column(batch.num_columns - i).to_numpy(zero_copy_only=False).astype(np.uint64) for i in (1, 3))
             with np.errstate(over="ignore"):
-                key = W.mix(key.astype(np.uint64) + W.mix(copy.astype(np.uint64)))
+                key = W.mix(key + W.mix(copy))
             for part in W.chunks(text, TEXT_BYTES):
                 ids, n = enc.encode(text[part], key[part])
                 ends = np.concatenate([[0], np.cumsum(n)])
@@ -373,7 +356,7 @@ def _coder(shared, dropout: float, seed: int, names: list[str]):
                 same = [enc.decode(flat[a:b]) == t for a, b, t in zip(ends[:-1], ends[1:], text[part].to_pylist(), strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()))
                 piece = batch.slice(part.start, part.stop - part.start)
-                yield pa.RecordBatch.from_arrays([*piece.columns[:-2], pa.array(n, pa.int64()), lists, pa.array(same, pa.bool_())], names=names)
+                yield pa.RecordBatch.from_arrays([*piece.columns[:-3], pa.array(n, pa.int64()), lists, pa.array(same, pa.bool_())], names=names)
 
     return lean(run)
 
@@ -381,11 +364,11 @@ def _coder(shared, dropout: float, seed: int, names: list[str]):
 RESULTS = ("n_pieces", "ids", "lossless")
 
 
-def encode_documents(docs: DataFrame, model_file: str, dropout: float = 0.1, seed: int = 0, keep: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", results: tuple[str, str, str] = RESULTS) -> DataFrame:
+def encode_documents(docs: DataFrame, model_file: str, dropout: float = 0.1, seed: int = 0, keep: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", copy_col: str | None = None, results: tuple[str, str, str] = RESULTS) -> DataFrame:
     """``keep`` columns, n_pieces, ids and lossless (whether the ids decode to the text) of each row.
 
-    The segmentation depends on seed, id and text; rows of one id that stand directly one after the
-    other in a partition, as the copies of an exploded row do, are copies 0, 1, ... and vary.
+    The segmentation depends on seed, id, text and the number in ``copy_col`` alone; without such a
+    column, rows of equal id and text are split alike. A null number counts as 0.
     Nulls: a null or empty text has the one piece of the space put before it, and decodes to "";
     null ids count as one id. Columns of any names may be kept; a kept column that has the name of
     one of ``results`` is an error, so choose others then. The model file is read on the driver only.
@@ -394,8 +377,9 @@ def encode_documents(docs: DataFrame, model_file: str, dropout: float = 0.1, see
         raise ValueError("a kept column has the name of a result")
     shared = docs.sparkSession.sparkContext.broadcast(PieceModel.load(model_file))
     key = F.coalesce(F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed)), F.lit(0)).cast("long")
+    copy = F.coalesce(F.col(f"`{copy_col}`").cast("long"), F.lit(0)) if copy_col else F.lit(0)
     names = [*(f"c{i}" for i in range(len(keep))), *RESULTS]
-    chosen = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=False)), F.col("text").cast("string").alias("text"), key.alias("key"))
+    chosen = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=False)), copy.cast("long").alias("copy"), F.col("text").cast("string").alias("text"), key.alias("key"))
     fields = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for c, n in zip(keep, names, strict=False))
     out = chosen.mapInArrow(_coder(shared, dropout, seed, names), f"{fields}n_pieces long, ids array<int>, lossless boolean")
     return out.toDF(*keep, *results)

@@ -40,15 +40,19 @@ class Scratch:
     """Parquet tables in the shared folder for the inside of one operator; ``clear`` deletes them.
 
     Unlike a checkpoint they are columnar and compressed. Results that leave the operator must not
-    read them.
+    read them, unless they are kept until the session ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, at_exit: bool = False) -> DataFrame:
+        """``at_exit``: what is not cleared before goes when the session's JVM ends."""
         path = f"{shared_dir(self.spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
         df.write.parquet(path)
+        if at_exit:
+            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out

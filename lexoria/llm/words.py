@@ -100,8 +100,8 @@ def word_spans(text: np.ndarray, off: np.ndarray, separator: np.ndarray = _SEPAR
 
 
 def word_hashes(column: pa.Array, separator: np.ndarray = _SEPARATOR, beginning: int | None = None, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word in order, words per text). beginning: only so many bytes of each count;
-    lower: whether A-Z count as a-z."""
+    """(hash of every word in order, words per text). beginning: only so many characters of each
+    count; lower: whether A-Z count as a-z."""
     parts = [_word_hashes(column[part], separator, beginning, lower) for part in chunks(column, _AT_ONCE)]
     if len(parts) == 1:
         return parts[0]
@@ -112,7 +112,8 @@ def _word_hashes(column: pa.Array, separator: np.ndarray, beginning: int | None,
     text, off = raw(column)
     starts, ends, per = word_spans(text, off, separator)
     if beginning is not None:
-        ends = np.minimum(ends, starts + beginning)
+        at = np.append(np.flatnonzero((text & 0xC0) != 0x80), len(text))  # where characters begin
+        ends = np.minimum(ends, at[np.minimum(np.searchsorted(at, starts) + beginning, len(at) - 1)])
     if not len(starts):
         return np.zeros(0, np.uint64), per
     length = ends - starts

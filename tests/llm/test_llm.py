@@ -31,6 +31,8 @@ from lexoria.llm.toxicity import fit, isotonic, score, toxicity
 from lexoria.llm.url_filters import UrlRule, judge_urls, resolve_link
 from lexoria.llm.warc import WarcError, archive_pages, read_records, write_record
 
+from ..conftest import DATA
+
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -234,7 +236,10 @@ def test_encoded_documents_decode_and_vary(spark):
     cut = re.split("_", "".join("_" * (p[0] == "▁") + "|" + p for p in (enc.model.pieces[i] for i in one.ids)))
     assert len(set(cut)) > 40 and one.lossless
     copies = docs(spark, ["many different words of one text"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(30))))
-    assert len({tuple(r.ids) for r in encode_documents(copies, MODEL_FILE, dropout=0.5).collect()}) > 10
+    split = lambda df, **kw: sorted(tuple(r.ids) for r in encode_documents(df, MODEL_FILE, dropout=0.5, **kw).collect())
+    assert len(set(split(copies))) == 1  # rows of equal id and text, not numbered
+    numbered = split(copies, copy_col="copy")
+    assert len(set(numbered)) > 10 and all(split(copies.repartition(n), copy_col="copy") == numbered for n in (1, 2, 7))
     again = encode_documents(frame.withColumn("ids", F.lit(1)), MODEL_FILE, dropout=0.3, seed=1, keep=("doc_id", "ids"), results=("a", "b", "c"))
     assert {r.doc_id: r.b for r in again.collect()} == {i: r.ids for i, r in back.items()} and again.columns == ["doc_id", "ids", "a", "b", "c"]
     assert encode_documents(frame.limit(0), MODEL_FILE).count() == 0
@@ -283,7 +288,7 @@ def test_toxicity_defined_cases(spark):
 def brute_toxicity(texts, labelled, asked, every):
     """Scores by plain Python: labelled are (text, label), asked are texts, texts the whole corpus;
     every: labelled rows of each label before equal texts were merged."""
-    tokens = lambda t: Counter(w.encode()[: T.STEM] for w in re.findall(r"(?:[0-9A-Za-z]|[^\x00-\x7f])+", (t or "").translate(LOW)))
+    tokens = lambda t: Counter(x for w in re.findall(r"(?:[0-9A-Za-z]|[^\x00-\x7f])+", (t or "").translate(LOW)) for x in (("word", w), ("beginning", w[:4])))
     seen = {w for t, _ in labelled for w in tokens(t)}
     df = Counter(w for t in texts for w in tokens(t) if w in seen)
 
@@ -316,8 +321,8 @@ def brute_toxicity(texts, labelled, asked, every):
 def test_toxicity_scores_match_brute_force_on_real_texts(spark, monkeypatch):
     monkeypatch.setattr(T, "BLOCK", 8)
     monkeypatch.setattr(T, "HOT", 20)
-    frame = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", "toxic")
+    frame = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "toxic")
     text = {r.doc_id: r.text for r in frame.collect()}
     rows, same, every = [], set(), Counter()
     for r in sorted(labels.collect(), key=lambda r: r.doc_id):
@@ -334,6 +339,16 @@ def test_toxicity_scores_match_brute_force_on_real_texts(spark, monkeypatch):
     assert all(got[i].evidence for i in text if words(text[i]))
 
 
+def test_toxicity_tells_words_of_one_beginning_apart(spark):
+    rng = random.Random(2)
+    filler = lambda: " ".join(f"w{rng.randrange(60)}" for _ in range(12))
+    rows = [(f"{filler()} {'idiot' if i % 2 else 'idiom'} ждиот{'а' if i % 2 else 'б'}", i % 2) for i in range(160)]
+    frame = docs(spark, [t for t, _ in rows] + ["w1 idiot", "w1 idiom", "ждиота", "ждиотб", "x" * 2_000_000])
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)] + [(164, 1)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity(frame, labels).collect()}
+    assert got[160] > 0.6 > 0.3 > got[161] and got[162] > 0.6 > 0.3 > got[163]
+
+
 def test_toxicity_index_skips_blocks_and_stays_exact(spark):
     rng = random.Random(8)
     rows = toxic_corpus(500) + [(0, " ".join(f"z{rng.randrange(300)}" for _ in range(30)), 0) for _ in range(500)]
