@@ -7,7 +7,7 @@ names: inside a stage all columns but those it works on travel together as one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexoria.llm import toxicity
@@ -88,15 +88,25 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All columns but the text, and n_pieces, ids and lossless of each text, with merge-dropout.
-    Where docs has a column of one of these names, the result's gets underscores after it."""
-    keep = tuple(c for c in docs.columns if c != "text")
+    Where docs has a column of one of these names, the result's gets underscores after it.
+
+    Rows of one id and text are copies 0, 1, ... and split each in its own way; the mix makes a few
+    of a document. Rows without an id are split alike."""
+    packed = _packed(docs)
+    rest = F.to_json(F.struct(*[c for c in packed.columns if c not in ("doc_id", "text")]))
+    same = Window.partitionBy("doc_id", F.sha2("text", 256)).orderBy(rest)
+    named = packed.filter("doc_id IS NOT NULL").withColumn("copy", F.row_number().over(same) - 1)
+    numbered = named.unionByName(packed.filter("doc_id IS NULL").withColumn("copy", F.lit(0)))
     taken = {c.lower() for c in docs.columns}
     results = []
     for name in RESULTS:
         while name in taken:
             name += "_"
         results.append(name)
-    return encode_documents(docs, MODEL_FILE, dropout=0.1, seed=0, keep=keep, results=tuple(results))
+    keep = tuple(c for c in packed.columns if c != "text")
+    encoded = encode_documents(numbered, MODEL_FILE, dropout=0.1, seed=0, keep=keep, copy_col="copy")
+    columns = [F.col(c) if c in _OWN else F.col(f"others.c{i}").alias(c) for i, c in enumerate(docs.columns) if c != "text"]
+    return encoded.select(*columns, *[F.col(a).alias(b) for a, b in zip(RESULTS, results, strict=True)])
 
 
 STAGES = [
@@ -113,12 +123,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``. Each stage's rows are written to the shared folder and read
-    again; what the next stage has read is deleted."""
+    again; what the next stage has read is deleted, and what the result reads when the session ends."""
     scratch = Scratch(spark)
     docs = read(spark, sf_dir, "documents")
     before = None
     for _, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir))
+        docs = scratch.keep(stage(spark, docs, sf_dir), at_exit=True)
         if before is not None:
             scratch.clear(before)
         before = docs
