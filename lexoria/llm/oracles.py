@@ -40,8 +40,8 @@ links AS (SELECT a, b FROM pairs WHERE 100 * i >= 75 * (na + nb - i)),
 reach(c, r) AS (SELECT c, c FROM classes UNION SELECT reach.c, links.b FROM reach JOIN links ON reach.r = links.a),
 comp AS (SELECT c, min(r) AS component_id FROM reach GROUP BY c),
 deg AS (SELECT a AS c, count(*) AS k FROM links GROUP BY a)
-SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, coalesce(comp.component_id, s.doc_id) AS component_id
-FROM s LEFT JOIN classes ON classes.n = len(s.sh) AND classes.sh = list_sort(s.sh) LEFT JOIN comp ON comp.c = classes.c
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, coalesce(comp.component_id, s.doc_id) AS component_id, coalesce(deg.k, 0)::BIGINT AS n_links
+FROM s LEFT JOIN classes ON classes.n = len(s.sh) AND classes.sh = list_sort(s.sh) LEFT JOIN comp ON comp.c = classes.c LEFT JOIN deg ON deg.c = classes.c
 """
 
 OP7 = r"""
