@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import lean
+from .runtime import cut, lean
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -66,6 +66,7 @@ def failure_masks(docs: DataFrame, filters: list[TextFilter], part_col: str = "l
     rows = keyed.groupBy("doc_id", "part", "mask", "h").agg(F.count("*").alias("n"))
     if not repeated:
         return rows.drop("h")
+    rows = cut(rows)  # some sixty bytes a document; the texts are read once
     named = rows.filter("doc_id IS NOT NULL")
     first = named.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.lit(True).alias("is_first"))
     known = named.join(first, ["h", "doc_id"], "left").withColumn("mask", F.col("mask") + F.when(F.col("is_first"), 0).otherwise(repeated))
