@@ -175,7 +175,9 @@ def first_filled(value: Column, metadata: Column, key: str) -> Column:
 
 
 def json_fragment(text: Column) -> Column:
-    """The outermost array or object of a model's reply, whichever begins first, without a code
-    fence; null without one."""
-    bare = F.regexp_replace(F.trim(text), r"^```[A-Za-z]*\s*|\s*```$", "")
-    return F.nullif(F.regexp_extract(bare, r"(?s)(\[.*\]|\{.*\})", 1), F.lit(""))
+    """The JSON in a model's reply, without a code fence: what lies between the first and the last
+    square bracket, else brace; the text itself where there is neither."""
+    bare = F.regexp_replace(F.trim(text), r"(?i)^```(?:json)?\s*|\s*```$", "")
+    bare = F.trim(F.when(F.trim(text).startswith("```"), bare).otherwise(F.trim(text)))
+    found = lambda pattern: F.nullif(F.regexp_extract(bare, pattern, 0), F.lit(""))
+    return F.coalesce(found(r"(?s)\[.*\]"), found(r"(?s)\{.*\}"), bare)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,9 +12,13 @@ from lexoria.functions.vocabulary import ANSWER_MODE_TERMS, INTENT_PRIORITY, QUE
 
 
 def expand_abbreviations(query: Column, table: dict[str, str] = QUERY_ABBREVIATIONS) -> Column:
-    """The question with the long form of each whole-word abbreviation appended, in table order."""
-    whole = r"(?i)(?<![\p{L}\p{N}_])%s(?![\p{L}\p{N}_])"
-    return F.concat_ws(" ", query, *[F.when(query.rlike(whole % short), long) for short, long in table.items()])
+    """The question with the long form after each whole-word abbreviation, in place, whatever its
+    case: entry by entry, each on what the ones before have made. Runs of spaces become one; a
+    question of spaces alone stays."""
+    out = query
+    for short, long in table.items():
+        out = F.regexp_replace(out, rf"(?iU)\b{re.escape(short)}\b", f"$0 {long}")
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace(out, r"(?U)\s+", " ")), F.lit("")), query)
 
 
 def keyword_hits(questions: DataFrame, keywords: DataFrame, text: str = "query_text") -> DataFrame:

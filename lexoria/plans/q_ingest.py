@@ -221,7 +221,7 @@ SELECT case_id, candidate_id, CASE WHEN candidate_id = '' THEN 'blank_candidate'
 SELECT doc_id, ab AS abstained, doc_id % 13 = 0 OR (q AND regexp_matches(f, '\\b(qual|versao)\\b')) AS clarified, doc_id % 3 <> 0 OR (ab AND doc_id % 2 = 0) AS grounded, CASE WHEN NOT ab AND doc_id % 5 <> 0 THEN doc_id % 3 <> 0 AND source IN ('src1', 'src2') END AS valid, CASE WHEN doc_id % 2 = 0 THEN n_chars / 10.0::DOUBLE END AS coverage FROM a""",
     "title_filename": """SELECT p_partkey, left(regexp_replace(regexp_replace(regexp_replace(upper('relatorio com ' || lower(p_brand) || ' — ' || lower(p_type)), '\\bCOM\\b', ' ', 'g'), '[^A-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 40) AS filename, 'PED_ITEM,XYZ.T1,PC' || p_partkey || ',CFG' AS tokens FROM part""",
     "small_parsers": """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 1714979289 WHEN 2 THEN 1714972089 END::BIGINT AS at, 'level=' || event_type || CASE WHEN event_id % 2 = 0 THEN '' ELSE ',tenant=t' END AS scope, CASE WHEN event_id % 4 = 0 THEN 'x' ELSE event_type END AS filled,
-CASE WHEN event_id % 2 = 0 THEN '{"a": [1]}' WHEN event_id % 5 = 0 THEN NULL ELSE '[{"b": 2}]' END AS fragment FROM events""",
+CASE WHEN event_id % 2 = 0 THEN '[1]' WHEN event_id % 5 = 0 THEN 'Sure: none' ELSE '[{"b": 2}]' END AS fragment FROM events""",
     "vector_literal": "SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: (CASE WHEN x < 0 THEN -floor(abs(x * 100::FLOAT)::DOUBLE + 0.5) ELSE floor((x * 100::FLOAT)::DOUBLE + 0.5) END)::INTEGER), ',') || ']' AS literal FROM embeddings",
     "postprocess_results": f"""WITH {corpus_sql()}, {base_sql()}, n AS (SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS position FROM base QUALIFY position <= 60)
 SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN query_id = 2 THEN 0 ELSE -similarity END, position)::INTEGER AS place FROM n WHERE query_id = 2 OR similarity >= 0.35 * 0.7 QUALIFY place <= 16""",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexoria.functions import text as tx
 from lexoria.functions import vectors as vx
-from lexoria.functions.vocabulary import ANSWER_MODE_TERMS
+from lexoria.functions.vocabulary import ANSWER_MODE_TERMS, QUERY_ABBREVIATIONS
 from lexoria.operators import grounding as gr
 from lexoria.operators import markdown as md
 from lexoria.operators import routing
@@ -68,7 +68,8 @@ def semantic_contexts(spark, sf_dir):
 
 
 def abbreviations(spark, sf_dir):
-    return t(spark, sf_dir, "nation").select("n_nationkey", routing.expand_abbreviations(F.concat(F.lit("emitir NF e "), "n_name", F.lit(" rca"))).alias("q"))
+    asked = F.concat("text", F.lit("\tNF e  rca (Pdv) xNF nfe-NF"))
+    return t(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(routing.expand_abbreviations(asked), 256).alias("q"))
 
 
 def _marked(spark, sf_dir):
@@ -170,6 +171,10 @@ _MODE = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(f, '{x}')" for x in
 _SLUG = "coalesce(nullif(regexp_replace(regexp_replace({0}, '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), '{1}')"
 _CLAIMS = """c AS (SELECT l_orderkey AS answer_id, l_quantity / 50 AS s, l_discount * 10 AS k FROM lineitem), cs AS (SELECT answer_id, CASE WHEN s >= 0.65 AND k >= 0.65 THEN 'conflicting' WHEN s >= 0.65 AND k <= 0.35 THEN 'supported' WHEN k >= 0.65 AND s <= 0.35 THEN 'contradicted' WHEN s <= 0.35 AND k <= 0.35 THEN 'unsupported' ELSE 'inconclusive' END AS status FROM c)"""
 
+_EXPANDED = "text || chr(9) || 'NF e  rca (Pdv) xNF nfe-NF'"
+for _short, _long in QUERY_ABBREVIATIONS.items():
+    _EXPANDED = f"regexp_replace({_EXPANDED}, '\\b({_short})\\b', '\\1 {_long}', 'gi')"
+
 ORACLES = {
     "url_functions": f"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS path FROM pages), q AS (SELECT *, regexp_extract(path, '([^/]+)$', 1) AS last FROM p)
 SELECT page_id, regexp_matches(url, '^https?://') AS is_url, host, host = 'example.com' OR ends_with(host, '.example.net') AS allowed,
@@ -185,7 +190,7 @@ h AS (SELECT doc_id, label, ord, count(*) AS n FROM d JOIN k ON contains(' ' ||
 SELECT d.doc_id AS query_id, coalesce(b.label, 'general') AS intent FROM d LEFT JOIN b USING (doc_id)""",
     "answer_mode": f"WITH {_FOLD_DOC} SELECT doc_id, {_MODE} AS mode FROM d",
     "semantic_context": f"WITH {_FOLD_DOC} SELECT doc_id, 'Documento: ' || source || ' | Secao: ' || lang || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ' | Modulo: m' END || CASE WHEN {_MODE} = 'general' THEN '' ELSE ' | Modo de resposta: ' || {_MODE} END AS context FROM d",
-    "query_abbreviations": "SELECT n_nationkey, 'emitir NF e ' || n_name || ' rca representante comercial autonomo nota fiscal' AS q FROM nation",
+    "query_abbreviations": "SELECT conv_id, turn, sha256(trim(regexp_replace(" + _EXPANDED + ", '\\s+', ' ', 'g'))) AS q FROM conversations",
     "structure_counts": """WITH l AS (SELECT doc_id, string_split_regex(text, '\\r\\n|\\r|\\n') AS x FROM documents) SELECT doc_id, len(x)::INTEGER AS lines, len(list_filter(x, lambda s: regexp_matches(s, '^\\s*([-*+]|\\d+[.)])\\s+(.*\\S)\\s*$')))::INTEGER AS items,
 len(list_filter(x, lambda s: starts_with(trim(s), '|') AND ends_with(trim(s), '|') AND length(trim(s)) > 1))::INTEGER AS table_rows, len(list_filter(x, lambda s: contains(s, ' | ')))::INTEGER AS barred FROM l""",
     "claim_status": f"WITH {_CLAIMS} SELECT status, count(*) AS n FROM cs GROUP BY status",

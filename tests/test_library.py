@@ -43,7 +43,8 @@ def test_text_functions(spark):
     assert one(spark, tx.content_hash(F.lit("a\r\nb\rc"))) == one(spark, tx.content_hash(F.lit("a\nb\nc")))
     assert tx.split_message("aaa bbb\nccc ddd", 8) == ["aaa bbb", "ccc ddd"] and tx.split_message("x" * 5, 2) == ["xx", "xx", "x"]
     assert one(spark, tx.is_url(F.lit("ftp://x/y"))) is False and one(spark, tx.is_url(F.lit("https://x/y"))) is True
-    assert one(spark, routing.expand_abbreviations(F.lit("ver nf"))) == "ver nf nota fiscal"
+    assert one(spark, routing.expand_abbreviations(F.lit("ver nf  RCA, xnf nfe"))) == "ver nf nota fiscal RCA representante comercial autonomo, xnf nfe nota fiscal eletronica"
+    assert one(spark, routing.expand_abbreviations(F.lit("  "))) == "  "
     assert one(spark, vx.safe_number(F.lit("nan"))) == 0.0 and one(spark, vx.safe_number(F.lit("2.5"))) == 2.5
     with pytest.raises(Exception, match="dimension"):
         one(spark, vx.clean_vector(F.array(F.lit(1.0)), 2))
