@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexoria.functions.text import folded
+
 from lexoria.functions.text import estimated_tokens
 
 
@@ -83,10 +85,12 @@ def merge_chunks(rows: DataFrame, most_overlap: int = 300) -> DataFrame:
 
 
 def merge_entities(rows: DataFrame, soft_cap: int = 12) -> DataFrame:
-    """(query_id, label, value, place): distinct values in order of occurrence. rows: (query_id,
+    """(query_id, label, value, place): distinct values in order of occurrence, trimmed; values are
+    equal that fold to the same letters and digits, and those that fold to none leave. rows: (query_id,
     label, value, chunk_place, value_place). The cap is soft: once reached, each later chunk may
     still add its first new value."""
-    key = F.lower(F.trim("value"))
+    key = folded(F.col("value"))
+    rows = rows.withColumn("value", F.trim("value")).filter(F.coalesce(key != "", F.lit(False)))
     first = Window.partitionBy("query_id", "label", key).orderBy("chunk_place", "value_place")
     new = rows.withColumn("_f", F.row_number().over(first)).filter("_f = 1").drop("_f")
     whole = Window.partitionBy("query_id", "label").orderBy("chunk_place", "value_place")

@@ -11,26 +11,15 @@ def row_hash(columns: list[str]) -> Column:
     return F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in columns]), 256)
 
 
-#: Row hashes that one part of a fingerprint lists, about.
-PART_ROWS = 65_536
-
-
 def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(rows, fingerprint): independent of row order, a tree of hashes. Row hashes are dealt by their
-    first digits, two and then two more for every 256 times as many rows; each part's are listed in
-    order and hashed, and then the parts' of each shorter prefix, so that a task lists a bounded
-    number of them, but for equal rows."""
+    """(rows, fingerprint): independent of row order, one pass for any number of rows. The 64-bit words
+    of all row hashes are added up, word by word, so that partial sums meet in the shuffle and equal
+    rows need no list; the fingerprint is the hash of the count and the sums. Sums tell changes and
+    errors apart, not rows that someone has made to collide."""
     hashed = rows.select(row_hash(columns).alias("h"))
-    count, digits = rows.count(), 2
-    while count > PART_ROWS * 16**digits:
-        digits += 2
-    joined = lambda x: F.sha2(F.array_join(x, "\n"), 256)
-    parts = hashed.groupBy(F.left("h", F.lit(digits)).alias("p")).agg(joined(F.array_sort(F.collect_list("h"))).alias("ph"), F.count("*").alias("n"))
-    while digits > 2:
-        digits -= 2
-        level = parts.groupBy(F.left("p", F.lit(digits)).alias("p"))
-        parts = level.agg(joined(F.transform(F.array_sort(F.collect_list(F.struct("p", "ph"))), lambda x: x["ph"])).alias("ph"), F.sum("n").alias("n"))
-    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "ph"))), lambda x: x["ph"]), "\n"), 256).alias("fingerprint"))
+    words = [F.conv(F.substr("h", F.lit(16 * i + 1), F.lit(16)), 16, 10).cast("decimal(20,0)") for i in range(4)]
+    sums = hashed.agg(F.count("*").alias("rows"), *[F.coalesce(F.sum(w), F.lit(0).cast("decimal(30,0)")).alias(f"w{i}") for i, w in enumerate(words)])
+    return sums.select("rows", F.sha2(F.concat_ws("-", F.col("rows").cast("string"), *[F.col(f"w{i}").cast("string") for i in range(4)]), 256).alias("fingerprint"))
 
 
 def plan_ingest(incoming: DataFrame, existing: DataFrame) -> DataFrame:

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from lexoria.sources.shared import checkpoints
 
 from . import postrank, retrieval
+from .bounds import small
 
+#: Entries of a price list at most.
+MOST_PRICES = 10_000
 SECTION_COUNT, CHUNK_COUNT, FETCH, CHALLENGERS, CHALLENGER_FETCH = 12, 8, 80, 4, 16
 SIMILARITY, FLOOR = 0.55, 0.7
 
@@ -88,7 +91,7 @@ def model_cost(calls: DataFrame, pricing: DataFrame) -> DataFrame:
     cached_tokens, reasoning_tokens) under a small price list (provider, known_model, threshold,
     input, cached, output, long_input, long_cached, long_output) in units a million tokens. The
     longest known model that equals the name or begins it before a dash counts."""
-    p = F.broadcast(pricing.withColumnRenamed("provider", "_provider"))
+    p = small(pricing.withColumnRenamed("provider", "_provider"), MOST_PRICES, "prices")
     model = F.lower(F.trim("model"))
     fit = (F.col("provider") == F.col("_provider")) & ((model == F.col("known_model")) | model.startswith(F.concat("known_model", F.lit("-"))))
     w = Window.partitionBy("call_id").orderBy(F.length("known_model").desc_nulls_last())

@@ -24,15 +24,10 @@ def body_lines(text: Column) -> Column:
 
 def missing_in_order(source: Column, target: Column) -> Column:
     """The source's items that one walk through the target does not meet: each is looked for behind
-    the place of the last one found, and after one that is missing the walk is at its end."""
-    start = F.struct(F.lit(0).alias("at"), F.slice(source, 1, 0).alias("lost"))
-
-    def step(a: Column, x: Column) -> Column:
-        place = F.coalesce(F.array_position(F.slice(target, a["at"] + 1, F.size(target)), x).cast("int"), F.lit(0))
-        met = F.struct((a["at"] + place).alias("at"), a["lost"].alias("lost"))
-        return F.when(place > 0, met).otherwise(F.struct(F.size(target).alias("at"), F.concat(a["lost"], F.array(x)).alias("lost")))
-
-    return F.aggregate(source, start, step, lambda a: a["lost"])
+    the place of the last one found, and after one that is missing the walk is at its end. So one walk
+    through the target counts how many of the first are met, and the rest is missing."""
+    met = F.aggregate(target, F.lit(0), lambda n, x: F.when(F.get(source, n).eqNullSafe(x) & (n < F.size(source)), n + 1).otherwise(n))
+    return F.slice(source, met + 1, F.size(source))
 
 
 def canonical_hash(**parts: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexoria.functions.vectors import cosine_similarity, dot, norm
 
+from .bounds import small
 from .lexical import lexical_matches, tokenised
 from .postings import PostingsIndex
 from .vector_index import VectorIndex
@@ -46,6 +47,7 @@ def scope_of_sections(sections: DataFrame, questions: DataFrame) -> DataFrame:
 def base_rows(corpus: DataFrame, questions: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     """Corpus rows that pass each question's filters, with ``similarity``. A row without a module
     passes every module filter. A question without a vector has null similarities."""
+    _collected(questions)  # holds the batch to its bound
     passes = _filters()
     asked = F.broadcast(questions.select("query_id", "doc_types", "modules", "section_ids", "query_embedding", norm(F.col("query_embedding")).alias("_asked_norm")))
     once = corpus.withColumn("_norm", F.explode(F.array(norm(F.col("embedding")))))  # a norm a row, not a pair
@@ -114,7 +116,6 @@ def expand(seeds: DataFrame, chunks: DataFrame, questions: DataFrame, match_coun
 
 def match_chunks(chunks: DataFrame, questions: DataFrame, match_count: int = 8, threshold: float = 0.55, fetch_limit: int = 80, scope: DataFrame | None = None) -> DataFrame:
     """Vector search with neighbours. ``similarity`` is every row's own."""
-    _collected(questions)  # holds the batch to its bound
     base = base_rows(chunks, questions, scope)
     near = base.filter(F.col("similarity") >= threshold)
     seeds = top(near, "retrieval_rank", [F.col("similarity").desc(), F.col("id")], match_count).select("query_id", "id", "document_id", "chunk_index", "retrieval_rank")
@@ -196,7 +197,7 @@ def search_feedback(feedback: DataFrame, questions: DataFrame, match_count: int
     status, active, scope map, embedding); questions: (query_id, query_embedding, scope map). A scope
     key that a question leaves out is ignored, unless the whole scopes must be equal; a missing
     level is global and other missing keys are empty."""
-    asked = F.broadcast(questions.select("query_id", "query_embedding", F.col("scope").alias("asked")))
+    asked = small(questions.select("query_id", "query_embedding", F.col("scope").alias("asked")), BATCH, "questions in a batch")
     live = feedback.filter((F.col("status") == "PUBLISHED") & F.col("active"))
     if exact_scope:
         entries = lambda c: F.array_sort(F.map_entries(c))

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from lexoria.functions.text import folded
 from lexoria.functions.vocabulary import ANSWER_MODE_TERMS, INTENT_PRIORITY, QUERY_ABBREVIATIONS
 
+from .bounds import small
+
+#: Keywords of all labels at most: every question is held against each.
+MOST_KEYWORDS = 4_096
+
 
 def expand_abbreviations(query: Column, table: dict[str, str] = QUERY_ABBREVIATIONS) -> Column:
     """The question with the long form after each whole-word abbreviation, in place, whatever its
@@ -24,7 +29,7 @@ def expand_abbreviations(query: Column, table: dict[str, str] = QUERY_ABBREVIATI
 def keyword_hits(questions: DataFrame, keywords: DataFrame, text: str = "query_text") -> DataFrame:
     """(query_id, label, hits): distinct keywords of each label that stand in the folded question as
     whole words. keywords: (label, keyword), a small table."""
-    named = F.broadcast(keywords.select("label", folded(F.col("keyword")).alias("keyword")).distinct())
+    named = small(keywords.select("label", folded(F.col("keyword")).alias("keyword")).distinct(), MOST_KEYWORDS, "keywords")
     padded = questions.select("query_id", F.concat(F.lit(" "), folded(F.col(text)), F.lit(" ")).alias("_t"))
     return padded.join(named, F.col("_t").contains(F.concat(F.lit(" "), "keyword", F.lit(" ")))).groupBy("query_id", "label").agg(F.count("*").alias("hits"))
 

@@ -28,10 +28,18 @@ def ndcg_unjudged(spark, sf_dir):
     return ev.ndcg(ranked.filter("case_id > 2 OR rank < 3"), q.select("case_id", "candidate_id", "relevance"))
 
 
+def good_references(spark, sf_dir):
+    """(query_id, reference_id): for each question, the documents with a chunk that is labelled good."""
+    chunk = corpus.chunks(spark, sf_dir).select("id", "document_id").join(corpus.table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("id")), "id")
+    return chunk.select(F.col("document_id").alias("reference_id")).distinct().crossJoin(F.broadcast(corpus.questions(spark, sf_dir).select("query_id")))
+
+
+GOOD_REFERENCES = "SELECT DISTINCT c.document_id AS reference_id FROM chunks c JOIN labels l ON l.doc_id = c.id WHERE l.quality = 1"
+
+
 def recall(spark, sf_dir):
-    """References: every fourth document of the question's language; a chunk matches by document id."""
-    q = corpus.questions(spark, sf_dir).select(F.col("query_id").alias("case_id"))
-    refs = q.select("case_id", F.explode(F.sequence(F.lit(0), F.lit(36), F.lit(4))).alias("reference_id"))
+    """References: the documents with a chunk that is labelled good; a chunk matches by document id."""
+    refs = good_references(spark, sf_dir).withColumnRenamed("query_id", "case_id")
     got = candidates(spark, sf_dir, 40).select(F.col("query_id").alias("case_id"), F.col("document_id").alias("doc"), F.col("position").alias("rank"))
     return ev.coverage(ev.first_matches(refs, got, F.col("doc") == F.col("reference_id")))
 
@@ -174,7 +182,7 @@ SELECT d.case_id, CASE WHEN idcg > 0 THEN round(dcg / idcg, 4) END AS ndcg FROM
 d AS (SELECT case_id, sum(CASE WHEN rank <= 10 THEN coalesce((2 ** relevance - 1) / log2(rank + 1), 0) ELSE 0 END) AS dcg, count(*) FILTER (relevance IS NULL) AS u FROM j GROUP BY 1),
 i AS (SELECT case_id, sum((2 ** relevance - 1) / log2(r + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY relevance DESC, candidate_id) AS r FROM q) WHERE r <= 10 GROUP BY 1)
 SELECT d.case_id, CASE WHEN u = 0 AND idcg > 0 THEN round(dcg / idcg, 4) END AS ndcg FROM d LEFT JOIN i USING (case_id)""",
-    "retrieval_recall": f"""WITH {_cand(40)}, m AS (SELECT q.query_id AS case_id, r.reference_id, (SELECT min(position) FROM cand c WHERE c.query_id = q.query_id AND c.document_id = r.reference_id) AS rank FROM questions q, (SELECT unnest(range(0, 37, 4)) AS reference_id) r)
+    "retrieval_recall": f"""WITH {_cand(40)}, m AS (SELECT q.query_id AS case_id, r.reference_id, (SELECT min(position) FROM cand c WHERE c.query_id = q.query_id AND c.document_id = r.reference_id) AS rank FROM questions q, ({GOOD_REFERENCES}) r)
 SELECT case_id, count(*) AS n_references, round(count(*) FILTER (rank <= 10) / count(*), 4) AS recall_10, round(count(*) FILTER (rank <= 20) / count(*), 4) AS recall_20, round(count(*) FILTER (rank <= 40) / count(*), 4) AS recall_40,
 round(sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) / count(*), 4) AS discounted_10 FROM m GROUP BY case_id""",
     "evidence_term_match": """WITH i AS (SELECT item_id % 5 AS case_id, item_id AS reference_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[^\\s]+'), ' ') || ' ' AS term FROM benchmark), d AS (SELECT ' ' || array_to_string(regexp_extract_all(lower(text), '[^\\s]+'), ' ') || ' ' AS text, doc_id + 1 AS rank FROM documents),

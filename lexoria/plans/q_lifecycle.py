@@ -116,7 +116,7 @@ def inventory(spark, sf_dir):
 
 
 def inverted_index(spark, sf_dir):
-    return iv.token_index(t(spark, sf_dir, "documents"), "[a-z]{9,}", 3)
+    return iv.token_index(t(spark, sf_dir, "documents"), r"[\p{L}\p{N}]+", 3)
 
 
 def keyword_top(spark, sf_dir):
@@ -140,7 +140,8 @@ ORACLES = {
     "table_insert": "SELECT * FROM region UNION ALL SELECT 90, 'NORTH' UNION ALL SELECT 91, 'SOUTH'",
     "get_stats": "SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM embeddings) AS chunks",
     "data_identity": """WITH h AS (SELECT sha256(concat_ws(chr(31), coalesce(doc_id::VARCHAR, '<null>'), coalesce(lang, '<null>'), coalesce(source, '<null>'), coalesce(n_chars::VARCHAR, '<null>'), coalesce(text, '<null>'))) AS h FROM documents),
-p AS (SELECT left(h, 2) AS p, sha256(string_agg(h, chr(10) ORDER BY h)) AS ph, count(*) AS n FROM h GROUP BY 1) SELECT sum(n)::BIGINT AS rows, sha256(string_agg(ph, chr(10) ORDER BY p)) AS fingerprint FROM p""",
+w AS (SELECT count(*) AS n, coalesce(sum(('0x' || h[1:16])::UBIGINT::HUGEINT), 0) AS w0, coalesce(sum(('0x' || h[17:32])::UBIGINT::HUGEINT), 0) AS w1, coalesce(sum(('0x' || h[33:48])::UBIGINT::HUGEINT), 0) AS w2, coalesce(sum(('0x' || h[49:64])::UBIGINT::HUGEINT), 0) AS w3 FROM h)
+SELECT n AS rows, sha256(concat_ws('-', n::VARCHAR, w0::VARCHAR, w1::VARCHAR, w2::VARCHAR, w3::VARCHAR)) AS fingerprint FROM w""",
     "ingest_plan": f"""WITH d AS (SELECT 'f' || doc_id AS filename, {_HASH} AS h, doc_id FROM documents), i AS (SELECT filename, CASE WHEN doc_id % 11 = 0 THEN 'changed' ELSE h END AS h FROM d), e AS (SELECT * FROM d WHERE doc_id % 4 <> 0),
 j AS (SELECT i.filename, i.h IS NOT DISTINCT FROM o.h AS same, (SELECT arg_min(e.filename, e.doc_id) FROM e WHERE e.h = i.h AND e.filename <> i.filename) AS donor FROM i LEFT JOIN e o ON o.filename = i.filename)
 SELECT filename, CASE WHEN same THEN 'skip' WHEN donor IS NOT NULL THEN 'reuse' ELSE 'embed' END AS action, CASE WHEN NOT same THEN donor END AS reuse_from FROM j""",
@@ -167,7 +168,7 @@ SELECT doc_id, CASE WHEN c > 400 THEN 3 WHEN ten THEN 10 WHEN eight THEN 8 ELSE
 SELECT stage, count(*) AS calls, sum(tokens)::BIGINT AS tokens, count(tokens) = count(*) AS complete, CASE WHEN count(cost) = count(*) THEN round(sum(cost), 6) END AS cost FROM c GROUP BY stage""",
     "failure_report": "WITH r AS (SELECT user_id % 50 AS filename, arg_max(event_id % 4, event_id) AS failed_chunks FROM events GROUP BY 1) SELECT * FROM r WHERE failed_chunks > 0",
     "corpus_inventory": "SELECT lang, count(*) AS n, count(*) FILTER (n_chars > 2000) AS long, count(*) FILTER (contains(text, '|')) AS with_tables, count(DISTINCT source) AS sources FROM documents GROUP BY lang",
-    "inverted_index": """WITH t AS (SELECT DISTINCT doc_id, lang, unnest(regexp_extract_all(lower(text), '[a-z]{9,}')) AS token FROM documents)
+    "inverted_index": """WITH t AS (SELECT DISTINCT doc_id, lang, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM documents)
 SELECT token, count(*) AS n, array_to_string(list_sort(list(DISTINCT lang)), ',') AS langs, min(doc_id) AS first_doc FROM t GROUP BY token HAVING count(*) >= 3""",
     "keyword_top_k": """WITH t AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM documents), c AS (SELECT lang, token, count(*) AS n FROM t GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, token)::INTEGER AS place FROM c QUALIFY place <= 12""",

@@ -8,6 +8,7 @@ from lexoria.functions import text as tx
 from lexoria.operators import claims, evaluation, inventory, orchestration, publishing, retrieval
 from lexoria.sources import corpus
 
+from .q_evaluation import GOOD_REFERENCES, good_references
 from .q_postrank import _cand, candidates
 from .q_retrieval import THRESHOLD, corpus_sql
 
@@ -67,7 +68,7 @@ def promotion(spark, sf_dir):
 
 def evidence(spark, sf_dir):
     d = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("answer_id"), F.col("text").alias("context"))
-    e = d.select("answer_id", F.col("answer_id").alias("evidence_id"), (F.col("answer_id") % 50 - 1).cast("int").alias("start"), (F.col("answer_id") % 50 + 40).cast("int").alias("end"), "context")
+    e = d.select("answer_id", F.col("answer_id").alias("evidence_id"), F.floor((F.col("answer_id") % 50 - 1) * F.length("context") / 48).cast("int").alias("start"), "context").withColumn("end", F.col("start") + 41)
     e = e.withColumn("sha256", F.when(F.col("answer_id") % 4 == 0, "no").otherwise(F.sha2(F.expr("substring(context, start + 1, end - start)"), 256))).drop("context")
     return claims.evidence_index(e, d.filter("answer_id % 9 > 0")).select("answer_id", "evidence_id", "valid", "problem")
 
@@ -86,7 +87,7 @@ def stage_metrics(spark, sf_dir):
 
     pool = candidates(spark, sf_dir, 40)
     stages = {"candidate_pool": pool, "post_diversity": postrank.limit_diversity(pool, per_section=1, per_document=1), "final_context": pool.filter("position <= 8")}
-    refs = corpus.questions(spark, sf_dir).select("query_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(36).cast("long"), F.lit(4).cast("long"))).alias("reference_id"))
+    refs = good_references(spark, sf_dir)
     out = None
     for name, rows in stages.items():
         got = rows.select(F.concat_ws("/", F.lit(name), "query_id").alias("case_id"), F.col("document_id").alias("doc"), F.col("position").alias("rank"))
@@ -119,13 +120,13 @@ CASE WHEN m = 3 THEN 'unknown_model' WHEN i IS NULL THEN 'usage_incomplete' WHEN
     "atomic_replace": f"WITH {corpus_sql()} SELECT document_id, id, chunk_index, CASE WHEN document_id % 5 = 0 THEN 'new' ELSE {_HASH.format('content')} END AS h FROM chunks WHERE document_id % 5 <> 0 OR chunk_index < 3 OR document_id NOT IN (SELECT document_id FROM chunks WHERE document_id % 5 = 0 AND chunk_index < 3)",
     "clone_prepared_rows": f"WITH {corpus_sql()} SELECT (document_id + 10000000) || '-' || chunk_index AS id, document_id + 10000000 AS document_id, document_id AS source_document_id, chunk_index, {_HASH.format('content')} AS h FROM chunks",
     "promotion_plan": f"""WITH d AS (SELECT doc_id, {_HASH.format('text')} AS h FROM documents) SELECT doc_id AS canonical_id, CASE WHEN doc_id % 5 = 0 THEN 'retire' WHEN doc_id % 7 = 0 THEN 'introduce' WHEN doc_id % 3 = 0 THEN 'replace' ELSE 'keep' END AS action FROM d WHERE doc_id % 7 > 0 OR doc_id % 5 > 0""",
-    "evidence_index": """WITH e AS (SELECT doc_id AS answer_id, (doc_id % 50 - 1)::INTEGER AS s, (doc_id % 50 + 40)::INTEGER AS e, length(text) AS n FROM documents),
+    "evidence_index": """WITH e AS (SELECT doc_id AS answer_id, floor((doc_id % 50 - 1) * length(text) / 48.0)::INTEGER AS s, s + 41 AS e, length(text) AS n FROM documents),
 p AS (SELECT answer_id, CASE WHEN answer_id % 9 = 0 THEN 'not_rendered' WHEN s < 0 OR e > n THEN 'span_out_of_range' WHEN answer_id % 4 = 0 THEN 'hash_mismatch' END AS problem FROM e) SELECT answer_id, answer_id AS evidence_id, problem IS NULL AS valid, problem FROM p""",
     "decision_policy": """WITH x AS (SELECT l_discount * 10 AS x, l_linenumber FROM lineitem), c AS (SELECT x, CASE WHEN l_linenumber % 5 = 0 THEN 'no' WHEN x >= 0.5 THEN 'yes' ELSE 'no' END AS choice FROM x)
 SELECT CASE WHEN x < 0 OR x > 1 OR 1 - x < 0 THEN 'out_of_range' WHEN CASE WHEN x >= 1 - x THEN 'yes' ELSE 'no' END <> choice THEN 'choice_is_not_largest' END AS problem, CASE WHEN greatest(x, 1 - x) >= 0.6 AND abs(x - (1 - x)) >= 0.15 THEN choice ELSE 'inconclusive' END AS applied, count(*) AS n FROM c GROUP BY ALL""",
     "stage_metrics": f"""WITH {_cand(40)}, dv AS (SELECT * FROM (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY query_id, section_id ORDER BY position) <= 1) QUALIFY row_number() OVER (PARTITION BY query_id, document_id ORDER BY position) <= 1),
 st AS (SELECT 'candidate_pool' AS stage, query_id, document_id, position FROM cand UNION ALL SELECT 'post_diversity', query_id, document_id, position FROM dv UNION ALL SELECT 'final_context', query_id, document_id, position FROM cand WHERE position <= 8),
-m AS (SELECT g.stage || '/' || q.query_id AS case_id, r.reference_id, (SELECT min(position) FROM st WHERE st.stage = g.stage AND st.query_id = q.query_id AND st.document_id = r.reference_id) AS rank FROM questions q, (SELECT unnest(range(0, 37, 4)) AS reference_id) r, (SELECT DISTINCT stage FROM st) g)
+m AS (SELECT g.stage || '/' || q.query_id AS case_id, r.reference_id, (SELECT min(position) FROM st WHERE st.stage = g.stage AND st.query_id = q.query_id AND st.document_id = r.reference_id) AS rank FROM questions q, ({GOOD_REFERENCES}) r, (SELECT DISTINCT stage FROM st) g)
 SELECT case_id, count(*) AS n_references, round(count(*) FILTER (rank <= 10) / count(*), 4) AS recall_10, round(count(*) FILTER (rank <= 20) / count(*), 4) AS recall_20, round(sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) / count(*), 4) AS discounted_10 FROM m GROUP BY case_id""",
     "section_scope": f"WITH {corpus_sql()}, s AS (SELECT * FROM sections WHERE id IN (0, 31, 112)) SELECT DISTINCT q.query_id, n.id AS section_id FROM questions q, s JOIN sections n ON n.document_id = s.document_id AND n.section_index BETWEEN s.section_index - 1 AND s.section_index + 1",
 }

@@ -88,7 +88,7 @@ def blocks(spark, sf_dir):
 
 def entities(spark, sf_dir):
     c = candidates(spark, sf_dir, 12)
-    found = c.select("query_id", F.lit("words").alias("label"), F.col("position").cast("int").alias("chunk_place"), F.posexplode(F.regexp_extract_all("content", F.lit(r"[A-Z][a-z]{5,}"), F.lit(0))).alias("value_place", "value"))
+    found = c.select("query_id", F.lit("words").alias("label"), F.col("position").cast("int").alias("chunk_place"), F.posexplode(F.regexp_extract_all("content", F.lit(r" ?[A-ZÀ-Ý]?[a-zà-ÿ]{3,} ?|[-.]"), F.lit(0))).alias("value_place", "value"))
     return context.merge_entities(found, 12).select("query_id", "value", "place")
 
 
@@ -142,8 +142,8 @@ SELECT q.query_id, CASE WHEN coalesce(n, 0) = 0 THEN 'no_chunks' WHEN n < 2 THEN
     "consecutive_chunk_blocks": f"""WITH {_cand(80)}, g AS (SELECT query_id, document_id, section_id, chunk_index, chunk_index - row_number() OVER (PARTITION BY query_id, document_id, section_id ORDER BY chunk_index) AS island FROM cand),
 b AS (SELECT query_id, document_id, section_id, island, min(chunk_index) AS first_index, max(chunk_index) AS last_index, count(*) AS n FROM g GROUP BY ALL)
 SELECT query_id, document_id, section_id, row_number() OVER (PARTITION BY query_id, document_id, section_id ORDER BY first_index)::BIGINT AS block, first_index, last_index, n FROM b""",
-    "merge_chunk_entities": f"""WITH {_cand(12)}, e AS (SELECT query_id, position AS c, unnest(regexp_extract_all(content, '[A-Z][a-z]{{5,}}')) AS value, unnest(range(0, len(regexp_extract_all(content, '[A-Z][a-z]{{5,}}')))) AS v FROM cand),
-n AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY query_id, lower(trim(value)) ORDER BY c, v) = 1),
+    "merge_chunk_entities": f"""WITH {_cand(12)}, e AS (SELECT query_id, position AS c, unnest(x) AS value, unnest(range(0, len(x))) AS v FROM (SELECT query_id, position, regexp_extract_all(content, ' ?[A-ZÀ-Ý]?[a-zà-ÿ]{{3,}} ?|[-.]') AS x FROM cand)),
+n AS (SELECT query_id, c, v, trim(value) AS value FROM e WHERE value NOT IN ('-', '.') QUALIFY row_number() OVER (PARTITION BY query_id, trim(regexp_replace(translate(lower(value), 'áàâãäåçéèêëíìîïñóòôõöúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', ' ', 'g')) ORDER BY c, v) = 1),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c, v) AS a, row_number() OVER (PARTITION BY query_id, c ORDER BY v) AS i FROM n)
 SELECT query_id, value, row_number() OVER (PARTITION BY query_id ORDER BY c, v)::INTEGER AS place FROM k WHERE a <= 12 OR i = 1""",
 }

@@ -51,12 +51,13 @@ def test_an_ingest_run_skips_reuses_and_embeds(spark):
     assert got["copy.md"] == [1.0, 2.0] and got["new.md"] is None and "same.md" not in got
 
 
-def test_fingerprints_of_many_rows_are_trees(spark, monkeypatch):
+def test_fingerprints_are_one_for_any_size_and_order(spark):
     frame = spark.range(5000).withColumn("x", F.col("id") * 3)
-    small = lifecycle.fingerprint(frame, ["id", "x"]).first()
-    monkeypatch.setattr(lifecycle, "PART_ROWS", 4)
     deep = lifecycle.fingerprint(frame, ["id", "x"]).first()
-    assert deep.rows == small.rows == 5000 and deep == lifecycle.fingerprint(frame.repartition(7), ["x", "id"][::-1]).first()
+    assert deep.rows == 5000 and deep == lifecycle.fingerprint(frame.orderBy(F.desc("id")).unionByName(frame.limit(0)), ["id", "x"]).first()
+    twice = frame.unionByName(frame.filter("id = 7"))
+    assert lifecycle.fingerprint(twice, ["id", "x"]).first().fingerprint != deep.fingerprint
+    assert deep == lifecycle.fingerprint(frame.repartition(7), ["x", "id"][::-1]).first()
     assert deep.fingerprint != lifecycle.fingerprint(frame.filter("id <> 9"), ["id", "x"]).first().fingerprint
 
 
