@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import sys
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,18 +28,21 @@ def folded(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(text), _FOLD_FROM, _FOLD_TO), "[^a-z0-9]+", " "))
 
 
-@F.pandas_udf(T.StringType())
-def normalize_text(s: pd.Series) -> pd.Series:
-    """Compatibility decomposition, combining marks dropped, lower case, runs outside a-z0-9 to one
-    space. The JVM has no decomposition function, hence Arrow batches."""
+@functools.cache
+def _marks() -> str:
+    """A pattern of all combining marks: those of a class other than 0."""
+    marks = [c for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))]
+    known = set(marks)
+    starts, ends = [c for c in marks if c - 1 not in known], [c for c in marks if c + 1 not in known]
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in zip(starts, ends, strict=True)) + "]+"
 
-    def one(x):
-        if x is None:
-            return None
-        low = "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).lower()
-        return " ".join("".join(c if ("a" <= c <= "z" or "0" <= c <= "9") else " " for c in low).split())
 
-    return s.map(one)
+@F.arrow_udf(T.StringType())
+def normalize_text(s: pa.Array) -> pa.Array:
+    """Compatibility decomposition, combining marks dropped, lower case, runs outside a-z0-9 to one
+    space. The JVM has no decomposition function, hence Arrow's, over whole columns."""
+    plain = pc.replace_substring_regex(pc.utf8_normalize(s, "NFKD"), _marks(), "")
+    return pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(plain), "[^a-z0-9]+", " "), " ")
 
 
 def slug(text: Column, default: str = "source") -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +44,11 @@ def test_html_titles_and_lines():
 def test_text_functions(spark):
     assert one(spark, tx.clean_page_title(F.lit("Long title - Site"))) == "Long title" and one(spark, tx.clean_page_title(F.lit("ab - Site"))) == "ab - Site"
     assert one(spark, tx.normalize_text(F.lit("Ação  ﬁm½ X!"))) == "acao fim1 2 x"
+    rng = random.Random(1)
+    odd = ["".join(chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0x300, 0x370), rng.randrange(0x900, 0x1100), rng.randrange(32, 127)])) for _ in range(12)) for _ in range(2000)] + [None, ""]
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower()
+    rows = spark.createDataFrame([(t,) for t in odd], "t string").select("t", tx.normalize_text(F.col("t")).alias("n")).collect()
+    assert all(r.n == (None if r.t is None else " ".join(re.sub("[^a-z0-9]+", " ", plain(r.t)).split())) for r in rows)
     assert one(spark, tx.content_hash(F.lit("a\r\nb\rc"))) == one(spark, tx.content_hash(F.lit("a\nb\nc")))
     assert tx.split_message("aaa bbb\nccc ddd", 8) == ["aaa bbb", "ccc ddd"] and tx.split_message("x" * 5, 2) == ["xx", "xx", "x"]
     assert one(spark, tx.is_url(F.lit("ftp://x/y"))) is False and one(spark, tx.is_url(F.lit("https://x/y"))) is True
