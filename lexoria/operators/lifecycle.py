@@ -11,15 +11,21 @@ def row_hash(columns: list[str]) -> Column:
     return F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in columns]), 256)
 
 
-def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(rows, fingerprint): independent of row order, one pass for any number of rows. The 64-bit words
-    of all row hashes are added up, word by word, so that partial sums meet in the shuffle and equal
-    rows need no list; the fingerprint is the hash of the count and the sums. Sums tell changes and
-    errors apart, not rows that someone has made to collide."""
-    hashed = rows.select(row_hash(columns).alias("h"))
+def grouped_fingerprint(rows: DataFrame, by: str | None, columns: list[str]) -> DataFrame:
+    """(by, rows, fingerprint) of each group, or of all rows: independent of row order, one pass for
+    any number of rows. The 64-bit words of all row hashes are added up, word by word, so that partial
+    sums meet in the shuffle and equal rows need no list; the fingerprint is the hash of the count and
+    the sums. It tells changes and errors, not rows that someone has made to collide."""
+    keys = [by] if by else []
+    hashed = rows.select(*keys, row_hash(columns).alias("h"))
     words = [F.conv(F.substr("h", F.lit(16 * i + 1), F.lit(16)), 16, 10).cast("decimal(20,0)") for i in range(4)]
-    sums = hashed.agg(F.count("*").alias("rows"), *[F.coalesce(F.sum(w), F.lit(0).cast("decimal(30,0)")).alias(f"w{i}") for i, w in enumerate(words)])
-    return sums.select("rows", F.sha2(F.concat_ws("-", F.col("rows").cast("string"), *[F.col(f"w{i}").cast("string") for i in range(4)]), 256).alias("fingerprint"))
+    sums = hashed.groupBy(*keys).agg(F.count("*").alias("rows"), *[F.coalesce(F.sum(w), F.lit(0).cast("decimal(30,0)")).alias(f"w{i}") for i, w in enumerate(words)])
+    return sums.select(*keys, "rows", F.sha2(F.concat_ws("-", F.col("rows").cast("string"), *[F.col(f"w{i}").cast("string") for i in range(4)]), 256).alias("fingerprint"))
+
+
+def fingerprint(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(rows, fingerprint) of all rows."""
+    return grouped_fingerprint(rows, None, columns)
 
 
 def plan_ingest(incoming: DataFrame, existing: DataFrame) -> DataFrame:
