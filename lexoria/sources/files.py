@@ -49,11 +49,15 @@ def read_documents(spark: SparkSession, folder: str, recursive: bool = False, ex
     """(path, suffix, text, error) of the files with a known suffix; a file that cannot be read has
     an error and no text, and stops nothing else. ``excluded`` names folders that are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    suffix = F.lower(F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1))
-    known = files.withColumn("suffix", suffix).filter(F.col("suffix").isin(list(READERS)))
     for name in excluded:
-        known = known.filter(~F.col("path").contains(f"/{name}/"))
-    known = known.withColumn("_low", F.lower("path")).dropDuplicates(["_low"]) if recursive else known
+        files = files.filter(~F.col("path").contains(f"/{name}/"))
+    files = files.withColumn("_low", F.lower("path")).dropDuplicates(["_low"]) if recursive else files
+    return parse_files(files)
+
+
+def parse_files(files: DataFrame) -> DataFrame:
+    """(path, suffix, text, error) of files (path, content) with a known suffix, as read_documents."""
+    known = files.withColumn("suffix", F.lower(F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1))).filter(F.col("suffix").isin(list(READERS)))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
