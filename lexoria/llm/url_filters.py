@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .components import components
 from .runtime import cut
 
-#: Up to this many rules are looked up inside each row; more are joined on the host.
-INLINE_RULES = 10_000
+#: Up to this many rules are looked up inside each row, one by one; more are joined on the host.
+INLINE_RULES = 64
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SCHEME = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*):"
@@ -112,6 +112,9 @@ def apply_rules(urls: DataFrame, rules: list[UrlRule] | DataFrame, url_col: str
         rules = rules.filter(F.col("host").isNotNull() & F.col("verdict").isin("allow", "block")).select("verdict", "host", F.coalesce("path", F.lit("")).alias("path"))
         listed = rules.limit(INLINE_RULES + 1).collect()
         rules = rules if len(listed) > INLINE_RULES else [UrlRule(*r) for r in listed]
+    elif len(rules) > INLINE_RULES:
+        named = [(r.verdict, r.host, r.path or "") for r in rules if r.host is not None and r.verdict in ("allow", "block")]
+        rules = out.sparkSession.createDataFrame(named, "verdict string, host string, path string")
     rank = "struct<len:int,hosts:int,verdict:int,rule:string>"
     if not isinstance(rules, DataFrame):
         by_host: dict[str, list[dict]] = {}
