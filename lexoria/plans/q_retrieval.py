@@ -21,8 +21,8 @@ def corpus_sql(rows: list | None = None) -> str:
     return f"""chunks AS MATERIALIZED (SELECT e.vec_id AS id, e.vec_id // 5 AS document_id, (e.vec_id % 5)::INTEGER AS chunk_index, d.text AS content, d.lang AS doc_type, d.source AS filename,
   CASE WHEN e.label = 9 THEN '' ELSE e.label::VARCHAR END AS module, (e.vec_id // 5) * 10 + (e.vec_id % 5) // 2 AS section_id, ((e.vec_id % 5) // 2)::INTEGER AS section_index, e.embedding
   FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id),
-sections AS MATERIALIZED (SELECT section_id AS id, document_id, section_index, arg_min(content, chunk_index) AS content, arg_min(doc_type, chunk_index) AS doc_type, arg_min(filename, chunk_index) AS filename,
-  arg_min(module, chunk_index) AS module, arg_min(embedding, chunk_index) AS embedding, count(*) AS n_chunks FROM chunks GROUP BY ALL),
+sections AS MATERIALIZED (SELECT section_id AS id, document_id, section_index, content, doc_type, filename, module, embedding, n_chunks FROM
+  (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY chunk_index) AS nth, count(*) OVER (PARTITION BY section_id) AS n_chunks FROM chunks) WHERE nth = 1),
 questions AS (SELECT q.*, e.embedding AS query_embedding FROM (VALUES {asked}) q(query_id, vec_id, query_text, doc_types, modules) JOIN embeddings e USING (vec_id))"""
 
 
@@ -47,7 +47,8 @@ def lexical_sql(fetch: int, base: str = "base", rows: list | None = None) -> str
         terms = sorted({t for g in parsed for w, t in g if w})
         count = lambda t: f"(length(tk) - length(replace(tk, ' {'  '.join(t.split())} ', ''))) / {len(t.split()) - 1 + len(t) + 2}.0"
         score.append(f"WHEN query_id = {q} THEN (" + " + ".join(map(count, terms)) + ")::DOUBLE / (1 + ln(n::DOUBLE))")
-    return f"""tok AS MATERIALIZED (SELECT query_id, id, len(w) AS n, ' ' || array_to_string(w, '  ') || ' ' AS tk FROM (SELECT query_id, id, regexp_extract_all(translate(lower(content), 'áàâãäåçéèêëíìîïñóòôõöúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[a-z0-9]+') AS w FROM {base})),
+    return f"""once AS MATERIALIZED (SELECT id, len(w) AS n, ' ' || array_to_string(w, '  ') || ' ' AS tk FROM (SELECT id, regexp_extract_all(translate(lower(any_value(content)), 'áàâãäåçéèêëíìîïñóòôõöúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[a-z0-9]+') AS w FROM {base} GROUP BY id)),
+tok AS (SELECT b.query_id, b.id, o.n, o.tk FROM {base} b JOIN once o ON o.id = b.id),
 lex AS (SELECT query_id, id, CASE {' '.join(score)} END AS lexical_score, row_number() OVER (PARTITION BY query_id ORDER BY lexical_score DESC, id) AS r FROM tok WHERE CASE {' '.join(hit)} ELSE FALSE END QUALIFY r <= {fetch})"""
 
 
