@@ -142,10 +142,11 @@ def paired(spark, sf_dir):
 
 
 def identity_diff(spark, sf_dir):
-    n = corpus.table(spark, sf_dir, "nation")
-    a = n.select(F.concat(F.lit("nation."), "n_name").alias("path"), F.col("n_regionkey").cast("string").alias("value"))
-    b = n.filter("n_nationkey <> 3").select(F.concat(F.lit("nation."), "n_name").alias("path"), F.when(F.col("n_nationkey") % 4 == 0, "9").otherwise(F.col("n_regionkey").cast("string")).alias("value"))
-    return ev.identity_diff(a, b, ["nation.ALGERIA", "nation.NATION_0"])
+    d = corpus.table(spark, sf_dir, "documents")
+    path = F.concat(F.lit("document."), "doc_id").alias("path")
+    a = d.select(path, F.col("lang").alias("value"))
+    b = d.filter("doc_id % 41 <> 3").select(path, F.when(F.col("doc_id") % 4 == 0, "xx").otherwise(F.col("lang")).alias("value"))
+    return ev.identity_diff(a, b, ["document.0", "document.44"])
 
 
 def answer_terms(spark, sf_dir):
@@ -201,8 +202,8 @@ SELECT o.o_orderkey AS run_id, o.o_orderstatus, count(r.run_id) AS cases, round(
     "gate_status": f"{_RULES} SELECT CASE WHEN count(*) FILTER (status = 'failed') > 0 THEN 'failed' WHEN count(*) FILTER (status = 'incomplete') > 0 THEN 'incomplete' ELSE 'passed' END AS status FROM j",
     "paired_view": f"""WITH {_CASES}, a AS (SELECT doc_id, coalesce(factual_correctness, FALSE) AS x FROM judged WHERE doc_id % 10 <> 1), b AS (SELECT doc_id, behavior_match AS y FROM judged WHERE doc_id % 10 <> 2)
 SELECT count(*) FILTER (a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL) AS paired, count(*) FILTER (b.doc_id IS NULL) AS only_first, count(*) FILTER (a.doc_id IS NULL) AS only_second, count(*) FILTER (NOT x AND y) AS gained, count(*) FILTER (x AND NOT y) AS lost, count(*) FILTER (a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL AND x IS NOT DISTINCT FROM y) AS same FROM a FULL JOIN b USING (doc_id)""",
-    "identity_diff": """WITH a AS (SELECT 'nation.' || n_name AS path, n_regionkey::VARCHAR AS current FROM nation), b AS (SELECT 'nation.' || n_name AS path, CASE WHEN n_nationkey % 4 = 0 THEN '9' ELSE n_regionkey::VARCHAR END AS reference FROM nation WHERE n_nationkey <> 3)
-SELECT path, current, reference, path IN ('nation.ALGERIA', 'nation.NATION_0') AS declared FROM a FULL JOIN b USING (path) WHERE current IS DISTINCT FROM reference""",
+    "identity_diff": """WITH a AS (SELECT 'document.' || doc_id AS path, lang AS current FROM documents), b AS (SELECT 'document.' || doc_id AS path, CASE WHEN doc_id % 4 = 0 THEN 'xx' ELSE lang END AS reference FROM documents WHERE doc_id % 41 <> 3)
+SELECT path, current, reference, path IN ('document.0', 'document.44') AS declared FROM a FULL JOIN b USING (path) WHERE current IS DISTINCT FROM reference""",
     "factual_and_forbidden": """WITH d AS (SELECT doc_id, lower(text) AS a FROM documents) SELECT doc_id, (contains(a, ' the ') OR contains(a, ' der ') OR contains(a, ' le ') OR contains(a, ' el ')) AND (contains(a, ' and ') OR contains(a, ' und ') OR contains(a, ' et ') OR contains(a, ' y ')) AND (contains(a, ' that ') OR contains(a, ' das ') OR contains(a, ' que ')) AS factual_correctness,
 array_to_string(list_filter(['token', 'password', 'licensed under'], lambda p: contains(a, p)), ',') AS forbidden FROM d""",
 }

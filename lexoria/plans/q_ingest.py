@@ -86,8 +86,8 @@ def filled(spark, sf_dir):
 
 
 def identity_arrays(spark, sf_dir):
-    n = t(spark, sf_dir, "nation")
-    return preservation.ordered_json(n, "n_regionkey", "n_nationkey", ["n_nationkey", "n_name"])
+    turns = t(spark, sf_dir, "conversations")
+    return preservation.ordered_json(turns, "conv_id", "turn", ["turn", "role"])
 
 
 def _cases(spark, sf_dir):
@@ -121,9 +121,9 @@ def judgments(spark, sf_dir):
 
 
 def identity_paths(spark, sf_dir):
-    n = t(spark, sf_dir, "nation")
-    made = F.to_json(F.struct(F.col("n_name").alias("name"), F.struct(F.struct(F.col("n_regionkey").alias("id")).alias("region"), F.array("n_nationkey").alias("keys")).alias("geo"), F.lit("x").alias("fingerprint_sha256")))
-    return dataset.flat_identity(n.select(F.col("n_nationkey").alias("id"), made.alias("identity")))
+    d = t(spark, sf_dir, "documents")
+    made = F.to_json(F.struct(F.col("source").alias("name"), F.struct(F.struct(F.col("n_chars").alias("id")).alias("region"), F.array("doc_id").alias("keys")).alias("geo"), F.lit("x").alias("fingerprint_sha256")))
+    return dataset.flat_identity(d.select(F.col("doc_id").alias("id"), made.alias("identity")))
 
 
 def answer_states(spark, sf_dir):
@@ -166,8 +166,8 @@ def postprocessed(spark, sf_dir):
 
 
 def filters(spark, sf_dir):
-    n = t(spark, sf_dir, "nation")
-    plan = n.select(F.col("n_nationkey").alias("query_id"), F.array(F.col("n_name"), F.concat(F.lit(" "), "n_name"), F.lit(" ")).alias("doc_types"), F.when(F.col("n_nationkey") % 2 == 0, F.array(F.lit("A"), F.lit("b"))).alias("modules"))
+    d = t(spark, sf_dir, "documents")
+    plan = d.select(F.col("doc_id").alias("query_id"), F.array(F.upper("lang"), F.concat(F.lit(" "), "lang"), F.lit(" "), F.initcap("source")).alias("doc_types"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("A"), F.lit("b"))).alias("modules"))
     out = retrieval.search_filters(plan)
     return out.select("query_id", F.array_join("doc_types", ",").alias("doc_types"), F.array_join("modules", ",").alias("modules"))
 
@@ -209,14 +209,14 @@ SELECT filename, CASE WHEN same THEN 'skip' WHEN donor IS NOT NULL THEN 'reuse'
     "numeric_sort_key": "SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 999999999 ELSE coalesce(nullif(regexp_replace(p_brand, '\\D+', '', 'g'), '')::BIGINT, 999999999) END AS number, CASE WHEN p_partkey % 7 = 0 THEN 'none' ELSE trim(p_brand) END AS text FROM part",
     "priority_report": "SELECT n_chars % 5 AS priority, 'f' || doc_id AS filename FROM documents ORDER BY priority DESC, filename",
     "backfill": "SELECT d.doc_id, CASE WHEN d.doc_id % 3 = 1 THEN lang ELSE 'q' || l.quality END AS module, CASE WHEN d.doc_id % 2 = 0 THEN n_chars ELSE l.toxic END AS size FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
-    "ordered_json": """SELECT n_regionkey, '[' || string_agg('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}', ',' ORDER BY n_nationkey) || ']' AS items FROM nation GROUP BY n_regionkey""",
+    "ordered_json": """SELECT conv_id, '[' || string_agg('{"turn":' || turn || ',"role":"' || role || '"}', ',' ORDER BY turn) || ']' AS items FROM conversations GROUP BY conv_id""",
     "normal_cases": f"WITH {_CASE} SELECT * FROM n",
     "distinct_cases": f"WITH {_CASE} SELECT position, question FROM n QUALIFY row_number() OVER (PARTITION BY {_F.format('question')} ORDER BY position) = 1",
     "cases_from_gaps": """WITH g AS (SELECT event_type || ' ' || (user_id % 20) AS query, count(*) AS n, max(ts) AS last_seen FROM events GROUP BY 1), t AS (SELECT * FROM g ORDER BY n DESC, last_seen DESC, query LIMIT 10), r AS (SELECT query, row_number() OVER (ORDER BY n DESC, query) AS place FROM t)
 SELECT 'kgap-' || lpad(place::VARCHAR, 4, '0') AS id, query AS question, 'no_answer' AS expected_behavior, 'general' AS expected_intent, 'knowledge_gap' AS source, 'development' AS split, 'no_evidence' AS answerability, 'pending_human' AS review FROM r WHERE place <= 5""",
     "judgment_problems": """WITH q AS (SELECT doc_id % 20 AS case_id, CASE WHEN doc_id % 31 = 0 THEN '' ELSE 'd' || (doc_id % 700) END AS candidate_id, doc_id % 17 = 0 OR quality * 2 + toxic * 3 > 3 AS bad FROM labels), x AS (SELECT *, count(*) OVER (PARTITION BY case_id, candidate_id) AS times FROM q)
 SELECT case_id, candidate_id, CASE WHEN candidate_id = '' THEN 'blank_candidate' WHEN bad THEN 'relevance_out_of_range' ELSE 'duplicate_candidate' END AS problem FROM x WHERE candidate_id = '' OR bad OR times > 1""",
-    "flat_identity": "SELECT n_nationkey AS id, 'name' AS path, n_name AS value FROM nation UNION ALL SELECT n_nationkey, 'geo.region.id', n_regionkey::VARCHAR FROM nation UNION ALL SELECT n_nationkey, 'geo.keys', '[' || n_nationkey || ']' FROM nation",
+    "flat_identity": "SELECT doc_id AS id, 'name' AS path, source AS value FROM documents UNION ALL SELECT doc_id, 'geo.region.id', n_chars::VARCHAR FROM documents UNION ALL SELECT doc_id, 'geo.keys', '[' || doc_id || ']' FROM documents",
     "answer_states": f"""WITH a AS (SELECT *, doc_id % 4 = 0 OR doc_id % 11 = 0 AS ab, CASE WHEN doc_id % 4 = 1 THEN 'qual versao ' || lang WHEN doc_id % 4 = 0 THEN {_F.format("' I do not know. ' || text")} ELSE {_F.format('text')} END AS f, doc_id % 4 = 1 OR contains(text, '?') AS q FROM documents)
 SELECT doc_id, ab AS abstained, doc_id % 13 = 0 OR (q AND regexp_matches(f, '\\b(qual|versao)\\b')) AS clarified, doc_id % 3 <> 0 OR (ab AND doc_id % 2 = 0) AS grounded, CASE WHEN NOT ab AND doc_id % 5 <> 0 THEN doc_id % 3 <> 0 AND source IN ('src1', 'src2') END AS valid, CASE WHEN doc_id % 2 = 0 THEN n_chars / 10.0::DOUBLE END AS coverage FROM a""",
     "title_filename": """SELECT p_partkey, left(regexp_replace(regexp_replace(regexp_replace(upper('relatorio com ' || lower(p_brand) || ' — ' || lower(p_type)), '\\bCOM\\b', ' ', 'g'), '[^A-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 40) AS filename, 'PED_ITEM,XYZ.T1,PC' || p_partkey || ',CFG' AS tokens FROM part""",
@@ -225,5 +225,5 @@ CASE WHEN event_id % 2 = 0 THEN '[1]' WHEN event_id % 5 = 0 THEN 'Sure: none' EL
     "vector_literal": "SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: (CASE WHEN x < 0 THEN -floor(abs(x * 100::FLOAT)::DOUBLE + 0.5) ELSE floor((x * 100::FLOAT)::DOUBLE + 0.5) END)::INTEGER), ',') || ']' AS literal FROM embeddings",
     "postprocess_results": f"""WITH {corpus_sql()}, {base_sql()}, n AS (SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS position FROM base QUALIFY position <= 60)
 SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN query_id = 2 THEN 0 ELSE -similarity END, position)::INTEGER AS place FROM n WHERE query_id = 2 OR similarity >= 0.35 * 0.7 QUALIFY place <= 16""",
-    "search_filters": "SELECT n_nationkey AS query_id, lower(n_name) AS doc_types, CASE WHEN n_nationkey % 2 = 0 THEN 'a,b' ELSE '' END AS modules FROM nation",
+    "search_filters": "SELECT doc_id AS query_id, lang || ',' || source AS doc_types, CASE WHEN doc_id % 2 = 0 THEN 'a,b' ELSE '' END AS modules FROM documents",
 }

@@ -95,8 +95,8 @@ def priorities(spark, sf_dir):
 
 
 def identities(spark, sf_dir):
-    n = t(spark, sf_dir, "nation").select(F.col("n_name").alias("scope"), F.lit("p").alias("provider"), F.col("n_regionkey").cast("string").alias("model"), F.lit(64).alias("dimensions"), F.lit("v1").alias("version"), "n_nationkey")
-    return lc.ensure_identity(n.filter("n_nationkey % 3 > 0"), n.withColumn("version", F.when(F.col("n_nationkey") % 4 == 0, "v2").otherwise("v1")))
+    n = t(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("scope"), F.lit("p").alias("provider"), F.col("source").alias("model"), F.lit(64).alias("dimensions"), F.lit("v1").alias("version"), "doc_id")
+    return lc.ensure_identity(n.filter("doc_id % 3 > 0"), n.withColumn("version", F.when(F.col("doc_id") % 4 == 0, "v2").otherwise("v1")))
 
 
 def usage(spark, sf_dir):
@@ -163,7 +163,7 @@ SELECT e.item_id, e.i, CASE WHEN e.action = 'APPROVE' AND w.status IN ('PENDING'
     "top_knowledge_gaps": f"WITH {_GAPS} SELECT query, occurrences, platform FROM g ORDER BY occurrences DESC, last_seen DESC, query LIMIT 10",
     "priority_rules": f"""WITH d AS (SELECT doc_id, {_NAME} AS f, (n_chars / 10)::DOUBLE AS x, floor(n_chars / 10)::INTEGER AS c FROM documents), p AS (SELECT *, regexp_matches(f, '^0[0-5]-') AND f LIKE '%.md' AS ten, contains(lower(f), 'faq') AS eight FROM d)
 SELECT doc_id, CASE WHEN c > 400 THEN 3 WHEN ten THEN 10 WHEN eight THEN 8 ELSE 5 END AS stored, CASE WHEN ten THEN 10 WHEN eight THEN 8 WHEN c > 400 THEN 3 ELSE 5 END AS inferred FROM p""",
-    "embedding_index_identity": "SELECT n_name AS scope, CASE WHEN n_nationkey % 3 = 0 THEN 'register' WHEN n_nationkey % 4 = 0 THEN 'mismatch' ELSE 'match' END AS verdict FROM nation",
+    "embedding_index_identity": "SELECT 'd' || doc_id AS scope, CASE WHEN doc_id % 3 = 0 THEN 'register' WHEN doc_id % 4 = 0 THEN 'mismatch' ELSE 'match' END AS verdict FROM documents",
     "usage_ledger": """WITH c AS (SELECT l_returnflag AS stage, CASE WHEN l_linestatus = 'O' THEN l_quantity::BIGINT END AS tokens, l_discount AS cost FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 3 ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount) = 1)
 SELECT stage, count(*) AS calls, sum(tokens)::BIGINT AS tokens, count(tokens) = count(*) AS complete, CASE WHEN count(cost) = count(*) THEN round(sum(cost), 6) END AS cost FROM c GROUP BY stage""",
     "failure_report": "WITH r AS (SELECT user_id % 50 AS filename, arg_max(event_id % 4, event_id) AS failed_chunks FROM events GROUP BY 1) SELECT * FROM r WHERE failed_chunks > 0",
