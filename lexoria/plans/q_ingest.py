@@ -156,7 +156,8 @@ def small_parsers(spark, sf_dir):
 
 def literals(spark, sf_dir):
     e = t(spark, sf_dir, "embeddings")
-    return e.select("vec_id", vx.vector_literal(F.transform("embedding", lambda x: F.round(x * 100).cast("int"))).alias("literal"))
+    # The product of a float and an integer would be a double, and round otherwise than the vectors' own precision.
+    return e.select("vec_id", vx.vector_literal(F.transform("embedding", lambda x: F.round(x * F.lit(100).cast("float")).cast("int"))).alias("literal"))
 
 
 def postprocessed(spark, sf_dir):
