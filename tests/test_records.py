@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pytest
@@ -61,6 +62,23 @@ def test_fingerprints_are_one_for_any_size_and_order(spark):
     assert deep.fingerprint != lifecycle.fingerprint(frame.filter("id <> 9"), ["id", "x"]).first().fingerprint
 
 
+def test_fingerprints_are_hashes_of_ordered_lists(spark):
+    """What sums would take for the same is told apart, for all rows and for groups of them."""
+    frame = spark.range(600).selectExpr("id", "id % 2 AS g")
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+
+    def expected(ids):
+        hashes, parts = sorted(sha(f"{i}") for i in ids), {}
+        for h in hashes:
+            parts.setdefault(h[:2], []).append(h)
+        return sha("\n".join(sha("\n".join(parts[p])) for p in sorted(parts)))
+
+    assert lifecycle.fingerprint(frame, ["id"]).first().fingerprint == expected(range(600))
+    got = {r.g: (r.rows, r.fingerprint) for r in lifecycle.grouped_fingerprint(frame, "g", ["id"]).collect()}
+    assert got == {g: (300, expected(range(g, 600, 2))) for g in (0, 1)}
+    assert lifecycle.fingerprint(frame.limit(0), ["id"]).first().rows == 0
+
+
 def test_hosts_vectors_and_scopes(spark):
     host = spark.createDataFrame([("a.com",), ("x.a.com",), ("b.org",), ("y.b.org",), (None,)], "h string")
     assert [r[0] for r in host.select(tx.host_allowed(F.col("h"), ["a.com", "*.B.org"])).collect()] == [True, False, False, True, False]
