@@ -74,10 +74,9 @@ def processing_hash(**parts: Column) -> Column:
 def chunk_rows(documents: DataFrame, context: Column | None = None) -> DataFrame:
     """(doc_id, chunk_index, content, retrieval_text, content_hash, token_count, n_chunks) of texts
     (doc_id, text). ``context`` is an expression over the documents' columns."""
-    named = documents.withColumn("context", context if context is not None else F.lit(""))
-    made = markdown.chunks(named.select("doc_id", "text"))
-    counted = made.join(made.groupBy("doc_id").agg(F.count("*").alias("n_chunks")), "doc_id").join(named.select("doc_id", "context"), "doc_id")
-    return counted.select("doc_id", "chunk_index", "content", chunk_retrieval_text(F.col("context"), F.col("content")).alias("retrieval_text"), content_hash(F.col("content")).alias("content_hash"), "token_count", "n_chunks")
+    made = markdown.chunks(documents.select("doc_id", "text"))
+    named = made.withColumn("context", F.lit("")) if context is None else made.join(documents.select("doc_id", context.alias("context")), "doc_id")
+    return named.select("doc_id", "chunk_index", "content", chunk_retrieval_text(F.col("context"), F.col("content")).alias("retrieval_text"), content_hash(F.col("content")).alias("content_hash"), "token_count", "n_chunks")
 
 
 def ingest_documents(incoming: DataFrame, existing: DataFrame, existing_chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
