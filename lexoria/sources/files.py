@@ -13,8 +13,10 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Suffixes read as text; the others have readers of their own.
 TEXT_SUFFIXES = (".txt", ".md", ".csv", ".json", ".py", ".js", ".html", ".xml")
@@ -59,19 +61,26 @@ def parse_files(files: DataFrame) -> DataFrame:
     """(path, suffix, text, error) of files (path, content) with a known suffix, as read_documents."""
     known = files.withColumn("suffix", F.lower(F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1))).filter(F.col("suffix").isin(list(READERS)))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            texts, errors = [], []
-            for s, data in zip(pdf["suffix"], pdf["content"], strict=True):
-                try:
-                    texts.append(READERS[s](data))
-                    errors.append(None)
-                except Exception as e:  # a broken file is reported in its row
-                    texts.append(None)
-                    errors.append(f"{type(e).__name__}: {e}"[:500])
-            yield pd.DataFrame({"path": pdf["path"], "suffix": pdf["suffix"], "text": texts, "error": errors})
-
-    return known.select("path", "suffix", "content").mapInPandas(run, "path string, suffix string, text string, error string")
+    # Text in valid UTF-8 is what its bytes say, and needs no Python worker to hold the file again.
+    plain = F.coalesce(F.col("suffix").isin(*TEXT_SUFFIXES) & F.is_valid_utf8(F.col("content").cast("string")), F.lit(False))
+    marked = known.select("path", "suffix", "content", plain.alias("_plain"))
+    read = marked.withColumn("_read", _parsed(F.col("suffix"), F.when(~F.col("_plain"), F.col("content")), F.col("_plain")))
+    return read.select("path", "suffix", F.when(F.col("_plain"), F.col("content").cast("string")).otherwise(F.col("_read.text")).alias("text"), F.col("_read.error").alias("error"))
+
+
+@F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]))
+def _parsed(suffix: pa.Array, content: pa.Array, plain: pa.Array) -> pa.Array:
+    texts, errors = [], []
+    for s, data, done in zip(suffix, content, plain, strict=True):
+        text = error = None
+        if not done.as_py():
+            try:
+                text = READERS[s.as_py()](data.as_py())
+            except Exception as e:  # a broken file is reported in its row
+                error = f"{type(e).__name__}: {e}"[:500]
+        texts.append(text)
+        errors.append(error)
+    return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=["text", "error"])
 
 
 def url_list(spark: SparkSession, path: str) -> DataFrame:
