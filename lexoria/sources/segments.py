@@ -48,8 +48,9 @@ class Segments:
     def _write(self, rows: DataFrame | None, dead: DataFrame | None, by: str, order: list[str]) -> dict:
         name = f"segment-{uuid.uuid4().hex}"
         if rows is not None:
-            # Ranges of all sort columns: one value of the first that holds most rows is split among tasks.
-            rows.repartitionByRange(by, *order).sortWithinPartitions(by, *order).write.partitionBy(by).parquet(f"{self.folder}/{name}/rows")
+            # Rebalanced, not ranged: ranges are sampled, which makes all rows twice. A value of ``by`` that
+            # holds many rows is split among tasks.
+            rows.hint("rebalance", by).sortWithinPartitions(by, *order).write.partitionBy(by).parquet(f"{self.folder}/{name}/rows")
         if dead is not None:
             dead.write.parquet(f"{self.folder}/{name}/dead")
         return {"name": name, "rows": None if rows is None else rows.schema.jsonValue(), "dead": dead is not None}
