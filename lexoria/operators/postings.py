@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexoria.functions.batches import by_parts
 from lexoria.functions.portuguese import lexeme, words
 from lexoria.sources.segments import Segments, bucket
 
@@ -35,22 +36,22 @@ MOST_WORDS = 65_536
 def _lexemes(config: str, fields: list[str]):
     """Rows (*fields, content) as (*fields, lexeme, positions)."""
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owner, names, places = [], [], []
-            for i, text in enumerate(batch.column("content").to_pylist()):
-                at: dict[str, list[int]] = {}
-                for p, word in enumerate(words(text), 1):
-                    name = lexeme(word, config)
-                    if name is not None:
-                        at.setdefault(name, []).append(p)
-                owner += [i] * len(at)
-                names += at
-                places += at.values()
-                if len(owner) >= 50_000 or i + 1 == len(batch):
-                    kept = [batch.column(f).take(pa.array(owner, pa.int32())) for f in fields]
-                    yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(places, pa.list_(pa.int32()))], names=[*fields, "lexeme", "positions"])
-                    owner, names, places = [], [], []
+    @by_parts("content")
+    def run(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        owner, names, places = [], [], []
+        for i, text in enumerate(part.column("content").to_pylist()):
+            at: dict[str, list[int]] = {}
+            for p, word in enumerate(words(text), 1):
+                name = lexeme(word, config)
+                if name is not None:
+                    at.setdefault(name, []).append(p)
+            owner += [i] * len(at)
+            names += at
+            places += at.values()
+            if len(owner) >= 50_000 or i + 1 == len(part):
+                kept = [part.column(f).take(pa.array(owner, pa.int32())) for f in fields]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(places, pa.list_(pa.int32()))], names=[*fields, "lexeme", "positions"])
+                owner, names, places = [], [], []
 
     return run
 
