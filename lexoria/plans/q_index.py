@@ -17,9 +17,9 @@ from .q_retrieval import THRESHOLD, base_sql, corpus_sql, expand_sql, fused_sql,
 CARRIED = ("document_id", "chunk_index", "doc_type", "module")
 
 
-def vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
-    """An index of the whole corpus, a third of which is first indexed by other vectors."""
-    rows = corpus.chunks(spark, sf_dir).drop("content", "filename")
+def vector_index(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> VectorIndex:
+    """An index of the whole corpus (or of the chunks ``of``), a third of which is first indexed by other vectors."""
+    rows = (corpus.chunks(spark, sf_dir) if of is None else of).drop("content", "filename")
     index = VectorIndex(spark, fresh_folder(spark, "vectors"))
     changed = F.col("id") % 3 == 0
     index.build(rows.withColumn("embedding", F.when(changed, F.reverse("embedding")).otherwise(F.col("embedding"))))
@@ -27,9 +27,9 @@ def vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
     return index
 
 
-def text_index(spark: SparkSession, sf_dir: str, config: str = "simple", changes: bool = False) -> PostingsIndex:
-    """An index of the whole corpus; with ``changes`` a third of it is first indexed by other texts."""
-    rows = corpus.chunks(spark, sf_dir).select("id", "content", *CARRIED)
+def text_index(spark: SparkSession, sf_dir: str, config: str = "simple", changes: bool = False, of: DataFrame | None = None) -> PostingsIndex:
+    """An index of the whole corpus (or of the chunks ``of``); with ``changes`` a third of it is first indexed by other texts."""
+    rows = (corpus.chunks(spark, sf_dir) if of is None else of).select("id", "content", *CARRIED)
     index = PostingsIndex(spark, fresh_folder(spark, "postings"))
     if not changes:
         index.build(rows, config, CARRIED)
@@ -72,7 +72,8 @@ def portuguese(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(retrieval.hybrid_match_indexed(vector_index(spark, sf_dir), text_index(spark, sf_dir), corpus.chunks(spark, sf_dir), corpus.questions(spark, sf_dir), 8, THRESHOLD))
+    chunks = corpus.stored(corpus.chunks(spark, sf_dir), "chunks")
+    return shown(retrieval.hybrid_match_indexed(vector_index(spark, sf_dir, chunks), text_index(spark, sf_dir, of=chunks), chunks, corpus.questions(spark, sf_dir), 8, THRESHOLD))
 
 
 def covers_sql(base: str = "base") -> str:
