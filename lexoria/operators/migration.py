@@ -29,14 +29,17 @@ CLAUSES = {
 }
 #: A fence of at least three signs, up to a line of at least as many of them, or to the end.
 BLOCK = r"(?msd)^[ \t]{0,3}(([`~])\2{2,})[^\n]*\n(.*?)(?:^[ \t]{0,3}\1\2*[ \t]*$|\z)"
+LINE_END = r"\r\n|\r|\n"
 #: Characters of a loss that a report quotes.
 DETAIL = 240
 
 
-def evidence(text: Column) -> dict[str, Column]:
+def evidence(text: Column, among: Column | None = None) -> dict[str, Column]:
     """The items of each kind in a text, in order: code, identifier, link, image, list, table_cell,
-    negation, condition, exception."""
-    lines = F.split(text, r"\r\n|\r|\n")
+    negation, condition, exception. With ``among``, lines of the text, the kinds that lie within one
+    line are looked for in these only; code, links and images may span lines."""
+    lines = F.split(text, LINE_END) if among is None else among
+    local = text if among is None else F.array_join(among, "\n")
     every = lambda pattern, group=0: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     inner = lambda m: F.coalesce(F.nullif(F.regexp_extract(m, r"^\[[^\]]+\]\(([^)]+)\)$", 1), F.lit("")), m)
     code = F.regexp_extract_all(F.concat(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\n")), F.lit(BLOCK), F.lit(3))
@@ -45,20 +48,33 @@ def evidence(text: Column) -> dict[str, Column]:
     rows = F.filter(lines, lambda x: x.contains("|") & ~x.rlike(RULE) & (F.size(cells(x)) > 1))
     clause = lambda pattern: F.transform(F.filter(lines, lambda x: x.rlike(pattern) & ~x.rlike(FENCE)), normal_line)
     return {
-        "code": F.transform(code, lambda x: F.regexp_replace(x, r"\n\z", "")), "identifier": F.transform(every(IDENTIFIER), lambda m: F.regexp_replace(m, "^`|`$", "")), "link": F.transform(every(LINK), inner), "image": every(IMAGE, 1),
+        "code": F.transform(code, lambda x: F.regexp_replace(x, r"\n\z", "")), "identifier": F.transform(F.regexp_extract_all(local, F.lit(IDENTIFIER), F.lit(0)), lambda m: F.regexp_replace(m, "^`|`$", "")), "link": F.transform(every(LINK), inner), "image": every(IMAGE, 1),
         "list": F.transform(F.filter(lines, lambda x: x.rlike(LIST)), lambda x: normal_line(F.regexp_extract(x, LIST, 1))), "table_cell": F.transform(rows, row), **{kind: clause(pattern) for kind, pattern in CLAUSES.items()},
     }
 
 
+def _shared(a: Column, b: Column) -> Column:
+    """How many of the first items two arrays share."""
+    differs = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
+    return F.when(differs > 0, differs - 1).otherwise(F.size(a)).cast("int")
+
+
 def evidence_losses(units: DataFrame, key: str = "unit_id", source: str = "source", target: str = "target") -> DataFrame:
     """(key, category, detail, lost): what the source has more often than the target, for each item of
     evidence, and the source's lines (category text) that the target lacks in their order."""
     named = lambda items, kind, sign: F.transform(items, lambda x: F.struct(F.lit(kind).alias("category"), x.alias("item"), F.lit(sign).alias("sign")))
-    signed = lambda text, sign: F.concat(*[named(items, kind, sign) for kind, items in evidence(text).items()])
-    once = units.select(key, F.coalesce(source, F.lit("")).alias("_s"), F.coalesce(target, F.lit("")).alias("_t"))
-    items = once.select(key, F.explode(F.concat(signed(F.col("_s"), 1), signed(F.col("_t"), -1))).alias("x")).select(key, "x.*")
+    signed = lambda text, among, sign: F.concat(*[named(items, kind, sign) for kind, items in evidence(F.col(text), F.col(among)).items()])
+    once = units.select(key, F.coalesce(source, F.lit("")).alias("_s"), F.coalesce(target, F.lit("")).alias("_t")).withColumn("_differ", F.col("_s") != F.col("_t"))
+    # Evidence of a line that both sides share at their beginning or end is +1 and -1; it is not made. The
+    # ordered walk meets the shared beginning first, and goes on from there.
+    once = once.withColumn("_a", F.split("_s", LINE_END)).withColumn("_b", F.split("_t", LINE_END)).withColumn("_n", _shared(F.col("_a"), F.col("_b")))
+    once = once.withColumn("_a", F.slice("_a", F.col("_n") + 1, F.size("_a"))).withColumn("_b", F.slice("_b", F.col("_n") + 1, F.size("_b"))).withColumn("_n", _shared(F.reverse("_a"), F.reverse("_b")))
+    once = once.withColumn("_c", F.slice("_a", F.lit(1), F.size("_a") - F.col("_n"))).withColumn("_d", F.slice("_b", F.lit(1), F.size("_b") - F.col("_n")))
+    items = once.select(key, F.explode(F.when(F.col("_differ"), F.concat(signed("_s", "_c", 1), signed("_t", "_d", -1)))).alias("x")).select(key, "x.*")
     gone = items.groupBy(key, "category", "item").agg(F.sum("sign").alias("lost")).filter("lost > 0")
-    lines = once.select(key, F.explode(missing_in_order(body_lines(F.col("_s")), body_lines(F.col("_t")))).alias("item"))
+    # Columns of their own, so that the walk does not make them again for each line.
+    rest = once.filter("_differ").select(key, *[body_lines(F.array_join(c, "\n")).alias(c) for c in ("_a", "_b")])
+    lines = rest.select(key, F.explode(missing_in_order(F.col("_a"), F.col("_b"))).alias("item"))
     text = lines.groupBy(key, "item").agg(F.count("*").alias("lost")).select(key, F.lit("text").alias("category"), "item", "lost")
     return gone.unionByName(text).select(key, "category", F.left("item", F.lit(DETAIL)).alias("detail"), "lost")
 

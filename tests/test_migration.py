@@ -99,3 +99,19 @@ def test_reports_tell_sound_lost_and_tampered_units(spark):
     alone = inventory.filter("unit_id = 'sound'")
     whole = mg.unit_results(batches.withColumn("snapshot", F.lit(mg.snapshot_hash(batches, alone, one).first().snapshot)), alone, one, originals, targets)[0]
     assert mg.batch_report(whole).first().asDict() == {"batch_id": "b", "status": "passed", "total": 1, "mapped": 1, "failed": 0, "incomplete": 0, "lost": 0, "review_status": "reviewed"}
+
+
+def test_shared_lines_make_no_evidence(spark):
+    """Losses of an edit amid shared lines equal those of all evidence of both sides."""
+    head = "\n".join(f"- item {i} ABC_{i}\nif a{i} | b\n[x\ny](u/{i})" for i in range(3))
+    pairs = [(1, f"{head}\nnot here\n{head}", f"{head}\n{head}"), (2, head, head), (3, f"{head}\n```\nA\n```\n{head}", f"{head}\n```\nB\n```\n{head[3:]}"), (4, "", head), (5, head, "")]
+    units = spark.createDataFrame(pairs, "unit_id int, source string, target string")
+    got = Counter({(r.unit_id, r.category, r.detail): r.lost for r in mg.evidence_losses(units).filter("category <> 'text'").collect()})
+    kinds = lambda c: F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in mg.evidence(F.col(c)).items()])
+    expected = Counter()
+    for r in units.select("unit_id", kinds("source").alias("s"), kinds("target").alias("t")).collect():
+        for a, b in zip(r.s, r.t, strict=True):
+            expected.update({(r.unit_id, a.k, x): n for x, n in (Counter(a.v) - Counter(b.v)).items()})
+    assert got == expected
+    arrays = spark.createDataFrame([(["a", "b"], ["a", "c", "b"]), (["a"], ["a"]), ([], ["a"]), (["a"], ["a", "b"])], "a array<string>, b array<string>")
+    assert [r[0] for r in arrays.select(mg._shared(F.col("a"), F.col("b"))).collect()] == [1, 1, 0, 1]
