@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .packing import join, narrow, pack, unpack
-from .runtime import cut, lean, lean_group
+from .runtime import cut, give_back, lean, lean_group
 from .vector_blocks import top
 
 #: Labelled rows in the sample at most (half of them of label 1, if there are as many), bytes of
@@ -46,6 +46,8 @@ BEGINNING, POWER = 4, 1.5
 #: Examples in a block, frequent words with block maxima, texts searched at once, and blocks opened
 #: first, for each ``BLOCK`` neighbours asked.
 BLOCK, HOT, AT_ONCE, FIRST = 64, 256, 32, 2
+#: Examples weighed at once when the lists are made.
+LISTED = 256
 #: Parts in which document frequencies are summed; bytes of text handled at once.
 PARTS, TEXT_BYTES = 32, 1_000_000
 
@@ -118,26 +120,45 @@ class BlockMaxIndex:
     @functools.cached_property
     def lists(self) -> tuple:
         """(example at each place, hot column of each word or -1, weights of hot words by block,
-        their maxima, starts, places and weights of the rare words' lists)."""
+        their maxima, starts, places and weights of the rare words' lists). A process holds them as
+        long as the index, so what was needed on the way is given back at once."""
+        made = self._lists()
+        give_back()
+        return made
+
+    def _lists(self) -> tuple:
         n = len(self.ids)
-        row = np.repeat(np.arange(n), self.size)
-        weight = _weights(row, self.term, self.tf.astype(float), self.idf, n) if len(row) else np.zeros(0)
         often = np.bincount(self.term, minlength=len(self.words))
         hot = np.sort(np.argsort(-often, kind="stable")[:HOT])
         slot = np.full(len(self.words), -1, np.int32)
         slot[hot] = np.arange(len(hot))
-        warm = slot[self.term] >= 0
-        dense = np.zeros((n, max(1, len(hot))))
-        dense[row[warm], slot[self.term[warm]]] = weight[warm]
-        order = _alike(dense, BLOCK)
-        blocks = -(-n // BLOCK)
-        dense = np.concatenate([dense[order], np.zeros((blocks * BLOCK - n, dense.shape[1]))]).reshape(blocks, BLOCK, dense.shape[1])
+        blocks, ends = -(-n // BLOCK), np.concatenate([[0], np.cumsum(self.size, dtype=np.int64)])
+        dense = np.zeros((blocks * BLOCK, max(1, len(hot))))
+        cold = slot[self.term] < 0
+        rare, held, row = self.term[cold], np.empty(int(cold.sum())), np.empty(int(cold.sum()), np.int32)
+        done = 0
+        for a in range(0, n, LISTED):
+            b = min(a + LISTED, n)
+            s = slice(ends[a], ends[b])
+            own = np.repeat(np.arange(b - a, dtype=np.int32), self.size[a:b])
+            weight, out = _weights(own, self.term[s], self.tf[s].astype(float), self.idf, b - a), cold[s]
+            dense[a + own[~out], slot[self.term[s][~out]]] = weight[~out]
+            m = int(out.sum())
+            held[done : done + m], row[done : done + m] = weight[out], a + own[out]
+            done += m
+        del cold
+        order = _alike(dense[:n], BLOCK)
+        dense[:n] = dense[order]
+        dense = dense.reshape(blocks, BLOCK, dense.shape[1])
         place = np.empty(n, np.int32)
         place[order] = np.arange(n, dtype=np.int32)
-        at, held, term = place[row[~warm]], weight[~warm], self.term[~warm]
-        by = np.lexsort((at, term))
+        at = place[row]
+        del row
+        by = np.lexsort((at, rare))
+        del rare
+        at, held = at[by], held[by]
         often[hot] = 0
-        return order, slot, dense, np.ascontiguousarray(dense.max(1).T) if n else np.zeros((1, 0)), np.concatenate([[0], np.cumsum(often)]), at[by], held[by]
+        return order, slot, dense, np.ascontiguousarray(dense.max(1).T) if n else np.zeros((1, 0)), np.concatenate([[0], np.cumsum(often)]), at, held
 
     def vectors(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text, term, tf, unit-length weight) of each text."""
@@ -356,7 +377,10 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours
     if not len(ids):
         model.knots, model.values = isotonic(np.zeros(0), y)
         return model
-    near = {r["doc_id"]: unpack(bytes(r["near"])) for r in sample.select("doc_id", "text").mapInArrow(_left_out(sc.broadcast(index), max(neighbours)), "doc_id long, near binary").collect()}
+    searched = sc.broadcast(index)
+    near = {r["doc_id"]: unpack(bytes(r["near"])) for r in sample.select("doc_id", "text").mapInArrow(_left_out(searched, max(neighbours)), "doc_id long, near binary").collect()}
+    for used in (shared, searched):
+        used.unpersist()
     votes = {k: np.array([model.vote(*near[int(i)], k) for i in ids]) for k in neighbours}
     model.k = min(neighbours, key=lambda k: (_loss(votes[k], y, weight), k))
     model.knots, model.values = isotonic(votes[model.k], y, weight)

@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from urllib.parse import urldefrag, urljoin
@@ -384,6 +385,21 @@ def test_toxicity_index_skips_blocks_and_stays_exact(spark):
     assert set(score(clash, model, keep=("doc_id", "evidence"), evidence_col="why").columns) == {"doc_id", "evidence", "score", "why"}
 
 
+def test_toxicity_lists_take_little_more_memory_than_they_keep(monkeypatch):
+    rng, n, each, known = np.random.default_rng(5), 2_000, 300, 40_000
+    term = np.concatenate([np.sort(rng.choice(known, each, replace=False)) for _ in range(n)]).astype(np.int32)
+    index = T.BlockMaxIndex(np.arange(known, dtype=np.uint64), np.ones(known), np.arange(n), np.zeros(n), np.full(n, each, np.int32), term, np.ones(len(term), np.uint8))
+    given = []
+    monkeypatch.setattr(T, "give_back", lambda: given.append(1))
+    tracemalloc.start()
+    try:
+        kept = sum(x.nbytes for x in index.lists)
+        assert tracemalloc.get_traced_memory()[1] < 2.6 * kept
+    finally:
+        tracemalloc.stop()
+    assert given == [1]
+
+
 def test_toxicity_sample_is_bounded_and_balanced(spark):
     rows = toxic_corpus(600)
     frame = docs(spark, [t for _, t, _ in rows])
