@@ -99,6 +99,16 @@ def test_fingerprint_ignores_order_and_sees_changes(spark):
     assert f(df) == f(df.repartition(5)) and f(df) != f(df.filter("a <> 7")) and f(df.limit(0)).rows == 0
 
 
+def test_losses_are_multiset_differences_in_one_shuffle(spark):
+    source = [(1, "table", "a"), (1, "table", "a"), (1, "table", None), (1, "code", "a"), (2, "table", None), (None, "code", "b"), (3, "text", "a")]
+    target = [(1, "table", "a"), (1, "table", None), (1, "code", "b"), (None, "code", "b"), (4, "table", "a")]
+    kind = "unit_id long, category string, item string"
+    got = lifecycle.losses(spark.createDataFrame(source, kind), spark.createDataFrame(target, kind), ["table", "code"])
+    assert sorted(map(tuple, got.collect())) == [(1, "code", 1), (1, "table", 1), (2, "table", 1)]
+    assert got._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
 def test_review_steps_that_are_not_allowed(spark):
     e = [(1, 1, 1, "APPROVE"), (1, 2, 2, "PUBLISH"), (1, 3, 3, "PUBLISH"), (1, 4, 4, "REJECT"), (2, 1, 1, "PUBLISH"), (2, 2, 2, "REJECT"), (2, 3, 3, "APPROVE")]
     got = {r.item_id: tuple(r)[1:] for r in lifecycle.fold_reviews(spark.createDataFrame(e, "item_id int, at int, seq int, action string")).collect()}
