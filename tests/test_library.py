@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import unicodedata
@@ -59,6 +60,20 @@ def test_text_functions(spark):
         one(spark, vx.clean_vector(F.array(F.lit(1.0)), 2))
 
 
+def test_words_slugs_and_hashes_of_odd_texts(spark):
+    texts = ["", " ", "\t\n", "\n a  b\t", "a", "__a b__", "\u00e9\u00e9", "_", "a\r\nb\rc\n", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
+    x = F.col("x")
+    got = {r.i: r for r in frame.select("i", tx.word_count(x).alias("n"), tx.slug(x).alias("slug"), tx.content_hash(x).alias("h")).collect()}
+    for i, text in enumerate(texts):
+        if text is None:
+            assert got[i][1:] == (None, "source", None)
+            continue
+        assert got[i].n == len(text.split())
+        assert got[i].slug == (re.sub("[^A-Za-z0-9._-]+", "_", text).strip("_") or "source")
+        assert got[i].h == hashlib.sha256(re.sub("\r\n?", "\n", text).encode()).hexdigest()
+
+
 def test_filter_language(spark):
     df = spark.createDataFrame([(1, "a", None), (2, "b", True), (None, "A", False)], "n int, s string, b boolean")
     got = lambda **f: [r.s for r in tables.select(df, "s", f).collect()]
