@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexoria.functions import text as tx
+
 _HEADING = r"^[ \t]{0,3}#{1,6}[ \t]+(.+)"
 _ANCHOR = r"[ \t]+\{#[a-z][a-z0-9-]*\}[ \t]*$"
 
@@ -17,7 +19,12 @@ def normal_line(text: Column) -> Column:
 def body_lines(text: Column) -> Column:
     """The lines that are not blank, without spaces at their end; headings without their level and
     anchor."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), lambda x: F.trim(x) != "")
+    return body_of(tx.lines(F.coalesce(text, F.lit(""))))
+
+
+def body_of(lines: Column) -> Column:
+    """body_lines of a text that is split into its lines."""
+    lines = F.filter(lines, lambda x: F.trim(x) != "")
     title = lambda x: F.trim(F.regexp_replace(F.regexp_extract(x, _HEADING, 1), _ANCHOR, ""))
     return F.transform(lines, lambda x: F.when(x.rlike(_HEADING), F.concat(F.lit("heading: "), title(x))).otherwise(F.regexp_replace(x, r"\s+$", "")))
 

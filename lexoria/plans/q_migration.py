@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexoria.functions import text as tx
 from lexoria.operators import migration
 from lexoria.sources import corpus
 
@@ -13,7 +14,7 @@ TAIL = "\n\n# Título {#t}\nSee [a](http://x.y/z) and https://q.r/s ![i](p/i.png
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = corpus.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("batch_id"), F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n"), F.lit(TAIL)).alias("text"))
+    d = corpus.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("batch_id"), F.concat(tx.unified(F.coalesce("text", F.lit(""))), F.lit(TAIL)).alias("text"))
     x = F.col("doc_id") % 8
     r = lambda a, b: F.replace("text", F.lit(a), F.lit(b))
     target = F.when(x == 1, r("- item One\n- item One\n", "- item One\n")).when(x == 2, r("code A", "code B")).when(x == 3, r("não", "sim")).when(x == 4, F.substr("text", F.lit(11))).when(x == 5, F.concat("text", F.lit("more\n"))).when(x == 6, r("`name_1` ABC_DEF", "`name_1` abc")).otherwise(F.col("text"))
@@ -27,6 +28,7 @@ def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     goes = F.struct(F.concat(F.lit("t/"), unit).alias("path"), F.sha2("target", 256).alias("sha256"), unit.alias("canonical_id"), F.lit(1).alias("start_line"), F.col("m").alias("end_line"))
     excluded = F.struct(F.lit("excluded").alias("kind"), F.when(i % 2 == 0, "old").otherwise(" ").alias("reason"), F.lit("me").alias("reviewer"), day)
     units = d.filter("doc_id % 43 <> 7").select("batch_id", unit, source.alias("source"), F.when((i % 11 != 2) & (i % 13 != 4), goes).alias("destination"), F.when((i % 13 == 4) & (i % 11 != 2), excluded).alias("disposition"), F.struct(F.when(i % 17 == 6, "open").otherwise("reviewed").alias("status"), F.lit("me").alias("reviewer"), day).alias("review"))
+    units = corpus.stored(units, "units")  # without texts; read for both hashes and the report
     inventory = d.select("batch_id", unit)
     batches = d.select("batch_id").distinct().select("batch_id", F.lit("c" * 40).alias("commit"))
     good = migration.snapshot_hash(batches, inventory, units)

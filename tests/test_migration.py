@@ -8,6 +8,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from lexoria.functions import text as tx
 from lexoria.operators import migration as mg
 
 TEXTS = [
@@ -115,3 +116,30 @@ def test_shared_lines_make_no_evidence(spark):
     assert got == expected
     arrays = spark.createDataFrame([(["a", "b"], ["a", "c", "b"]), (["a"], ["a"]), ([], ["a"]), (["a"], ["a", "b"])], "a array<string>, b array<string>")
     assert [r[0] for r in arrays.select(mg._shared(F.col("a"), F.col("b"))).collect()] == [1, 1, 0, 1]
+
+
+def test_moved_and_repeated_lines_are_netted(spark):
+    """Lines that both sides have as often, wherever they stand, make no evidence; the others make all of it."""
+    pairs = [(1, "- a\nnot b\n- a\nABC if c", "ABC if c\n- a\nnot b"), (2, "x | Y\nx | y\n`n.m`", "`n.m` x\nx | y"), (3, "# A\r\n- b\r\r\n- c\n", "- c\r- b\n# A"), (4, "never DEF", "DEF\nnever"), (5, "not a\u0085not b", "not b\u0085not a")]
+    got = Counter({(r.unit_id, r.category, r.detail): r.lost for r in mg.evidence_losses(spark.createDataFrame(pairs, "unit_id int, source string, target string")).filter("category <> 'text'").collect()})
+    kinds = lambda text: Counter((k, x) for k, items in spark.createDataFrame([(text,)], "t string").select(*[v.alias(k) for k, v in mg.evidence(F.col("t")).items()]).first().asDict().items() for x in items)
+    assert got == Counter({(i, *k): n for i, a, b in pairs for k, n in (kinds(a) - kinds(b)).items()})
+    assert got[1, "list", "a"] == 1 and (1, "negation", "not b") not in got and got[4, "negation", "never def"] == 1
+
+
+def test_line_ends_are_those_of_the_pattern(spark):
+    texts = ["", "a", "\n", "a\r", "a\r\r\nb\n\r\n", "\r\n\r", "\u0085x y\n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.lines(F.col("t")).alias("a"), F.split("t", r"\r\n|\r|\n").alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
+
+
+def test_a_report_takes_the_texts_once(spark):
+    """The units' results come from one pass over both texts: neither is joined a second time for the losses."""
+    source, dest = "struct<path:string,sha256:string,format:string,revision:int,start_line:int,end_line:int>", "struct<path:string,sha256:string,canonical_id:string,start_line:int,end_line:int>"
+    text = "keep ABC\n"
+    units = spark.createDataFrame([("b", "u", ("s", sha(text), "legacy", None, 1, 1), ("t", sha(text), "c", 1, 1), None, ("open", "me", "x"))], f"batch_id string, unit_id string, source {source}, destination {dest}, disposition struct<kind:string,reason:string,reviewer:string,reviewed_at:string>, review struct<status:string,reviewer:string,reviewed_at:string>")
+    batches = spark.createDataFrame([("b", "c" * 40, "h")], "batch_id string, commit string, snapshot string")
+    results, _ = mg.unit_results(batches, units.select("batch_id", "unit_id"), units, spark.createDataFrame([("s", text, 1)], "path string, text string, revision int"), spark.createDataFrame([("t", text, "c", True)], "path string, text string, canonical_id string, reviewed boolean"))
+    plan = results._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join LeftOuter" in x and "path" in x]
+    assert len(joins) == 2, plan
