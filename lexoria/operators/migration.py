@@ -32,6 +32,8 @@ CLAUSES = {
 }
 #: A fence of at least three signs, up to a line of at least as many of them, or to the end.
 BLOCK = r"(?msd)^[ \t]{0,3}(([`~])\2{2,})[^\n]*\n(.*?)(?:^[ \t]{0,3}\1\2*[ \t]*$|\z)"
+#: Signs without which a line opens no code, image or link in brackets.
+OPENS = r"[\[`~]"
 #: Characters of a loss that a report quotes.
 DETAIL = 240
 
@@ -73,25 +75,31 @@ def _named(items: Column, kind: str, sign: int) -> Column:
     return F.transform(items, lambda x: F.struct(F.lit(kind).alias("category"), x.alias("item"), F.lit(sign).alias("sign")))
 
 
-def _signed(pairs: DataFrame, keys: list[str], quoted: bool) -> DataFrame:
-    """(keys, _items) of pairs (keys, compared, source, target, source_lines, target_lines): what a pair's
-    sides hold, +1 each of the source and -1 each of the target, as (category, item, sign); null where they
-    are equal or not ``compared``.
+def _signed(pairs: DataFrame, keys: list[str], quoted: bool, raw: bool = False) -> DataFrame:
+    """(keys, _items) of pairs (keys, compared, source_lines, target_lines): what a pair's sides hold, +1 each
+    of the source and -1 each of the target, as (category, item, sign); null where they are equal or not
+    ``compared``. With ``raw`` the pairs have the texts, source and target, too, whatever their line ends.
 
     Lines (category _line) that the sides share at their beginning or end are +1 and -1, and left out; the
-    ordered walk meets those at the beginning first, and goes on from there. Lines of the source that the
+    ordered walk meets those at the beginning first, and goes on from there. Items that span lines begin
+    behind the first lines that both share and that hold no sign to open one. Lines of the source that the
     target lacks in their order are of category text: the lines, or unless ``quoted`` their number."""
-    s, t, a, b = (F.col(f"_{c}") for c in "stab")
-    once = pairs.select(*keys, "compared", F.coalesce("source", F.lit("")).alias("_s"), F.coalesce("target", F.lit("")).alias("_t"), "source_lines", "target_lines")
-    once = once.withColumn("_differ", F.coalesce("compared", F.lit(False)) & (s != t))
+    a, b, x, y = (F.col(f"_{c}") for c in "abxy")
+    texts = ["source", "target"] if raw else []
+    differ = F.col("source") != F.col("target") if raw else F.col("source_lines") != F.col("target_lines")
+    once = pairs.select(*keys, *texts, (F.coalesce("compared", F.lit(False)) & F.coalesce(differ, F.lit(False))).alias("_differ"), "source_lines", "target_lines")
     once = once.withColumn("_a", F.when(F.col("_differ"), F.col("source_lines"))).withColumn("_b", F.when(F.col("_differ"), F.col("target_lines")))
-    once = once.withColumn("_n", _shared(a, b)).withColumn("_a", F.slice(a, F.col("_n") + 1, F.size(a))).withColumn("_b", F.slice(b, F.col("_n") + 1, F.size(b)))
     # Columns of their own, so that they are not made again for each use.
+    once = once.withColumn("_n", _shared(a, b)).withColumn("_opens", F.array_position(F.transform(F.slice(a, F.lit(1), F.col("_n")), lambda c: c.rlike(OPENS)), True))
+    once = once.withColumn("_k", F.when(F.col("_opens") > 0, F.col("_opens")).otherwise(F.col("_n") + 1).cast("int"))
+    behind = lambda c, text: F.when(F.contains("source", F.lit("\r")) | F.contains("target", F.lit("\r")), F.col(text)).otherwise(c) if raw else c
+    once = once.withColumn("_s", behind(F.array_join(F.slice(a, F.col("_k"), F.size(a)), "\n"), "source")).withColumn("_t", behind(F.array_join(F.slice(b, F.col("_k"), F.size(b)), "\n"), "target"))
+    once = once.withColumn("_a", F.slice(a, F.col("_n") + 1, F.size(a))).withColumn("_b", F.slice(b, F.col("_n") + 1, F.size(b)))
     once = once.withColumn("_m", _shared(F.reverse(a), F.reverse(b))).withColumn("_x", body_of(a)).withColumn("_y", body_of(b))
     inner = lambda c: F.slice(c, F.lit(1), F.size(c) - F.col("_m"))
-    missing = missing_in_order(F.col("_x"), F.col("_y"))
+    missing = missing_in_order(x, y)
     text = _named(missing, "text", 1) if quoted else F.array(F.struct(F.lit("text").alias("category"), F.lit("").alias("item"), F.size(missing).alias("sign")))
-    sides = [_named(items, kind, sign) for c, sign in ((s, 1), (t, -1)) for kind, items in _spanning(c).items()]
+    sides = [_named(items, kind, sign) for c, sign in (("_s", 1), ("_t", -1)) for kind, items in _spanning(F.col(c)).items()]
     return once.select(*keys, F.when(F.col("_differ"), F.concat(_named(inner(a), "_line", 1), _named(inner(b), "_line", -1), *sides, text)).alias("_items"))
 
 
@@ -117,7 +125,7 @@ def evidence_losses(units: DataFrame, key: str = "unit_id", source: str = "sourc
     evidence, and the source's lines (category text) that the target lacks in their order."""
     pairs = units.select(key, F.lit(True).alias("compared"), F.coalesce(source, F.lit("")).alias("source"), F.coalesce(target, F.lit("")).alias("target"))
     pairs = pairs.withColumn("source_lines", tx.lines(F.col("source"))).withColumn("target_lines", tx.lines(F.col("target")))
-    return _quoted(_signed(pairs, [key], True), [key])
+    return _quoted(_signed(pairs, [key], True, raw=True), [key])
 
 
 def _reviewed(review: str) -> Column:
@@ -158,7 +166,6 @@ def unit_results(batches: DataFrame, inventory: DataFrame, units: DataFrame, ori
     every = inventory.select("batch_id", "unit_id").distinct().join(units.withColumn("_has", F.lit(True)), ["batch_id", "unit_id"], "left")
     j = every.join(o, F.col("source.path") == F.col("o_path"), "left").join(t, F.col("destination.path") == F.col("t_path"), "left")
     j = j.withColumn("source_lines", _slice(F.col("o_text"), F.col("source.start_line"), F.col("source.end_line"))).withColumn("target_lines", _slice(F.col("t_text"), F.col("destination.start_line"), F.col("destination.end_line")))
-    source, target = F.array_join("source_lines", "\n"), F.array_join("target_lines", "\n")
     no = lambda c: F.coalesce(~c, F.lit(True))
     kind, goes = F.col("disposition.kind"), F.col("destination").isNotNull()
     reasons = F.coalesce((F.trim(F.col("disposition.reason")) != "") & (F.trim(F.col("disposition.reviewer")) != "") & iso_instant(F.col("disposition.reviewed_at")).isNotNull(), F.lit(False))
@@ -173,7 +180,7 @@ def unit_results(batches: DataFrame, inventory: DataFrame, units: DataFrame, ori
     )
     pending = ~_reviewed("review") | (compared & goes & no(F.col("t_reviewed")))
     mapped = goes | F.coalesce(kind == "excluded", F.lit(False))
-    judged = j.select("batch_id", "unit_id", problem.alias("problem"), pending.alias("pending"), mapped.alias("mapped"), compared.alias("compared"), source.alias("source"), target.alias("target"), "source_lines", "target_lines")
+    judged = j.select("batch_id", "unit_id", problem.alias("problem"), pending.alias("pending"), mapped.alias("mapped"), compared.alias("compared"), "source_lines", "target_lines")
     judged, key = judged.withColumn("compared", F.col("problem").isNull() & F.col("compared")), ["batch_id", "unit_id"]
     # A row of category _unit stands for every unit, so that one pass over the texts gives all its columns.
     known = [*key, "problem", "pending", "mapped"]

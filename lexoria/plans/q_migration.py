@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexoria.functions import text as tx
@@ -13,12 +13,16 @@ from lexoria.sources import corpus
 TAIL = "\n\n# Título {#t}\nSee [a](http://x.y/z) and https://q.r/s ![i](p/i.png)\n- item One\n- item One\n```sh\ncode A\n\n```\nnão faça isto\nif ready --force `name_1` ABC_DEF\nexceto hoje\n| a | B c |\n|---|---|\n"
 
 
+def _ends(text: str) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = corpus.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("batch_id"), F.concat(tx.unified(F.coalesce("text", F.lit(""))), F.lit(TAIL)).alias("text"))
     x = F.col("doc_id") % 8
     r = lambda a, b: F.replace("text", F.lit(a), F.lit(b))
     target = F.when(x == 1, r("- item One\n- item One\n", "- item One\n")).when(x == 2, r("code A", "code B")).when(x == 3, r("não", "sim")).when(x == 4, F.substr("text", F.lit(11))).when(x == 5, F.concat("text", F.lit("more\n"))).when(x == 6, r("`name_1` ABC_DEF", "`name_1` abc")).otherwise(F.col("text"))
-    return d.withColumn("target", target).withColumn("n", F.size(F.split("text", "\n")) - 1).withColumn("m", F.size(F.split("target", "\n")) - 1)
+    return d.withColumn("target", target).withColumn("n", _ends("text")).withColumn("m", _ends("target"))
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:

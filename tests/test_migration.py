@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from lexoria.functions import text as tx
 from lexoria.operators import migration as mg
 
+from .conftest import DATA
+
 TEXTS = [
     "", "plain", "A\n```\nx\n```\nB", "```py\nopen", "~~~~\na\n~~~\nb\n~~~~ \nc", "```\n\n```\n```\ny\n\n```", "  - one\n* two\n+ three\n3) four\n   5. five\n    - no\n-no", "| a | b\\|c |\n|---|---|\n|x|\na|b\n", "[t](u) ![i](p q) [a](b)![c](d) https://x.y/z) !https://no a:https://q",
     "ABC AB A_1 ABCd ÉABC x--opt --opt-x `na.me` `A B` `ABC`", "Não se deve\nnever WHEN\nsemente\nexceto isso\n```não```\nif\n", "a\r\nb\r\n- c\r\n```\r\nd\r\n```", "  ", "# T {#k}\n\nx  ",
@@ -120,7 +122,10 @@ def test_shared_lines_make_no_evidence(spark):
 
 def test_moved_and_repeated_lines_are_netted(spark):
     """Lines that both sides have as often, wherever they stand, make no evidence; the others make all of it."""
-    pairs = [(1, "- a\nnot b\n- a\nABC if c", "ABC if c\n- a\nnot b"), (2, "x | Y\nx | y\n`n.m`", "`n.m` x\nx | y"), (3, "# A\r\n- b\r\r\n- c\n", "- c\r- b\n# A"), (4, "never DEF", "DEF\nnever"), (5, "not a\u0085not b", "not b\u0085not a")]
+    pairs = [
+        (1, "- a\nnot b\n- a\nABC if c", "ABC if c\n- a\nnot b"), (2, "x | Y\nx | y\n`n.m`", "`n.m` x\nx | y"), (3, "# A\r\n- b\r\r\n- c\n", "- c\r- b\n# A"), (4, "never DEF", "DEF\nnever"), (5, "not a\u0085not b", "not b\u0085not a"),
+        (6, "plain\n[a\nb](u)\n!\n[c](d)", "plain\n[a\nb](v)\n!\n[c](d)"), (7, "plain\n~~~\nx\ny\n~~~\n[k](l)", "plain\n~~~\nx\nz\n~~~\n[k](m)"), (8, "plain!\n[a](b)\nhttp://q", "plain!\n![a](b)\nxhttp://q"), (9, "p\n```\na\rb\n```", "p\n```\na\nb\n```"), (10, "p\nhttps://a", "p\nhttps://a\nb"),
+    ]
     got = Counter({(r.unit_id, r.category, r.detail): r.lost for r in mg.evidence_losses(spark.createDataFrame(pairs, "unit_id int, source string, target string")).filter("category <> 'text'").collect()})
     kinds = lambda text: Counter((k, x) for k, items in spark.createDataFrame([(text,)], "t string").select(*[v.alias(k) for k, v in mg.evidence(F.col("t")).items()]).first().asDict().items() for x in items)
     assert got == Counter({(i, *k): n for i, a, b in pairs for k, n in (kinds(a) - kinds(b)).items()})
@@ -143,3 +148,11 @@ def test_a_report_takes_the_texts_once(spark):
     plan = results._jdf.queryExecution().optimizedPlan().toString()
     joins = [x for x in plan.splitlines() if "Join LeftOuter" in x and "path" in x]
     assert len(joins) == 2, plan
+
+
+def test_a_batch_report_takes_the_texts_once(spark):
+    """The batches' query has the plan of the units' report below it: both texts joined once."""
+    from lexoria.plans import q_migration
+
+    plan = q_migration.batches(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert len([x for x in plan.splitlines() if "Join LeftOuter" in x and "path" in x]) == 2, plan
