@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import pytest
 
-from lexoria.operators import lexical, postrank, retrieval
+from lexoria.operators import lexical, orchestration, postrank, retrieval
+
+from .conftest import DATA
 
 CHUNKS = "id long, document_id long, chunk_index int, content string, doc_type string, filename string, module string, section_id long, section_index int, embedding array<float>"
 
@@ -110,3 +112,49 @@ def test_interleave_two_to_one(spark):
             want += p[:2] + c[:1]
             p, c = p[2:], c[1:]
         assert got == want
+
+
+MEMORY = "id long, item_id long, status string, active boolean, scope map<string,string>, embedding array<float>"
+
+
+def test_feedback_of_the_own_scope_comes_before_global_feedback(spark):
+    v = [1.0, 0.0]
+    talk = {"level": "conversation", "guild_id": "g", "channel_id": "c"}
+    scopes = [{}, {"level": "tenant", "tenant": "a"}, {"level": "tenant", "tenant": "b"}, talk, {"level": "conversation", "guild_id": "g"}, {"level": "global"}]
+    memory = spark.createDataFrame([(i, 10 * i, "PUBLISHED", True, s, v) for i, s in enumerate(scopes, 1)] + [(9, 90, "PUBLISHED", True, {}, [0.0, 1.0])], MEMORY)
+    asked = [None, {"tenant": "a "}, {**talk, "other": "x"}, {"level": "global"}, {"tenant": " "}, {"level": "tenant", "tenant": "b", "platform": "x"}]
+    got = orchestration.search_memory(memory, spark.createDataFrame([(i, v, s) for i, s in enumerate(asked)], "query_id int, query_embedding array<float>, scope map<string,string>"), 4, 0.5)
+    found = {q: [] for q in range(6)}
+    for r in got.orderBy("query_id", "position").collect():
+        found[r.query_id].append((r.id, r.origin.removeprefix("feedback_")))
+    everywhere = [(1, "global"), (6, "global")]
+    assert found == {0: everywhere, 1: [(2, "scoped"), *everywhere], 2: [(4, "scoped"), *everywhere], 3: everywhere * 2, 4: everywhere, 5: [(3, "scoped"), *everywhere]}
+
+
+def test_challengers_are_told_apart_from_the_preferred_rows_by_content(spark):
+    """A copy of a preferred chunk takes no challenger's place between the preferred ones."""
+    near = lambda i: [1.0, i / 20]
+    some = [(i, "m1", f"a{i}", near(i + 4)) for i in (1, 2, 3, 4)] + [(11, "m2", "a1", near(1)), (12, "m2", "b2", near(2)), (13, "m2", "b2", near(3)), (14, "m2", "b4", near(4))]
+    chunks = spark.createDataFrame([(i, i, 0, text, "md", f"{i}.md", m, i, 0, v) for i, m, text, v in some], CHUNKS)
+    sections = spark.createDataFrame([(1, 1, 0, "s", "md", "1.md", "m1", [0.0, 1.0])], "id long, document_id long, section_index int, content string, doc_type string, filename string, module string, embedding array<float>")
+    questions = ask(spark, modules=[" M1", " "])
+    memory = spark.createDataFrame([(1, 7, "PUBLISHED", True, {}, [1.0, 0.0])], MEMORY)
+    hit = orchestration.search_memory(memory, questions.selectExpr("query_id", "query_embedding", "cast(null as map<string,string>) AS scope")).selectExpr("*", "'a1' AS content")
+    got = orchestration.retrieve(chunks, sections, questions, hit, 0.5).orderBy("slot").collect()
+    assert [(r.id, r.routing_scope) for r in got] == [(1, None), (1, "filtered"), (2, "filtered"), (12, "global_challenger"), (3, "filtered"), (4, "filtered"), (14, "global_challenger")]
+    assert (got[0].origin, got[0].filename, got[0].chunk_index) == ("feedback_global", "feedback_7.md", 0)
+
+
+def test_every_question_gets_its_feedback_with_or_without_a_text(spark):
+    from lexoria.plans import q_more, q_retrieval
+    from lexoria.sources import corpus
+
+    got = [r for r in q_more.full_retrieval(spark, DATA).orderBy("query_id", "slot").collect() if r.origin.startswith("feedback")]
+    asked = corpus.questions(spark, DATA).selectExpr("query_id", "query_embedding", "map('level', 'global') AS scope")
+    search = lambda q: {(r.query_id, r.id) for r in retrieval.search_feedback(q_retrieval._feedback(spark, DATA), q, 6, -1.0).collect()}
+    want = search(asked)
+    assert len(want) == 36 and {(r.query_id, r.id) for r in got if r.origin == "feedback_global"} == want
+    scoped = {(r.query_id, r.id) for r in got if r.origin == "feedback_scoped"}
+    assert {q for q, _ in scoped} == {1, 3} and {x for x in scoped if x[0] == 1} == {x for x in search(q_retrieval._scopes(spark, DATA)) if x[0] == 1}
+    documents = {r.doc_id for r in corpus.table(spark, DATA, "documents").select("doc_id").collect()}
+    assert any(r.id not in documents for r in got)
