@@ -99,7 +99,11 @@ def _signed(pairs: DataFrame, keys: list[str], quoted: bool, raw: bool = False)
     inner = lambda c: F.slice(c, F.lit(1), F.size(c) - F.col("_m"))
     missing = missing_in_order(x, y)
     text = _named(missing, "text", 1) if quoted else F.array(F.struct(F.lit("text").alias("category"), F.lit("").alias("item"), F.size(missing).alias("sign")))
-    sides = [_named(items, kind, sign) for c, sign in (("_s", 1), ("_t", -1)) for kind, items in _spanning(F.col(c)).items()]
+    spans = {side: _spanning(F.col(side)) for side in ("_s", "_t")}
+    once = once.withColumns({f"{side}_{kind}": items for side, kinds in spans.items() for kind, items in kinds.items()})
+    # Equal lists are +1 and -1 throughout.
+    unlike = lambda kind, c: F.when(F.col(f"_s_{kind}") != F.col(f"_t_{kind}"), F.col(c)).otherwise(F.array().cast("array<string>"))
+    sides = [_named(unlike(kind, f"{side}_{kind}"), kind, sign) for side, sign in (("_s", 1), ("_t", -1)) for kind in spans[side]]
     return once.select(*keys, F.when(F.col("_differ"), F.concat(_named(inner(a), "_line", 1), _named(inner(b), "_line", -1), *sides, text)).alias("_items"))
 
 
